@@ -118,6 +118,11 @@ def unsliced(df: DataFrame) -> DataFrame:
     return df.drop(SLICE)
 
 
+def rank_in_key(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """1-based position in order within the key; ``order[0]`` is numeric."""
+    return unsliced(running_sum(with_slices(df, order[0]), keys, order, F.lit(1), out))
+
+
 def rows_between(
     df: DataFrame, order: list[str], start: int, stop: int, rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:

@@ -130,17 +130,18 @@ def _admit(times: np.ndarray, delay: float, last: float) -> tuple[np.ndarray, np
     return seen, admitted
 
 
-def politeness_audit(
-    requests: DataFrame, key: str = "domain", seconds: str = "seconds", order: str = "request_id",
-    delay: str = "crawl_delay", rows_per_slice: int = ordered.ROWS_PER_SLICE,
+def greedy_scan(
+    requests: DataFrame, key: str, seconds: str, order: str, delay: str,
+    rows_per_slice: int = ordered.ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Adds ``action`` (proceed / delay) and ``wait_seconds`` to a request log.
-
-    The verdict of a request depends on the last admitted one of its domain.
-    Domains larger than a slice are scanned in three steps: every slice tells
-    where it would leave each possible entry (only entries within one delay of
-    its start differ), the slices of a domain are chained over these small
-    tables, and every slice is scanned again from its true entry.
+    """Adds ``admitted`` and ``last_admitted`` (before the row): a row is admitted
+    when ``delay`` seconds have passed since the last admitted row of its key.
+
+    The verdict of a row depends on the whole chain before it. Tables larger
+    than a slice are scanned in three steps: every slice tells where it would
+    leave each possible entry (only entries within one delay of its start
+    differ), the slices of a key are chained over these small tables, and every
+    slice is scanned again from its true entry. ``delay`` is constant per key.
     """
     base = ordered.with_slices(requests, seconds, rows_per_slice)
     schema = ", ".join(f"`{n}` {t}" for n, t in base.dtypes)
@@ -203,10 +204,20 @@ def politeness_audit(
             return done[[*base.columns, "last_admitted", "admitted"]]
 
         scanned = joined.groupBy(key, ordered.SLICE).applyInPandas(rescan, out_schema)
+    return ordered.unsliced(scanned).withColumn(
+        "last_admitted", F.when(~F.isnan("last_admitted"), F.col("last_admitted"))
+    )
+
+
+def politeness_audit(
+    requests: DataFrame, key: str = "domain", seconds: str = "seconds", order: str = "request_id",
+    delay: str = "crawl_delay", rows_per_slice: int = ordered.ROWS_PER_SLICE,
+) -> DataFrame:
+    """Adds ``action`` (proceed / delay) and ``wait_seconds`` to a request log."""
+    scanned = greedy_scan(requests, key, seconds, order, delay, rows_per_slice)
     wait = F.round(F.col(delay) - (F.col(seconds) - F.col("last_admitted")), 6)
     return (
-        ordered.unsliced(scanned)
-        .withColumn("action", F.when(F.col("admitted"), "proceed").otherwise("delay"))
+        scanned.withColumn("action", F.when(F.col("admitted"), "proceed").otherwise("delay"))
         .withColumn("wait_seconds", F.when(F.col("admitted"), 0.0).otherwise(wait))
         .drop("last_admitted", "admitted")
     )

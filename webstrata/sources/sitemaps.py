@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webstrata.functions import html as H
@@ -189,8 +189,3 @@ def paginate(df: DataFrame, order: list[str], offset: int, chunk: int = PAGE_CHU
     following = offset + chunk if offset + chunk < total else None
     page = ordered.rows_between(df, order, offset, offset + chunk)
     return page.withColumn("next_offset", F.lit(following).cast("long"))
-
-
-def numbered(df: DataFrame, key: list[str], order: list[str], out: str) -> DataFrame:
-    """Position within a bounded group such as the results of one request."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
