@@ -27,20 +27,12 @@ def memory_query(
     """Best live artifact per query: (query_id, hit, memory_id, similarity, freshness).
 
     ``queries``: query_id, query_vector (and user_id); ``memory``: id,
-    embedding, created_ms, expires_ms (and user_id). The five nearest vectors
+    embedding, created_ms, expires_ms (and user_id). With ``per_user`` the user
+    filter comes before the ranking. The five nearest vectors
     are walked in order; one below the threshold ends the walk, an expired one
     is skipped.
     """
-    if per_user:
-        # The user filter comes before the ranking: an equi-join on the user,
-        # then a bounded number of rows per query.
-        joined = queries.join(memory.withColumnRenamed("id", "mid"), "user_id").select(
-            "query_id", F.col("mid").alias("id"),
-            F.round(search.V.cosine(F.col("embedding"), F.col("query_vector")), 6).alias("similarity"),
-        )
-        near = ranking.top_k(joined, ["query_id"], [F.desc("similarity"), "id"], CANDIDATES)
-    else:
-        near = search.vector_search(memory, queries, CANDIDATES)
+    near = search.vector_search(memory, queries, CANDIDATES, group="user_id" if per_user else None)
     live = near.where(F.col("similarity") >= threshold).join(
         memory.where(F.col("expires_ms") > now_ms).select("id", "created_ms"), "id"
     )

@@ -98,17 +98,17 @@ def previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
     """Sum of ``value`` from the first row of the key up to this row."""
-    valued = df.withColumn("__n", value)
+    valued = df.withColumn("__value", value)
     if not is_sliced(df):
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return valued.withColumn(out, F.sum("__n").over(w)).drop("__n")
+        return valued.withColumn(out, F.sum("__value").over(w)).drop("__value")
     local = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     summary = (
-        valued.groupBy(*keys, SLICE).agg(F.sum("__n").alias("__s"))
+        valued.groupBy(*keys, SLICE).agg(F.sum("__value").alias("__s"))
         .withColumn("__before", F.sum("__s").over(earlier)).drop("__s")
     )
-    scanned = valued.withColumn(out, F.sum("__n").over(local)).drop("__n")
+    scanned = valued.withColumn(out, F.sum("__value").over(local)).drop("__value")
     return _join_summary(scanned, summary, keys).withColumn(
         out, F.col(out) + F.coalesce("__before", F.lit(0))
     ).drop("__before")

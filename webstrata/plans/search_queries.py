@@ -281,7 +281,7 @@ def _mem_queries(t):
     shifted = F.zip_with(
         "embedding", F.reverse("embedding"), lambda a, b: (a + b * F.lit(0.4) * (F.col("label") % 3)).cast("float")
     )
-    return t.embeddings.where("vec_id >= 0").select(
+    return t.embeddings.select(
         F.col("vec_id").alias("query_id"), shifted.alias("query_vector"), (F.col("vec_id") % 3).alias("user_id"), "label"
     )
 

@@ -14,15 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from webstrata.operators.ordered import epoch_us
 from webstrata.session import checkpoint_root
 
 WATERMARK = "10 minutes"
 
 
 def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """File stream over one parquet table of a folder."""
+    """File stream over one parquet table of a folder.
+
+    Watermarks need instants, so zone-less timestamps are read as UTC.
+    """
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parquet*")
+    rows = spark.readStream.schema(schema).parquet(f"{folder}/{table}.parquet*")
+    return rows.select(*[
+        F.timestamp_micros(epoch_us(F.col(n))).alias(n) if t == "timestamp_ntz" else F.col(n)
+        for n, t in rows.dtypes
+    ])
 
 
 def _folders(spark: SparkSession) -> tuple[str, str]:
