@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webstrata.functions.html import strip_space
-from webstrata.functions.urls import bind, contains_any
+from webstrata.functions.urls import bind, compute_once, contains_any
 
 MIN_CONTENT_CHARS = 200
 MIN_TITLE_CHARS = 10
@@ -68,11 +68,21 @@ ERROR_WORDS = [
 
 
 def count_hits(text: Column, patterns: list[str]) -> Column:
-    """How many patterns occur; plain words use a substring search."""
-    total = F.lit(0)
+    """How many patterns occur.
+
+    Plain words are substring scans; a regex is only tried on texts that hold
+    the plain words it starts with.
+    """
+    plain = [p for p in patterns if re.fullmatch(r"[a-z0-9' ]+", p)]
+    total = F.aggregate(
+        F.array(*[F.lit(p) for p in plain]), F.lit(0),
+        lambda acc, p: acc + F.when(text.contains(p), 1).otherwise(0),
+    )
     for p in patterns:
-        test = text.contains(p) if re.fullmatch(r"[a-z0-9' ]+", p) else text.rlike(p)
-        total = total + F.when(test, 1).otherwise(0)
+        if p not in plain:
+            head = re.match(r"[a-z0-9' ]+", p)[0]
+            head = head[:-1] if p[len(head):len(head) + 1] == "?" else head
+            total = total + F.when(text.contains(head) & text.rlike(p), 1).otherwise(0)
     return total
 
 
@@ -112,50 +122,64 @@ def check_boilerplate(markdown: Column) -> Column:
 
 
 def check_completeness(markdown: Column, title: Column) -> Column:
-    content = strip_space(markdown)
-    size = F.length(content)
-    paragraphs = F.size(F.filter(F.split(content, "\n\n"), lambda p: strip_space(p) != "")) >= 2
-    title_ok = F.when(
-        F.coalesce(title, F.lit("")) != "", F.length(strip_space(title)) >= MIN_TITLE_CHARS
-    ).otherwise(size >= MIN_CONTENT_CHARS)
-    short = size < MIN_CONTENT_CHARS
-    return _ladder(
-        markdown,
-        [
-            (short & ~paragraphs, 0.1, "fail"),
-            (short, 0.3, "warn"),
-            (~paragraphs, 0.4, "warn"),
-            ((size >= 1000) & title_ok, 1.0, "pass"),
-            (size >= 500, 0.85, "pass"),
-        ],
-        (0.6, "warn"),
+    facts = F.struct(
+        F.length(strip_space(markdown)).alias("size"),
+        (F.size(F.filter(
+            F.split(strip_space(markdown), "\n\n"), lambda p: strip_space(p) != ""
+        )) >= 2).alias("paragraphs"),
     )
 
+    def gate(f: Column) -> Column:
+        size, paragraphs = f["size"], f["paragraphs"]
+        title_ok = F.when(
+            F.coalesce(title, F.lit("")) != "", F.length(strip_space(title)) >= MIN_TITLE_CHARS
+        ).otherwise(size >= MIN_CONTENT_CHARS)
+        short = size < MIN_CONTENT_CHARS
+        return _ladder(
+            F.lit("x"),
+            [
+                (size == 0, 0.0, "fail"),
+                (short & ~paragraphs, 0.1, "fail"),
+                (short, 0.3, "warn"),
+                (~paragraphs, 0.4, "warn"),
+                ((size >= 1000) & title_ok, 1.0, "pass"),
+                (size >= 500, 0.85, "pass"),
+            ],
+            (0.6, "warn"),
+        )
+
+    return F.when(markdown.isNull(), _gate(0.0, "fail")).otherwise(bind(facts, gate))
+
 
 def check_block_page(markdown: Column) -> Column:
-    low = F.lower(markdown)
-    hits = count_hits(low, BLOCK_PATTERNS)
-    errors = count_hits(low, ERROR_WORDS)
-    return _ladder(
-        markdown,
-        [
-            (hits >= 3, 0.05, "fail"),
-            (hits >= 2, 0.15, "fail"),
-            (hits >= 1, 0.3, "warn"),
-            ((F.length(strip_space(markdown)) < MIN_CONTENT_CHARS) & (errors >= 2), 0.2, "fail"),
-        ],
-        (1.0, "pass"),
-    )
+    short = F.length(strip_space(markdown)) < MIN_CONTENT_CHARS
+    return bind(F.lower(markdown), lambda low: bind(
+        F.struct(
+            count_hits(low, BLOCK_PATTERNS).alias("hits"),
+            F.when(short, count_hits(low, ERROR_WORDS)).otherwise(0).alias("errors"),
+        ),
+        lambda n: _ladder(
+            low,
+            [
+                (n["hits"] >= 3, 0.05, "fail"),
+                (n["hits"] >= 2, 0.15, "fail"),
+                (n["hits"] >= 1, 0.3, "warn"),
+                (n["errors"] >= 2, 0.2, "fail"),
+            ],
+            (1.0, "pass"),
+        ),
+    ))
 
 
 def assess_quality(df, markdown: str, title: Column | None = None):
     """Adds the three gates, ``score`` (two decimals) and ``detail``."""
     text = F.col(markdown)
-    gates = df.withColumns({
-        "gate_boilerplate": check_boilerplate(text),
-        "gate_completeness": check_completeness(text, F.lit("") if title is None else title),
-        "gate_block": check_block_page(text),
-    })
+    gates = compute_once(
+        df,
+        gate_boilerplate=check_boilerplate(text),
+        gate_completeness=check_completeness(text, F.lit("") if title is None else title),
+        gate_block=check_block_page(text),
+    )
 
     def part(name: str, label: str) -> Column:
         status = F.col(f"{name}.status")
@@ -246,11 +270,7 @@ def classify_barrier(title: Column, url: Column, content: Column, html: Column)
         contains_any(c, _low(CLOUDFLARE_SIGNS + DDOS_GUARD_SIGNS + FRAME_REDIRECTS)),
         "content-match",
     )))
-    signals = F.when(F.size(first) > 0, first).otherwise(fallback)
-    joined = F.array_join(F.array_sort(signals), ", ")
-    kind = F.lit(None).cast("string")
-    for word, name in reversed(BARRIER_ORDER):
-        kind = F.when(joined.contains(word), F.lit(name)).otherwise(kind)
+    signals = bind(first, lambda f: F.when(F.size(f) > 0, f).otherwise(fallback))
 
     def verdict(detected, barrier, confidence, detail, provider=None):
         lit = lambda v, ty: (v if isinstance(v, Column) else F.lit(v)).cast(ty)
@@ -260,6 +280,19 @@ def classify_barrier(title: Column, url: Column, content: Column, html: Column)
             lit(provider, "string").alias("provider"),
         )
 
+    def from_signals(found: Column) -> Column:
+        joined = F.array_join(F.array_sort(found), ", ")
+        kind = F.lit(None).cast("string")
+        for word, name in reversed(BARRIER_ORDER):
+            kind = F.when(joined.contains(word), F.lit(name)).otherwise(kind)
+        return F.when(
+            F.size(found) == 0, verdict(False, None, 0.0, "No barrier signals detected")
+        ).otherwise(verdict(
+            True, kind,
+            F.least(F.round(F.lit(0.5) + F.size(found) * 0.2, 2), F.lit(0.95)),
+            F.concat(F.lit("Matched signals: "), joined),
+        ))
+
     out = None
     for provider, signs in CAPTCHA_WIDGETS:
         v = verdict(True, "captcha", 0.95, f"Definitive {provider} widget", provider)
@@ -268,12 +301,7 @@ def classify_barrier(title: Column, url: Column, content: Column, html: Column)
     return (
         out.when(generic, verdict(True, "captcha", 0.85, "Definitive generic CAPTCHA widget", "generic"))
         .when((c == "") & (h == ""), verdict(True, "empty", 0.95, "No content returned"))
-        .when(F.size(signals) == 0, verdict(False, None, 0.0, "No barrier signals detected"))
-        .otherwise(verdict(
-            True, kind,
-            F.least(F.round(F.lit(0.5) + F.size(signals) * 0.2, 2), F.lit(0.95)),
-            F.concat(F.lit("Matched signals: "), joined),
-        ))
+        .otherwise(bind(signals, from_signals))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # RFC 3986 appendix B, with the scheme limited to legal characters.
@@ -29,6 +29,15 @@ def bind(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds costly columns that later filters may read without computing them again.
+
+    A plain projection would be copied into every filter pushed below it; the
+    generator in between stops that and evaluates each column once per row.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 # ---------------------------------------------------------------- splitting
 
 def scheme(url: Column) -> Column:
@@ -385,8 +394,13 @@ VIDEO_HOSTS = [
 
 
 def contains_any(text: Column, parts: Sequence[str]) -> Column:
-    """One alternation scan instead of one ``contains`` per part."""
-    return text.rlike("|".join(re.escape(p) for p in parts))
+    """True when one of the fixed parts occurs: substring scans, first hit ends them."""
+    if len(parts) <= 4:
+        test = text.contains(parts[0])
+        for part in parts[1:]:
+            test = test | text.contains(part)
+        return test
+    return F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: text.contains(p))
 
 
 def score_url(url: Column) -> Column:

@@ -75,7 +75,8 @@ def traverse(
 
     if options.include or options.exclude:
         edges = edges.where(passes_filters(F.col("dst"), options))
-    links = edges.select("src", "dst").distinct()
+    # Read once per level, so it is stored once instead of parsed again.
+    links = cut_lineage(edges.select("src", "dst").distinct())
     frontier = cut_lineage(stored(start.select("node").distinct()).withColumn("depth", F.lit(0)))
     reached, total = frontier, frontier.count()
     for depth in range(1, options.max_depth + 1):

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webstrata.operators import ordered, ranking
 
@@ -14,7 +15,7 @@ DIFF_LINES = 100
 HISTORY = 50
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """Unified diff with three context lines, at most 100 lines."""
     def one(a, b):

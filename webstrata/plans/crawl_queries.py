@@ -25,22 +25,34 @@ from webstrata.sources import sitemaps as S
 
 
 def site_report(t):
-    """Per-host report: normalise, extract, de-duplicate, score, aggregate."""
-    html = F.col("html")
-    pages = t.pages.select(
-        "page_id", "url", U.hostname(F.col("url")).alias("host"),
-        U.normalize_url(F.col("url")).alias("url_key"),
-        F.size(H.page_links(html, F.col("url"))).alias("n_links"),
-        H.structural_text(html).alias("text"),
-        H.page_title(html).alias("title"),
+    """Per-host report: normalise, extract, de-duplicate, score, aggregate.
+
+    Each page is parsed once, in the scan stage, into a row of a few numbers.
+    Both de-duplication layers are aggregates over those narrow rows, combined
+    before their shuffle, so no page text moves and no copy group is gathered.
+    """
+    html, url = F.col("html"), F.col("url")
+    parsed = U.compute_once(
+        t.pages.select("page_id", "url", "html"),
+        text=H.structural_text(html), title=H.page_title(html),
+        n_links=F.size(H.page_links(html, url)),
+    ).drop("html")
+    rows = Q.assess_quality(parsed, "text", F.col("title")).select(
+        "page_id", U.normalize_url(url).alias("url_key"),
+        # Blank texts are nobody's copy.
+        F.coalesce(D.content_hash(F.col("text")), F.col("page_id").cast("string")).alias("content_key"),
+        U.hostname(url).alias("host"), "n_links", F.length("text").alias("chars"), "score",
     )
-    firsts = pages.groupBy("url_key").agg(F.min("page_id").alias("page_id"))
-    unique = pages.join(firsts, ["url_key", "page_id"], "left_semi")
-    marked = D.mark_content_duplicates(unique, "page_id", "text")
-    scored = Q.assess_quality(marked.where("NOT is_duplicate"), "text", F.col("title"))
-    return scored.groupBy("host").agg(
-        F.count("*").alias("pages"), F.sum("n_links").alias("links"),
-        F.sum(F.length("text")).alias("chars"), F.round(F.avg("score"), 6).alias("mean_score"),
+    row = F.struct("content_key", "host", "n_links", "chars", "score")
+    by_url = rows.groupBy("url_key").agg(
+        F.min("page_id").alias("page_id"), F.min_by(row, "page_id").alias("r")
+    ).select("page_id", "r.*")
+    by_text = by_url.groupBy("content_key").agg(
+        F.min_by(F.struct("host", "n_links", "chars", "score"), "page_id").alias("r")
+    ).select("r.*")
+    return by_text.groupBy("host").agg(
+        F.count("*").alias("pages"), F.sum("n_links").alias("links"), F.sum("chars").alias("chars"),
+        F.round(F.avg("score"), 6).alias("mean_score"),
         F.sum(F.when(Q.quality_acceptable(F.col("score")), 1).otherwise(0)).alias("accepted"),
     )
 
@@ -299,7 +311,7 @@ def g1_host_graph(t):
         F.concat(F.lit("h:"), U.hostname(F.col("url"))).alias("host"),
         F.concat(F.lit("p:"), U.path(F.col("dst_url"))).alias("path"),
     ).distinct()
-    pairs = G.cut_lineage(pairs)
+    pairs = G.cut_lineage(pairs)  # read twice: once per direction
     edges = pairs.select(F.col("host").alias("src"), F.col("path").alias("dst")).unionByName(
         pairs.select(F.col("path").alias("src"), F.col("host").alias("dst"))
     )
