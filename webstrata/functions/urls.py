@@ -168,43 +168,51 @@ def cache_url(url: Column) -> Column:
     )
 
 
-def resolve_url(href: Column, base: Column) -> Column:
-    """Absolute form of ``href`` as seen from ``base``."""
-    h_path, h_query, h_frag = path(href), query(href), fragment(href)
-    b_scheme, b_loc, b_path = scheme(base), netloc(base), path(base)
-    merged = F.when(h_path.startswith("/"), h_path).otherwise(
-        F.concat(
-            F.when(b_path == "", F.lit("/")).otherwise(
-                F.regexp_replace(b_path, r"[^/]*$", "")
-            ),
-            h_path,
-        )
+SCHEME_START = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+
+
+def base_parts(base: Column) -> Column:
+    """What joining needs from a base URL, taken apart once per page."""
+    whole, b_query = path(base), query(base)
+    return F.struct(
+        base.alias("url"), scheme(base).alias("scheme"),
+        F.concat(scheme(base), F.lit("://"), netloc(base)).alias("origin"),
+        whole.alias("path"),
+        F.when(whole == "", F.lit("/")).otherwise(F.regexp_replace(whole, r"[^/]*$", "")).alias("folder"),
+        F.when(b_query != "", F.concat(F.lit("?"), b_query)).otherwise("").alias("query"),
     )
+
+
+def join_base(ref: Column, base: Column) -> Column:
+    """Join of a fragment-free reference with ``base_parts``; an empty one keeps
+    path and query of the base. Plain substring work, regex only for dots."""
+    ref_path = F.substring_index(ref, "?", 1)
+    rest = F.substring(ref, F.length(ref_path) + 1, F.length(ref))
+    tail = F.when(rest == "?", F.lit("")).otherwise(rest)
+    merged = F.when(ref_path.startswith("/"), ref_path).otherwise(F.concat(base["folder"], ref_path))
     folded = bind(merged, lambda m: F.when(
-        m.rlike(r"//|/\."),
+        m.contains("//") | m.contains("/."),
         F.concat(fold_segments(m), F.when(m.rlike(r"/\.{0,2}$"), F.lit("/")).otherwise("")),
     ).otherwise(m))
-    origin = F.concat(b_scheme, F.lit("://"), b_loc)
-    tail = F.concat(
-        F.when(h_query != "", F.concat(F.lit("?"), h_query)).otherwise(""),
-        F.when(h_frag != "", F.concat(F.lit("#"), h_frag)).otherwise(""),
-    )
-    same_page = F.concat(
-        origin, b_path,
-        F.when(h_query != "", F.concat(F.lit("?"), h_query))
-        .when(query(base) != "", F.concat(F.lit("?"), query(base)))
-        .otherwise(""),
-        F.when(h_frag != "", F.concat(F.lit("#"), h_frag)).otherwise(""),
-    )
     return (
-        F.when(href == "", base)
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(href.startswith("//"), F.concat(b_scheme, F.lit(":"), href))
-        .when(h_path == "", same_page)
-        .otherwise(F.concat(origin, folded, tail))
+        F.when(ref == "", F.concat(base["origin"], base["path"], base["query"]))
+        .when(ref.rlike(SCHEME_START), ref)
+        .when(ref.startswith("//"), F.concat(base["scheme"], F.lit(":"), ref))
+        .when(ref.startswith("?"), F.concat(base["origin"], base["path"], F.when(rest == "?", base["query"]).otherwise(rest)))
+        .otherwise(F.concat(base["origin"], folded, tail))
     )
 
 
+def resolve_url(href: Column, base: Column) -> Column:
+    """Absolute form of ``href`` as seen from ``base``."""
+    ref = F.substring_index(href, "#", 1)
+    mark = F.substring(href, F.length(ref) + 1, F.length(href))
+    joined = bind(base_parts(base), lambda b: F.concat(
+        join_base(ref, b), F.when(mark == "#", F.lit("")).otherwise(mark)
+    ))
+    return F.when(href == "", base).otherwise(joined)
+
+
 # ------------------------------------------------- predicates and classes
 
 # Address blocks and addresses that must never be fetched.
@@ -242,48 +250,49 @@ def v4_number(host: Column) -> Column:
 
 def is_private_address(host: Column) -> Column:
     """True/false for an address literal, NULL for a name."""
-    number = v4_number(host)
-    in_block = F.lit(False)
-    for first, bits in PRIVATE_V4_BLOCKS:
-        low = v4_to_int(first)
-        in_block = in_block | number.between(low, low + 2 ** (32 - bits) - 1)
-    v4 = in_block | host.isin(METADATA_V4)
-    # First 16 bits decide the v6 blocks: fc00::/7 and fe80::/10.
+    def v4(number: Column) -> Column:
+        in_block = host.isin(METADATA_V4)
+        for first, bits in PRIVATE_V4_BLOCKS:
+            low = v4_to_int(first)
+            in_block = in_block | number.between(low, low + 2 ** (32 - bits) - 1)
+        return in_block
+
+    # The first 16 bits decide the v6 blocks: fc00::/7 and fe80::/10.
     v6 = (
         host.rlike(r"^::0{0,3}1$|^(?:0{1,4}:){7}0{0,3}1$")
         | host.rlike(r"^f[cd][0-9a-f]{2}:")
         | host.rlike(r"^fe[89ab][0-9a-f]:")
         | host.isin(METADATA_V6)
     )
-    return F.when(number.isNotNull(), v4).when(host.contains(":"), v6)
+    return F.when(host.rlike(V4_PATTERN), bind(v4_number(host), v4)).when(host.contains(":"), v6)
 
 
-def is_private_host(url: Column, resolved_private: Column | None = None) -> Column:
-    """Guard for URLs that must not be fetched.
+def is_private_name(host: Column, resolved_private: Column | None = None) -> Column:
+    """Guard for hosts that must not be fetched.
 
     Names are not looked up here. ``resolved_private`` carries the answer of a
     supplied host table (NULL where the host is missing, which counts as
     private, like a name that cannot be resolved).
     """
-    host = hostname(url)
     suffix_hit = F.lit(False)
     for suffix in PRIVATE_SUFFIXES:
         suffix_hit = suffix_hit | host.endswith(suffix)
-    literal = is_private_address(host)
     named = F.lit(False) if resolved_private is None else F.coalesce(resolved_private, F.lit(True))
     return (
-        F.when(host == "", F.lit(True))
-        .when(suffix_hit, F.lit(True))
-        .otherwise(F.coalesce(literal, named))
+        F.when((host == "") | suffix_hit, F.lit(True))
+        .otherwise(F.coalesce(is_private_address(host), named))
     )
 
 
+def is_private_host(url: Column, resolved_private: Column | None = None) -> Column:
+    return is_private_name(hostname(url), resolved_private)
+
+
 def is_subdomain(host: Column, base: Column) -> Column:
     return (host != base) & host.endswith(F.concat(F.lit("."), base))
 
 
-def classify_link(dst: Column, base_host: Column) -> Column:
-    host, base = hostname(dst), F.lower(base_host)
+def host_class(host: Column, base: Column) -> Column:
     return (
         F.when((host == "") | (host == base), F.lit("internal"))
         .when(is_subdomain(host, base), F.lit("subdomain"))
@@ -291,9 +300,16 @@ def classify_link(dst: Column, base_host: Column) -> Column:
     )
 
 
+def classify_link(dst: Column, base_host: Column) -> Column:
+    return host_class(hostname(dst), F.lower(base_host))
+
+
+def scope_classes(subdomains: bool = False, external: bool = False) -> list[str]:
+    return ["internal"] + ["subdomain"] * subdomains + ["external"] * external
+
+
 def in_scope(dst: Column, base_host: Column, subdomains: bool = False, external: bool = False) -> Column:
-    kept = ["internal"] + ["subdomain"] * subdomains + ["external"] * external
-    return classify_link(dst, base_host).isin(kept)
+    return classify_link(dst, base_host).isin(scope_classes(subdomains, external))
 
 
 def is_child_path(dst: Column, current: Column) -> Column:

@@ -34,22 +34,26 @@ def expand_links(pages: DataFrame, base_host: str, options: CrawlOptions = Crawl
     hosts among external links, keep child paths unless the whole domain is on.
     Internal links come first, then subdomains, then external ones.
     """
+    dst, src, host = F.col("dst_url"), F.col("url"), F.col("dst_host")
     found = pages.select(
         "url", F.posexplode(H.page_links(F.col("html"), F.col("url"))).alias("pos", "dst_url")
     )
-    dst, src = F.col("dst_url"), F.col("url")
-    scoped = found.where(
-        U.in_scope(dst, F.lit(base_host), options.allow_subdomains, options.allow_external)
-    ).withColumn("link_class", U.classify_link(dst, U.hostname(src)))
-    safe = scoped.where((F.col("link_class") != "external") | ~U.is_private_host(dst))
+    # Host and keys once per link; the filters below only compare them.
+    parts = U.compute_once(
+        found, dst_host=U.hostname(dst), src_host=U.hostname(src),
+        src=U.normalize_url(src, options.ignore_query), dst=U.normalize_url(dst, options.ignore_query),
+    )
+    wanted = U.scope_classes(options.allow_subdomains, options.allow_external)
+    scoped = parts.where(U.host_class(host, F.lit(base_host.lower())).isin(wanted)).withColumn(
+        "link_class", U.host_class(host, F.col("src_host"))
+    )
+    safe = scoped
+    if options.allow_external:
+        safe = safe.where((F.col("link_class") != "external") | ~U.is_private_name(host))
     if not options.entire_domain:
         safe = safe.where(U.is_child_path(dst, src))
     rank = F.when(F.col("link_class") == "internal", 0).when(F.col("link_class") == "subdomain", 1).otherwise(2)
-    return safe.select(
-        U.normalize_url(src, options.ignore_query).alias("src"),
-        U.normalize_url(dst, options.ignore_query).alias("dst"),
-        "dst_url", "link_class", rank.alias("class_rank"), "pos",
-    )
+    return safe.select("src", "dst", "dst_url", "link_class", rank.alias("class_rank"), "pos")
 
 
 def passes_filters(url: Column, options: CrawlOptions) -> Column:

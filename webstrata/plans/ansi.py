@@ -97,16 +97,12 @@ def decode(text):
     return text
 
 
-def drop_comments(markup):
-    return f"regexp_replace({markup}, '(?s)<!--.*?-->', '<!---->', 'g')"
-
-
-def drop_elements(markup, names):
-    return f"regexp_replace({markup}, {q(H.element_pattern(names))}, '<>', 'g')"
+def drop_elements(markup, names, comments=False):
+    return f"regexp_replace({markup}, {q(H.element_pattern(names, comments))}, '<>', 'g')"
 
 
 def live(markup):
-    return drop_elements(drop_comments(markup), ["script", "style"])
+    return drop_elements(markup, ["script", "style"], comments=True)
 
 
 def attribute(tag, name):

@@ -152,7 +152,7 @@ def h7_all_metadata(t):
     )
 
 
-_body = A.plain_text(A.drop_elements(A.drop_comments("html"), H.NON_CONTENT))
+_body = A.plain_text(A.drop_elements("html", H.NON_CONTENT, comments=True))
 
 
 def structural_sql(cap=10000):
@@ -203,7 +203,7 @@ def h9_markdown(t):
     return t.sql(BOTH_PAGES).select("page_id", H.html_to_markdown(F.col("html")).alias("markdown"))
 
 
-_no_nav = A.drop_elements(A.drop_comments("html"), ["header", "nav", "aside", "footer"])
+_no_nav = A.drop_elements(A.drop_elements("html", [], comments=True), ["header", "nav", "aside", "footer"])
 
 
 @query("h10_filter_sections", f"""WITH p AS ({BOTH_PAGES}),
