@@ -159,13 +159,14 @@ def greedy_scan(
         scanned = base.groupBy(key).applyInPandas(lambda pdf: scan(pdf, np.nan), out_schema)
     else:
         # Each slice's exits. A chain enters a slice at the first request at or
-        # after (last admitted + delay), which is within one delay of its start
-        # or its first request: one row per such request is enough.
+        # after (last admitted + delay). That is within one delay of the first
+        # request of the slice or the next request after it, so only these few
+        # entries are listed.
         def exits(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values([seconds, order], kind="stable")
             times = pdf[seconds].to_numpy(dtype=float)
             gap = float(pdf[delay].iloc[0])
-            starts = np.unique(times[: max(1, int(np.searchsorted(times, times[0] + gap, side="right")))])
+            starts = np.unique(times[: int(np.searchsorted(times, times[0] + gap, side="right")) + 1])
             nxt = np.searchsorted(times - gap, times, side="left")
             nxt = np.maximum(nxt, np.arange(len(times)) + 1)
             last = times.copy()
@@ -198,10 +199,11 @@ def greedy_scan(
 
         entries = edge.groupBy(key).applyInPandas(chain, f"`{key}` {key_type}, `{ordered.SLICE}` int, entry double")
         joined = base.join(entries, [key, ordered.SLICE])
+        columns = [*base.columns, "last_admitted", "admitted"]
 
         def rescan(pdf: pd.DataFrame) -> pd.DataFrame:
             done = scan(pdf.drop(columns="entry"), float(pdf["entry"].iloc[0]))
-            return done[[*base.columns, "last_admitted", "admitted"]]
+            return done[columns]
 
         scanned = joined.groupBy(key, ordered.SLICE).applyInPandas(rescan, out_schema)
     return ordered.unsliced(scanned).withColumn(

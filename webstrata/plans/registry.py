@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webstrata.session import ship_package
 from webstrata.sources.tables import Tables
 
 BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -37,6 +38,7 @@ def runnable(name: str) -> Callable[[SparkSession, str], DataFrame]:
     build = BUILDERS[name]
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
         return build(Tables(spark, folder))
 
     run.__name__ = name

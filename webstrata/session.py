@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +36,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python tasks, once per application.
+
+    The same as ``--py-files``, for sessions that were started without it.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    source = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="webstrata-")) / "webstrata.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(source.rglob("*.py")):
+            out.write(file, file.relative_to(source.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
