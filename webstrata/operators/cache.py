@@ -88,10 +88,10 @@ def freshness_history(
     changed = F.when(F.col("prev.content_hash") != F.col("content_hash"), 1).otherwise(0)
     counted = ordered.running_sum(before, [key], order, changed, "change_count")
     counted = ordered.running_sum(counted, [key], order, F.lit(1), "fetch_count")
-    firsts = hashed.groupBy(key).agg(F.min(order[0]).alias("first_fetched"))
-    return ordered.unsliced(counted).join(firsts, key).withColumn(
-        "has_prior", F.col("prev").isNotNull()
-    ).drop("prev")
+    # The first version marks itself and is carried along: no join back on the key.
+    marked = counted.withColumn("__first", F.when(F.col("prev").isNull(), F.col(order[0])))
+    carried = ordered.carry_last(marked, [key], order, "__first", "first_fetched", include_current=True)
+    return ordered.unsliced(carried).withColumn("has_prior", F.col("prev").isNotNull()).drop("prev", "__first")
 
 
 def adaptive_ttl(history: DataFrame, base_ttl: Column | None = None) -> DataFrame:

@@ -108,19 +108,15 @@ def threshold_alerts(samples: DataFrame, label: str, us: str, order: str, breach
 
     A breach starts at its first breaching sample and ends with the first good one.
     """
-    flagged = samples.withColumn("__bad", breach)
-    sliced = ordered.with_slices(flagged, us)
-    runs = ordered.unsliced(ordered.running_sum(
-        sliced, [label], [us, order], F.when(F.col("__bad"), 0).otherwise(1), "__run"
-    ))
-    bad = runs.where("__bad")
-    spans = bad.groupBy(label, "__run").agg(F.min(us).alias("started_us"))
-    late = bad.join(spans, [label, "__run"]).withColumn(
-        "__held", F.col(us) - F.col("started_us") >= hold_seconds * 1_000_000
-    )
-    return late.groupBy(label, "__run", "started_us").agg(
-        F.min(F.when(F.col("__held"), F.col(us))).alias("fired_us"), F.count("*").alias("samples")
-    ).where("fired_us IS NOT NULL").drop("__run")
+    flagged = ordered.with_slices(samples.withColumn("__bad", breach), us)
+    before = ordered.previous(flagged, [label], [us, order], ["__bad"])
+    starts = F.col("__bad") & ~F.coalesce("prev.__bad", F.lit(False))
+    marked = before.withColumn("__start", F.when(starts, F.struct(us, order)))
+    runs = ordered.unsliced(ordered.carry_last(marked, [label], [us, order], "__start", "__run", True))
+    held = F.col(us) - F.col(f"__run.{us}") >= hold_seconds * 1_000_000
+    return runs.where("__bad").groupBy(label, "__run").agg(
+        F.min(F.when(held, F.col(us))).alias("fired_us"), F.count("*").alias("samples")
+    ).where("fired_us IS NOT NULL").select(label, F.col(f"__run.{us}").alias("started_us"), "fired_us", "samples")
 
 
 def mean_latency(events: DataFrame, label: str, us: str, value: str, minutes: int = 60) -> DataFrame:

@@ -434,7 +434,7 @@ def p3_robots_check(t):
     return R.robots_check(t.sql(VISITS), t.sql(ROBOTS)).select("page_id", "url", "rule", "allowed")
 
 
-REQUESTS = """SELECT event_id AS request_id, 'host' || (user_id % 3) AS domain, event_id * 7 % 5 + event_id * 0.75 AS seconds, 2.0 + user_id % 3 AS crawl_delay FROM {events}"""
+REQUESTS = """SELECT event_id AS request_id, 'host' || (user_id % 3) AS domain, event_id * 7 % 5 + event_id * 0.75 AS seconds, 20.0 + 10.0 * (user_id % 3) AS crawl_delay FROM {events}"""
 
 
 @query("p4_politeness_audit", f"""WITH RECURSIVE r AS ({REQUESTS}),

@@ -22,11 +22,16 @@ class Tables:
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return spread(df, TABLE_KEYS[name]) if name in TABLE_KEYS else df
 
+    def plain(self, name: str) -> DataFrame:
+        """The table as stored, for work that does not read its text."""
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
     def sql(self, text: str) -> DataFrame:
         """Run SQL whose ``{name}`` markers stand for tables of the folder."""
+        heavy = re.search(r"\b(?:html|text)\b", text) is not None
         for name in set(re.findall(r"\{([a-z]+)\}", text)):
-            view = f"webstrata_{name}_{abs(hash(self.folder)) % 10**9}"
-            getattr(self, name).createOrReplaceTempView(view)
+            view = f"webstrata_{name}_{abs(hash((self.folder, heavy))) % 10**9}"
+            (getattr(self, name) if heavy else self.plain(name)).createOrReplaceTempView(view)
             text = text.replace("{" + name + "}", view)
         return self.spark.sql(text)
 
