@@ -127,7 +127,8 @@ def crawl(
         options = CrawlOptions(**{**options.__dict__, "max_depth": 0})
     if options.include or options.exclude:
         seeds = seeds.where(passes_filters(F.col("node"), options))
-    return traverse(seeds, edges, options, keyed.select("node").distinct())
+    # Every level asks which targets are stored: keep the keys, not the pages.
+    return traverse(seeds, edges, options, cut_lineage(keyed.select("node").distinct()))
 
 
 def seed_frontier(

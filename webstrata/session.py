@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pathlib
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +31,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back."""
-    spark = df.sparkSession
-    root = checkpoint_root(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table below the checkpoint folder and read it back.
+
+    Like a reliable checkpoint it survives lost executors and ends the plan;
+    being a parquet table it also tells the optimizer its size, so later joins
+    with a small result are broadcast on a measured bound.
+    """
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/webstrata-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _SHIPPED: set[str] = set()
