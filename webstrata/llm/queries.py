@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import simhash
+from webstrata.llm import chat, langid, mixing, packing, quality, simhash, toxicity
 from webstrata.llm.shared import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,88 @@ def register(name: str, oracle: str | None = None):
 @register("op1_simhash_bktree")
 def op1(read):
     return simhash.near_duplicates(read("documents"))
+
+
+@register("op2_bin_slack_packing")
+def op2(read):
+    return packing.pack(read("documents"))
+
+
+@register("op5_golden_mixing", """
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+    md5('0:' || coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s AS (
+  SELECT source, sum(size)::HUGEINT AS ss,
+    1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w,
+    row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
+t AS (SELECT sum(ss)::HUGEINT AS total, count(*) AS k FROM s),
+b AS (SELECT *, greatest(1, ceil(total / greatest(131072, 1024 * k)))::HUGEINT AS block FROM t),
+o AS (
+  SELECT *, coalesce(sum(3 * ss) OVER (a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS below,
+    sum(w) OVER (a ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS above
+  FROM s WINDOW a AS (ORDER BY ss / w, i)),
+level AS (
+  SELECT below, above FROM o, t WHERE (total - below) * w <= 3 * ss * above ORDER BY ss / w, i LIMIT 1),
+target AS (
+  SELECT s.*, CASE WHEN w * (total - below) > 3 * ss * above THEN 3 * ss * above ELSE w * (total - below) END AS num,
+    above, total FROM s, t, level),
+span AS (
+  SELECT *, sum(num) OVER (ORDER BY i)::HUGEINT AS upto FROM target),
+bound AS (
+  SELECT *, (upto - num) * 4294967296 // greatest(total * above, 1) AS low,
+    upto * 4294967296 // greatest(total * above, 1) AS high FROM span),
+slot AS (
+  SELECT (x * 2654435769) % 4294967296 AS u
+  FROM b, range(0, (SELECT ceil(total / block) FROM b)::BIGINT) r(x)),
+filled AS (
+  SELECT bound.i, least(count(slot.u) * (SELECT block FROM b), 3 * any_value(ss)) AS words
+  FROM bound LEFT JOIN slot ON u >= low AND u < high GROUP BY bound.i),
+laid AS (
+  SELECT d.*, ss, num, above, words,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM d JOIN bound ON d.source IS NOT DISTINCT FROM bound.source JOIN filled USING (i))
+SELECT doc_id, size, ss::BIGINT AS source_size, num::DOUBLE / above::DOUBLE AS target,
+  CASE WHEN size = 0 THEN 0 ELSE
+    (words // ss) * size + greatest(0, least(pos + size, words % ss) - pos) END::BIGINT AS taken
+FROM laid
+""")
+def op5(read):
+    return mixing.taken(read("documents"))
+
+
+@register("op6_subword_toxicity")
+def op6(read):
+    return toxicity.assess(read("documents"), read("labels"))
+
+
+@register("op7_crf_quality")
+def op7(read):
+    return quality.assess(read("documents"), read("labels"))
+
+
+@register("op8_snapshot_collapse_chat", """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos FROM t),
+c AS (
+  SELECT conv_id, count(*) AS turns, list(coalesce(role, '\x00') || chr(1) || coalesce(text, '\x00') ORDER BY pos) AS s
+  FROM n GROUP BY conv_id),
+kept AS (
+  SELECT conv_id, turns FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c AS d WHERE d.s[1] = c.s[1] AND d.turns > c.turns AND d.s[1:c.turns] = c.s)
+  QUALIFY row_number() OVER (PARTITION BY s ORDER BY conv_id NULLS LAST) = 1)
+SELECT n.conv_id, ((pos - 1) // 1024)::INTEGER AS part, turns,
+  string_agg('<|im_start|>' || replace(coalesce(role, 'unknown'), '<|im_', '<| im_') || chr(10)
+    || replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+FROM n JOIN kept ON n.conv_id IS NOT DISTINCT FROM kept.conv_id GROUP BY n.conv_id, part, turns
+""")
+def op8(read):
+    return chat.render(read("conversations"))
+
+
+@register("op10_cross_parsing_language")
+def op10(read):
+    return langid.identify(read("documents"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from webstrata.session import ship_package
 
-__all__ = ["crc_mod", "fresh", "pick", "ship_package"]
+__all__ = ["crc_mod", "fresh", "labelled_sample", "pick", "python_crc_mod", "ship_package"]
 
 
 def fresh(name: str) -> str:
@@ -33,3 +33,30 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
 
 def python_crc_mod(doc_id: int, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus
+
+
+def labelled_sample(
+    documents: DataFrame, labels: DataFrame, modulus: int, held_out: int, sample: int, sample_chars: int,
+    id_col: str, text_col: str, label_col: str,
+) -> list[tuple[int, bytes, float]]:
+    """(id, UTF-8 text, label) of labelled documents that are not held out.
+
+    The first ``sample`` labelled ids by md5 of the id; of those, documents of at
+    most ``sample_chars`` characters. NULL ids, labels and texts teach nothing;
+    of repeated ids the least label and text count. The result is at most
+    ``sample * sample_chars`` characters whatever the corpus size.
+    """
+    known = pick(labels, id=id_col, label=label_col).where(
+        F.col("label").isNotNull() & (crc_mod(F.col("id"), modulus) != held_out)
+    )
+    chosen = known.orderBy(F.md5(F.col("id").cast("string")), "id", "label").limit(sample).collect()
+    wanted: dict[int, float] = {}
+    for row in chosen:
+        wanted.setdefault(row["id"], row["label"])
+    ids = documents.sparkSession.createDataFrame([(i,) for i in wanted], known.select("id").schema)
+    texts = pick(documents, id=id_col, text=text_col).where(F.length("text") <= sample_chars)
+    found = (
+        texts.join(F.broadcast(ids), "id")  # at most ``sample`` ids
+        .groupBy("id").agg(F.min("text").cast("binary").alias("text")).collect()
+    )
+    return sorted((r["id"], bytes(r["text"]), wanted[r["id"]]) for r in found)
