@@ -15,7 +15,6 @@ with numpy on the driver, on at most ``sample`` labelled documents of at most
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,15 +30,20 @@ from webstrata.llm.shared import crc_mod, labelled_sample
 MODULUS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 SAMPLE, SAMPLE_CHARS = 6000, 8_000
-GRAMS, BUCKETS, WIDTH = (3, 4, 5), 1 << 16, 8
-#: n-grams of fewer learning documents have no vector of their own.
-LEAST_DOCS = 4
-WINDOW, STRIDE = 16, 8
+GRAMS, BUCKET_BITS, WIDTH = (3, 4, 5), 18, 8
+BUCKETS = 1 << BUCKET_BITS
+#: n-grams whose documents lean less to a label have no vector of their own.
+LEAST_LEAN = 15.0
+WINDOW, STRIDE = 8, 4
+#: Share of a word's n-gram sum that a misspelling is taken to keep.
+MISSPELT_SHARE = 0.35
 AVERAGE_STEPS, WINDOW_STEPS, RATE, DECAY = 40, 160, 0.05, 2e-5
-CACHE_WORDS = 200_000
+#: Words whose values a task remembers, and documents that it takes at once.
+CACHE_WORDS, BATCH = 300_000, 256
 #: Longer words are split, so that one word's n-grams stay few.
 WORD_CHARS = 40
 
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W_]{1,%d}" % WORD_CHARS)
 
 
@@ -47,11 +51,43 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def grams_of(word: str) -> list[int]:
-    """Buckets of a word's n-grams and of the word."""
-    marked = f"<{word}>"
-    pieces = {marked[i:i + n] for n in GRAMS for i in range(len(marked) - n + 1)} | {marked}
-    return sorted({zlib.crc32(p.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for p in pieces})
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, index of its word) of all n-grams of the marked words, and of the words.
+
+    Hashes are polynomials of code points, computed for all words at once.
+    """
+    marked = [f"<{w}>" for w in words]
+    size = np.array([len(m) for m in marked], np.int64)
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
+    stop = np.cumsum(size)
+    left = stop[owner] - np.arange(len(codes))  # characters of the word from here on
+    hashes, owners = [], []
+    for n in GRAMS:
+        if len(codes) >= n:
+            value = np.full(len(codes) - n + 1, n, np.uint64)
+            for i in range(n):
+                value = value * _PRIME + codes[i:len(codes) - n + 1 + i]
+            whole = left[:len(value)] >= n
+            hashes.append(value[whole])
+            owners.append(owner[:len(value)][whole])
+    if len(words):
+        place = np.arange(len(codes)) - (stop - size)[owner]
+        power = np.cumprod(np.full(WORD_CHARS + 3, _PRIME, np.uint64))
+        hashes.append(np.add.reduceat(codes * power[place], stop - size))
+        owners.append(np.arange(len(words), dtype=np.int32))
+    if not hashes:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    value = np.concatenate(hashes)
+    value = (value ^ (value >> np.uint64(31))) * _PRIME
+    return (value >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.concatenate(owners)
+
+
+def word_values(words: list[str], values: np.ndarray) -> np.ndarray:
+    """Mean value of each word's buckets."""
+    bucket, owner = grams_of(words)
+    count = np.bincount(owner, minlength=len(words))
+    return np.bincount(owner, values[bucket], len(words)) / np.maximum(count, 1)
 
 
 def windows(count: int) -> np.ndarray:
@@ -72,31 +108,36 @@ class Model:
     vectors: np.ndarray | None = None
     softmax: np.ndarray | None = None
 
-    def word(self, word: str) -> float:
-        return float(self.values[grams_of(word)].mean())
-
-    def score(self, text: str | None, cache: dict[str, float]) -> float:
-        words = words_of(text)
+    def score(self, words: list[str], known: dict[str, float]) -> float:
         if self.scale == 0.0 or not words:
             return self.prior
-        found = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
+        found = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
         sums = np.r_[0.0, np.cumsum(found)]
         start = windows(len(words))
         end = np.minimum(start + WINDOW, len(words))
         best = ((sums[end] - sums[start]) / (end - start)).max() + self.bias
-        return float(1 / (1 + np.exp(-(self.scale * best + self.shift))))
-
-    def cache(self) -> dict[str, float]:
-        value = self.word
-
-        class Words(dict):
-            def __missing__(self, word: str) -> float:
-                if len(self) >= CACHE_WORDS:
-                    self.clear()
-                out = self[word] = value(word)
-                return out
-
-        return Words()
+        return float(1 / (1 + np.exp(-np.clip(self.scale * best + self.shift, -30, 30))))
+
+    def scores(self, texts: list[str | None], known: dict[str, float]) -> list[float]:
+        """Scores; ``known`` keeps word values from call to call."""
+        out: list[float] = []
+        for low in range(0, len(texts), BATCH):
+            bags = [words_of(t) for t in texts[low:low + BATCH]]
+            own = set().union(*bags)
+            if len(known) + len(own) > CACHE_WORDS:
+                known.clear()
+            new = list(own.difference(known))
+            known.update(zip(new, word_values(new, self.values).tolist(), strict=True))
+            out += [self.score(bag, known) for bag in bags]
+        return out
+
+
+def lean(toxic: np.ndarray, having: np.ndarray, prior: float) -> np.ndarray:
+    """How much the documents of a bucket lean to a label: twice the log
+    likelihood ratio between their own share of toxic ones and everyone's."""
+    share = np.clip(toxic / np.maximum(having, 1), 1e-12, 1 - 1e-12)
+    gain = share * np.log(share / prior) + (1 - share) * np.log((1 - share) / (1 - prior))
+    return 2 * having * gain
 
 
 def logistic(x: np.ndarray, y: np.ndarray, pull: float = 0.1) -> tuple[float, float]:
@@ -127,20 +168,24 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     counts = np.array([len(b) for b in bags], np.int64)
     if not counts.sum() or prior in (0.0, 1.0):
         return Model(np.zeros(BUCKETS), scale=0.0, prior=prior)
-    grams = [np.array(grams_of(w), np.int32) for w in index]
-    size = np.array([len(g) for g in grams])
-    flat = np.concatenate(grams)
-    of_word = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    begin = np.r_[0, np.cumsum(size)[:-1]]
-    # Buckets of few documents learn nothing, or they would learn documents by heart.
-    docs_with = np.zeros(BUCKETS, np.int64)
-    for bag in bags:
-        if len(bag):
-            docs_with[np.unique(np.concatenate([grams[i] for i in np.unique(bag)]))] += 1
-    learns = docs_with >= LEAST_DOCS
-
+    flat, of_word = grams_of(list(index))
+    size = np.bincount(of_word, minlength=len(index))
     tokens = np.concatenate(bags)
-    del index, grams, bags
+    # Only buckets whose documents lean to one label learn; the others would
+    # learn the documents by heart and stay zero.
+    order = np.argsort(of_word, kind="stable")
+    flat, of_word = flat[order], of_word[order]
+    begin = np.r_[0, np.cumsum(size)]
+    having, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for bag, label in zip(bags, wanted, strict=True):
+        if len(bag):
+            own = np.unique(np.concatenate([flat[begin[i]:begin[i + 1]] for i in np.unique(bag)]))
+            having[own] += 1
+            toxic[own] += label
+    learns = lean(toxic, having, prior) >= LEAST_LEAN
+    kept, learners = learns[flat], np.flatnonzero(learns)
+    flat, of_word = np.searchsorted(learners, flat[kept]), of_word[kept]
+    del index, bags, order
     offset = np.r_[0, np.cumsum(counts)[:-1]]
     full = np.flatnonzero(counts > 0)
     starts = [windows(counts[i]) + offset[i] for i in full]
@@ -153,7 +198,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Model:
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
 
     random = np.random.default_rng(seed)
-    vectors = (random.normal(0, 0.1, (BUCKETS, WIDTH)) * learns[:, None])
+    vectors = random.normal(0, 0.1, (len(learners), WIDTH))
     softmax, bias = random.normal(0, 0.5, (2, WIDTH)), np.zeros(2)
     moments: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     step = 0
@@ -168,7 +213,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Model:
         return vectors @ (softmax[1] - softmax[0])
 
     def word_means(per_bucket: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(per_bucket[flat], begin) / size
+        return np.bincount(of_word, per_bucket[flat], len(size)) / size
 
     for turn in range(AVERAGE_STEPS + WINDOW_STEPS):
         step += 1
@@ -188,18 +233,24 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Model:
         np.add.at(lines, high, -error / (high - low))
         of_token = np.cumsum(lines)[:-1]
         g_word = np.bincount(tokens, of_token, len(size)) / size
-        g_bucket = np.bincount(flat, g_word[of_word], BUCKETS) * learns
+        g_bucket = np.bincount(flat, g_word[of_word], len(learners))
         difference = softmax[1] - softmax[0]
         g_softmax = g_bucket @ vectors
         adam("vectors", vectors, np.outer(g_bucket, difference) + DECAY * vectors)
         adam("softmax", softmax, np.stack([-g_softmax, g_softmax]) + DECAY * softmax)
         adam("bias", bias, np.array([-error.sum(), error.sum()]))
-    model = Model(values(), float(bias[1] - bias[0]), 1.0, 0.0, prior, vectors, softmax)
-    per_word = word_means(model.values)
+    every = np.zeros(BUCKETS)
+    every[learners] = values()
+    model = Model(every, float(bias[1] - bias[0]), 1.0, 0.0, prior, vectors, softmax)
+    per_word = word_means(values())
     sums = np.r_[0.0, np.cumsum(per_word[tokens])]
     best = np.full(len(full), -np.inf)
     np.maximum.at(best, doc_of, (sums[end] - sums[start]) / (end - start))
-    model.scale, model.shift = logistic(best + model.bias, y)
+    # A misspelt word keeps part of its n-grams: toxic documents count once more, weakened.
+    weak = best[y == 1] * MISSPELT_SHARE
+    model.scale, model.shift = logistic(
+        np.r_[best, weak] + model.bias, np.r_[y, np.ones(len(weak))]
+    )
     return model
 
 
@@ -211,9 +262,9 @@ def scorer(spark, model: Model):
 
     @pandas_udf(DoubleType())
     def toxicity_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache = shared.value.cache()
+        known: dict[str, float] = {}
         for texts in batches:
-            yield pd.Series([shared.value.score(t, cache) for t in texts], dtype="float64")
+            yield pd.Series(shared.value.scores(texts.tolist(), known), dtype="float64")
 
     return lambda text: toxicity_score(text)
 
