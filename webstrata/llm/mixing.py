@@ -167,7 +167,7 @@ def mix(
     )
     owned = rows.join(table, rows["source"].eqNullSafe(table["name"])).drop("name")
     plan = schedule(spark, number, parts)
-    digits = max(1, min(6, math.ceil(math.log(max(count, 1) / 4096 + 1, 16))))
+    digits = max(1, min(6, math.ceil(math.log(max(count, 1) / 1024 + 1, 16))))
     laid = stream_positions(owned.where("size > 0 AND words > 0"), seed, digits)
     turns = laid.withColumn("turn", F.explode(F.expr("sequence(0L, (words - 1) div source_size)")))
     begin = F.col("turn") * F.col("source_size") + F.col("at")
