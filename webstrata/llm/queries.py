@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import chat, langid, mixing, packing, quality, simhash, toxicity
+from webstrata.llm import chat, langid, mixing, packing, quality, simhash, topk, toxicity
 from webstrata.llm.shared import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,6 +115,21 @@ def op8(read):
     return chat.render(read("conversations"))
 
 
+@register("op9_cover_tree_topk", """
+WITH v AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id
+    ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id)::INTEGER AS rank,
+  c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+QUALIFY rank <= 5
+""")
+def op9(read):
+    return topk.top_k(read("embeddings"))
+
+
 @register("op10_cross_parsing_language")
 def op10(read):
     return langid.identify(read("documents"))
