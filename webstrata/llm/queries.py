@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import chat, langid, mixing, packing, quality, simhash, topk, toxicity
+from webstrata.llm import chat, langid, media, mixing, packing, quality, simhash, topk, toxicity, warc
 from webstrata.llm.shared import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,27 @@ def op2(read):
     return packing.pack(read("documents"))
 
 
+@register("op3_image_archive")
+def op3(read):
+    return media.round_trip(read("documents"))
+
+
+@register("op4_sharded_warc", """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h,
+    min(page_id) OVER (PARTITION BY coalesce(html, '')) AS head FROM pages)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)
+    FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> head THEN head END AS refers_to
+FROM p
+""")
+def op4(read):
+    return warc.round_trip(read("pages"))
+
+
 @register("op5_golden_mixing", """
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,

@@ -272,14 +272,21 @@ def keep_one(
     the least by a hash of the row; a group without ids keeps one row as well.
     """
     names = documents.columns
-    code, tie, order = fresh("code"), fresh("tie"), fresh("order")
+    code, tie, row = fresh("code"), fresh("tie"), fresh("row")
     whole = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])))
     marked = cut_lineage(
         documents.withColumn(code, fingerprint_column(F.col(f"`{text_col}`"))).withColumn(tie, whole)
-    ).withColumn(order, F.struct(F.coalesce(F.col(f"`{id_col}`"), F.lit(2**63 - 1)), F.col(tie)))
-    least = marked.groupBy(F.col(code).alias("code")).agg(F.min(order).alias("least"))
-    groups = near_groups(marked.select(F.col(code).alias("code")), radius)
-    heads = groups.join(least, "code").groupBy("label").agg(F.min("least").alias("least"))
-    chosen = heads.select(F.col("least").alias(f"{order}_h"))
-    kept = marked.join(chosen, marked[order] == chosen[f"{order}_h"], "left_semi")
-    return kept.dropDuplicates([order]).select(*[F.col(f"`{c}`") for c in names])
+        .withColumn(row, F.monotonically_increasing_id())
+    )
+    narrow = marked.select(
+        F.col(code).alias("code"), F.col(row).alias("row"),
+        F.struct(F.coalesce(F.col(f"`{id_col}`"), F.lit(2**63 - 1)), F.col(tie), F.col(row)).alias("place"),
+    )
+    groups = cut_lineage(near_groups(narrow.select("code"), radius))
+    least = narrow.groupBy("code").agg(F.min_by("row", "place").alias("row"), F.min("place").alias("place"))
+    heads = groups.join(least, "code").groupBy("label").agg(F.min_by("row", "place").alias("head"))
+    gone = (
+        narrow.select("code", "row").join(groups.join(heads, "label").select("code", "head"), "code")
+        .where("row <> head").select(F.col("row").alias(row))
+    )
+    return marked.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in names])
