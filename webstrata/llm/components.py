@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, label)`` for every node with an edge; label: least node reachable.
+    """``(node, label)`` for every node but the least of its component, the label.
 
     ``edges`` has comparable columns ``a`` and ``b``; self-loops, repeated edges
     and either direction are accepted, rows with a NULL end are no edge, and an

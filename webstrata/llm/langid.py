@@ -116,11 +116,15 @@ def fit(samples: dict[str, list[str]]) -> Model:
     for text in texts.values():
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         table = automaton(lookup[np.minimum(points, 0xFFFF)].tolist(), width).astype(np.int64)
-        # A symbol that does not go on begins a phrase: the step that it makes from the start.
-        start = np.where(table[0] >= 0, table[0], 0)
+        # A symbol that does not go on begins a phrase: the step that it makes
+        # from the start, or a phrase of its own where it is unknown. The last
+        # row stands for that, and for the beginning: whatever follows is new.
+        new = len(table)
+        table = np.concatenate([table, np.full((1, width), -1)])
+        start = np.where(table[0] >= 0, table[0], new)
         step = np.where(table >= 0, (table + base) * width, -1 - (start + base)[None, :] * width)
         tables.append(step.ravel())
-        roots.append(base * width)
+        roots.append((base + new) * width)
         bits.append(math.log2(max(len(text), 2)))
         base += len(table)
     flat = np.concatenate(tables) if tables else np.zeros(0, np.int64)
@@ -143,7 +147,7 @@ def phrases(model: Model, texts: list[str]) -> np.ndarray:
             grid[:length[column], column] = held[at][1]
         running = np.searchsorted(-length, -np.arange(len(grid)), "left")
         state = np.repeat(model.roots[:, None], len(order), axis=1).astype(model.table.dtype)
-        found = np.ones(state.shape, np.int32)  # the phrase at the start
+        found = np.zeros(state.shape, np.int32)
         for t, n in enumerate(running):
             step = model.table[state[:, :n] + grid[t, :n]]
             new = step < 0

@@ -34,6 +34,8 @@ from webstrata.session import cut_lineage
 K, SCALE = 5, 256
 #: Vectors of one tree, points of one leaf, and how much a level's radius shrinks.
 PART, LEAF, SHRINK = 4096, 128, 1.4
+#: Queries of one leaf: small, since the worst of them decides what is pruned.
+QUERY_LEAF = 8
 #: Sampled vectors that pivots are chosen from, and pivots at most.
 SAMPLE, PIVOTS = 4096, 1024
 #: Components beyond this do not fit the whole-number scores.
@@ -362,10 +364,10 @@ def top_k(
     )
     dealt = held.withColumn("part", F.pmod(F.xxhash64("id"), parts))
     trees = "cell long, part long, n long, tree binary"
-    plant = _plant(width, leaf)
-    data = cut_lineage(dealt.groupBy("cell", "part").applyInPandas(plant, trees))
+    data = cut_lineage(dealt.groupBy("cell", "part").applyInPandas(_plant(width, leaf), trees))
     asked = cut_lineage(
-        dealt.where("is_query").dropDuplicates(["id"]).groupBy("cell", "part").applyInPandas(plant, trees)
+        dealt.where("is_query").dropDuplicates(["id"]).groupBy("cell", "part")
+        .applyInPandas(_plant(width, min(leaf, QUERY_LEAF)), trees)
     ).select("cell", "part", F.col("tree").alias("queries"))
     planted = data.select("cell", "part", F.col("tree").alias("data"))
     first = cut_lineage(asked.join(planted, ["cell", "part"]).mapInArrow(
