@@ -31,7 +31,7 @@ def decide(max_age: Column, min_age: Column, age: Column, has_data: Column) -> C
 
 
 def cache_decision(
-    requests: DataFrame, entries: DataFrame, rows_per_slice: int = ordered.ROWS_PER_SLICE
+    requests: DataFrame, entries: DataFrame, slices: int | None = None
 ) -> DataFrame:
     """Decision per request from the latest entry stored at or before it.
 
@@ -51,7 +51,7 @@ def cache_decision(
         ),
         allowMissingColumns=True,
     )
-    sliced = ordered.with_slices(line, "at", rows_per_slice)
+    sliced = ordered.with_slices(line, ["key"], ["at", "kind"], slices)
     carried = ordered.carry_last(sliced, ["key"], ["at", "kind"], "entry", "latest", include_current=True)
     live = is_live(F.col("at"), F.col("latest.cached_ms"), F.col("latest.ttl_ms"))
     age = F.when(live, F.col("at") - F.col("latest.cached_ms"))
@@ -79,11 +79,11 @@ def cache_age_ms(entries: DataFrame, now_ms: Column) -> DataFrame:
 
 def freshness_history(
     versions: DataFrame, key: str, order: list[str], text: str,
-    rows_per_slice: int = ordered.ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Adds content_hash, fetch_count, first_fetched (order value), change_count."""
     hashed = versions.withColumn("content_hash", F.sha2(F.col(text), 256))
-    sliced = ordered.with_slices(hashed, order[0], rows_per_slice)
+    sliced = ordered.with_slices(hashed, [key], order, slices)
     before = ordered.previous(sliced, [key], order, ["content_hash", *order[:1]])
     changed = F.when(F.col("prev.content_hash") != F.col("content_hash"), 1).otherwise(0)
     counted = ordered.running_sum(before, [key], order, changed, "change_count")

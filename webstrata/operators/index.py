@@ -87,7 +87,8 @@ def eviction_count(rows: int, max_docs: int) -> int:
 def evict(index: DataFrame, max_docs: int, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
     """(kept, evicted): the lowest scores go, ids decide between equal scores.
 
-    ``id_col`` is a non-negative long. No global sort: see ``kth_smallest_cut``.
+    ``id_col`` is unique and of any type that sorts, such as the unsigned ids
+    of ``upsert_index``. No global sort: see ``kth_smallest_cut``.
     """
     k = eviction_count(index.count(), max_docs)
     gone = ordered.kth_smallest_cut(index, "retention_score", id_col, k)

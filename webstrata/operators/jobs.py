@@ -25,7 +25,7 @@ def parse_limit(text: str) -> tuple[int, int]:
 def rate_limit(events: DataFrame, key: str, us: str, order: str, limit: int, window_seconds: int) -> DataFrame:
     """Adds window_no, allowed and remaining: fixed windows, counted in arrival order."""
     windowed = events.withColumn("window_no", F.floor(F.col(us) / (window_seconds * 1_000_000)).cast("long"))
-    sliced = ordered.with_slices(windowed, us)
+    sliced = ordered.with_slices(windowed, [key, "window_no"], [us, order])
     counted = ordered.running_sum(sliced, [key, "window_no"], [us, order], F.lit(1), "__n")
     return ordered.unsliced(counted).withColumns({
         "allowed": F.col("__n") <= limit, "remaining": F.greatest(F.lit(0), limit - F.col("__n")).cast("long"),
@@ -90,7 +90,7 @@ def counters(events: DataFrame, name: str, seconds: str, order: str, ttl: float)
 
 def sessionize(events: DataFrame, key: str, us: str, order: str, gap_seconds: int) -> DataFrame:
     """Adds session_no: a new session after ``gap_seconds`` without a step."""
-    sliced = ordered.with_slices(events, us)
+    sliced = ordered.with_slices(events, [key], [us, order])
     before = ordered.previous(sliced, [key], [us, order], [us])
     fresh = F.when(F.col(f"prev.{us}").isNull() | (F.col(us) - F.col(f"prev.{us}") >= gap_seconds * 1_000_000), 1).otherwise(0)
     return ordered.unsliced(ordered.running_sum(before, [key], [us, order], fresh, "session_no")).drop("prev")

@@ -235,7 +235,7 @@ def session_transcript(steps: DataFrame, session: str, order: str, content: str)
     The artifact of a session is its sections in this order; it stays as rows,
     so a session of any length is spread over tasks.
     """
-    sliced = ordered.with_slices(steps, order)
+    sliced = ordered.with_slices(steps, [session], [order])
     numbered = ordered.running_sum(sliced, [session], [order], F.lit(1), "step_index")
     ends = ordered.running_sum(numbered, [session], [order], F.length(content), "__end")
     return ordered.unsliced(ends).withColumn("offset", F.col("__end") - F.length(content)).drop("__end")

@@ -108,7 +108,7 @@ def threshold_alerts(samples: DataFrame, label: str, us: str, order: str, breach
 
     A breach starts at its first breaching sample and ends with the first good one.
     """
-    flagged = ordered.with_slices(samples.withColumn("__bad", breach), us)
+    flagged = ordered.with_slices(samples.withColumn("__bad", breach), [label], [us, order])
     before = ordered.previous(flagged, [label], [us, order], ["__bad"])
     starts = F.col("__bad") & ~F.coalesce("prev.__bad", F.lit(False))
     marked = before.withColumn("__start", F.when(starts, F.struct(us, order)))

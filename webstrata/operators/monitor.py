@@ -30,12 +30,12 @@ def unified_diff(old: pd.Series, new: pd.Series) -> pd.Series:
 
 def detect_changes(
     versions: DataFrame, monitor: str, order: str, text: str, with_diff: bool = False,
-    rows_per_slice: int = ordered.ROWS_PER_SLICE,
+    slices: int | None = None,
 ) -> DataFrame:
     """Adds changed, last_result, previous_length, current_length (and diff)."""
     columns = ["__sha", "__len"] + ([text] if with_diff else [])
     keyed = versions.withColumns({"__sha": F.sha2(F.col(text), 256), "__len": F.length(text)})
-    before = ordered.previous(ordered.with_slices(keyed, order, rows_per_slice), [monitor], [order], columns)
+    before = ordered.previous(ordered.with_slices(keyed, [monitor], [order], slices), [monitor], [order], columns)
     changed = F.coalesce(
         (F.col("prev.__len") > 0) & (F.col("prev.__sha") != F.col("__sha")), F.lit(False)
     )

@@ -1,24 +1,26 @@
 """Running values in order within a key, safe for keys of any size.
 
-A window partitioned by key puts each key into one task. Here rows are cut into
-slices along the order column first, every (key, slice) group is scanned on its
-own, and what a slice inherits from earlier slices of its key comes from a
-summary with one row per (key, slice). Slices are cut at quantiles of the whole
-table, so no group exceeds the slice size even when one key owns most rows.
-Tables that fit one slice skip all of this and use a plain window.
+A window partitioned by key puts each key into one task. Here a table is
+range-partitioned by key, order and row number first and written once, so its
+partitions are slices of bounded size that follow each other: a key with most
+rows spans many slices, and so do rows that agree in key and order. Every
+(key, slice) group is scanned on its own, and what a slice inherits from earlier
+slices of its key comes from a summary of one row per group. There is one path
+at every table size; NULL keys are a key like any other and NULL order values
+come first.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 10_000
-SLICE = "__slice"
+from webstrata.session import cut_lineage
+
+SLICE, ROW = "__slice", "__row"
 
 
 def epoch_us(ts: Column) -> Column:
@@ -30,64 +32,54 @@ def epoch_ms(ts: Column) -> Column:
     return F.floor(epoch_us(ts) / 1000).cast("long")
 
 
-def with_slices(df: DataFrame, order: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Adds the slice number; unchanged when one slice is enough.
+def with_slices(df: DataFrame, keys: list[str], order: list[str], slices: int | None = None) -> DataFrame:
+    """Adds the slice and a row number; written below the checkpoint folder.
 
-    ``order`` is a numeric column. The cut points are approximate quantiles,
-    at most ``MAX_SLICES`` numbers whatever the table size, held as two levels
-    so that a row is compared with about 2·√n of them.
+    ``slices`` sets the number of partitions, which otherwise follows the
+    session (``spark.sql.shuffle.partitions`` and adaptive execution). The
+    number changes the layout, never a result.
     """
-    rows = df.count()
-    n = min(MAX_SLICES, math.ceil(rows / rows_per_slice))
-    if n <= 1:
-        return df
-    cuts = sorted(set(
-        df.approxQuantile(order, [i / n for i in range(1, n)], max(1e-4, 0.25 / n))
-    ))
-    if not cuts:
-        return df
-    step = max(1, math.isqrt(len(cuts)))
-    blocks = [cuts[i:i + step] for i in range(0, len(cuts), step)]
-    value = F.col(order).cast("double")
-
-    def array(values: Sequence[float]) -> Column:
-        return F.array(*[F.lit(float(v)) for v in values])
-
-    block = F.size(F.filter(array([b[0] for b in blocks]), lambda c: c <= value))
-    inner = F.element_at(F.array(*[array(b) for b in blocks]), block)
-    number = F.when(block == 0, 0).otherwise(
-        (block - 1) * step + F.size(F.filter(inner, lambda c: c <= value))
+    columns = [*keys, *order, ROW]
+    marked = df.withColumn(ROW, F.monotonically_increasing_id())
+    dealt = marked.repartitionByRange(slices, *columns) if slices else marked.repartitionByRange(*columns)
+    return cut_lineage(dealt.withColumn(SLICE, F.spark_partition_id()))
+
+
+def unsliced(df: DataFrame) -> DataFrame:
+    return df.drop(SLICE, ROW)
+
+
+def join_summary(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
+    """``summary`` beside the rows of its (key, slice); NULL keys match."""
+    on = [*keys, SLICE]
+    renamed = summary.select(
+        *[F.col(f"`{c}`").alias(f"__s_{c}") for c in on],
+        *[F.col(c) for c in summary.columns if c not in on],
     )
-    return df.withColumn(SLICE, number.cast("int"))
+    match = reduce(and_, [df[f"`{c}`"].eqNullSafe(renamed[f"`__s_{c}`"]) for c in on])
+    return df.join(renamed, match, "left").drop(*[f"__s_{c}" for c in on])
 
 
-def is_sliced(df: DataFrame) -> bool:
-    return SLICE in df.columns
+def _local(keys: list[str], order: list[str], end: int):
+    return Window.partitionBy(*keys, SLICE).orderBy(*order, ROW).rowsBetween(Window.unboundedPreceding, end)
 
 
-def _join_summary(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(summary, [*keys, SLICE], "left")
+def _earlier(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def carry_last(
     df: DataFrame, keys: list[str], order: list[str], value: str, out: str, include_current: bool
 ) -> DataFrame:
-    """Last non-null ``value`` up to (or before) each row of its key."""
+    """Last non-null ``value`` up to (or before) each row of its key, over a sliced table."""
     end = Window.currentRow if include_current else -1
-    if not is_sliced(df):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
-    local = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     summary = (
         df.groupBy(*keys, SLICE)
-        .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("__v"))
-        .withColumn("__carry", F.last("__v", ignorenulls=True).over(earlier)).drop("__v")
+        .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order, ROW))).alias("__v"))
+        .withColumn("__carry", F.last("__v", ignorenulls=True).over(_earlier(keys))).drop("__v")
     )
-    scanned = df.withColumn(out, F.last(value, ignorenulls=True).over(local))
-    return _join_summary(scanned, summary, keys).withColumn(
-        out, F.coalesce(out, "__carry")
-    ).drop("__carry")
+    scanned = df.withColumn(out, F.last(value, ignorenulls=True).over(_local(keys, order, end)))
+    return join_summary(scanned, summary, keys).withColumn(out, F.coalesce(out, "__carry")).drop("__carry")
 
 
 def previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str], out: str = "prev") -> DataFrame:
@@ -97,53 +89,44 @@ def previous(df: DataFrame, keys: list[str], order: list[str], columns: list[str
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
-    """Sum of ``value`` from the first row of the key up to this row."""
+    """Sum of ``value`` from the first row of the key up to this row, over a sliced table."""
     valued = df.withColumn("__value", value)
-    if not is_sliced(df):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return valued.withColumn(out, F.sum("__value").over(w)).drop("__value")
-    local = Window.partitionBy(*keys, SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     summary = (
         valued.groupBy(*keys, SLICE).agg(F.sum("__value").alias("__s"))
-        .withColumn("__before", F.sum("__s").over(earlier)).drop("__s")
+        .withColumn("__before", F.sum("__s").over(_earlier(keys))).drop("__s")
     )
-    scanned = valued.withColumn(out, F.sum("__value").over(local)).drop("__value")
-    return _join_summary(scanned, summary, keys).withColumn(
-        out, F.col(out) + F.coalesce("__before", F.lit(0))
-    ).drop("__before")
+    scanned = valued.withColumn(out, F.sum("__value").over(_local(keys, order, 0))).drop("__value")
+    # NULL values count as nothing; the sum stays NULL until the first known one.
+    both = F.col(out).isNotNull() & F.col("__before").isNotNull()
+    total = F.when(both, F.col(out) + F.col("__before")).otherwise(F.coalesce(out, "__before"))
+    return join_summary(scanned, summary, keys).withColumn(out, total).drop("__before")
 
 
-def unsliced(df: DataFrame) -> DataFrame:
-    return df.drop(SLICE)
+def rank_in_key(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """1-based position in order within the key."""
+    return unsliced(running_sum(with_slices(df, keys, order), keys, order, F.lit(1), out))
 
 
-def rank_in_key(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """1-based position in order within the key; ``order[0]`` is numeric."""
-    return unsliced(running_sum(with_slices(df, order[0]), keys, order, F.lit(1), out))
+def _counts(sliced: DataFrame) -> list[tuple[int, int]]:
+    """(slice, rows) in order: one row per partition of the table."""
+    return sorted((r[SLICE], r["count"]) for r in sliced.groupBy(SLICE).count().collect())
 
 
-def rows_between(
-    df: DataFrame, order: list[str], start: int, stop: int, rows_per_slice: int = ROWS_PER_SLICE
-) -> DataFrame:
-    """Rows ``start`` .. ``stop`` (exclusive) in order; ``order[0]`` is numeric.
+def rows_between(df: DataFrame, order: list[str], start: int, stop: int, slices: int | None = None) -> DataFrame:
+    """Rows ``start`` .. ``stop`` (exclusive) in order.
 
     Slices wholly inside the range are taken as they are; only the slices at
     its two ends are sorted, so neither a deep offset nor a large limit sorts
     or gathers the table.
     """
-    sliced = with_slices(df, order[0], rows_per_slice)
-    if not is_sliced(sliced):
-        stop = min(stop, df.count())
-        return df.orderBy(*order).offset(start).limit(max(0, stop - start))
-    counts = sorted((r[SLICE], r["count"]) for r in sliced.groupBy(SLICE).count().collect())
+    sliced = with_slices(df, [], order, slices)
     whole, ends, seen = [], [], 0
-    for number, rows in counts:
+    for number, rows in _counts(sliced):
         low, high = max(start - seen, 0), min(stop - seen, rows)
         if low == 0 and high == rows:
             whole.append(number)
         elif low < high:
-            part = sliced.where(F.col(SLICE) == number).orderBy(*order)
+            part = sliced.where(F.col(SLICE) == number).orderBy(*order, ROW)
             ends.append(part.offset(low).limit(high - low))
         seen += rows
     out = sliced.where(F.col(SLICE).isin(whole or [-1]))
@@ -152,35 +135,22 @@ def rows_between(
     return unsliced(out)
 
 
-def kth_smallest_cut(df: DataFrame, score: str, tie: str, k: int) -> Column:
+def kth_smallest_cut(df: DataFrame, score: str, tie: str, k: int, slices: int | None = None) -> Column:
     """Condition that holds for exactly the ``k`` lowest rows by (score, tie).
 
-    ``score`` takes few distinct values (a rounded number) and ``tie`` is a
-    non-negative long. Counting per score finds the score of the k-th row; ties
-    on that score are cut by counting on 16-bit digits of ``tie``, so no sort
-    and no single-task ranking of the table is needed.
+    ``tie`` is unique and of any type that sorts. The two columns are sliced
+    once, the slice of the k-th row is found by counting, and that row gives the
+    cut; nothing but it reaches the driver.
     """
     if k <= 0:
         return F.lit(False)
-    counts = df.groupBy(score).count().orderBy(score).toLocalIterator()
-    need, edge = k, None
-    for row in counts:
-        if row["count"] >= need:
-            edge = row[score]
-            break
-        need -= row["count"]
-    if edge is None:
-        return F.lit(True)
-    ties = df.where(F.col(score) == edge)
-    prefix = 0
-    for shift in (48, 32, 16, 0):
-        high = F.shiftright(F.col(tie), shift)
-        digit = (high % 65536).alias("digit")
-        inside = ties if shift == 48 else ties.where(F.shiftright(F.col(tie), shift + 16) == prefix)
-        rows = sorted(inside.groupBy(digit).count().collect(), key=lambda r: r["digit"])
-        for row in rows:
-            if row["count"] >= need:
-                prefix = prefix * 65536 + row["digit"]
-                break
-            need -= row["count"]
-    return (F.col(score) < edge) | ((F.col(score) == edge) & (F.col(tie) <= prefix))
+    sliced = with_slices(df.select(score, tie), [], [score, tie], slices)
+    for number, rows in _counts(sliced):
+        if rows >= k:
+            part = sliced.where(F.col(SLICE) == number).orderBy(score, tie)
+            edge = part.offset(k - 1).limit(1).first()
+            kind = dict(df.dtypes)
+            at, last = F.lit(edge[score]).cast(kind[score]), F.lit(edge[tie]).cast(kind[tie])
+            return (F.col(score) < at) | ((F.col(score) == at) & (F.col(tie) <= last))
+        k -= rows
+    return F.lit(True)

@@ -131,81 +131,71 @@ def _admit(times: np.ndarray, delay: float, last: float) -> tuple[np.ndarray, np
 
 
 def greedy_scan(
-    requests: DataFrame, key: str, seconds: str, order: str, delay: str,
-    rows_per_slice: int = ordered.ROWS_PER_SLICE,
+    requests: DataFrame, key: str, seconds: str, order: str, delay: str, slices: int | None = None
 ) -> DataFrame:
     """Adds ``admitted`` and ``last_admitted`` (before the row): a row is admitted
     when ``delay`` seconds have passed since the last admitted row of its key.
 
-    The verdict of a row depends on the whole chain before it. Tables larger
-    than a slice are scanned in three steps: every slice tells where it would
-    leave each possible entry (only entries within one delay of its start
-    differ), the slices of a key are chained over these small tables, and every
-    slice is scanned again from its true entry. ``delay`` is constant per key.
+    The verdict of a row depends on the whole chain before it. The table is cut
+    into slices and scanned in three steps: every slice tells where it would
+    leave each possible entry (only distinct times within one delay of its start
+    can be entries), the slices of a key are chained over these tables, and
+    every slice is scanned again from its true entry. ``delay`` is constant per
+    key; a NULL key is a key like any other. The chain of a key holds the
+    distinct times that its slices have within one delay of their starts.
     """
-    base = ordered.with_slices(requests, seconds, rows_per_slice)
-    schema = ", ".join(f"`{n}` {t}" for n, t in base.dtypes)
-    out_schema = schema + ", last_admitted double, admitted boolean"
+    base = ordered.with_slices(requests, [key], [seconds, order], slices)
+    key_type, slice_ = dict(base.dtypes)[key], ordered.SLICE
 
-    def scan(pdf: pd.DataFrame, entry: float) -> pd.DataFrame:
-        pdf = pdf.sort_values([seconds, order], kind="stable").reset_index(drop=True)
+    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.sort_values([seconds, order, ordered.ROW], kind="stable").reset_index(drop=True)
+
+    def exits(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(pdf[seconds].to_numpy(dtype=float))
         gap = float(pdf[delay].iloc[0])
+        # A chain enters at the first request at or after (last admitted + delay).
+        starts = np.unique(times[: int(np.searchsorted(times, times[0] + gap, side="right")) + 1])
+        last = starts.copy()
+        while True:  # all chains of the slice step together
+            at = np.searchsorted(times - gap, last, side="left")
+            at = np.maximum(at, np.searchsorted(times, last, side="right") if gap > 0 else 0)
+            goes_on = at < len(times)
+            if gap <= 0:
+                last[:] = times[-1]
+                break
+            if not goes_on.any():
+                break
+            last[goes_on] = times[at[goes_on]]
+        return pd.DataFrame({
+            key: [group[0]], slice_: [group[1]], "gap": [gap], "enter": [starts.tolist()], "leave": [last.tolist()],
+        })
+
+    edge = base.select(key, slice_, seconds, delay).groupBy(key, slice_).applyInPandas(
+        exits, f"`{key}` {key_type}, `{slice_}` int, gap double, enter array<double>, leave array<double>"
+    )
+
+    def chain(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(slice_).reset_index(drop=True)
+        last, entries = np.nan, []
+        for enter, leave, gap in zip(pdf["enter"], pdf["leave"], pdf["gap"]):
+            entries.append(last)
+            at = 0 if np.isnan(last) else int(np.searchsorted(np.asarray(enter) - gap, last, side="left"))
+            if at < len(enter):
+                last = float(leave[at])
+        return pd.DataFrame({key: [group[0]] * len(pdf), slice_: pdf[slice_], "entry": entries})
+
+    entries = edge.groupBy(key).applyInPandas(chain, f"`{key}` {key_type}, `{slice_}` int, entry double")
+    columns = [*base.columns, "last_admitted", "admitted"]
+
+    def rescan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = in_order(pdf)
         pdf["last_admitted"], pdf["admitted"] = _admit(
-            pdf[seconds].to_numpy(dtype=float), gap, entry
-        )
-        return pdf
-
-    if not ordered.is_sliced(base):
-        scanned = base.groupBy(key).applyInPandas(lambda pdf: scan(pdf, np.nan), out_schema)
-    else:
-        # Each slice's exits. A chain enters a slice at the first request at or
-        # after (last admitted + delay). That is within one delay of the first
-        # request of the slice or the next request after it, so only these few
-        # entries are listed.
-        def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values([seconds, order], kind="stable")
-            times = pdf[seconds].to_numpy(dtype=float)
-            gap = float(pdf[delay].iloc[0])
-            starts = np.unique(times[: int(np.searchsorted(times, times[0] + gap, side="right")) + 1])
-            nxt = np.searchsorted(times - gap, times, side="left")
-            nxt = np.maximum(nxt, np.arange(len(times)) + 1)
-            last = times.copy()
-            for i in range(len(times) - 1, -1, -1):
-                if nxt[i] < len(times):
-                    last[i] = last[nxt[i]]
-            first_at = np.searchsorted(times, starts, side="left")
-            return pd.DataFrame({
-                key: pdf[key].iloc[0], ordered.SLICE: pdf[ordered.SLICE].iloc[0],
-                "gap": gap, "enter": [starts.tolist()], "leave": [last[first_at].tolist()],
-            })
-
-        key_type = dict(base.dtypes)[key]
-        edge = base.groupBy(key, ordered.SLICE).applyInPandas(
-            exits, f"`{key}` {key_type}, `{ordered.SLICE}` int, gap double, enter array<double>, leave array<double>"
+            pdf[seconds].to_numpy(dtype=float), float(pdf[delay].iloc[0]), float(pdf["entry"].iloc[0])
         )
+        return pdf[columns]
 
-        # At most MAX_SLICES rows per domain, each bounded by one delay of requests.
-        def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(ordered.SLICE).reset_index(drop=True)
-            last, entries = np.nan, []
-            for row in pdf.itertuples():
-                entries.append(last)
-                enter, leave = np.asarray(row.enter), np.asarray(row.leave)
-                at = 0 if np.isnan(last) else int(np.searchsorted(enter - row.gap, last, side="left"))
-                if at < len(enter):
-                    last = float(leave[at])
-            pdf["entry"] = entries
-            return pdf[[key, ordered.SLICE, "entry"]]
-
-        entries = edge.groupBy(key).applyInPandas(chain, f"`{key}` {key_type}, `{ordered.SLICE}` int, entry double")
-        joined = base.join(entries, [key, ordered.SLICE])
-        columns = [*base.columns, "last_admitted", "admitted"]
-
-        def rescan(pdf: pd.DataFrame) -> pd.DataFrame:
-            done = scan(pdf.drop(columns="entry"), float(pdf["entry"].iloc[0]))
-            return done[columns]
-
-        scanned = joined.groupBy(key, ordered.SLICE).applyInPandas(rescan, out_schema)
+    schema = ", ".join(f"`{n}` {t}" for n, t in base.dtypes) + ", last_admitted double, admitted boolean"
+    scanned = ordered.join_summary(base, entries, [key]).groupBy(key, slice_).applyInPandas(rescan, schema)
     return ordered.unsliced(scanned).withColumn(
         "last_admitted", F.when(~F.isnan("last_admitted"), F.col("last_admitted"))
     )
@@ -213,10 +203,10 @@ def greedy_scan(
 
 def politeness_audit(
     requests: DataFrame, key: str = "domain", seconds: str = "seconds", order: str = "request_id",
-    delay: str = "crawl_delay", rows_per_slice: int = ordered.ROWS_PER_SLICE,
+    delay: str = "crawl_delay", slices: int | None = None,
 ) -> DataFrame:
     """Adds ``action`` (proceed / delay) and ``wait_seconds`` to a request log."""
-    scanned = greedy_scan(requests, key, seconds, order, delay, rows_per_slice)
+    scanned = greedy_scan(requests, key, seconds, order, delay, slices)
     wait = F.round(F.col(delay) - (F.col(seconds) - F.col("last_admitted")), 6)
     return (
         scanned.withColumn("action", F.when(F.col("admitted"), "proceed").otherwise("delay"))
