@@ -61,7 +61,8 @@ def test_text(spark):
     assert text == "# A & B\n\nDesc\n\nA & B\nHead\nBody\ntext\n."
     assert value(spark, H.structural_text(F.col("h")), h="<div></div>") == ""
     long = "<p>" + "x" * 20_000
-    assert len(value(spark, H.structural_text(F.col("h")), h=long)) == 10_000
+    assert len(value(spark, H.structural_text(F.col("h")), h=long)) == 20_000
+    assert len(value(spark, H.structural_text(F.col("h"), H.EXCERPT), h=long)) == 10_000
     assert value(spark, H.html_to_markdown(F.col("h")), h="<article><h2>T</h2><p>" + "w " * 40 + "</p><ul><li><a href='/q'>L</a></li></ul></article>") == (
         "## T\n\n" + ("w " * 40).strip() + "\n\n- [L](/q)"
     )
@@ -169,3 +170,45 @@ def test_chapters(spark):
     rows = P.chapter_rows(one(spark, text=text)).collect()
     assert [(r["title"], r["content"]) for r in rows] == [("CHAPTER", "I\none"), ("CHAPTER", "II\ntwo")]
     assert P.chapter_rows(one(spark, text="just text")).first()["title"] == ""
+
+
+@pytest.mark.parametrize("raw, want", [
+    ("A&#8217;s &eacute;", "A\u2019s \u00e9"), ("&#38;amp;", "&amp;"), ("&amp;lt;", "&lt;"), ("&#x1F600;&#X41;", "\U0001f600A"),
+    ("&nbsp;&copy;&hellip;", "\u00a0\u00a9\u2026"), ("&bogus; &; &#; &#x; a&b", "&bogus; &; &#; &#x; a&b"),
+    ("&#0;&#xD800;&#1114112;", "\ufffd" * 3), ("&#128;&#150;", "\u20ac\u2013"), ("&NotEqualTilde;", "\u2242\u0338"),
+    ("no reference", "no reference"), ("&lt;&gt;&quot;&apos;&#39;", "<>\"''"),
+])
+def test_character_references(spark, raw, want):
+    assert value(spark, H.decode_entities(F.col("h")), h=raw) == want
+
+
+def test_references_in_links_and_texts(spark):
+    page = (
+        '<title>A&#8217;s &eacute;</title><meta name="description" content="d &#169;">'
+        '<a href="/a&#47;b">x</a><a href="/q?a=1&#38;b=2#top">y</a><a href="/c&amp;d">z</a>'
+    )
+    assert value(spark, H.page_links(F.col("h"), F.col("u")), h=page, u="https://h.com/") == [
+        "https://h.com/a/b", "https://h.com/q?a=1&b=2", "https://h.com/c&d"]
+    assert value(spark, H.page_title(F.col("h")), h=page) == "A\u2019s \u00e9"
+    assert value(spark, H.structural_text(F.col("h")), h=page).startswith("# A\u2019s \u00e9\n\nd \u00a9")
+
+
+def test_markdown_of_links_with_markup_and_preformatted_text(spark):
+    page = (
+        "<article>" + "<p>long enough to be the article of this page, by far</p>"
+        '<a href="/x"><b>bold</b> link</a><pre>one\n  two\n\n\nthree</pre></article>'
+    )
+    text = value(spark, H.html_to_markdown(F.col("h")), h=page)
+    assert "[**bold** link](/x)" in text and "one\n  two\n\n\nthree" in text
+
+
+def test_meta_needs_the_key_before_the_value(spark):
+    page = (
+        '<html xml:lang="xx" lang="en-US"><meta content="late" name="author"><META Name="Author" Content="first">'
+        "<meta name=author content='second'><meta property='og:title' content=' t '><meta property='OG:x' content=y>"
+        '<link href="/b" rel="Canonical">'
+    )
+    meta = {k: value(spark, c, h=page) for k, c in H.standard_meta(F.col("h")).items()}
+    assert (meta["author"], meta["language"], meta["canonical"], meta["robots"]) == ("first", "en", None, None)
+    assert value(spark, H.canonical_href(F.col("h"), True), h=page) == "/b"
+    assert value(spark, H.og_tags(F.col("h")), h=page) == {"title": ["t"], "x": ["y"]}

@@ -10,10 +10,6 @@ from webstrata.functions import urls as U
 from webstrata.operators import ranking
 from webstrata.session import cut_lineage
 
-# Canonical link in either attribute order.
-CANONICAL_REL_FIRST = r"""(?i)<link\s+[^>]*?rel=["']canonical["'][^>]*?href=["']([^"']+)["'][^>]*/?>"""
-CANONICAL_HREF_FIRST = r"""(?i)<link\s+[^>]*?href=["']([^"']+)["'][^>]*?rel=["']canonical["'][^>]*/?>"""
-
 
 def dedup_url(pages: DataFrame, order: list[str], url: str = "url") -> DataFrame:
     """First page per normalised URL."""
@@ -56,10 +52,7 @@ def dedup_content(pages: DataFrame, order: str, text: str) -> tuple[DataFrame, D
 
 def canonical_target(html: Column, url: Column) -> Column:
     """Resolved canonical URL on the same host, other than the page; else NULL."""
-    href = F.coalesce(
-        F.nullif(F.regexp_extract(html, CANONICAL_REL_FIRST, 1), F.lit("")),
-        F.nullif(F.regexp_extract(html, CANONICAL_HREF_FIRST, 1), F.lit("")),
-    )
+    href = H.canonical_href(html, either_order=True)
     resolved = U.resolve_url(href, url)
     other = F.rtrim(resolved, F.lit("/")) != F.rtrim(url, F.lit("/"))
     return F.when(other & (U.hostname(resolved) == U.hostname(url)), resolved)

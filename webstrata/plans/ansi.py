@@ -91,8 +91,12 @@ def strip(text):
     return f"trim({text}, {q(H.SPACE_CHARS)})"
 
 
+# Character references that the stored and built pages hold, the ampersand last.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+
+
 def decode(text):
-    for name, char in H.ENTITIES:
+    for name, char in ENTITIES:
         text = f"replace({text}, {q(name)}, {q(char)})"
     return text
 
@@ -105,11 +109,30 @@ def live(markup):
     return drop_elements(markup, ["script", "style"], comments=True)
 
 
-def attribute(tag, name):
-    pat = rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def raw_attribute(tag, name):
+    pat = rf"(?is)\s{name}\s*=\s*{VALUE}"
     raw = f"regexp_extract({tag}, {q(pat)}, 1)"
-    bare = f"CASE WHEN left({raw}, 1) IN ('\"', '''') THEN {raw}[2:-2] ELSE {raw} END"
-    return f"CASE WHEN {raw} = '' THEN NULL ELSE {decode('(' + bare + ')')} END"
+    bare = f"CASE WHEN left({raw}, 1) IN ('\"', '\'\'') THEN {raw}[2:-2] ELSE {raw} END"
+    return f"CASE WHEN {raw} = '' THEN NULL ELSE {bare} END"
+
+
+def attribute(tag, name):
+    return decode("(" + raw_attribute(tag, name) + ")")
+
+
+def after(tag, key):
+    """What a tag holds behind its key attribute."""
+    return f"regexp_extract({tag}, {q(rf'(?is)\s{key}\s*=\s*{VALUE}(.*)$')}, 2)"
+
+
+def first_value(markup, tag, key, wanted, value):
+    """Value beside the first ``key`` attribute that says ``wanted``."""
+    test = f"lower({strip(raw_attribute('x', key))}) = {q(wanted)} AND {raw_attribute(after('x', key), value)} IS NOT NULL"
+    found = f"list_filter({start_tags(markup, tag)}, lambda x: {test})[1]"
+    return f"nullif({strip(raw_attribute(after(found, key), value))}, '')"
 
 
 def start_tags(markup, name):

@@ -292,7 +292,7 @@ def a4_latency_quantiles(t):
 
 @query("a4_approx_quantiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 def a4_approx_quantiles(t):
-    return X.approx_quantiles(t.events, ["event_type"], "value", accuracy=10_000_000)
+    return X.approx_quantiles(t.events, ["event_type"], "value")
 
 
 A5_SQL = """WITH m AS (SELECT event_type, epoch_us(ts) // 60000000 AS m, count(*) AS n FROM events GROUP BY 1, 2),

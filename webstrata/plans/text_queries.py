@@ -78,10 +78,9 @@ def h2_json_ld(t):
 
 
 def _pairs_sql(attr, prefix):
-    pat = A.q(H._PAIR.format(attr=attr, prefix=prefix))
-    return f"""SELECT page_id, unnest(regexp_extract_all(html, {pat}, 1)) AS k,
-      unnest(regexp_extract_all(html, {pat}, 2)) AS v,
-      generate_subscripts(regexp_extract_all(html, {pat}, 1), 1) AS i FROM p"""
+    tags = f"list_filter({A.start_tags('html', 'meta')}, lambda x: regexp_matches({A.raw_attribute('x', attr)}, '(?i)^{prefix}:'))"
+    return f"""SELECT page_id, i, {A.raw_attribute('tag', attr)} AS k, {A.raw_attribute(A.after('tag', attr), 'content')} AS v
+      FROM (SELECT page_id, unnest({tags}) AS tag, generate_subscripts({tags}, 1) AS i FROM p)"""
 
 
 @query("h3_og_tags", SQL_RICH + f""", k AS ({_pairs_sql('property', 'og')})
@@ -110,11 +109,13 @@ def _nn(text):
     return f"nullif({A.strip(text)}, '')"
 
 
+_canonical = A.first_value("html", "link", "rel", "canonical", "href")
+_lang = A.raw_attribute(A.start_tags("html", "html") + "[1]", "lang")
 _meta_cols = ", ".join(
-    [f"{_nn(_ext(H.CANONICAL_PATTERN))} AS canonical",
-     f"coalesce(nullif(regexp_extract({A.strip(_ext(H.HTML_LANG_PATTERN))}, '^([^-]*)', 1), ''), "
-     f"{_nn(_ext(H.CONTENT_LANG_PATTERN))}) AS language"]
-    + [f"{_nn(_ext(H.meta_field_pattern(a, n)))} AS {f}" for f, a, n in H.META_FIELDS]
+    [f"{_canonical} AS canonical",
+     f"coalesce(nullif(regexp_extract({A.strip(_lang)}, '^([^-]*)', 1), ''), "
+     f"{A.first_value('html', 'meta', 'http-equiv', 'content-language', 'content')}) AS language"]
+    + [f"{A.first_value('html', 'meta', a, n, 'content')} AS {f}" for f, a, n in H.META_FIELDS]
 )
 
 
@@ -125,8 +126,8 @@ def h5_standard_meta(t):
 
 
 _title = A.decode(A.strip(_ext(H.TITLE_PATTERN)))
-_desc = A.decode(A.strip(_ext(H.meta_field_pattern("name", "description"))))
-_ogd = A.decode(A.strip(_ext(H.meta_field_pattern("property", "og:description"))))
+_desc = f"coalesce({A.decode(A.first_value('html', 'meta', 'name', 'description', 'content'))}, '')"
+_ogd = A.decode(A.first_value("html", "meta", "property", "og:description", "content"))
 
 
 @query("h6_light_meta", f"""WITH p AS ({BOTH_PAGES}) SELECT page_id, nullif({_title}, '') AS title,
@@ -142,7 +143,7 @@ _json_blocks = """len(list_filter(regexp_extract_all(html,
 
 @query("h7_all_metadata", SQL_RICH + f"""SELECT page_id, {_json_blocks} AS json_ld_blocks,
  regexp_extract(html, '(?i)og:title" content="([^"]*)', 1) AS og_title,
- 'large' || (page_id % 2) AS twitter_card, {_nn(_ext(H.CANONICAL_PATTERN))} AS canonical FROM p""")
+ 'large' || (page_id % 2) AS twitter_card, {_canonical} AS canonical FROM p""")
 def h7_all_metadata(t):
     m = t.sql(RICH).select("page_id", H.all_metadata(F.col("html")).alias("m"))
     return m.select(
@@ -155,16 +156,17 @@ def h7_all_metadata(t):
 _body = A.plain_text(A.drop_elements("html", H.NON_CONTENT, comments=True))
 
 
-def structural_sql(cap=10000):
+def structural_sql(cap=None):
+    cut = f"[1:{cap}]" if cap else ""
     return (
-        f"concat_ws(chr(10) || chr(10), CASE WHEN {_title} <> '' THEN '# ' || {_title} END, "
-        f"nullif({_desc}, ''), nullif({_body}, ''))[1:{cap}]"
+        f"(concat_ws(chr(10) || chr(10), CASE WHEN {_title} <> '' THEN '# ' || {_title} END, "
+        f"nullif({_desc}, ''), nullif({_body}, ''))){cut}"
     )
 
 
-@query("h8_structural_text", f"WITH p AS ({BOTH_PAGES}) SELECT page_id, {structural_sql()} AS text FROM p")
+@query("h8_structural_text", f"WITH p AS ({BOTH_PAGES}) SELECT page_id, {structural_sql(H.EXCERPT)} AS text FROM p")
 def h8_structural_text(t):
-    return t.sql(BOTH_PAGES).select("page_id", H.structural_text(F.col("html")).alias("text"))
+    return t.sql(BOTH_PAGES).select("page_id", H.structural_text(F.col("html"), H.EXCERPT).alias("text"))
 
 
 def markdown_sql(markup):
@@ -176,7 +178,7 @@ def markdown_sql(markup):
     out = f"regexp_replace({out}, '(?s)<[^>]*>', '', 'g')"
     out = rf"regexp_replace({out}, '[ \t]*\n[ \t]*', chr(10), 'g')"
     out = rf"regexp_replace({out}, '\n{{3,}}', chr(10) || chr(10), 'g')"
-    return A.strip(A.decode(f"replace({out}, '&nbsp;', chr(160))"))
+    return A.strip(A.decode(out))
 
 
 def _cut(mark):
@@ -198,7 +200,7 @@ MARKDOWN_CTES = (
 
 
 @query("h9_markdown", f"""WITH p AS ({BOTH_PAGES}), {MARKDOWN_CTES}
-SELECT page_id, CASE WHEN length(k) < 50 THEN {structural_sql()} ELSE k END AS markdown FROM md""")
+SELECT page_id, CASE WHEN length(k) < 50 THEN {structural_sql(H.EXCERPT)} ELSE k END AS markdown FROM md""")
 def h9_markdown(t):
     return t.sql(BOTH_PAGES).select("page_id", H.html_to_markdown(F.col("html")).alias("markdown"))
 

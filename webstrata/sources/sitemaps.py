@@ -86,7 +86,7 @@ def discover_sitemaps(robots: DataFrame, domain: str = "domain", text: str = "te
     """(domain, pos, sitemap_url) from robots.txt, else the common paths."""
     listed = F.transform(
         F.filter(F.split(F.col(text), r"\r?\n|\r"), lambda s: F.lower(s).startswith("sitemap:")),
-        lambda s: H.strip_space(F.substring(s, 9, 1_000_000)),
+        lambda s: H.strip_space(F.substr(s, F.lit(9))),
     )
     common = F.array(*[F.concat(F.lit("https://"), F.col(domain), F.lit(p)) for p in COMMON_SITEMAP_PATHS])
     found = F.when(F.size(listed) > 0, listed).otherwise(common)
