@@ -117,7 +117,11 @@ def parse(data: bytes) -> dict:
 
 
 class Writer(DataSourceArrowWriter):
-    """Sorted rows (shard, page_id, url, html, repeated, first_id, first_url) to files."""
+    """Sorted rows (shard, page_id, sha, mark, url, html, first_id, first_url) to files.
+
+    A row with ``mark`` says where the payload of the rows behind it, those with
+    its page_id and sha, is first found; it makes no record.
+    """
 
     def __init__(self, address: str, file_bytes: int, date: str):
         self.address, self.file_bytes, self.date = address, file_bytes, date
@@ -127,7 +131,7 @@ class Writer(DataSourceArrowWriter):
         storage, folder = files.store(self.address)
         place = f"{folder}/{self.job}/{TaskContext.get().taskAttemptId()}"
         storage.create_dir(place)
-        done, out, before = [], None, None
+        done, out, before, marked = [], None, None, None
         shard = size = count = number = nth = 0
         sha = hashlib.sha1()
 
@@ -141,17 +145,21 @@ class Writer(DataSourceArrowWriter):
 
         for batch in iterator:
             for row in zip(*batch.columns, strict=True):
-                own, page_id, url, html, repeated, first_id, first_url = (x.as_py() for x in row)
+                own, page_id, sha2, mark, url, html, first_id, first_url = (x.as_py() for x in row)
+                if mark:
+                    marked = (page_id, sha2), (first_id, first_url)
+                    continue
                 if out is not None and own != shard:
                     close()
                 if own != shard:
                     shard, number = own, 0
-                payload = html or b""
-                key = (page_id, payload)
+                key = (page_id, sha2)
                 nth = nth + 1 if key == before else 0
                 before = key
-                first = repeated and (page_id != first_id or nth > 0)
-                data = record(page_id, url, payload, (first_id, first_url) if first else None, nth, self.date)
+                first = marked[1] if marked and marked[0] == key else None
+                if first and first[0] == page_id and not nth:
+                    first = None
+                data = record(page_id, url, html, first, nth, self.date)
                 packed = gzip.compress(data, LEVEL, mtime=0)
                 if out is None:
                     name = f"shard-{shard:06d}-{number:04d}.warc.gz"
@@ -228,15 +236,20 @@ def write(
     heads = (
         hashed.where(F.col("size") >= least_bytes).groupBy("sha", "size")
         .agg(F.count("*").alias("n"), least.alias("first")).where("n > 1")
-        .select("sha", "size", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"),
-                F.lit(True).alias("repeated"))
+        .select("sha", "size", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     )
-    dealt = hashed.join(heads, ["sha", "size"], "left").withColumn("shard", shard_of("page_id"))
-    placed = dealt.repartitionById(len(bounds) + 1, "shard").sortWithinPartitions(
-        "shard", F.asc_nulls_first("page_id"), "sha", "url"
+    # Only ids and hashes meet the heads; their verdicts travel beside the pages
+    # in the one shuffle that moves page texts.
+    marks = (
+        hashed.select("page_id", "sha", "size").distinct().join(heads, ["sha", "size"])
+        .select("page_id", "sha", F.lit(True).alias("mark"), "first_id", "first_url")
     )
-    placed.select(
-        "shard", "page_id", "url", "html", F.coalesce("repeated", F.lit(False)).alias("repeated"), "first_id", "first_url"
+    both = hashed.drop("size").withColumn("mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    placed = both.withColumn("shard", shard_of("page_id")).repartitionById(len(bounds) + 1, "shard")
+    placed.sortWithinPartitions(
+        "shard", F.asc_nulls_first("page_id"), "sha", F.desc("mark"), "url"
+    ).select(
+        "shard", "page_id", "sha", "mark", "url", "html", "first_id", "first_url"
     ).write.format(FORMAT).mode("append").options(fileBytes=file_bytes, date=date).save(folder)
 
 
