@@ -18,6 +18,7 @@ from webstrata.operators import monitor as W
 from webstrata.operators import ordered
 from webstrata.operators import robots as R
 from webstrata.operators import search as S
+from webstrata.session import checkpoint_root
 from webstrata.sources import sitemaps as L
 
 
@@ -412,3 +413,64 @@ def test_no_cross_joins_in_registered_plans(spark, folder):
     for name in itertools.islice(sorted(names), 0, None, 4):
         plan = entry.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
+# ------------------------------------------------------------------ crawl limits, shared folder, feeds, CSV
+
+def site(spark):
+    pages = {"": "/a /b", "/a": "/c /d", "/b": "/d /e", "/c": "", "/d": "/f", "/e": "", "/f": ""}
+    return spark.createDataFrame(
+        [(f"https://h.com{p}", "".join(f'<a href="{x}">x</a>' for x in links.split())) for p, links in pages.items()],
+        "url string, html string")
+
+
+@pytest.mark.parametrize("limit, want", [
+    (0, "ab cdef"), (1, " "), (2, "a "), (3, "ab "), (4, "abc "), (5, "abcd "), (6, "abcde "), (99, "abcdef ")])
+def test_crawl_stops_in_queue_order(spark, limit, want):
+    got = G.crawl("https://h.com", site(spark), G.CrawlOptions(max_depth=9, max_pages=limit)).collect()
+    assert {r["node"].rsplit("/", 1)[1] for r in got} == {*want.replace(" ", ""), ""}
+
+
+def test_crawl_seeds_count_and_come_first(spark):
+    seeds = spark.createDataFrame([(0, "https://h.com/e"), (1, "https://h.com/f")], "pos long, url string")
+    got = G.crawl("https://h.com", site(spark), G.CrawlOptions(max_pages=1), seeds).collect()
+    assert [r["node"] for r in got] == ["https://h.com/f"]
+
+
+def test_crawl_filters_see_addresses_as_written(spark):
+    pages = spark.createDataFrame(
+        [("https://h.com/", '<a href="/blog/">b</a><a href="/blog/x">x</a>'), ("https://h.com/blog/", ""), ("https://h.com/blog/x", "")],
+        "url string, html string")
+    got = G.crawl("https://h.com/", pages, G.CrawlOptions(include=("/", "/blog/*"))).collect()
+    assert {r["node"] for r in got} == {"https://h.com/", "https://h.com/blog", "https://h.com/blog/x"}
+
+
+def test_unsigned_ids_from_index_to_search(spark):
+    ids = [decimal.Decimal(x) for x in (1, 2**63 - 1, 2**63, 2**64 - 1)]
+    df = spark.createDataFrame([(i, [1.0, 0.0]) for i in ids], "id decimal(20,0), embedding array<float>")
+    hits = S.vector_search(df, spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, query_vector array<float>"), 3)
+    assert [r["id"] for r in hits.orderBy("rank").collect()] == ids[:3]
+    kept, gone = I.evict(df.withColumn("retention_score", F.lit(0.5)), 3)
+    assert (kept.count(), gone.count()) == (0, 4)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Nothing:
+        def __getattr__(self, name):
+            return lambda *a: self
+
+        def isDefined(self):
+            return False
+
+    class Context:
+        master, _jsc = "spark://host:7077", Nothing()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        checkpoint_root(Session())

@@ -81,8 +81,11 @@ def freshness_history(
     versions: DataFrame, key: str, order: list[str], text: str,
     slices: int | None = None,
 ) -> DataFrame:
-    """Adds content_hash, fetch_count, first_fetched (order value), change_count."""
-    hashed = versions.withColumn("content_hash", F.sha2(F.col(text), 256))
+    """Adds content_hash, fetch_count, first_fetched (order value), change_count.
+
+    The text itself is read once, for its hash, and left out of the result.
+    """
+    hashed = versions.withColumn("content_hash", F.sha2(F.col(text), 256)).drop(text)
     sliced = ordered.with_slices(hashed, [key], order, slices)
     before = ordered.previous(sliced, [key], order, ["content_hash", *order[:1]])
     changed = F.when(F.col("prev.content_hash") != F.col("content_hash"), 1).otherwise(0)

@@ -58,21 +58,22 @@ def canonical_target(html: Column, url: Column) -> Column:
     return F.when(other & (U.hostname(resolved) == U.hostname(url)), resolved)
 
 
-def mark_canonical_duplicates(
+def canonical_verdicts(
     pages: DataFrame, order: str, url: str = "url", html: str = "html", alias_rule: bool = False
 ) -> DataFrame:
-    """Adds ``canonical_url`` (target) and ``canonical_duplicate``.
+    """(order, canonical_url, canonical_duplicate) of every page, without its text.
 
     A page is dropped when an earlier kept page is its canonical target. That
     makes a chain "dropped iff my target is kept", which is decided by pointer
     doubling: the number of rounds is the logarithm of the longest chain. With
     ``alias_rule`` a page is also dropped when an earlier kept page names the
-    same target, so only the first page naming a target can be kept.
+    same target, so only the first page naming a target can be kept. Each page
+    is parsed once, into one narrow written row.
     """
-    nodes = pages.select(
+    nodes = cut_lineage(pages.select(
         F.col(order).alias("pos"), F.rtrim(F.col(url), F.lit("/")).alias("node"),
         canonical_target(F.col(html), F.col(url)).alias("target_url"),
-    ).withColumn("target", F.rtrim("target_url", F.lit("/")))
+    )).withColumn("target", F.rtrim("target_url", F.lit("/")))
     owners = nodes.groupBy("node").agg(F.min("pos").alias("owner"))
     linked = (
         nodes.where("target IS NOT NULL")
@@ -105,25 +106,28 @@ def mark_canonical_duplicates(
         state = cut_lineage(step)
         if state.where("next IS NOT NULL").isEmpty():
             break
-    verdict = state.select(
-        F.col("pos").alias(order),
-        (F.col("dropped") != (F.col("flips") % 2 == 1)).alias("canonical_duplicate"),
-    )
-    return (
-        pages.withColumn("canonical_url", canonical_target(F.col(html), F.col(url)))
-        .join(verdict, order, "left")
-        .withColumn("canonical_duplicate", F.coalesce("canonical_duplicate", F.lit(False)))
+    verdict = state.select("pos", (F.col("dropped") != (F.col("flips") % 2 == 1)).alias("dropped"))
+    return nodes.join(verdict, "pos", "left").select(
+        F.col("pos").alias(order), F.col("target_url").alias("canonical_url"),
+        F.coalesce("dropped", F.lit(False)).alias("canonical_duplicate"),
     )
 
 
+def mark_canonical_duplicates(pages: DataFrame, order: str, **options) -> DataFrame:
+    """The pages with ``canonical_url`` (target) and ``canonical_duplicate``."""
+    return pages.join(canonical_verdicts(pages, order, **options), order)
+
+
 def dedup_canonical(pages: DataFrame, order: str, **options) -> tuple[DataFrame, DataFrame]:
-    marked = mark_canonical_duplicates(pages, order, **options)
-    dropped = marked.where("canonical_duplicate").select(
-        order, "url", F.concat(F.lit("Duplicate canonical URL: "), F.col("canonical_url")).alias("error"),
+    """(kept pages, error rows of the dropped ones); only dropped ids meet the pages."""
+    gone = cut_lineage(canonical_verdicts(pages, order, **options).where("canonical_duplicate"))
+    dropped = pages.select(order, options.get("url", "url")).join(gone, order).select(
+        order, F.col(options.get("url", "url")).alias("url"),
+        F.concat(F.lit("Duplicate canonical URL: "), F.col("canonical_url")).alias("error"),
         F.lit("duplicate_canonical").alias("error_type"),
         F.lit("DUPLICATE_CANONICAL").alias("error_code"), "canonical_url",
     )
-    return marked.where("NOT canonical_duplicate").drop("canonical_duplicate"), dropped
+    return pages.join(gone.select(order), order, "left_anti"), dropped
 
 
 def dedup_all(pages: DataFrame, order: str, text: str, **options) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,8 +66,11 @@ def traverse(
 ) -> DataFrame:
     """Breadth-first levels: (node, depth), each node at its smallest depth.
 
-    ``start`` has ``node``; ``edges`` has (src, dst); ``nodes`` limits the walk
-    to stored pages. Every level is one join of the frontier with the edges,
+    ``start`` has ``node`` and may have ``ord``, its place in the queue;
+    ``edges`` has (src, dst) and may have (class_rank, pos), the order in which
+    a page queues its links; ``nodes`` limits the walk to stored pages. At most
+    ``max_pages`` nodes are reached, the first in queue order; 0 is no limit.
+    Every level is one join of the frontier with the edges,
     combined to distinct targets before the shuffle, and one anti join with the
     nodes already reached. The frontier has one row per node, so a hub page
     only makes the edge side of the join uneven, which AQE splits. Each level
@@ -77,30 +80,37 @@ def traverse(
     def stored(df: DataFrame) -> DataFrame:
         return df if nodes is None else df.join(nodes, "node", "left_semi")
 
-    if options.include or options.exclude:
-        edges = edges.where(passes_filters(F.col("dst"), options))
+    def level(df: DataFrame, order: list[str], depth: int, room: int | None) -> tuple[DataFrame, int]:
+        """Nodes of a level with their place in the queue, cut to ``room``."""
+        placed = cut_lineage(ordered.rank_in_key(df, [], order, "__n").select(
+            "node", F.lit(depth).alias("depth"), F.col("__n").alias("ord")
+        ))
+        size = placed.count()
+        if room is not None and size > room:
+            return placed.where(F.col("ord") <= room), room
+        return placed, size
+
+    limit = options.max_pages if options.max_pages > 0 else None
+    for name in ("class_rank", "pos"):
+        if name not in edges.columns:
+            edges = edges.withColumn(name, F.lit(0))
     # Read once per level, so it is stored once instead of parsed again.
-    links = cut_lineage(edges.select("src", "dst").distinct())
-    frontier = cut_lineage(stored(start.select("node").distinct()).withColumn("depth", F.lit(0)))
-    reached, total = frontier, frontier.count()
+    links = cut_lineage(edges.groupBy("src", "dst").agg(F.min(F.struct("class_rank", "pos")).alias("place")))
+    if "ord" not in start.columns:
+        start = start.withColumn("ord", F.lit(0))
+    seeds = stored(start.groupBy("node").agg(F.min("ord").alias("first")))
+    frontier, size = level(seeds, ["first", "node"], 0, limit)
+    reached, total = frontier.select("node", "depth"), size
     for depth in range(1, options.max_depth + 1):
-        if total >= options.max_pages:
+        if size == 0 or (limit is not None and total >= limit):
             break
         found = (
             frontier.join(links, frontier["node"] == links["src"])
-            .select(F.col("dst").alias("node")).distinct()
+            .groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("ord", "place")).alias("first"))
         )
         fresh = stored(found.join(reached.select("node"), "node", "left_anti"))
-        frontier = cut_lineage(fresh.withColumn("depth", F.lit(depth)))
-        size = frontier.count()
-        if size == 0:
-            break
-        room = options.max_pages - total
-        if size > room:
-            # Which pages of the last level fit is arbitrary but repeatable.
-            numbered = frontier.withColumn("__n", F.xxhash64("node"))
-            frontier = ordered.rows_between(numbered, ["__n", "node"], 0, room).drop("__n")
-        reached, total = reached.unionByName(frontier), total + min(size, room)
+        frontier, size = level(fresh, ["first", "node"], depth, None if limit is None else limit - total)
+        reached, total = reached.unionByName(frontier.select("node", "depth")), total + size
     return reached
 
 
@@ -110,23 +120,30 @@ def crawl(
 ) -> DataFrame:
     """(node, depth) of a crawl over stored pages.
 
-    Sitemap modes: ``include`` adds sitemap pages at depth 0, ``skip`` ignores
-    them, ``only`` takes them without following links.
+    Sitemap modes: ``include`` adds sitemap pages at depth 0, visited in reverse
+    order before the start page, ``skip`` ignores them, ``only`` takes them
+    without following links. Path filters see addresses as they are written.
+    Pages of hosts that the crawl cannot reach are not parsed.
     """
     spark = pages.sparkSession
     start = spark.createDataFrame([(start_url,)], "url string")
-    base = U.hostname(F.col("url"))
-    host = start.select(base.alias("h")).first()["h"]
+    host = start.select(U.hostname(F.col("url")).alias("h")).first()["h"]
     keyed = pages.withColumn("node", U.normalize_url(F.col("url"), options.ignore_query))
-    seeds = start.select(U.normalize_url(F.col("url"), options.ignore_query).alias("node"))
+    seeds = start.select("url", U.normalize_url(F.col("url"), options.ignore_query).alias("node"), F.lit(1).alias("ord"))
+    parsed = keyed
     if sitemap_urls is not None and options.sitemap_mode != "skip":
         extra = seed_frontier(start_url, sitemap_urls, options.max_pages, options.ignore_query)
-        seeds = seeds.unionByName(extra.select("node")).distinct()
-    edges = expand_links(keyed, host, options)
+        seeds = seeds.unionByName(extra.select("url", "node", F.col("queue_pos").alias("ord")))
+    elif not options.allow_external:
+        wanted = U.scope_classes(options.allow_subdomains, options.allow_external)
+        inside = U.host_class(U.hostname(F.col("url")), F.lit(host.lower())).isin(wanted)
+        parsed = keyed.where(inside | (F.col("url") == start_url))
+    edges = expand_links(parsed, host, options)
     if options.sitemap_mode == "only":
-        options = CrawlOptions(**{**options.__dict__, "max_depth": 0})
+        options = replace(options, max_depth=0)
     if options.include or options.exclude:
-        seeds = seeds.where(passes_filters(F.col("node"), options))
+        seeds = seeds.where(passes_filters(F.col("url"), options))
+        edges = edges.where(passes_filters(F.col("dst_url"), options))
     # Every level asks which targets are stored: keep the keys, not the pages.
     return traverse(seeds, edges, options, cut_lineage(keyed.select("node").distinct()))
 

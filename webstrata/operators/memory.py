@@ -32,7 +32,9 @@ def memory_query(
     are walked in order; one below the threshold ends the walk, an expired one
     is skipped.
     """
-    near = search.vector_search(memory, queries, CANDIDATES, group="user_id" if per_user else None)
+    near = search.vector_search(
+        memory, queries, CANDIDATES, decimals=search.RANK_DECIMALS, group="user_id" if per_user else None
+    )
     live = near.where(F.col("similarity") >= threshold).join(
         memory.where(F.col("expires_ms") > now_ms).select("id", "created_ms"), "id"
     )
@@ -42,7 +44,7 @@ def memory_query(
     age = (F.lit(now_ms) - F.col("best.created_ms")) / 1000
     return queries.select("query_id").join(best, "query_id", "left").select(
         "query_id", F.col("best").isNotNull().alias("hit"), F.col("best.id").alias("memory_id"),
-        F.col("best.similarity").alias("similarity"),
+        F.round("best.similarity", 6).alias("similarity"),
         F.when(F.col("best").isNotNull(), freshness(age, ttl_seconds)).alias("freshness"),
     )
 

@@ -32,23 +32,45 @@ def detect_changes(
     versions: DataFrame, monitor: str, order: str, text: str, with_diff: bool = False,
     slices: int | None = None,
 ) -> DataFrame:
-    """Adds changed, last_result, previous_length, current_length (and diff)."""
-    columns = ["__sha", "__len"] + ([text] if with_diff else [])
-    keyed = versions.withColumns({"__sha": F.sha2(F.col(text), 256), "__len": F.length(text)})
-    before = ordered.previous(ordered.with_slices(keyed, [monitor], [order], slices), [monitor], [order], columns)
+    """(all columns but the text, changed, last_result, previous_length, current_length).
+
+    Windows see hashes and lengths; ``with_diff`` adds ``text`` and ``diff``,
+    and only then do the texts of changed rows meet, by ``order``, which is
+    unique within the table.
+    """
+    keyed = versions.withColumns({"__sha": F.sha2(F.col(text), 256), "__len": F.length(text)}).drop(text)
+    before = ordered.previous(
+        ordered.with_slices(keyed, [monitor], [order], slices), [monitor], [order], [order, "__sha", "__len"]
+    )
     changed = F.coalesce(
         (F.col("prev.__len") > 0) & (F.col("prev.__sha") != F.col("__sha")), F.lit(False)
     )
-    out = before.withColumn("changed", changed).withColumns({
+    out = ordered.unsliced(before).withColumn("changed", changed).withColumns({
         "last_result": F.when(F.col("changed"), "changed").otherwise("unchanged"),
         "previous_length": F.when(F.col("changed"), F.col("prev.__len")),
         "current_length": F.when(F.col("changed"), F.col("__len")),
-    })
+        "__before": F.when(F.col("changed"), F.col(f"prev.{order}")),
+    }).drop("prev", "__sha", "__len")
     if with_diff:
+        old = versions.select(F.col(order).alias("__before"), F.col(text).alias("__old"))
+        out = out.join(versions.select(order, text), order).join(old, "__before", "left")
         # Unchanged rows send two empty strings to Python instead of two pages.
-        pair = [F.when(F.col("changed"), c).otherwise("") for c in (F.col(f"prev.{text}"), F.col(text))]
-        out = out.withColumn("diff", unified_diff(*pair))
-    return ordered.unsliced(out).drop("prev", "__sha", "__len")
+        pair = [F.when(F.col("changed"), c).otherwise("") for c in (F.col("__old"), F.col(text))]
+        out = out.withColumn("diff", unified_diff(*pair)).drop("__old")
+    return out.drop("__before")
+
+
+def change_stats(versions: DataFrame, monitor: str, order: str, text: str, slices: int | None = None) -> DataFrame:
+    """(order, added, removed): distinct lines against the version before.
+
+    The window sees ids only; each pair of texts meets in two joins by id.
+    """
+    ids = ordered.with_slices(versions.select(monitor, order), [monitor], [order], slices)
+    pairs = ordered.previous(ids, [monitor], [order], [order]).select(order, F.col(f"prev.{order}").alias("__before"))
+    old = versions.select(F.col(order).alias("__before"), F.col(text).alias("__old"))
+    both = pairs.join(versions.select(order, text), order).join(old, "__before", "left")
+    added, removed = diff_stats(F.col("__old"), F.col(text))
+    return both.select(order, added.alias("added"), removed.alias("removed"))
 
 
 def diff_stats(old: Column, new: Column) -> tuple[Column, Column]:

@@ -164,24 +164,28 @@ def src5_parse_feeds(t):
 
 
 @query("src5_find_feed_item", """SELECT 'https://f.example/p/' || page_id || '/' AS url, 'https://f.example/p/' || page_id AS link FROM pages
-UNION ALL SELECT 'https://other.example/s/q' || page_id || '?x=1', 'https://f.example/s/q' || page_id || '?y' FROM pages""")
+UNION ALL SELECT 'https://other.example/s/q' || page_id || '?x=1', 'https://f.example/s/q' || page_id || '?y' FROM pages
+UNION ALL SELECT 'https://z.example/' || page_id || '/index.html', 'https://g.example/' || min(page_id) OVER () || '/index.html' FROM pages""")
 def src5_find_feed_item(t):
     items = t.sql("""SELECT page_id AS pos, 'https://f.example/p/' || page_id AS link FROM {pages}
-      UNION ALL SELECT page_id, 'https://f.example/s/q' || page_id || '?y' FROM {pages}""")
+      UNION ALL SELECT page_id, 'https://f.example/s/q' || page_id || '?y' FROM {pages}
+      UNION ALL SELECT page_id, 'https://g.example/' || page_id || '/index.html' FROM {pages}
+      UNION ALL SELECT page_id + 1000000000, 'https://f.example/p/' || page_id FROM {pages}""")
     wanted = t.sql("""SELECT 'https://f.example/p/' || page_id || '/' AS url FROM {pages}
-      UNION ALL SELECT 'https://other.example/s/q' || page_id || '?x=1' FROM {pages}""")
+      UNION ALL SELECT 'https://other.example/s/q' || page_id || '?x=1' FROM {pages}
+      UNION ALL SELECT 'https://z.example/' || page_id || '/index.html' FROM {pages}""")
     return S.find_feed_items(items, wanted).select("url", "link")
 
 
-@query("src6_csv_documents", """SELECT count(*) AS rows, sum(n_chars) AS chars, count(DISTINCT source) AS sources FROM documents""")
+QUOTED = """SELECT doc_id, lang, source, n_chars, 'say "' || source || '",' || chr(10) || text AS text FROM {documents}"""
+
+
+@query("src6_csv_documents", f"SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha FROM ({QUOTED})")
 def src6_csv_documents(t):
     folder = _scratch(t.spark, "csv")
-    t.documents.select("doc_id", "lang", "source", "n_chars").write.option("header", True).csv(folder)
-    rows = S.read_csv_documents(t.spark, folder, "doc_id long, lang string, source string, n_chars long")
-    return rows.agg(
-        F.count("*").alias("rows"), F.sum("n_chars").alias("chars"),
-        F.countDistinct("source").alias("sources"),
-    )
+    t.sql(QUOTED).write.options(**S.CSV_OPTIONS).csv(folder)
+    rows = S.read_csv_documents(t.spark, folder, "doc_id long, lang string, source string, n_chars long, text string")
+    return rows.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha"))
 
 
 def _scratch(spark, name: str) -> str:
@@ -255,9 +259,7 @@ c AS (SELECT page_id, max(steps) % 2 = 1 AS dup FROM k GROUP BY 1)"""
 
 @query("d3_dedup_canonical", CANON_SQL + " SELECT page_id, dup AS canonical_duplicate FROM c")
 def d3_dedup_canonical(t):
-    return D.mark_canonical_duplicates(t.sql(CANONICALS), "page_id").select(
-        "page_id", "canonical_duplicate"
-    )
+    return D.canonical_verdicts(t.sql(CANONICALS), "page_id").select("page_id", "canonical_duplicate")
 
 
 @query("d4_dedup_all", CANON_SQL + """, m AS (SELECT page_id, dup, page_id % 90 AS h FROM c),
@@ -299,6 +301,44 @@ def g1_crawl(t):
     return G.crawl("https://site.example.com/p/0", t.sql(SITE), G.CrawlOptions(max_depth=5))
 
 
+# The same walk in queue order, by the level and then the link that found a node.
+def _queue_sql(limit, seeds="SELECT 0::BIGINT AS n, 0::BIGINT AS o", keep="TRUE", depth=9, links=2):
+    return f"""WITH RECURSIVE e AS (SELECT page_id AS s, page_id * 2 + 1 AS d, 0 AS pos FROM pages UNION ALL SELECT page_id, page_id * 2 + 2, 1 FROM pages
+ UNION ALL SELECT page_id, CAST(floor(page_id / 2) AS BIGINT), 2 FROM pages), se AS ({seeds}),
+w AS (SELECT n, 0 AS depth, [o] AS way FROM se UNION ALL
+ SELECT e.d, w.depth + 1, list_append(w.way, e.pos) FROM w JOIN e ON w.n = e.s JOIN pages p ON p.page_id = e.d
+ WHERE w.depth < {depth} AND e.pos < {links} AND ({keep})),
+b AS (SELECT n, min(depth) AS depth, arg_min(way, (depth, way)) AS way FROM w GROUP BY n),
+r AS (SELECT *, row_number() OVER (ORDER BY depth, way) AS r FROM b)
+SELECT 'https://site.example.com/p/' || n AS node, depth FROM r {f'WHERE r <= {limit}' if limit else ''}"""
+
+
+# Links up lead to pages already seen, so a page is found by its parent alone.
+@query("g1_crawl_max_pages", _queue_sql(21))
+def g1_crawl_max_pages(t):
+    return G.crawl("https://site.example.com/p/0", t.sql(SITE), G.CrawlOptions(max_depth=9, max_pages=21))
+
+
+@query("g1_crawl_filters", _queue_sql(None, keep="NOT contains(e.d::VARCHAR, '4')", depth=40))
+def g1_crawl_filters(t):
+    options = G.CrawlOptions(max_depth=40, max_pages=0, include=("/p/*",), exclude=("/p/*4*",))
+    return G.crawl("https://site.example.com/p/0", t.sql(SITE), options)
+
+
+@query("g3_sitemap_include", _queue_sql(30, depth=3, links=3, seeds="""SELECT page_id * 3 AS n, -page_id AS o FROM (SELECT page_id FROM pages ORDER BY 1 LIMIT 29)
+ WHERE page_id > 0 AND page_id * 3 IN (SELECT page_id FROM pages) UNION ALL SELECT 0, 1"""))
+def g3_sitemap_include(t):
+    seeds = t.sql("SELECT page_id AS pos, 'https://site.example.com/p/' || (page_id * 3) AS url FROM {pages}")
+    return G.crawl("https://site.example.com/p/0", t.sql(SITE), G.CrawlOptions(max_depth=3, max_pages=30), seeds)
+
+
+@query("g3_sitemap_skip", _queue_sql(None, depth=4))
+def g3_sitemap_skip(t):
+    seeds = t.sql("SELECT page_id AS pos, 'https://site.example.com/p/' || (page_id * 3) AS url FROM {pages}")
+    options = G.CrawlOptions(max_depth=4, max_pages=0, sitemap_mode="skip")
+    return G.crawl("https://site.example.com/p/0", t.sql(SITE), options, seeds)
+
+
 @query("g1_host_graph", f"""WITH RECURSIVE {links_sql('SELECT page_id, url, html FROM pages')},
 hp AS (SELECT DISTINCT {A.host('url')} AS h, {A.path('dst_url')} AS p FROM links),
 s AS (SELECT 'h:' || min(h) AS n FROM hp),
@@ -468,7 +508,7 @@ def p5_resolve_ttl(t):
 
 REQ = """SELECT event_id AS request_id, 'https://c.example/' || user_id AS url, ts, CASE event_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 3600000 WHEN 2 THEN 86400000 WHEN 3 THEN NULL ELSE 600000000 END AS max_age_ms,
  CASE event_id % 7 WHEN 0 THEN 1000 WHEN 1 THEN 5 ELSE 0 END AS min_age_ms FROM {events} WHERE event_type <> 'purchase'"""
-ENT = """SELECT 'https://c.example/' || user_id AS url, ts, 43200000 * (1 + event_id % 9) AS ttl_ms, event_id % 11 <> 0 AS has_data FROM {events} WHERE event_type = 'purchase' AND user_id % 5 > 0"""
+ENT = """SELECT 'https://c.example/' || user_id AS url, ts, 43200000 * (1 + event_id % 9) AS ttl_ms, event_id % 11 <> 0 AS has_data FROM {events} WHERE event_type = 'purchase'"""
 
 
 @query("c1_cache_decision", f"""WITH r AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM ({REQ})), e AS (SELECT *, epoch_us(ts) // 1000 AS cms FROM ({ENT})),
@@ -499,7 +539,8 @@ def c5_cache_age(t):
     return C.cache_age_ms(ent, F.lit(NOW_MS)).select("url", "age_ms")
 
 
-VERSIONS = """SELECT doc_id, source AS url, CASE WHEN doc_id % 3 = 0 THEN 'same' ELSE text END AS text FROM {documents}"""
+# Every document is fetched twice, the second time unchanged.
+VERSIONS = """SELECT doc_id * 2 AS doc_id, source AS url, text FROM {documents} UNION ALL SELECT doc_id * 2 + 1, source, text FROM {documents}"""
 HISTORY_SQL = f"""WITH v AS ({VERSIONS}), h AS (SELECT doc_id, url, sha256(text) AS content_hash FROM v),
 l AS (SELECT *, lag(content_hash) OVER w AS p, row_number() OVER w AS fetch_count, min(doc_id) OVER (PARTITION BY url) AS first_fetched FROM h WINDOW w AS (PARTITION BY url ORDER BY doc_id)),
 s AS (SELECT *, sum(CASE WHEN p <> content_hash THEN 1 ELSE 0 END) OVER (PARTITION BY url ORDER BY doc_id) AS change_count FROM l)"""

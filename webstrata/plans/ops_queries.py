@@ -15,7 +15,9 @@ from webstrata.streaming import streams as T
 
 # ------------------------------------------------------------------ monitors
 
-CHECKS = "SELECT doc_id, source AS monitor_id, CASE WHEN doc_id % 3 = 0 THEN 'same' WHEN doc_id % 7 = 0 THEN '' ELSE text END AS text FROM {documents}"
+# Every document is checked three times in a row: as it is, unchanged, and gone.
+CHECKS = """SELECT doc_id * 3 AS doc_id, source AS monitor_id, text FROM {documents}
+UNION ALL SELECT doc_id * 3 + 1, source, text FROM {documents} UNION ALL SELECT doc_id * 3 + 2, source, '' FROM {documents} WHERE n_chars > 1000"""
 CHANGE_SQL = f"""WITH c AS (SELECT *, lag(text) OVER (PARTITION BY monitor_id ORDER BY doc_id) AS p FROM ({CHECKS})),
 k AS (SELECT *, coalesce(p <> '' AND p <> text, false) AS changed FROM c)"""
 
@@ -35,11 +37,7 @@ def x2_unified_diff(t):
 @query("x3_diff_stats", CHANGE_SQL + """, s AS (SELECT doc_id, list_distinct(string_split(coalesce(p, ''), chr(10))) AS a, list_distinct(string_split(text, chr(10))) AS b FROM k)
 SELECT doc_id, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS added, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS removed FROM s""")
 def x3_diff_stats(t):
-    before = ordered.previous(
-        ordered.with_slices(t.sql(CHECKS), "doc_id"), ["monitor_id"], ["doc_id"], ["text"]
-    )
-    added, removed = W.diff_stats(F.col("prev.text"), F.col("text"))
-    return before.select("doc_id", added.alias("added"), removed.alias("removed"))
+    return W.change_stats(t.sql(CHECKS), "monitor_id", "doc_id", "text")
 
 
 @query("x4_check_history", f"""WITH r AS (SELECT user_id AS monitor_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events)
@@ -197,17 +195,22 @@ def t6_new_urls_stream(t):
 T7 = "SELECT event_type AS name, event_id, CAST(event_id * 2 AS DOUBLE) AS seconds FROM {events}"
 
 
-@query("t7_counters", f"""WITH RECURSIVE r AS ({T7}), w AS (SELECT name, min(seconds) AS a FROM r GROUP BY 1 UNION ALL
+T7_SQL = f"""WITH RECURSIVE r AS ({T7}), w AS (SELECT name, min(seconds) AS a FROM r GROUP BY 1 UNION ALL
  SELECT w.name, min(r.seconds) FROM w JOIN r ON r.name = w.name AND r.seconds >= w.a + 600 GROUP BY 1)
-SELECT r.name, w.a AS started, count(*) AS value FROM r ASOF JOIN w ON r.name = w.name AND r.seconds >= w.a GROUP BY 1, 2""")
+SELECT r.name, w.a AS started, count(*) AS value FROM r ASOF JOIN w ON r.name = w.name AND r.seconds >= w.a GROUP BY 1, 2"""
+
+
+@query("t7_counters", T7_SQL)
 def t7_counters(t):
     return J.counters(t.sql(T7), "name", "seconds", "event_id", 600)
 
 
-@query("t7_counters_stream", "SELECT event_type AS name, count(*) AS value FROM events GROUP BY 1")
+@query("t7_counters_stream", T7_SQL)
 def t7_counters_stream(t):
-    events = T.read_stream(t.spark, t.folder, "events").select(F.col("event_type").alias("name"))
-    return T.run_updates(T.running_counters(events, "name"), ["name"])
+    events = T.read_stream(t.spark, t.folder, "events", max_files=1).select(
+        F.col("event_type").alias("name"), (F.col("event_id") * 2).cast("double").alias("seconds"), "event_id"
+    )
+    return T.run_updates(T.running_counters(events, 600), ["name", "started"])
 
 
 GAP = 6 * 3600

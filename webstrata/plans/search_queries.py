@@ -14,6 +14,7 @@ from webstrata.operators import search as S
 from webstrata.plans import ansi as A
 from webstrata.plans.registry import query
 from webstrata.plans.url_queries import CATEGORY_SQL
+from webstrata.session import cut_lineage
 
 DAY = 86_400_000
 NOW = 1_706_745_600_000  # 2024-02-01, the fixed clock of every report here
@@ -83,6 +84,26 @@ def r3_upsert_index(t):
     )
 
 
+# A batch goes in, the lowest rows go out, and the rest is searched by its own ids.
+@query("src9_bulk_index", f"""WITH {IX_SQL}, b AS (SELECT url, arg_max(title, pos) AS title, arg_max(embedding, pos) AS embedding FROM ({BATCH}) GROUP BY 1),
+m AS (SELECT coalesce(ix.url, b.url) AS url, coalesce(b.embedding, ix.embedding) AS embedding,
+ CASE WHEN b.title IS NOT NULL THEN {NOW} ELSE last_ms END AS last_ms, coalesce(crawl_count, 0) + CASE WHEN b.title IS NOT NULL THEN 1 ELSE 0 END AS crawl_count,
+ coalesce(access_count, 0) AS access_count FROM ix FULL JOIN b ON ix.url = b.url),
+s AS (SELECT *, CAST('0x' || left(sha256(url), 16) AS UBIGINT) AS id, {_score_sql(f'({CATEGORY_SQL})', 'last_ms', 'access_count', 'crawl_count', NOW)} AS score FROM m),
+o AS (SELECT *, row_number() OVER (ORDER BY score, id) AS r, count(*) OVER () AS n FROM s), kept AS (SELECT * FROM o WHERE r > n - 300 + 100),
+qv AS (SELECT max(vec_id) AS query_id, arg_max(embedding, vec_id) AS query_vector FROM embeddings GROUP BY label, vec_id % 20),
+c AS (SELECT query_id, id, url, {_cos('query_vector', 'embedding')} AS similarity FROM qv, kept),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM c)
+SELECT query_id, rank, id::VARCHAR AS id, url, similarity FROM z WHERE rank <= 3""")
+def src9_bulk_index(t):
+    merged = cut_lineage(I.upsert_index(_index(t).drop("vec_id", "category"), t.sql(BATCH), NOW, "base"))
+    kept, _ = I.evict(merged, max_docs=300)
+    hits = S.vector_search(kept.withColumn("embedding", F.col("vectors")["base"]), _query_vectors(t), 3)
+    return hits.join(kept.select("id", "url"), "id").select(
+        "query_id", "rank", F.col("id").cast("string").alias("id"), "url", "similarity"
+    )
+
+
 @query("r4_add_vectors", f"""WITH {IX_SQL} SELECT url, CASE WHEN label % 2 = 0 THEN 'base,wide' ELSE 'base' END AS models,
  CASE WHEN label % 2 = 0 THEN 2 ELSE 1 END AS n_vectors FROM ix""")
 def r4_add_vectors(t):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import pathlib
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -15,9 +18,10 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and stream state.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session that has
-    neither the setting nor a checkpoint folder (tests on one machine) gets a
-    temporary one.
+    The cluster names it in ``spark.checkpoint.dir``. A session on one machine
+    (``local[...]``) that has neither the setting nor a checkpoint folder gets a
+    temporary one; on a cluster that is an error, since executors would each
+    write to their own disk.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
@@ -25,7 +29,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jsc.isDefined():
         return jsc.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     root = tempfile.mkdtemp(prefix="webstrata-checkpoint-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(root)
     return root
 
@@ -35,13 +42,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Like a reliable checkpoint it survives lost executors and ends the plan;
     being a parquet table it also tells the optimizer its size, so later joins
-    with a small result are broadcast on a measured bound.
+    with a small result are broadcast on a measured bound. The table goes when
+    the driver ends.
     """
     path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/webstrata-table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system delete ``path`` when the driver ends."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+
+
 _SHIPPED: set[str] = set()
 
 

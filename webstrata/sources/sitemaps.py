@@ -116,27 +116,32 @@ def find_feed_items(items: DataFrame, targets: DataFrame, url: str = "url") -> D
         return F.regexp_extract(F.regexp_replace(F.regexp_replace(u, r"\?.*$", ""), r"/+$", ""), r"([^/]*)$", 1)
 
     wanted = targets.select(url, F.regexp_replace(F.col(url), r"/+$", "").alias("target"), slug(F.col(url)).alias("slug"))
-    exact = wanted.join(
-        items.withColumn("target", F.regexp_replace("link", r"/+$", "")), "target"
-    ).withColumn("match", F.lit(0)).drop("target", "slug")
+    # One item per link and one per last path part, so no target meets many.
+    by_link = ranking.first_per_key(
+        items.withColumn("target", F.regexp_replace("link", r"/+$", "")), ["target"], ["pos", "link"]
+    )
+    exact = wanted.join(by_link, "target").withColumn("match", F.lit(0)).drop("target", "slug")
     # Second try only for targets without an exact hit.
     rest = wanted.join(exact.select(url).distinct(), url, "left_anti")
-    by_slug = rest.join(items.withColumn("slug", slug(F.col("link"))), "slug").withColumn(
-        "match", F.lit(1)
-    ).drop("target", "slug")
+    last_part = ranking.first_per_key(items.withColumn("slug", slug(F.col("link"))), ["slug"], ["pos", "link"])
+    by_slug = rest.join(last_part, "slug").withColumn("match", F.lit(1)).drop("target", "slug")
     return ranking.first_per_key(exact.unionByName(by_slug), [url], ["match", "pos", "link"]).drop("match")
 
 
+# Quoted fields may hold line ends and doubled quotes.
+CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
+
+
 def read_csv_documents(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """CSV rows with a header; pass a schema to avoid the extra inference pass."""
-    reader = spark.read.option("header", True).option("multiLine", False)
+    reader = spark.read.options(**CSV_OPTIONS)
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
 def csv_row_counts(spark: SparkSession, path: str) -> DataFrame:
     """Rows per CSV file."""
     return (
-        spark.read.option("header", True).csv(path)
+        spark.read.options(**CSV_OPTIONS).csv(path)
         .groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"))
     )
 

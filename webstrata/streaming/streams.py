@@ -1,14 +1,19 @@
 """Structured Streaming twins of the incremental operators.
 
 Aggregates run in update mode: every micro-batch appends its changed groups to a
-log folder, and the newest row of a group is its value. All streams declare a
-watermark; rows later than that are dropped.
+log folder, and the newest row of a group is its value. Windowed aggregates and
+first-sight filters declare a watermark, which drops later rows and ends their
+state. Pacing, counters, research runs and totals per job keep one small row of
+state per key for as long as the stream runs: their results do not end at an
+event time, and processing-time timeouts would keep an ``availableNow`` run from
+ending.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +25,13 @@ from webstrata.session import checkpoint_root
 WATERMARK = "10 minutes"
 
 
-def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """File stream over one parquet table of a folder.
+def read_stream(spark: SparkSession, folder: str, table: str, max_files: int = 1000) -> DataFrame:
+    """File stream over one parquet table of a folder, ``max_files`` per micro-batch.
 
     Watermarks need instants, so zone-less timestamps are read as UTC.
     """
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    rows = spark.readStream.schema(schema).parquet(f"{folder}/{table}.parquet*")
+    rows = spark.readStream.option("maxFilesPerTrigger", max_files).schema(schema).parquet(f"{folder}/{table}.parquet*")
     return rows.select(*[
         F.timestamp_micros(epoch_us(F.col(n))).alias(n) if t == "timestamp_ntz" else F.col(n)
         for n, t in rows.dtypes
@@ -98,8 +103,29 @@ def new_urls(stream: DataFrame, keys: list[str], ttl: str) -> DataFrame:
     return stream.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
 
 
-def running_counters(events: DataFrame, name: str) -> DataFrame:
-    return events.groupBy(name).agg(F.count("*").alias("value"))
+def running_counters(events: DataFrame, ttl: float) -> DataFrame:
+    """(name, started, value) of counters over (name, seconds, event_id).
+
+    A counter lives ``ttl`` seconds from its first increment and then starts
+    again. A micro-batch is sorted by time before it is applied.
+    """
+    def apply(key, batches, state: GroupState):
+        started, value = state.get if state.exists else (None, 0)
+        times = np.sort(np.concatenate([pdf["seconds"].to_numpy(float) for pdf in batches]))
+        rows, at = [], 0
+        while at < len(times):
+            if started is None or times[at] >= started + ttl:
+                started, value = float(times[at]), 0
+            stop = int(np.searchsorted(times, started + ttl, "left"))
+            value, at = value + stop - at, stop
+            rows.append((started, value))
+        state.update((started, int(value)))
+        yield pd.DataFrame({"name": key[0], "started": [r[0] for r in rows], "value": [r[1] for r in rows]})
+
+    return events.groupBy("name").applyInPandasWithState(
+        apply, "name string, started double, value long", "started double, value long", "update",
+        GroupStateTimeout.NoTimeout,
+    )
 
 
 def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
