@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import langid, mixing, packing, quality, simhash
+from webstrata.llm import langid, mixing, near, packing, quality
 from webstrata.llm.shared import ship_package
 from webstrata.session import cut_lineage
 
@@ -27,9 +27,9 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group, with the parameters of query op1."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
     ship_package(spark)
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
