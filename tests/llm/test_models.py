@@ -179,3 +179,25 @@ def test_language_of_odd_tables(spark, docs):
     frame = docs([(i, "some text", "en", None) for i in range(9)] + [(20, "...", None, None), (21, None, None, None)])
     kept = langid.accept(frame)
     assert kept.columns == frame.columns and kept.count() == 9
+
+
+SYLLABLES = {
+    "x": ["ka", "lo", "mi", "tun", "re", "sel", "da", "po", "vin", "gra"],
+    "y": ["che", "ur", "oz", "bin", "lak", "ye", "fim", "dor", "wu", "ist"],
+    "z": ["qua", "jeb", "hox", "pfi", "nym", "cru", "zag", "eth", "bly", "vok"],
+}
+
+
+def invented(r, lang, words):
+    own = random.Random(lang)
+    vocabulary = ["".join(own.choices(SYLLABLES[lang], k=own.randrange(1, 4))) for _ in range(400)]
+    return " ".join(r.choices(vocabulary, k=words))
+
+
+def test_noise_and_languages_never_learned_are_rejected(spark, docs):
+    r = random.Random(6)
+    rows = [(i, invented(r, "xy"[i % 2], r.randrange(30, 120)), "xy"[i % 2], "s") for i in range(200)]
+    noise = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz    ", k=400)) for _ in range(20)]
+    odd = [(1000 + i, t, None, "s") for i, t in enumerate(noise + [invented(r, "z", 80) for _ in range(20)])]
+    kept = {x.doc_id for x in langid.accept(docs(rows + odd)).collect()}
+    assert not any(i >= 1000 for i in kept) and len(kept) >= 0.99 * len(rows)
