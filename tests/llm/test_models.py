@@ -201,3 +201,25 @@ def test_noise_and_languages_never_learned_are_rejected(spark, docs):
     odd = [(1000 + i, t, None, "s") for i, t in enumerate(noise + [invented(r, "z", 80) for _ in range(20)])]
     kept = {x.doc_id for x in langid.accept(docs(rows + odd)).collect()}
     assert not any(i >= 1000 for i in kept) and len(kept) >= 0.99 * len(rows)
+
+
+def many_characters(r, first, words):
+    """Unspaced text of a script with 1,500 characters from ``first``, the low ones more often."""
+    return "".join(chr(first + int(1500 * r.random() ** 2)) for _ in range(words))
+
+
+def test_scripts_of_many_characters_are_told_apart():
+    r = random.Random(7)
+    own = {}
+    # Two languages over the same 1,500 characters with words of their own, and one beyond U+FFFF.
+    for lang, first in (("han", 0x4E00), ("kan", 0x4E00), ("ext", 0x20000)):
+        own[lang] = [many_characters(r, first, r.randrange(1, 4)) for _ in range(1500)]
+    for k, first in enumerate((0x430, 0x3B1, 0x561, 0x10D0, 0x905)):
+        own[f"a{k}"] = ["".join(chr(first + r.randrange(22)) for _ in range(r.randrange(2, 8))) for _ in range(400)]
+    own["x"] = [invented(r, "x", 1) for _ in range(400)]
+    text = {k: lambda n, k=k, v=v: ("" if k in ("han", "kan", "ext") else " ").join(r.choices(v, k=n)) for k, v in own.items()}
+    model = langid.fit({k: [text[k](200) for _ in range(10)] for k in own})
+    texts = [(k, text[k](150)) for k in own for _ in range(10)]
+    names, _ = langid.identify_texts(model, [t for _, t in texts])
+    assert sum(n == k for n, (k, _) in zip(names, texts)) >= 0.97 * len(texts)
+    assert len(model.symbols) > 2000

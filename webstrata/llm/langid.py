@@ -175,7 +175,7 @@ def fit(samples: dict[str, list[str]]) -> Model:
     for parts in samples.values():
         for c in "\n".join(parts).lower():
             counts[c] = counts.get(c, 0) + 1
-    symbols = "".join(sorted((c for c in counts if _known(c)), key=lambda c: (-counts[c], c))[:ALPHABET - 1])
+    symbols = "".join(sorted((c for c in counts if _known(c)), key=lambda c: (-counts[c], c)))
     ordered = dict(sorted(samples.items()))
     rates = [_rates(symbols, parts) for parts in ordered.values()]
     return _model(symbols, {lang: "\n".join(parts).lower() for lang, parts in ordered.items()}, np.array(rates))
