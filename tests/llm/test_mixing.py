@@ -7,6 +7,7 @@ from fractions import Fraction
 
 import pytest
 
+import corpus_pipeline
 from webstrata.llm import mixing
 
 
@@ -116,3 +117,29 @@ def test_empty(spark, docs):
     assert mixing.mixed(docs([])).count() == 0
     only = mixing.taken(docs([(1, None, None, None), (2, " ", None, "a")])).collect()
     assert [(r["size"], r["taken"], r["target"]) for r in only] == [(0, 0, 0.0)] * 2
+
+
+def test_small_sources_reach_their_targets_beside_a_hot_one(spark, docs, folder):
+    r = random.Random(9)
+    data = [(i, "w " * 20_000, None, "hot") for i in range(200)]
+    data += [(1000 + i, "w " * r.randrange(1, 120), None, f"s{i % 40}") for i in range(80)]
+    sizes = Counter()
+    for _, text, _, source in data:
+        sizes[source] += len(text.split())
+    want = targets(sizes)
+    # Blocks of about 100 words: many targets are below one, or a few.
+    got = Counter()
+    for x in mixing.taken(docs(data), slots=1, exact=True).collect():
+        got[next(s for i, _, _, s in data if i == x.doc_id)] += x.taken
+    assert all(abs(got[s] - t) <= 0.5 for s, t in want.items())
+    out = Counter()
+    for x in corpus_pipeline.mix_sources(spark, docs(data), folder).collect():
+        out[x.source] += len(x.text.split())
+    assert out == got
+    made = mixing.mix(
+        spark.createDataFrame([(i, i, s, len(t.split())) for i, t, _, s in data], "row long, id long, source string, size long"),
+        slots=1, exact=True,
+    )
+    pieces = made.pieces.collect()
+    assert sum(p.words for p in pieces) == sum(got.values())
+    assert all(0 <= p.slot < -(-sum(sizes.values()) // made.block) for p in pieces)

@@ -142,7 +142,7 @@ class Mix:
 
 def mix(
     rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 0,
-    slots: int = SLOTS,
+    slots: int = SLOTS, exact: bool = False,
 ) -> Mix:
     """Schedule of the mix over a written table (row, id, source, size).
 
@@ -150,6 +150,10 @@ def mix(
     rows of size 0 are never taken; repeated rows are mixed like any other; an
     empty table gives empty tables. A source whose slots would exceed ``most``
     times its size stops exactly there.
+
+    With ``exact`` every source ends at its own target, rounded to a word: its
+    last slot is partial, slots beyond stay empty, and blocks for which the points
+    gave it no slot are spread evenly over the mix, beside the slots' own owners.
     """
     spark = rows.sparkSession
     by_source = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
@@ -161,8 +165,12 @@ def mix(
     block = max(1, math.ceil(total / max(slots, SLOTS_PER_SOURCE * len(parts))))
     number = math.ceil(total / block)
     filled = slots_of(number, parts)
+    words = [
+        (2 * p.numerator + p.denominator) // (2 * p.denominator) if exact else min(n * block, p.size * most)
+        for p, n in zip(parts, filled, strict=True)
+    ]
     table = spark.createDataFrame(
-        [(p.source, i, p.size, p.target, min(filled[i] * block, p.size * most)) for i, p in enumerate(parts)],
+        [(p.source, i, p.size, p.target, words[i]) for i, p in enumerate(parts)],
         "name string, owner long, source_size long, target double, words long",
     )
     owned = rows.join(table, rows["source"].eqNullSafe(table["name"])).drop("name")
@@ -173,13 +181,16 @@ def mix(
     begin = F.col("turn") * F.col("source_size") + F.col("at")
     end = F.least(begin + F.col("size"), F.col("words"))
     cut = (
-        turns.select("row", "owner", "turn", begin.alias("begin"), end.alias("end")).where("end > begin")
+        turns.select("row", "owner", "words", "turn", begin.alias("begin"), end.alias("end")).where("end > begin")
         .select("*", F.explode(F.expr(f"sequence(begin div {block}, (end - 1) div {block})")).alias("rank"))
     )
     low = F.greatest("begin", F.col("rank") * block)
     high = F.least("end", (F.col("rank") + 1) * block)
-    pieces = cut.join(plan, ["owner", "rank"]).select(
-        "slot", "owner", "rank", "row", "turn", (low - F.col("begin")).alias("start"), (high - low).alias("words")
+    # Only an exact mix has blocks without a slot: those go evenly over all slots.
+    blocks = F.ceil(F.col("words") / block).cast("long")
+    spread = F.floor((F.col("rank") + 0.5) * number / blocks).cast("long")
+    pieces = cut.join(plan, ["owner", "rank"], "left").select(
+        F.coalesce("slot", spread).alias("slot"), "owner", "rank", "row", "turn", (low - F.col("begin")).alias("start"), (high - low).alias("words")
     )
     return Mix(owned, pieces, block)
 
