@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webstrata.llm import chat, langid, media, mixing, packing, quality, simhash, topk, toxicity, warc
+from webstrata.llm import (
+    chat, langid, manifest, media, mixing, packing, quality, simhash, subvector, topk, toxicity, warc, wordbpe,
+)
 from webstrata.llm.shared import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +156,99 @@ def op9(read):
 @register("op10_cross_parsing_language")
 def op10(read):
     return langid.identify(read("documents"))
+
+
+@register("op11_distinct_word_bpe")
+def op11(read):
+    return wordbpe.round_trip(read("documents"))
+
+
+def _kmeans_sql(rounds: int = 5) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        # One row per vector: its nearest centroid of this round.
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT v.vec_id, v.e, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i]))) AS distance
+  FROM v, c{r} AS c QUALIFY row_number() OVER (PARTITION BY v.n ORDER BY distance, c.c) = 1)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c, list(m ORDER BY d) AS e FROM (
+    SELECT c, d, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS m
+    FROM (SELECT c, unnest(range(1, 65)) AS d, unnest(e) AS x FROM a{r}) GROUP BY c, d) GROUP BY c
+  UNION ALL SELECT c, e FROM c{r} WHERE c NOT IN (SELECT c FROM a{r}))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, [floor(256 * x::DOUBLE)::HUGEINT FOR x IN embedding] AS e, row_number() OVER () AS n FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, e) - 1 AS c, e FROM v QUALIFY c < 40),
+{", ".join(steps)},
+s AS (SELECT c, sum(distance) AS cluster_inertia FROM a{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, distance::BIGINT AS distance, cluster_inertia::BIGINT AS cluster_inertia,
+  (SELECT sum(cluster_inertia) FROM s)::BIGINT AS inertia,
+  sha256(array_to_string([x::VARCHAR FOR x IN f.e], ',')) AS centroid_sha256
+FROM a{rounds} JOIN s USING (c) JOIN c{rounds} AS f USING (c)
+"""
+
+
+@register("op12_subvector_kmeans", _kmeans_sql())
+def op12(read):
+    return subvector.cluster(read("embeddings"))
+
+
+@register("op13_octopus_manifest", """
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, doc_id, lang, n_chars,
+    [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text] AS plain,
+    [doc_id::VARCHAR, source, lang, (n_chars + 1)::VARCHAR, text] AS other,
+    -- crc32 of the decimal id, bit by bit
+    xor(4294967295, list_reduce(
+      list_concat([4294967295::BIGINT], [ord(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+      lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, step: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS crc
+  FROM documents),
+leaf AS MATERIALIZED (
+  SELECT n, doc_id, lang,
+    sha256(array_to_string([coalesce(strlen(x) || ':' || x, '-') FOR x IN plain], '')) AS h,
+    CASE WHEN crc % 7 = 0 AND n_chars IS NOT NULL
+      THEN sha256(array_to_string([coalesce(strlen(x) || ':' || x, '-') FOR x IN other], '')) END AS altered
+  FROM d),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h, n) - 1 AS pos FROM leaf),
+t AS MATERIALIZED (
+  SELECT lang, count(*) AS n, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM leaf GROUP BY lang),
+node(tree, level, pos, size, h) AS (
+  SELECT tree, 0, p.pos, t.n, p.h FROM placed p JOIN t ON p.lang IS NOT DISTINCT FROM t.lang
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (any_value(size) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM node WHERE size > 1 GROUP BY tree, level, pos // 2),
+subroot AS MATERIALIZED (SELECT tree, h FROM node WHERE size = 1),
+top(level, pos, size, h) AS (
+  SELECT 0, tree, (SELECT count(*) FROM subroot), h FROM subroot
+  UNION ALL
+  SELECT level + 1, pos // 2, (any_value(size) + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM top WHERE size > 1 GROUP BY level, pos // 2),
+-- Proofs, level by level: the siblings so far and the folded digest.
+walk(n, tree, level, pos, size, proof, f) AS (
+  SELECT p.n, tree, 0, p.pos, t.n, '', coalesce(p.altered, p.h)
+  FROM placed p JOIN t ON p.lang IS NOT DISTINCT FROM t.lang
+  UNION ALL
+  SELECT w.n, w.tree, w.level + 1, w.pos // 2, (w.size + 1) // 2, w.proof || coalesce(s.h, ''),
+    sha256(CASE WHEN w.pos % 2 = 1 THEN s.h || f ELSE f || coalesce(s.h, '') END)
+  FROM walk w LEFT JOIN node s ON s.tree = w.tree AND s.level = w.level AND s.pos = xor(w.pos, 1)
+  WHERE w.size > 1),
+climb(n, level, pos, size, proof, f) AS (
+  SELECT n, 0, tree, (SELECT count(*) FROM subroot), proof, f FROM walk WHERE size = 1
+  UNION ALL
+  SELECT w.n, w.level + 1, w.pos // 2, (w.size + 1) // 2, w.proof || coalesce(s.h, ''),
+    sha256(CASE WHEN w.pos % 2 = 1 THEN s.h || f ELSE f || coalesce(s.h, '') END)
+  FROM climb w LEFT JOIN top s ON s.level = w.level AND s.pos = xor(w.pos, 1)
+  WHERE w.size > 1),
+root AS (SELECT h FROM top WHERE size = 1)
+SELECT p.doc_id, p.h AS leaf, subroot.h AS subroot, root.h AS root, sha256(c.proof) AS proof_sha256,
+  c.f AS folded_root, c.f = root.h AS verified
+FROM placed p JOIN t ON p.lang IS NOT DISTINCT FROM t.lang JOIN subroot USING (tree)
+  JOIN climb c ON c.n = p.n AND c.size = 1, root
+""")
+def op13(read):
+    return manifest.audit(read("documents"))
