@@ -8,9 +8,9 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.session import ship_package
+from webstrata.session import checkpoint_root, remove_at_end, ship_package
 
-__all__ = ["crc_mod", "fresh", "labelled_sample", "pick", "python_crc_mod", "ship_package"]
+__all__ = ["bucketed", "crc_mod", "fresh", "labelled_sample", "pick", "python_crc_mod", "ship_package"]
 
 
 def fresh(name: str) -> str:
@@ -26,6 +26,21 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a table bucketed by ``key`` below the checkpoint folder.
+
+    Later joins and groupings by the key read it in place, without a shuffle. It
+    has as many buckets as a shuffle has partitions and goes when the driver ends.
+    """
+    spark = df.sparkSession
+    name = f"webstrata_{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
+    remove_at_end(spark, path)
+    return spark.table(name)
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; NULL ids give NULL."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

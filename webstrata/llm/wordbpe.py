@@ -1,16 +1,17 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Texts are exploded into pre-tokens with their positions, block by block: a block
-is a bounded run of rows of one task, and holds its distinct pre-tokens plus the
-positions at which each stands, written as one compressed sequence of word
-numbers. Only distinct words are shuffled. Every word of the corpus is merged
-once, its ids are joined back to the blocks that hold it, and each block puts
-its documents together again by position. Decoding goes the same way, with the
-distinct ids of a block joined to the table of token bytes.
-
-A word that stands everywhere is one small row per block, so no join key grows
-with the number of its occurrences, and a block is the largest thing that a task
-holds (or one document, where that is larger).
+is a bounded run of documents of one task, and holds its distinct pre-tokens plus
+the position of every pre-token, as one compressed sequence of word numbers.
+Blocks are written once, bucketed by block, and stay where they are. The distinct
+words of all blocks are shuffled by word; where equal words meet, the word is
+merged once and its ids go back to every block that holds it, which puts its
+documents together again by position. Decoding looks every id up in the table of
+token bytes, whose size is that of the vocabulary file.
+
+A word that stands everywhere is one small row per block, so no task grows with
+the number of its occurrences, and a block (or one document, where that is
+larger) is the most that a task holds.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -27,16 +27,16 @@ import regex
 import tiktoken
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from webstrata.llm.shared import pick
-from webstrata.session import cut_lineage
+from webstrata.llm.shared import bucketed, pick
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: A block is closed when it holds this many symbols, at the end of a row.
-BLOCK_SYMBOLS = 400_000
+#: A block is closed at the end of the row with which it reaches this many pre-tokens.
+BLOCK_WORDS = 4_000_000
+#: Blocks that one task may make.
+TASK_BLOCKS = 1 << 11
 #: Longer texts are split piece by piece instead of into one list.
 LONG_TEXT = 1_000_000
 
@@ -47,15 +47,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, file))}
 
 
-class _Slots(dict):
-    """Numbers symbols in the order of their first appearance."""
-
-    def __missing__(self, symbol) -> int:
-        slot = self[symbol] = len(self)
-        return slot
-
-
-def _words(pattern: str) -> Callable[[str | None], Iterable[str]]:
+def _splitter(pattern: str) -> Callable[[str | None], Iterable[str]]:
     split = regex.compile(pattern)
 
     def words(text: str | None) -> Iterable[str]:
@@ -68,162 +60,178 @@ def _words(pattern: str) -> Callable[[str | None], Iterable[str]]:
     return words
 
 
-def _ids(stream: bytes | None) -> list[int]:
-    return np.frombuffer(stream or b"", "<u4").tolist()
+def pack_positions(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, compressed byte by byte position: the high bytes are nearly all zero."""
+    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _cut_blocks(make_split: Callable[[], Callable], symbol_type: pa.DataType, block_symbols: int):
-    """Task: rows (key, value) to blocks (block, keys, ends, symbols, positions)."""
+def unpack_positions(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pack = make_split(), zstandard.ZstdCompressor(level=1).compress
-        part, made = TaskContext.get().partitionId(), 0
-        slots, sequence, ends, keys, key_type = _Slots(), array("I"), [], [], None
-
-        def closed() -> pa.RecordBatch:
-            held = pa.concat_arrays(keys)
-            one_list = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            return pa.record_batch(
-                [
-                    pa.array([part << 32 | made], pa.int64()), one_list(held), one_list(pa.array(ends, pa.int64())),
-                    one_list(pa.array(list(slots), symbol_type)), pa.array([pack(sequence.tobytes())], pa.binary()),
-                ],
-                ["block", "keys", "ends", "symbols", "positions"],
-            )
 
-        for batch in batches:
-            first = 0
-            for row, value in enumerate(batch.column(1)):
-                sequence.extend(map(slots.__getitem__, split(value.as_py())))
-                ends.append(len(sequence))
-                if len(sequence) >= block_symbols:
-                    keys.append(batch.column(0).slice(first, row + 1 - first))
-                    yield closed()
-                    made, first = made + 1, row + 1
-                    slots, sequence, ends, keys = _Slots(), array("I"), [], []
-            if first < batch.num_rows:
-                keys.append(batch.column(0).slice(first))
-        if ends:
-            yield closed()
+class _Numbers(dict):
+    """Numbers words in the order of their first appearance."""
 
-    return run
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
 
 
-def _rebuild(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The documents of one block: values of their symbols, in order of position."""
-    value_of = [b""] * right.num_rows
-    for slot, value in zip(right.column("slot").to_pylist(), right.column("value").to_pylist(), strict=True):
-        value_of[slot] = value
-    unpack = zstandard.ZstdDecompressor().decompress
-    keys, values = [], []
-    for row in range(left.num_rows):  # a block is one row
-        sequence = np.frombuffer(unpack(left.column("positions")[row].as_py()), np.uint32)
-        start = 0
-        for end in left.column("ends")[row].as_py():
-            values.append(b"".join(map(value_of.__getitem__, sequence[start:end].tolist())))
-            start = end
-        keys.append(left.column("keys")[row].values)
-    return pa.table({"key": pa.concat_arrays(keys), "value": pa.array(values, pa.binary())})
+class _Block:
+    """Documents of one block: keys as Arrow slices, word numbers, ends of the documents."""
 
+    def __init__(self):
+        self.numbers, self.sequence, self.ends, self.keys = _Numbers(), array("I"), [], []
 
-def _through_symbols(
-    rows: DataFrame, make_split: Callable[[], Callable], symbol: T.DataType,
-    values_of: Callable[[DataFrame], DataFrame], block_symbols: int,
-) -> DataFrame:
-    """Rows (key, value) with the value replaced by the joined values of its symbols.
+    def record(self, block: int) -> pa.RecordBatch:
+        # Frequent words get the small numbers, so that most high bytes are zero.
+        sequence = np.frombuffer(self.sequence, np.uint32)
+        order = np.argsort(-np.bincount(sequence, minlength=len(self.numbers)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        words = pa.array(list(self.numbers), pa.string()).take(pa.array(order))
 
-    ``values_of`` gets the distinct symbols as a table (symbol) and gives one row
-    (symbol, value) for each of them, or for more.
-    """
-    key = rows.schema["key"]
-    blocks = cut_lineage(rows.select("key", "value").mapInArrow(
-        _cut_blocks(make_split, pa.string() if symbol == T.StringType() else pa.int32(), block_symbols),
-        T.StructType([
-            T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(key.dataType)),
-            T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("symbols", T.ArrayType(symbol)),
-            T.StructField("positions", T.BinaryType()),
-        ]),
-    ))
-    placed = blocks.select("block", F.posexplode("symbols").alias("slot", "symbol"))
-    # A symbol without a value stays, as NULL, and fails the block that holds it.
-    valued = placed.join(values_of(placed.select("symbol").distinct()), "symbol", "left").select(
-        F.col("block").alias("of_block"), "slot", "value"
-    )
-    return (
-        blocks.select("block", "keys", "ends", "positions").groupBy("block").cogroup(valued.groupBy("of_block"))
-        .applyInArrow(_rebuild, T.StructType([T.StructField("key", key.dataType), T.StructField("value", T.BinaryType())]))
-    )
+        def one(values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+        return pa.record_batch(
+            [
+                pa.array([block], pa.int32()), one(pa.concat_arrays(self.keys)), one(pa.array(self.ends, pa.int64())),
+                one(words), pa.array([pack_positions(rank[sequence])], pa.binary()),
+            ],
+            ["block", "keys", "ends", "words", "positions"],
+        )
+
+
+def _explode(pattern: str, block_words: int):
+    """Task: rows (key, text) to blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, part, made, block = _splitter(pattern), TaskContext.get().partitionId(), 0, _Block()
+        for batch in batches:
+            first = 0
+            for row, text in enumerate(batch.column(1)):
+                block.sequence.extend(map(block.numbers.__getitem__, words(text.as_py())))
+                block.ends.append(len(block.sequence))
+                if len(block.sequence) >= block_words:
+                    block.keys.append(batch.column(0).slice(first, row + 1 - first))
+                    yield block.record(part * TASK_BLOCKS + made)
+                    made, first, block = made + 1, row + 1, _Block()
+                    if made == TASK_BLOCKS:
+                        raise ValueError(f"a task holds more than {TASK_BLOCKS} blocks: read the table in more partitions")
+            if first < batch.num_rows:
+                block.keys.append(batch.column(0).slice(first))
+        if block.ends:
+            yield block.record(part * TASK_BLOCKS + made)
 
+    return run
 
-def _merge(path: str, pattern: str):
-    """Task: ids of distinct words as little-endian unsigned 32-bit integers."""
+
+def _merge(path: str, pattern: str, kind: str):
+    """Task: rows (word, block, slot) sorted by word to (block, slot, ids); a word is merged once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
+        last, ids = None, b""
         for batch in batches:
-            # A word is one match already; it is merged without being split again.
-            ids = [engine._encode_single_piece(w.encode()) for w in batch.column(0).to_pylist()]
-            flat = np.fromiter(chain.from_iterable(ids), "<u4")
-            ends = np.cumsum([0, *map(len, ids)]) * 4
-            stream = memoryview(flat.tobytes())
-            values = [bytes(stream[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.record_batch([batch.column(0), pa.array(values, pa.binary())], ["symbol", "value"])
+            runs = batch.column(0).dictionary_encode()
+            of_run = []
+            for word in runs.dictionary.to_pylist():
+                if word != last:
+                    # A word is one match already; it is merged without being split again.
+                    last, ids = word, np.array(engine._encode_single_piece(word.encode()), kind).tobytes()
+                of_run.append(ids)
+            values = pa.array(of_run, pa.binary()).take(runs.indices)
+            yield pa.record_batch([batch.column(1), batch.column(2), values], ["of_block", "slot", "ids"])
 
     return run
 
 
-def token_bytes(spark: SparkSession, ranks: str = RANKS) -> DataFrame:
-    """The vocabulary as a table (symbol int, value binary), one row per id."""
-    table = sorted((i, b) for b, i in read_ranks(public_tokenizers.path(ranks)).items())
-    return spark.createDataFrame(table, "symbol int, value binary")
+def _rebuild(kind: str):
+    """The documents of one block: ids of their words, in order of position."""
+
+    def run(blocks: pa.Table, found: pa.Table) -> pa.Table:
+        ids_of = [b""] * found.num_rows
+        for slot, ids in zip(found.column("slot").to_pylist(), found.column("ids").to_pylist(), strict=True):
+            ids_of[slot] = np.frombuffer(ids, kind).astype("<u4").tobytes()
+        sequence = unpack_positions(blocks.column("positions")[0].as_py())  # a block is one row
+        out, start = [], 0
+        for end in blocks.column("ends")[0].as_py():
+            out.append(b"".join(map(ids_of.__getitem__, sequence[start:end].tolist())))
+            start = end
+        return pa.table({"key": blocks.column("keys")[0].values, "ids": pa.array(out, pa.binary())})
+
+    return run
 
 
 def encode(
     documents: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN,
-    id_col: str = "doc_id", text_col: str = "text", block_symbols: int = BLOCK_SYMBOLS,
+    id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """One row per document: doc_id, ids (binary, little-endian unsigned 32-bit).
+    """One row per document: id and ``ids`` (binary, little-endian unsigned 32-bit).
 
     Each match of ``pattern`` is merged by the ranks of the file. NULL and empty
     texts have no ids; repeated rows and NULL ids are encoded like any other
     row; texts and words may be of any length; an empty table gives an empty
     table. Further columns of the input play no part.
     """
-    rows = pick(documents, key=id_col, value=text_col)
+    rows = pick(documents, key=id_col, text=text_col)
     path = public_tokenizers.path(ranks)
+    kind = "<u2" if max(read_ranks(path).values()) < 1 << 16 else "<u4"
+    key = rows.schema["key"].dataType.simpleString()
+    blocks = bucketed(
+        rows.mapInArrow(
+            _explode(pattern, block_words),
+            f"block int, keys array<{key}>, ends array<long>, words array<string>, positions binary",
+        ),
+        "block",
+    )
+    placed = blocks.select(F.posexplode("words").alias("slot", "word"), "block").select("word", "block", "slot")
+    found = placed.repartition("word").sortWithinPartitions("word").mapInArrow(
+        _merge(path, pattern, kind), "of_block int, slot int, ids binary"
+    )
+    built = (
+        blocks.select("block", "keys", "ends", "positions").groupBy("block").cogroup(found.groupBy("of_block"))
+        .applyInArrow(_rebuild(kind), f"key {key}, ids binary")
+    )
+    return built.select(F.col("key").alias(id_col), "ids")
 
-    def merged(words: DataFrame) -> DataFrame:
-        # Written, so that a word is merged once however often the join is run.
-        return cut_lineage(words.mapInArrow(_merge(path, pattern), "symbol string, value binary"))
 
-    coded = _through_symbols(rows, lambda: _words(pattern), T.StringType(), merged, block_symbols)
-    return coded.select(F.col("key").alias("doc_id"), F.col("value").alias("ids"))
+def _look_up(path: str):
+    """Task: appends the bytes of the ids in the second column."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token_of = {rank: token for token, rank in read_ranks(path).items()}
+        for batch in batches:
+            out = [
+                b"".join(map(token_of.__getitem__, np.frombuffer(ids.as_py() or b"", "<u4").tolist()))
+                for ids in batch.column(1)
+            ]
+            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["key", "decoded"])
 
-def decode(
-    encoded: DataFrame, ranks: str = RANKS, key_col: str = "doc_id", ids_col: str = "ids",
-    block_symbols: int = BLOCK_SYMBOLS,
-) -> DataFrame:
+    return run
+
+
+def decode(encoded: DataFrame, ranks: str = RANKS, key_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row of ``encoded``: its key and ``decoded``, the bytes of its ids.
 
-    NULL and empty ids decode to nothing. An id outside the vocabulary is an
-    error, since dropping it would change a text.
+    Ids are joined to the table of token bytes inside the scan: every task holds
+    that table, which has as many rows as the vocabulary file, so nothing is
+    shuffled. NULL and empty ids decode to nothing; an id that the file does not
+    have is an error.
     """
-    known = token_bytes(encoded.sparkSession, ranks)
-    out = _through_symbols(
-        pick(encoded, key=key_col, value=ids_col), lambda: _ids, T.IntegerType(),
-        lambda _: F.broadcast(known),  # as many rows as the vocabulary file
-        block_symbols,
-    )
-    return out.select(F.col("key").alias(key_col), F.col("value").alias("decoded"))
+    rows = pick(encoded, key=key_col, ids=ids_col)
+    key = rows.schema["key"].dataType.simpleString()
+    found = rows.mapInArrow(_look_up(public_tokenizers.path(ranks)), f"key {key}, decoded binary")
+    return found.select(F.col("key").alias(key_col), "decoded")
 
 
-def round_trip(documents: DataFrame, **options) -> DataFrame:
+def round_trip(documents: DataFrame, ranks: str = RANKS, **options) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, encoded and decoded again."""
+    coded = encode(pick(documents, doc_id=options.pop("id_col", "doc_id"), text=options.pop("text_col", "text")), ranks, **options)
     digests = F.struct(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256")
     )
-    coded = encode(documents, **options).select(digests.alias("doc"), "ids")
-    return decode(coded, key_col="doc", **{k: v for k, v in options.items() if k in ("ranks", "block_symbols")}).select(
-        "doc.*", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    decoded = decode(coded.select(digests.alias("doc"), "ids"), ranks, key_col="doc")
+    return decoded.select("doc.*", F.sha2("decoded", 256).alias("decoded_sha256"))
