@@ -99,32 +99,36 @@ def fold(digest: bytes, proof: Iterable[tuple[int, bytes]]) -> bytes:
     return digest
 
 
-def _climb(group: pa.Table) -> pa.Table:
-    """Interior nodes above one aligned block, up to ``HEIGHT`` levels or the root."""
-    tree, level, size = (group.column(c)[0].as_py() for c in ("tree", "level", "size"))
-    at = group.column("at").to_pylist()
-    here = dict(zip(at, group.column("digest").to_pylist(), strict=True))
-    levels, indexes, digests = [], [], []
-    for step in range(1, HEIGHT + 1):
-        if size == 1:
-            break
-        here = {p: parent_digest(here[i] for i in (2 * p, 2 * p + 1) if i in here) for p in sorted({i >> 1 for i in here})}
-        size = -(-size // 2)
-        levels += [level + step] * len(here)
-        indexes += here
-        digests += here.values()
-    return pa.table({
-        "tree": pa.array([tree] * len(levels), pa.int64()), "level": pa.array(levels, pa.int32()),
-        "at": pa.array(indexes, pa.int64()), "digest": pa.array(digests, pa.binary()),
-    })
+def _climb(height: int):
+    """Interior nodes above one aligned block, up to ``height`` levels or the root."""
+
+    def run(group: pa.Table) -> pa.Table:
+        tree, level, size = (group.column(c)[0].as_py() for c in ("tree", "level", "size"))
+        here = dict(zip(group.column("at").to_pylist(), group.column("digest").to_pylist(), strict=True))
+        levels, indexes, digests = [], [], []
+        for step in range(1, height + 1):
+            if size == 1:
+                break
+            parents = sorted({i >> 1 for i in here})
+            here = {p: parent_digest(here[i] for i in (2 * p, 2 * p + 1) if i in here) for p in parents}
+            size = -(-size // 2)
+            levels += [level + step] * len(here)
+            indexes += here
+            digests += here.values()
+        return pa.table({
+            "tree": pa.array([tree] * len(levels), pa.int64()), "level": pa.array(levels, pa.int32()),
+            "at": pa.array(indexes, pa.int64()), "digest": pa.array(digests, pa.binary()),
+        })
+
+    return run
 
 
-def build_nodes(leaves: DataFrame, sizes: DataFrame) -> DataFrame:
+def build_nodes(leaves: DataFrame, sizes: DataFrame, height: int = HEIGHT) -> DataFrame:
     """All nodes (tree, level, at, digest), leaves included.
 
     ``leaves`` has (tree, at, digest) with gapless positions per tree, ``sizes``
     one row (tree, leaves). A round reads the nodes of one level, so the rounds
-    number log(largest tree) / ``HEIGHT``.
+    number log(largest tree) / ``height``.
     """
     largest = sizes.agg(F.max("leaves")).first()[0] or 0
     nodes = leaves.select("tree", F.lit(0).alias("level"), "at", "digest")
@@ -132,18 +136,18 @@ def build_nodes(leaves: DataFrame, sizes: DataFrame) -> DataFrame:
     while (largest - 1) >> level > 0:
         width = F.ceil(F.col("leaves") / F.lit(1 << level)).cast("long")
         base = rounds[-1].where(F.col("level") == level).join(sizes, "tree").select(
-            "tree", "level", "at", "digest", width.alias("size"), F.shiftright("at", HEIGHT).alias("block")
+            "tree", "level", "at", "digest", width.alias("size"), F.shiftright("at", height).alias("block")
         )
-        grown = base.groupBy("tree", "block").applyInArrow(_climb, _NODES)
+        grown = base.groupBy("tree", "block").applyInArrow(_climb(height), _NODES)
         rounds.append(cut_lineage(grown))
-        level += HEIGHT
+        level += height
     out = rounds[0]
     for more in rounds[1:]:
         out = out.unionByName(more)
     return out
 
 
-def positions(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
+def positions(rows: DataFrame, tree: str, order: list[str], part_leaves: int = PART) -> DataFrame:
     """Adds at (place in its tree) and part (leaf partition).
 
     Rows are range-partitioned by tree, order and row number, so equal rows are
@@ -161,7 +165,7 @@ def positions(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
     named = runs.select(F.col(tree).alias("run_tree"), F.col("slice").alias("run_slice"), "first", "base")
     match = sliced[tree].eqNullSafe(F.col("run_tree")) & (sliced["slice"] == F.col("run_slice"))
     placed = sliced.join(named, match).withColumn("at", F.col("base") + F.col("line") - F.col("first"))
-    return placed.withColumn("part", F.floor(F.col("at") / PART)).drop(
+    return placed.withColumn("part", F.floor(F.col("at") / part_leaves)).drop(
         "run_tree", "run_slice", "slice", "first", "base", "line", "row"
     )
 
@@ -242,7 +246,7 @@ class Manifest:
     top: Tree
 
 
-def build(leaves: DataFrame) -> Manifest:
+def build(leaves: DataFrame, height: int = HEIGHT, part_leaves: int = PART) -> Manifest:
     """Manifest of leaves (lang, id, digest, claimed), claimed being what a holder of the leaf presents.
 
     Leaves ascend by id (NULL first), equal ids by digest. Languages ascend
@@ -253,15 +257,15 @@ def build(leaves: DataFrame) -> Manifest:
     named = languages.select(F.col("lang").alias("of_lang"), "tree")
     dealt = leaves.join(named, leaves["lang"].eqNullSafe(named["of_lang"])).select("tree", "id", "digest", "claimed")
     sizes = languages.select("tree", "leaves")
-    placed = cut_lineage(positions(dealt, "tree", ["id", "digest"]))
-    documents = Tree(placed, build_nodes(placed, sizes), sizes)
+    placed = cut_lineage(positions(dealt, "tree", ["id", "digest"], part_leaves))
+    documents = Tree(placed, build_nodes(placed, sizes, height), sizes)
     subroots = documents.roots().select(
-        F.lit(0).cast("long").alias("tree"), F.floor(F.col("tree") / PART).alias("part"), F.col("tree").alias("at"),
+        F.lit(0).cast("long").alias("tree"), F.floor(F.col("tree") / part_leaves).alias("part"), F.col("tree").alias("at"),
         F.col("tree").alias("id"), "digest", F.col("digest").alias("claimed"),
     )
     top = cut_lineage(subroots)
     count = top.groupBy("tree").agg(F.count("*").alias("leaves"))
-    return Manifest(languages, documents, Tree(top, build_nodes(top, count), count))
+    return Manifest(languages, documents, Tree(top, build_nodes(top, count, height), count))
 
 
 def _fold_hex(start: Column, sides: Column, siblings: Column) -> Column:
@@ -283,7 +287,8 @@ def _fold_hex(start: Column, sides: Column, siblings: Column) -> Column:
 
 def audit(
     documents: DataFrame, tamper: int = TAMPER, id_col: str = "doc_id", source_col: str = "source",
-    lang_col: str = "lang", chars_col: str = "n_chars", text_col: str = "text",
+    lang_col: str = "lang", chars_col: str = "n_chars", text_col: str = "text", height: int = HEIGHT,
+    part_leaves: int = PART,
 ) -> DataFrame:
     """One row per document: doc_id, leaf, subroot, root, proof_sha256, folded_root, verified.
 
@@ -303,7 +308,7 @@ def audit(
     leaves = cut_lineage(rows.select(
         "lang", "id", F.unhex(digest).alias("digest"), F.unhex(F.when(altered, other)).alias("other")
     )).select("lang", "id", "digest", F.coalesce("other", "digest").alias("claimed"))
-    manifest = build(leaves)
+    manifest = build(leaves, height, part_leaves)
     above = manifest.top.proofs().select(
         F.col("id").alias("tree"), F.col("top").alias("root"), F.col("sides").alias("up_sides"),
         F.col("siblings").alias("up"),
