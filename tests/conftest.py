@@ -27,8 +27,3 @@ def spark():
 @pytest.fixture(scope="session")
 def folder():
     return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-
-
-def one(spark, **values):
-    """One-row frame of string columns."""
-    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values))

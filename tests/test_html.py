@@ -1,5 +1,5 @@
 import pytest
-from conftest import one
+from harness import one
 from pyspark.sql import functions as F
 
 from webstrata.functions import html as H
