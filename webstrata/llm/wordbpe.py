@@ -34,9 +34,11 @@ from webstrata.llm.shared import bucketed, pick
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: A block is closed at the end of the row with which it reaches this many pre-tokens.
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 3_000_000
 #: Blocks that one task may make.
 TASK_BLOCKS = 1 << 11
+#: Merged rows that a task gathers before it sends them back, one packed row per block.
+RETURN_ROWS = 400_000
 #: Longer texts are split piece by piece instead of into one list.
 LONG_TEXT = 1_000_000
 
@@ -62,7 +64,8 @@ def _splitter(pattern: str) -> Callable[[str | None], Iterable[str]]:
 
 def pack_positions(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers, compressed byte by byte position: the high bytes are nearly all zero."""
-    return zstandard.ZstdCompressor(level=1).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def unpack_positions(packed: bytes) -> np.ndarray:
@@ -128,41 +131,73 @@ def _explode(pattern: str, block_words: int):
     return run
 
 
-def _merge(path: str, pattern: str, kind: str):
-    """Task: rows (word, block, slot) sorted by word to (block, slot, ids); a word is merged once."""
+def _merge(path: str, pattern: str):
+    """Task: rows (word, block, slot) sorted by word to packed ids; a word is merged once.
+
+    An output row holds some slots of one block: the slots, the number of ids of
+    each, and the ids, one after the other.
+    """
+
+    def packed(rows: list[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        block, slot, count, ids = (np.concatenate(c) for c in zip(*rows, strict=True))
+        order = np.argsort(block, kind="stable")
+        first = np.cumsum(count) - count
+        block, slot, sorted_count, first = block[order], slot[order], count[order], first[order]
+        # Ids in the new order: the start of each run, counted on.
+        ids = ids[np.repeat(first - (np.cumsum(sorted_count) - sorted_count), sorted_count) + np.arange(len(ids))]
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        id_ends = np.r_[0, np.cumsum(sorted_count)]
+        out = [
+            (int(block[a]), pack_positions(slot[a:b]), pack_positions(sorted_count[a:b]), pack_positions(ids[id_ends[a]:id_ends[b]]))
+            for a, b in zip(starts, np.r_[starts[1:], len(block)], strict=True)
+        ]
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.record_batch(
+            [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+            ["of_block", "slots", "counts", "ids"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-        last, ids = None, b""
+        last, ids, held, size = None, [], [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             runs = batch.column(0).dictionary_encode()
             of_run = []
             for word in runs.dictionary.to_pylist():
                 if word != last:
                     # A word is one match already; it is merged without being split again.
-                    last, ids = word, np.array(engine._encode_single_piece(word.encode()), kind).tobytes()
+                    last, ids = word, engine._encode_single_piece(word.encode())
                 of_run.append(ids)
-            values = pa.array(of_run, pa.binary()).take(runs.indices)
-            yield pa.record_batch([batch.column(1), batch.column(2), values], ["of_block", "slot", "ids"])
+            values = pa.array(of_run, pa.list_(pa.uint32())).take(runs.indices)
+            held.append((
+                batch.column(1).to_numpy(), batch.column(2).to_numpy(),
+                np.diff(values.offsets.to_numpy()), values.flatten().to_numpy(),
+            ))
+            size += batch.num_rows + len(held[-1][3])
+            if size >= RETURN_ROWS:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
 
     return run
 
 
-def _rebuild(kind: str):
+def _rebuild(blocks: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of one block: ids of their words, in order of position."""
-
-    def run(blocks: pa.Table, found: pa.Table) -> pa.Table:
-        ids_of = [b""] * found.num_rows
-        for slot, ids in zip(found.column("slot").to_pylist(), found.column("ids").to_pylist(), strict=True):
-            ids_of[slot] = np.frombuffer(ids, kind).astype("<u4").tobytes()
-        sequence = unpack_positions(blocks.column("positions")[0].as_py())  # a block is one row
-        out, start = [], 0
-        for end in blocks.column("ends")[0].as_py():
-            out.append(b"".join(map(ids_of.__getitem__, sequence[start:end].tolist())))
-            start = end
-        return pa.table({"key": blocks.column("keys")[0].values, "ids": pa.array(out, pa.binary())})
-
-    return run
+    ids_of: dict[int, bytes] = {}
+    for row in range(found.num_rows):
+        slots, counts, ids = (unpack_positions(found.column(c)[row].as_py()) for c in ("slots", "counts", "ids"))
+        stream, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
+        ids_of.update(zip(slots.tolist(), map(stream.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+    sequence = unpack_positions(blocks.column("positions")[0].as_py())  # a block is one row
+    out, start = [], 0
+    for end in blocks.column("ends")[0].as_py():
+        out.append(b"".join(map(ids_of.__getitem__, sequence[start:end].tolist())))
+        start = end
+    return pa.table({"key": blocks.column("keys")[0].values, "ids": pa.array(out, pa.binary())})
 
 
 def encode(
@@ -178,7 +213,6 @@ def encode(
     """
     rows = pick(documents, key=id_col, text=text_col)
     path = public_tokenizers.path(ranks)
-    kind = "<u2" if max(read_ranks(path).values()) < 1 << 16 else "<u4"
     key = rows.schema["key"].dataType.simpleString()
     blocks = bucketed(
         rows.mapInArrow(
@@ -189,11 +223,11 @@ def encode(
     )
     placed = blocks.select(F.posexplode("words").alias("slot", "word"), "block").select("word", "block", "slot")
     found = placed.repartition("word").sortWithinPartitions("word").mapInArrow(
-        _merge(path, pattern, kind), "of_block int, slot int, ids binary"
+        _merge(path, pattern), "of_block int, slots binary, counts binary, ids binary"
     )
     built = (
         blocks.select("block", "keys", "ends", "positions").groupBy("block").cogroup(found.groupBy("of_block"))
-        .applyInArrow(_rebuild(kind), f"key {key}, ids binary")
+        .applyInArrow(_rebuild, f"key {key}, ids binary")
     )
     return built.select(F.col("key").alias(id_col), "ids")
 
