@@ -72,10 +72,11 @@ def test_decode(spark):
         wordbpe.decode(spark.createDataFrame([(1, bad)], "doc_id long, ids binary")).collect()
 
 
-def test_positions_round_trip():
+def test_numbers_round_trip():
     r = np.random.default_rng(0)
-    for numbers in (np.zeros(0, np.uint32), np.arange(5, dtype=np.uint32), r.integers(0, 2**32, 1000, np.uint32)):
-        assert (wordbpe.unpack_positions(wordbpe.pack_positions(numbers)) == numbers).all()
+    edges = np.array([0, 1, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28 - 1, 2**28, 2**32 - 1], np.uint32)
+    for numbers in (np.zeros(0, np.uint32), edges, np.arange(5, dtype=np.uint32), r.integers(0, 2**32, 1000, np.uint32)):
+        assert (wordbpe.unpack_numbers(wordbpe.pack_numbers(numbers)) == numbers).all()
 
 
 def test_empty(spark, docs):

@@ -62,15 +62,27 @@ def _splitter(pattern: str) -> Callable[[str | None], Iterable[str]]:
     return words
 
 
-def pack_positions(numbers: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, compressed byte by byte position: the high bytes are nearly all zero."""
-    planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack_positions(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers at 7 bits a byte, the lowest first, then compressed over the whole block."""
+    left = np.ascontiguousarray(numbers).astype(np.uint32)
+    size = np.maximum(1, (np.frexp(left.astype(np.float64))[1] + 6) // 7)
+    coded = np.empty((len(left), 5), np.uint8)
+    for k in range(5):
+        coded[:, k] = (left & 127) | np.where(size > k + 1, 128, 0)
+        left >>= 7
+    plain = coded[np.arange(5) < size[:, None]].tobytes()
+    options = zstandard.ZstdCompressionParameters.from_level(3, window_log=24, enable_ldm=True)
+    return zstandard.ZstdCompressor(compression_params=options).compress(plain)
+
+
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    coded = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    if not len(coded):
+        return np.zeros(0, np.uint32)
+    first = np.r_[True, coded[:-1] < 128]
+    starts = np.flatnonzero(first)
+    place = np.arange(len(coded), dtype=np.uint32) - np.repeat(starts, np.diff(np.r_[starts, len(coded)])).astype(np.uint32)
+    return np.add.reduceat((coded & 127).astype(np.uint32) << (7 * place), starts, dtype=np.uint32)
 
 
 class _Numbers(dict):
@@ -101,7 +113,7 @@ class _Block:
         return pa.record_batch(
             [
                 pa.array([block], pa.int32()), one(pa.concat_arrays(self.keys)), one(pa.array(self.ends, pa.int64())),
-                one(words), pa.array([pack_positions(rank[sequence])], pa.binary()),
+                one(words), pa.array([pack_numbers(rank[sequence])], pa.binary()),
             ],
             ["block", "keys", "ends", "words", "positions"],
         )
@@ -132,34 +144,36 @@ def _explode(pattern: str, block_words: int):
 
 
 def _merge(path: str, pattern: str):
-    """Task: rows (word, block, slot) sorted by word to packed ids; a word is merged once.
+    """Task: rows (word, place) sorted by word to packed ids; a word is merged once.
 
-    An output row holds some slots of one block: the slots, the number of ids of
-    each, and the ids, one after the other.
+    An output row holds some words of one block: the gaps between their numbers,
+    how many ids each has, and the ids, one after the other.
     """
 
-    def packed(rows: list[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        block, slot, count, ids = (np.concatenate(c) for c in zip(*rows, strict=True))
-        order = np.argsort(block, kind="stable")
-        first = np.cumsum(count) - count
-        block, slot, sorted_count, first = block[order], slot[order], count[order], first[order]
-        # Ids in the new order: the start of each run, counted on.
-        ids = ids[np.repeat(first - (np.cumsum(sorted_count) - sorted_count), sorted_count) + np.arange(len(ids))]
-        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        id_ends = np.r_[0, np.cumsum(sorted_count)]
-        out = [
-            (int(block[a]), pack_positions(slot[a:b]), pack_positions(sorted_count[a:b]), pack_positions(ids[id_ends[a]:id_ends[b]]))
-            for a, b in zip(starts, np.r_[starts[1:], len(block)], strict=True)
-        ]
+    def packed(places: list[np.ndarray], counts: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
+        place, count, flat = map(np.concatenate, (places, counts, ids))
+        order = np.argsort(place)
+        first = (np.cumsum(count) - count)[order]
+        place, count = place[order], count[order]
+        ends = np.cumsum(count)
+        # Ids in the order of the places: the start of each run, counted on.
+        flat = flat[np.repeat(first - (ends - count), count) + np.arange(len(flat))]
+        block, slot = place >> 32, place & 0xFFFFFFFF
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist()
+        id_at = np.r_[0, ends].tolist()
+        columns = [[], [], [], []]
+        for a, b in zip(starts, [*starts[1:], len(block)], strict=True):
+            values = block[a], np.diff(slot[a:b], prepend=0), count[a:b], flat[id_at[a]:id_at[b]]
+            for column, value in zip(columns, (int(values[0]), *map(pack_numbers, values[1:])), strict=True):
+                column.append(value)
         kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.record_batch(
-            [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-            ["of_block", "slots", "counts", "ids"],
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["of_block", "gaps", "counts", "ids"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
-        last, ids, held, size = None, [], [], 0
+        last, ids, held, size = None, [], ([], [], []), 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -171,16 +185,15 @@ def _merge(path: str, pattern: str):
                     last, ids = word, engine._encode_single_piece(word.encode())
                 of_run.append(ids)
             values = pa.array(of_run, pa.list_(pa.uint32())).take(runs.indices)
-            held.append((
-                batch.column(1).to_numpy(), batch.column(2).to_numpy(),
-                np.diff(values.offsets.to_numpy()), values.flatten().to_numpy(),
-            ))
-            size += batch.num_rows + len(held[-1][3])
+            rows = batch.column(1).to_numpy(), np.diff(values.offsets.to_numpy()), values.flatten().to_numpy()
+            for part, own in zip(held, rows, strict=True):
+                part.append(own)
+            size += len(rows[0]) + len(rows[2])
             if size >= RETURN_ROWS:
-                yield packed(held)
-                held, size = [], 0
-        if held:
-            yield packed(held)
+                yield packed(*held)
+                held, size = ([], [], []), 0
+        if size:
+            yield packed(*held)
 
     return run
 
@@ -189,10 +202,10 @@ def _rebuild(blocks: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of one block: ids of their words, in order of position."""
     ids_of: dict[int, bytes] = {}
     for row in range(found.num_rows):
-        slots, counts, ids = (unpack_positions(found.column(c)[row].as_py()) for c in ("slots", "counts", "ids"))
+        gaps, counts, ids = (unpack_numbers(found.column(c)[row].as_py()) for c in ("gaps", "counts", "ids"))
         stream, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
-        ids_of.update(zip(slots.tolist(), map(stream.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-    sequence = unpack_positions(blocks.column("positions")[0].as_py())  # a block is one row
+        ids_of.update(zip(np.cumsum(gaps).tolist(), map(stream.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+    sequence = unpack_numbers(blocks.column("positions")[0].as_py())  # a block is one row
     out, start = [], 0
     for end in blocks.column("ends")[0].as_py():
         out.append(b"".join(map(ids_of.__getitem__, sequence[start:end].tolist())))
@@ -221,9 +234,11 @@ def encode(
         ),
         "block",
     )
-    placed = blocks.select(F.posexplode("words").alias("slot", "word"), "block").select("word", "block", "slot")
+    # Block and number of a word in one value, since one row per distinct word and block is shuffled.
+    place = F.shiftleft(F.col("block").cast("long"), 32) + F.col("slot")
+    placed = blocks.select(F.posexplode("words").alias("slot", "word"), "block").select("word", place.alias("place"))
     found = placed.repartition("word").sortWithinPartitions("word").mapInArrow(
-        _merge(path, pattern), "of_block int, slots binary, counts binary, ids binary"
+        _merge(path, pattern), "of_block int, gaps binary, counts binary, ids binary"
     )
     built = (
         blocks.select("block", "keys", "ends", "positions").groupBy("block").cogroup(found.groupBy("of_block"))
