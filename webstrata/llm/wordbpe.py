@@ -34,7 +34,7 @@ from webstrata.llm.shared import bucketed, pick
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: A block is closed at the end of the row with which it reaches this many pre-tokens.
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 6_000_000
 #: Blocks that one task may make.
 TASK_BLOCKS = 1 << 11
 #: Merged rows that a task gathers before it sends them back, one packed row per block.
