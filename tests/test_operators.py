@@ -137,6 +137,30 @@ def test_politeness(spark, slices, kind):
     assert all(r["wait_seconds"] > 0 for r in got if r["action"] == "delay")
 
 
+@pytest.mark.parametrize("gap", [1.0, 90.0, 5000.0])
+def test_pacing_spreads_one_key_over_tasks(spark, monkeypatch, gap):
+    """One key, every distinct time a possible entry: no task sees more than one slice of it."""
+    data = [(i, "only", i * 0.5, gap) for i in range(2000)]
+    df = spark.createDataFrame(data, "request_id long, domain string, seconds double, crawl_delay double").repartition(5)
+    seen = spark.sparkContext.accumulator(0)
+    plain = R._exits
+
+    def watched(*args):
+        run = plain(*args)
+
+        def counted(group, pdf):
+            if len(pdf) > 400:
+                seen.add(1)
+            return run(group, pdf)
+
+        return counted
+
+    monkeypatch.setattr(R, "_exits", watched)
+    got = R.politeness_audit(df, slices=20).collect()
+    assert {r["request_id"]: r["action"] for r in got} == brute_audit(data)
+    assert seen.value == 0
+
+
 # ------------------------------------------------------------------ robots
 
 ROBOTS = {
@@ -302,44 +326,159 @@ def brute_top(x, q, k, groups=None):
 
 
 @pytest.mark.parametrize("group", [None, "g"])
-@pytest.mark.parametrize("blocked", [False, True])
-def test_vector_search(spark, monkeypatch, blocked, group):
+@pytest.mark.parametrize("lists,part_rows", [(256, 16_384), (5, 7), (1, 100)])
+def test_vector_search(spark, lists, part_rows, group):
     rng = np.random.default_rng(4)
     x = [(i, rng.integers(-2, 3, 6).astype(float) + 0.5, i % 3) for i in range(500)]
     q = [(1000 + i, rng.integers(-2, 3, 6).astype(float) + 0.5, i % 3) for i in range(40)]
     xs = spark.createDataFrame([(i, v.tolist(), g) for i, v, g in x], "id long, embedding array<double>, g int")
     qs = spark.createDataFrame([(i, v.tolist(), g) for i, v, g in q], "query_id long, query_vector array<double>, g int")
-    if blocked:
-        monkeypatch.setattr(S, "BLOCK_QUERIES", 16)
-        monkeypatch.setattr(S, "INDEX_BLOCK_ROWS", 128)
-    got = S.vector_search(xs, qs, 7, group=group).collect()
+    got = S.vector_search(xs, qs, 7, group=group, lists=lists, part_rows=part_rows).collect()
     want = brute_top(x, q, 7, group)
     assert [(a, b) for a, b, _ in want] == sorted((r["query_id"], r["id"]) for r in got) or sorted(
         (r["query_id"], round(r["similarity"], 5)) for r in got) == sorted((a, round(c, 5)) for a, _, c in want)
 
 
-@pytest.mark.parametrize("block", [2048, 2])
-def test_keyword_search(spark, monkeypatch, block):
-    monkeypatch.setattr(S, "BLOCK_QUERIES", block)
-    docs = {i: " ".join(random.Random(i).choices(["the", "a", "fox", "dog", "cat", "sun"], k=30)) for i in range(60)}
-    queries = {0: "fox dog", 1: "the sun", 2: "missing", 3: "cat", 4: "the a"}
-    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    q = spark.createDataFrame(list(queries.items()), "query_id long, query_text string")
-    df = {w: sum(w in t.split() for t in docs.values()) for w in ["the", "a", "fox", "dog", "cat", "sun"]}
+def test_vector_search_skips_lists(spark):
+    """Well separated clusters: a query reads its own list and nothing else."""
+    from webstrata.operators import nearest as N
+    rng = np.random.default_rng(1)
+    base = np.eye(20)
+    x = [(i, (base[i % 20] + rng.normal(0, 0.01, 20)).tolist()) for i in range(2000)]
+    xs = spark.createDataFrame(x, "id long, embedding array<double>")
+    qs = spark.createDataFrame([(i, base[i].tolist()) for i in range(20)], "query_id long, query_vector array<double>")
+    seen = spark.sparkContext.accumulator(0)
+    scorer = N._scorer
+
+    def counting(k):
+        score = scorer(k)
+
+        def run(held, queries):
+            seen.add(len(held[0]) * len(queries))
+            return score(held, queries)
+
+        return run
+
+    N._scorer = counting
+    try:
+        got = N.vector_search(xs, qs, 3).collect()
+    finally:
+        N._scorer = scorer
+    assert {(r["query_id"], r["id"] % 20) for r in got} == {(i, i) for i in range(20)} and len(got) == 60
+    assert seen.value < 2 * 20 * 100  # of 40,000 pairs
+
+
+def test_vector_search_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows_ = [(1, [1.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [inf, 0.0]), (5, [None, 1.0]), (6, [0.0, 0.0]), (7, [-1.0, 0.0]), (8, [])]
+    xs = spark.createDataFrame([(i, v, None) for i, v in rows_], "id long, embedding array<double>, g string")
+    qs = spark.createDataFrame([(i + 10, v, None) for i, v in rows_], "query_id long, query_vector array<double>, g string")
+    for group in (None, "g"):
+        got = sorted((r["query_id"], r["rank"], r["id"], r["similarity"]) for r in S.vector_search(xs, qs, 5, group=group).collect())
+        assert got == [
+            (11, 1, 1, 1.0), (11, 2, 6, 0.0), (11, 3, 7, -1.0), (16, 1, 1, 0.0), (16, 2, 6, 0.0), (16, 3, 7, 0.0),
+            (17, 1, 7, 1.0), (17, 2, 6, 0.0), (17, 3, 1, -1.0),
+        ]
+    assert S.vector_search(xs.where("id = 2"), qs, 5).count() == 0
+    assert S.vector_search(xs, qs.limit(0), 5).count() == 0
+
+
+def test_one_group_holds_most_rows(spark):
+    rng = np.random.default_rng(8)
+    x = [(i, rng.normal(size=4), "hot" if i % 10 else f"u{i}") for i in range(600)]
+    q = [(i, v, g) for i, v, g in x[:60]]
+    xs = spark.createDataFrame([(i, v.tolist(), g) for i, v, g in x], "id long, embedding array<double>, g string")
+    qs = spark.createDataFrame([(i, v.tolist(), g) for i, v, g in q], "query_id long, query_vector array<double>, g string")
+    got = S.vector_search(xs, qs, 4, group="g", lists=8, part_rows=20).collect()
+    assert sorted((r["query_id"], r["id"]) for r in got) == [(a, b) for a, b, _ in brute_top(x, q, 4, "g")]
+
+
+def brute_keywords(docs, queries, k):
+    import re
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    held = {i: split(t) for i, t in docs.items()}
+    df = {}
+    for ws in held.values():
+        for w in set(ws):
+            df[w] = df.get(w, 0) + 1
     want = []
     for qi, text in queries.items():
         scores = []
-        for i, t in docs.items():
-            s = sum((1 + np.log(t.split().count(w))) * np.log(1 + 60 / df[w]) for w in set(text.split()) if w in t.split())
+        for i, ws in held.items():
+            s = sum((1 + np.log(ws.count(w))) * np.log(1 + len(docs) / df[w]) for w in set(split(text)) if w in ws)
             if s:
                 scores.append((-round(float(s), 6), i))
-        want += [(qi, i, n + 1) for n, (_, i) in enumerate(sorted(scores)[:5])]
-    assert rows(S.keyword_search(d, q, 5), "query_id", "doc_id", "rank") == sorted(want, key=repr)
+        want += [(qi, i, n + 1) for n, (_, i) in enumerate(sorted(scores)[:k])]
+    return sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("block_docs", [512, 7, 1])
+def test_keyword_search(spark, block_docs):
+    # "the" is in every document; some words are rare, one document is long.
+    vocabulary = ["the", "a", "fox", "dog", "cat", "sun"] + [f"w{i}" for i in range(40)]
+    docs = {i: "the " + " ".join(random.Random(i).choices(vocabulary, k=30 if i else 3000)) for i in range(300)}
+    docs |= {900: None, 901: "", 902: "--"}
+    queries = {0: "fox dog", 1: "the sun", 2: "missing", 3: "cat", 4: "the", 5: "w1 W2 w3, the!", 6: None}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    q = spark.createDataFrame(list(queries.items()), "query_id long, query_text string")
+    index = S.keyword_index(d, block_docs=block_docs)
+    want = brute_keywords(docs, queries, 5)
+    assert rows(S.search_index(index, q, 5), "query_id", "id", "rank") == want
+    if block_docs == 7:
+        assert rows(S.keyword_search(d, q, 5), "query_id", "doc_id", "rank") == want
+
+
+def test_keyword_thresholds_skip_blocks(spark):
+    """A block whose bound is below the threshold is not read again."""
+    from webstrata.operators import keyword as K
+    docs = [(i, "common " * (50 if i < 3 else 1) + "x") for i in range(400)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame([(1, "common")], "query_id long, query_text string")
+    seen = spark.sparkContext.accumulator(0)
+    scorer = K._scorer
+
+    def counting(k, decimals):
+        score = scorer(k, decimals)
+
+        def run(held, queries):
+            seen.add(1)
+            return score(held, queries)
+
+        return run
+
+    K._scorer = counting
+    try:
+        got = K.search_index(K.keyword_index(d, block_docs=4), q, 3).collect()
+    finally:
+        K._scorer = scorer
+    assert sorted(r["id"] for r in got) == [0, 1, 2]
+    assert seen.value <= 18  # of about 100 blocks
+
+
+def test_hashed_vectors(spark):
+    import hashlib
+    texts = [None, "", "  ", "One one TWO", "a b c " * 200, "é ß\tx"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["e"] for r in S.embed(df, F.col("t"), "e", dim=32).collect()}
+    for i, text in enumerate(texts):
+        want = np.zeros(32)
+        for w in (text or "")[:2000].lower().split():
+            h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            want[h % 32] += 1 if h >= 2**31 else -1
+        size = np.linalg.norm(want)
+        assert np.allclose(got[i], want / size if size else want, atol=1e-6)
+
+
+def test_overlap_score(spark):
+    df = spark.createDataFrame(
+        [("a b", "B c a"), ("a b", "x"), ("", "a"), (None, None), ("A  a", " a ")], "q string, t string"
+    )
+    assert [r[0] for r in df.select(S.overlap_score(F.col("q"), F.col("t"))).collect()] == [1.0, 0.0, 0.0, 0.0, 1.0]
 
 
 def test_retrieve_rejects_unknown_mode():
     with pytest.raises(ValueError):
-        S.retrieve("other", 5)
+        S.retrieve("other", None, None, 5)
 
 
 def test_retention_and_eviction(spark):
@@ -353,6 +492,15 @@ def test_retention_and_eviction(spark):
 
 # ------------------------------------------------------------------ citations, jobs, monitors
 
+def test_eviction_keeps_every_row_once(spark):
+    rng = random.Random(1)
+    data = [(i, None if i % 60 == 7 else rng.randrange(20) / 10) for i in range(200)]
+    kept, gone = I.evict(spark.createDataFrame(data, "id long, retention_score double"), 150)
+    order = [i for i, _ in sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))]
+    assert sorted(r["id"] for r in gone.collect()) == sorted(order[:150])
+    assert sorted(r["id"] for r in kept.collect()) == sorted(order[150:])
+
+
 def test_citations(spark):
     answers = spark.createDataFrame([(1, "a [1] b [2](x) c [1] d [9] [2]"), (2, "none")], "answer_id long, text string")
     sources = spark.createDataFrame([(1, 1, "u1", "t1"), (1, 2, "u2", "t2"), (2, 1, "v", "w")], "answer_id long, idx int, url string, title string")

@@ -85,7 +85,7 @@ def eviction_count(rows: int, max_docs: int) -> int:
 
 
 def evict(index: DataFrame, max_docs: int, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(kept, evicted): the lowest scores go, ids decide between equal scores.
+    """(kept, evicted): the lowest scores go, NULL first, ids decide between equal scores.
 
     ``id_col`` is unique and of any type that sorts, such as the unsigned ids
     of ``upsert_index``. No global sort: see ``kth_smallest_cut``.
@@ -113,11 +113,11 @@ def index_stats(index: DataFrame, max_docs: int) -> DataFrame:
     return index.agg(F.count("*").alias("documents")).withColumn("max_documents", F.lit(max_docs).cast("long"))
 
 
-def backfill_vectors(index: DataFrame, model: str, old_model: str, encoder=None) -> DataFrame:
+def backfill_vectors(index: DataFrame, model: str, old_model: str, encoder=None, dim: int = 256) -> DataFrame:
     """Vectors of a new model for the rows that lack them, from title and URL."""
     missing = ~F.map_contains_key("vectors", model)
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), "url")
-    fresh = search.embed(index.where(missing), text, "__e", encoder)
+    fresh = search.embed(index.where(missing), text, "__e", encoder, dim=dim)
     done = (
         fresh.withColumn("vectors", F.map_concat(
             "vectors", F.map_from_arrays(F.array(F.lit(model)), F.array("__e"))))

@@ -135,10 +135,14 @@ def rows_between(df: DataFrame, order: list[str], start: int, stop: int, slices:
     return unsliced(out)
 
 
+def _below(value: Column, other: Column) -> Column:
+    return (value.isNull() & other.isNotNull()) | F.coalesce(value < other, F.lit(False))
+
+
 def kth_smallest_cut(df: DataFrame, score: str, tie: str, k: int, slices: int | None = None) -> Column:
-    """Condition that holds for exactly the ``k`` lowest rows by (score, tie).
+    """Condition that holds for exactly the ``k`` lowest rows by (score, tie), NULL first.
 
-    ``tie`` is unique and of any type that sorts. The two columns are sliced
+    ``tie`` is unique and of any type that sorts; the condition is never NULL. The two columns are sliced
     once, the slice of the k-th row is found by counting, and that row gives the
     cut; nothing but it reaches the driver.
     """
@@ -151,6 +155,7 @@ def kth_smallest_cut(df: DataFrame, score: str, tie: str, k: int, slices: int |
             edge = part.offset(k - 1).limit(1).first()
             kind = dict(df.dtypes)
             at, last = F.lit(edge[score]).cast(kind[score]), F.lit(edge[tie]).cast(kind[tie])
-            return (F.col(score) < at) | ((F.col(score) == at) & (F.col(tie) <= last))
+            same = F.col(score).eqNullSafe(at)
+            return _below(F.col(score), at) | (same & (_below(F.col(tie), last) | F.col(tie).eqNullSafe(last)))
         k -= rows
     return F.lit(True)

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webstrata.functions import html as H
 from webstrata.functions import urls as U
 from webstrata.operators import ordered
+from webstrata.session import cut_lineage
 
 AGENTS = ("*", "bot")
 DEFAULT_DELAY = 1.0
@@ -130,65 +131,108 @@ def _admit(times: np.ndarray, delay: float, last: float) -> tuple[np.ndarray, np
     return seen, admitted
 
 
-def greedy_scan(
-    requests: DataFrame, key: str, seconds: str, order: str, delay: str, slices: int | None = None
-) -> DataFrame:
-    """Adds ``admitted`` and ``last_admitted`` (before the row): a row is admitted
-    when ``delay`` seconds have passed since the last admitted row of its key.
+def _exits(key: str, slice_: str, seconds: str, delay: str, first: str):
+    """Where a slice of sorted times leaves each of its possible entries.
 
-    The verdict of a row depends on the whole chain before it. The table is cut
-    into slices and scanned in three steps: every slice tells where it would
-    leave each possible entry (only distinct times within one delay of its start
-    can be entries), the slices of a key are chained over these tables, and
-    every slice is scanned again from its true entry. ``delay`` is constant per
-    key; a NULL key is a key like any other. The chain of a key holds the
-    distinct times that its slices have within one delay of their starts.
+    A chain enters a slice at the first request at or after (last admitted +
+    delay). Since the last admitted time is not after the slice's first, only
+    distinct times within one delay of it can be that entry; the first slice of a
+    key is entered at its first time.
     """
-    base = ordered.with_slices(requests, [key], [seconds, order], slices)
-    key_type, slice_ = dict(base.dtypes)[key], ordered.SLICE
-
-    def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.sort_values([seconds, order, ordered.ROW], kind="stable").reset_index(drop=True)
-
-    def exits(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf[seconds].to_numpy(dtype=float))
         gap = float(pdf[delay].iloc[0])
-        # A chain enters at the first request at or after (last admitted + delay).
         starts = np.unique(times[: int(np.searchsorted(times, times[0] + gap, side="right")) + 1])
+        if group[1] == pdf[first].iloc[0]:
+            starts = starts[:1]
         last = starts.copy()
         while True:  # all chains of the slice step together
-            at = np.searchsorted(times - gap, last, side="left")
-            at = np.maximum(at, np.searchsorted(times, last, side="right") if gap > 0 else 0)
+            at = np.maximum(np.searchsorted(times - gap, last, side="left"), np.searchsorted(times, last, side="right"))
             goes_on = at < len(times)
-            if gap <= 0:
-                last[:] = times[-1]
-                break
             if not goes_on.any():
                 break
             last[goes_on] = times[at[goes_on]]
-        return pd.DataFrame({
-            key: [group[0]], slice_: [group[1]], "gap": [gap], "enter": [starts.tolist()], "leave": [last.tolist()],
-        })
+        if np.any(times - gap >= times):  # no delay: everything is admitted, whatever came before
+            starts = last = np.array([np.nan])
+        return pd.DataFrame({key: [group[0]] * len(starts), slice_: group[1], "gap": gap, "enter": starts, "leave": last})
+
+    return run
 
-    edge = base.select(key, slice_, seconds, delay).groupBy(key, slice_).applyInPandas(
-        exits, f"`{key}` {key_type}, `{slice_}` int, gap double, enter array<double>, leave array<double>"
+
+def _reached(nodes: DataFrame, key: str) -> DataFrame:
+    """Nodes (node, key, slice, gap, enter, leave, root) that the chain of their key goes through.
+
+    The node after a node is the first one at or after its exit plus the delay,
+    found in one ordered pass over all of them. Pointers are then doubled: after
+    round r a node points 2**r steps ahead and all nodes within 2**r steps of a
+    root are known, so the rounds number the logarithm of the slices of a key.
+    Joins are on single nodes, so a key of any size is spread over all tasks.
+    """
+    down, kind, back = "__down", "__kind", "__back"
+    entries = nodes.select(
+        key, (F.col("gap") - F.col("enter")).alias(down), F.lit(0).alias(kind), (-F.col(ordered.SLICE)).alias(back),
+        "node", F.lit(None).cast("long").alias("asks"),
+    )
+    probes = nodes.select(
+        key, (-F.col("leave")).alias(down), F.lit(1).alias(kind), F.lit(0).alias(back),
+        F.lit(None).cast("long").alias("node"), F.col("node").alias("asks"),
     )
+    # Backwards in time, by (time - delay) against the exit as in ``_admit``; of nodes
+    # at one time the earliest slice is met last.
+    order = [down, kind, back]
+    sliced = ordered.with_slices(entries.unionByName(probes), [key], order)
+    met = ordered.carry_last(sliced, [key], order, "node", "next", include_current=True)
+    after = met.where(F.col(kind) == 1).select(F.col("asks").alias("node"), "next")
+    state = cut_lineage(nodes.select("node", "root").join(after, "node").select("node", "next", F.col("root").alias("reached")))
+    while state.where("next IS NOT NULL").limit(1).count():
+        ahead = state.select(F.col("node").alias("next"), F.col("next").alias("far"))
+        found = state.where("reached AND next IS NOT NULL").select(F.col("next").alias("node"), F.lit(True).alias("found")).distinct()
+        state = cut_lineage(
+            state.join(ahead, "next", "left").join(found, "node", "left")
+            .select("node", F.col("far").alias("next"), (F.col("reached") | F.coalesce("found", F.lit(False))).alias("reached"))
+        )
+    return nodes.join(state.where("reached").select("node"), "node", "left_semi")
+
+
+def greedy_scan(
+    requests: DataFrame, key: str, seconds: str, order: str, delay: str, slices: int | None = None
+) -> DataFrame:
+    """Adds ``admitted`` and ``last_admitted`` (before the row): a row is admitted
+    when ``delay`` seconds have passed since the last admitted row of its key.
 
-    def chain(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(slice_).reset_index(drop=True)
-        last, entries = np.nan, []
-        for enter, leave, gap in zip(pdf["enter"], pdf["leave"], pdf["gap"]):
-            entries.append(last)
-            at = 0 if np.isnan(last) else int(np.searchsorted(np.asarray(enter) - gap, last, side="left"))
-            if at < len(enter):
-                last = float(leave[at])
-        return pd.DataFrame({key: [group[0]] * len(pdf), slice_: pdf[slice_], "entry": entries})
-
-    entries = edge.groupBy(key).applyInPandas(chain, f"`{key}` {key_type}, `{slice_}` int, entry double")
+    The verdict of a row depends on the whole chain before it. The table is cut
+    into slices; every slice of a key that spans several tells where it would
+    leave each possible entry, the true path through these is found by pointer
+    doubling, and every slice is scanned once from its true entry. No task holds
+    more than one slice of a key. ``delay`` is constant per key; a NULL key is a
+    key like any other.
+    """
+    base = ordered.with_slices(requests, [key], [seconds, order], slices)
+    key_type, slice_ = dict(base.dtypes)[key], ordered.SLICE
+    per_key = Window.partitionBy(key)
+    # One row per slice of a key.
+    spans = cut_lineage(base.select(key, slice_).distinct().select(
+        key, slice_, F.min(slice_).over(per_key).alias("first"), F.max(slice_).over(per_key).alias("last")
+    ))
+    long = spans.where("first < last").select(key, slice_, "first")
+    edge = ordered.join_summary(base.select(key, slice_, seconds, delay), long, [key]).where("first IS NOT NULL")
+    nodes = cut_lineage(
+        edge.groupBy(key, slice_).applyInPandas(
+            _exits(key, slice_, seconds, delay, "first"),
+            f"`{key}` {key_type}, `{slice_}` int, gap double, enter double, leave double",
+        )
+        .where("enter IS NOT NULL AND NOT isnan(enter)").withColumn("node", F.monotonically_increasing_id())
+    )
+    rooted = ordered.join_summary(nodes, long, [key]).withColumn("root", F.col(slice_) == F.col("first")).drop("first")
+    path = _reached(rooted, key).select(key, slice_, "leave")
+    before = per_key.orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
+    entries = ordered.join_summary(spans.select(key, slice_), path, [key]).select(
+        key, slice_, F.last("leave", ignorenulls=True).over(before).alias("entry")
+    )
     columns = [*base.columns, "last_admitted", "admitted"]
 
     def rescan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = in_order(pdf)
+        pdf = pdf.sort_values([seconds, order, ordered.ROW], kind="stable").reset_index(drop=True)
         pdf["last_admitted"], pdf["admitted"] = _admit(
             pdf[seconds].to_numpy(dtype=float), float(pdf[delay].iloc[0]), float(pdf["entry"].iloc[0])
         )

@@ -25,11 +25,25 @@ def _cos(a, b):
     return f"round(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))), 6)"
 
 
-@query("r1_embed")
+def _hashed_sql(name: str, source: str, text: str, chars: int = 2000) -> str:
+    """CTEs ``name`` (id, slot, v) and ``name_n`` (id, size): hashed word counts of ``source`` (id, ...)."""
+    words = f"regexp_split_to_array(lower(left({text}, {chars})), '[ \\t\\n\\r\\f\\v]+')"
+    return f"""{name}_h AS (SELECT id, CAST('0x' || left(md5(w), 8) AS UBIGINT) AS h FROM (SELECT id, unnest({words}) AS w FROM {source}) WHERE w <> ''),
+{name} AS MATERIALIZED (SELECT id, h % 256 AS slot, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS v FROM {name}_h GROUP BY 1, 2),
+{name}_n AS MATERIALIZED (SELECT s.id, sqrt(coalesce(sum(v * v), 0)) AS size FROM {source} s LEFT JOIN {name} USING (id) GROUP BY 1)"""
+
+
+@query("r1_embed", f"""WITH d AS (SELECT doc_id AS id, text FROM documents), {_hashed_sql('e', 'd', 'text')},
+p AS (SELECT id, string_agg(slot || ':' || CAST(round(v / size * 1000000) AS BIGINT), ',' ORDER BY slot) AS parts FROM e JOIN e_n USING (id) WHERE v <> 0 GROUP BY 1)
+SELECT e_n.id AS doc_id, 256 AS dim, CASE WHEN size > 0 THEN 1.0 ELSE 0.0 END AS norm, coalesce(parts, '') AS parts FROM e_n LEFT JOIN p USING (id)""")
 def r1_embed(t):
-    """Norm of each text vector: 1, or 0 for a text without words."""
-    e = S.embed(t.documents.select("doc_id", "text"), F.col("text"))
-    return e.select("doc_id", F.size("embedding").alias("dim"), F.round(V.norm(F.col("embedding")), 4).alias("norm"))
+    """The non-zero components of each text vector, in millionths, and its norm."""
+    e = S.embed(t.documents.select("doc_id", "text"), F.col("text"), kind="double")
+    slots = F.transform("embedding", lambda x, i: F.when(x != 0, F.concat_ws(":", i, F.round(x * 1_000_000).cast("long"))))
+    return e.select(
+        "doc_id", F.size("embedding").alias("dim"), F.round(V.norm(F.col("embedding")), 4).alias("norm"),
+        F.array_join(F.array_compact(slots), ",").alias("parts"),
+    )
 
 
 @query("r2_url_id", """SELECT page_id, CAST(CAST('0x' || left(sha256(url), 16) AS UBIGINT) AS VARCHAR) AS point_id FROM pages""")
@@ -168,16 +182,57 @@ def r9_vector_search(t):
     return S.vector_search(index, _query_vectors(t), 10)
 
 
-@query("r10_find_similar", f"""WITH {QV_SQL}, p AS (SELECT vec_id, 'https://v.example/' || vec_id AS url, text[1:200] AS description FROM embeddings LEFT JOIN documents ON vec_id = doc_id),
-s AS (SELECT query_id, vec_id AS id, {_cos('query_vector', 'embedding')} AS similarity FROM qv, embeddings),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s)
-SELECT query_id, rank, url, description FROM r JOIN p ON r.id = p.vec_id WHERE rank <= 5""")
+# Documents as pages of a corpus; every twentieth one asks for pages like it.
+CORPUS = """SELECT doc_id AS id, 'https://d.example/' || doc_id AS url, coalesce(source, '') || ' ' || coalesce(lang, '') AS title, text FROM {documents}"""
+CORPUS_SQL = f"""dc AS (SELECT *, coalesce(title, '') || ' ' || coalesce(text, '') AS whole, text[1:200] AS description FROM ({CORPUS}))"""
+ASKING_SQL = "ak AS (SELECT id, title, text FROM dc WHERE id % 20 = 0 AND trim(coalesce(text, '')) <> '')"
+
+
+def _corpus(t):
+    return t.sql(CORPUS)
+
+
+def _asking(t):
+    return _corpus(t).where("id % 20 = 0").select(F.col("id").alias("query_id"), "title", "text")
+
+
+def _pairs_sql(name: str, q: str, d: str, pairs: str, decimals: int = 12) -> str:
+    """CTE ``name`` (query_id, id, sim): cosine of hashed vectors ``q`` and ``d`` for ``pairs`` (query_id, id)."""
+    return f"""{name}_dot AS (SELECT a.id AS query_id, b.id, sum(a.v * b.v) AS x FROM {q} a JOIN {d} b ON a.slot = b.slot GROUP BY 1, 2),
+{name} AS MATERIALIZED (SELECT p.*, CASE WHEN qn.size > 0 AND dn.size > 0 THEN round(coalesce(x, 0) / (qn.size * dn.size), {decimals}) ELSE 0 END AS sim
+ FROM {pairs} p JOIN {q}_n qn ON p.query_id = qn.id JOIN {d}_n dn ON p.id = dn.id LEFT JOIN {name}_dot k ON p.query_id = k.query_id AND p.id = k.id)"""
+
+
+def _keyword_sql(name: str, queries: str, corpus: str, text: str, k: int) -> str:
+    """CTE ``name`` (query_id, id, score, rank): tf-idf top-k of ``corpus`` (id, text) for ``queries`` (query_id, asked)."""
+    wd = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+    return f"""{name}_q AS MATERIALIZED (SELECT DISTINCT query_id, unnest({wd.format('asked')}) AS word FROM {queries}),
+{name}_t AS (SELECT id, unnest({wd.format(text)}) AS word FROM {corpus}),
+{name}_c AS MATERIALIZED (SELECT id, word, count(*) AS tf FROM {name}_t SEMI JOIN {name}_q USING (word) GROUP BY ALL),
+{name}_i AS (SELECT word, ln(1 + (SELECT count(*) FROM {corpus})::DOUBLE / count(*)) AS idf FROM {name}_c GROUP BY 1),
+{name}_s AS (SELECT query_id, id, round(sum((1 + ln(tf)) * idf), 6) AS score FROM {name}_q JOIN {name}_i USING (word) JOIN {name}_c USING (word) GROUP BY ALL),
+{name} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {name}_s QUALIFY rank <= {k})"""
+
+
+@query("r10_find_similar", f"""WITH {CORPUS_SQL}, {ASKING_SQL}, qt AS (SELECT id, title || ' ' || left(text, 3000) AS asked FROM ak),
+{_hashed_sql('hq', 'qt', 'asked')}, {_hashed_sql('hd', 'dc', 'whole')}, allp AS (SELECT qt.id AS query_id, dc.id FROM qt, dc),
+{_pairs_sql('s', 'hq', 'hd', 'allp')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s)
+SELECT query_id, rank, url, description FROM r JOIN dc USING (id) WHERE rank <= 5""")
 def r10_find_similar(t):
-    hits = S.vector_search(t.embeddings.withColumnRenamed("vec_id", "id"), _query_vectors(t), 5)
-    docs = t.documents.select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("description"))
-    return hits.join(docs, "id", "left").select(
-        "query_id", "rank", F.concat(F.lit("https://v.example/"), F.col("id")).alias("url"), "description"
-    )
+    corpus = S.build_corpus(_corpus(t))
+    return S.find_similar(corpus, _asking(t), 5).select("query_id", "rank", "url", "description")
+
+
+@query("r11_find_similar_web", f"""WITH {CORPUS_SQL}, {ASKING_SQL},
+kq AS (SELECT id AS query_id, title || ' ' || CASE WHEN instr(text, chr(10) || chr(10)) > 0 THEN string_split(text, chr(10) || chr(10))[1] ELSE left(text, 500) END AS asked FROM ak),
+{_keyword_sql('kw', 'kq', 'dc', 'whole', 10)},
+qt AS (SELECT id, left(text, 5000) AS asked FROM ak), cd AS (SELECT id, title || ' ' || coalesce(description, '') AS shown FROM dc),
+{_hashed_sql('hq', 'qt', 'asked')}, {_hashed_sql('hd', 'cd', 'shown')}, cand AS (SELECT query_id, id, rank AS pos FROM kw),
+{_pairs_sql('s', 'hq', 'hd', 'cand')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, pos) AS rank FROM s)
+SELECT query_id, rank, url, round(sim, 6) AS similarity FROM r JOIN dc USING (id) WHERE rank <= 5""")
+def r11_find_similar_web(t):
+    corpus = S.build_corpus(_corpus(t))
+    return S.find_similar_web(corpus, _asking(t), 5).select("query_id", "rank", "url", "similarity")
 
 
 CANDS = """SELECT label AS query_id, vec_id AS pos, CASE WHEN vec_id % 50 = 0 THEN CAST(NULL AS STRING) ELSE 'u' || vec_id END AS url, embedding FROM {embeddings}"""
@@ -194,8 +249,8 @@ def r11_similar_candidates(t):
     return S.similar_from_candidates(_label_queries(t), t.sql(CANDS), 10).select("query_id", "pos", "similarity", "rank")
 
 
-@query("r12_semantic_rerank", f"""WITH {LQ_SQL}, s AS (SELECT e.label AS query_id, vec_id AS pos, round(list_dot_product(CAST(query_vector AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS similarity FROM embeddings e JOIN lq ON e.label = lq.query_id)
-SELECT query_id, pos, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, pos) AS rank FROM s""")
+@query("r12_semantic_rerank", f"""WITH {LQ_SQL}, s AS (SELECT e.label AS query_id, vec_id AS pos, round(list_dot_product(CAST(query_vector AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 12) AS similarity FROM embeddings e JOIN lq ON e.label = lq.query_id)
+SELECT query_id, pos, round(similarity, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, pos) AS rank FROM s""")
 def r12_semantic_rerank(t):
     return S.semantic_rerank(_label_queries(t), t.sql(CANDS)).select("query_id", "pos", "similarity", "rank")
 
@@ -222,21 +277,26 @@ def r14_hybrid_merge(t):
     return S.hybrid_merge(t.sql(KW_HITS), t.sql(VEC_HITS), 10).select("query_id", "url", "list_no", "rank")
 
 
-@query("r15_retrieve_modes", f"""WITH {LQ_SQL}, k AS (SELECT e.label AS query_id, vec_id, row_number() OVER (PARTITION BY e.label ORDER BY vec_id) AS pos, embedding, query_vector FROM embeddings e JOIN lq ON e.label = lq.query_id),
-t AS (SELECT * FROM k WHERE pos <= 10), v AS (SELECT query_id, 'u' || (vec_id - vec_id % 3) AS url, pos FROM t),
-sm AS (SELECT query_id, 'u' || vec_id AS url, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(CAST(query_vector AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) DESC, pos) AS rank FROM t),
-a AS (SELECT 0 AS l, query_id, pos, 'u' || vec_id AS url FROM t UNION ALL SELECT 1, query_id, pos, url FROM v),
-f AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY l, pos) AS f FROM a),
-hv AS (SELECT query_id, url, row_number() OVER (PARTITION BY query_id ORDER BY l, pos) AS rank FROM f WHERE f = 1)
-SELECT 'keyword' AS mode, query_id, 'u' || vec_id AS url, pos AS rank FROM t UNION ALL SELECT 'vector', query_id, url, pos FROM v
-UNION ALL SELECT 'semantic', query_id, url, rank FROM sm UNION ALL SELECT 'hybrid_vector', query_id, url, rank FROM hv WHERE rank <= 10""")
+@query("r15_retrieve_modes", f"""WITH {CORPUS_SQL}, kq AS (SELECT item_id AS query_id, text AS asked FROM benchmark), qt AS (SELECT query_id AS id, asked FROM kq),
+{_keyword_sql('kw', 'kq', 'dc', 'whole', 10)}, {_hashed_sql('hq', 'qt', 'asked')}, {_hashed_sql('hd', 'dc', 'whole')},
+allp AS (SELECT qt.id AS query_id, dc.id FROM qt, dc), {_pairs_sql('s', 'hq', 'hd', 'allp')},
+vec AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS rank FROM s QUALIFY rank <= 10),
+sm AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, kw.rank) AS rank FROM kw JOIN s USING (query_id, id)),
+ov AS (SELECT query_id, id, rank AS pos, list_filter(list_distinct(regexp_split_to_array(lower(trim(regexp_replace(asked, '\\s+', ' ', 'g'))), ' ')), lambda w: w <> '') AS q,
+ regexp_split_to_array(lower(trim(regexp_replace(coalesce(description, ''), '\\s+', ' ', 'g'))), ' ') AS x FROM kw JOIN kq USING (query_id) JOIN dc USING (id)),
+hy AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN len(q) > 0 THEN round(len(list_filter(q, lambda w: list_contains(x, w))) / len(q), 6) ELSE 0 END DESC, pos) AS rank FROM ov),
+a AS (SELECT 0 AS l, query_id, rank AS pos, id FROM kw UNION ALL SELECT 1, query_id, rank, id FROM vec),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY l, pos) AS f FROM a),
+hv AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY l, pos) AS rank FROM f WHERE f = 1)
+SELECT mode, query_id, 'https://d.example/' || id AS url, rank FROM (SELECT 'keyword' AS mode, query_id, id, rank FROM kw UNION ALL SELECT 'vector', query_id, id, rank FROM vec
+UNION ALL SELECT 'semantic', query_id, id, rank FROM sm UNION ALL SELECT 'hybrid', query_id, id, rank FROM hy UNION ALL SELECT 'hybrid_vector', query_id, id, rank FROM hv WHERE rank <= 10)""")
 def r15_retrieve_modes(t):
-    hits = ranking.top_k(t.embeddings.withColumnRenamed("label", "query_id"), ["query_id"], ["vec_id"], 10, rank="pos")
-    kw = hits.withColumn("url", F.concat(F.lit("u"), F.col("vec_id")))
-    vec = hits.select("query_id", "pos", F.concat(F.lit("u"), F.col("vec_id") - F.col("vec_id") % 3).alias("url"))
+    corpus = S.build_corpus(_corpus(t))
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
+    keyword, vector = (cut_lineage(hits(corpus, queries, 10)) for hits in (S.keyword_hits, S.vector_hits))
     out = None
-    for mode in ("keyword", "vector", "semantic", "hybrid_vector"):
-        rows = S.retrieve(mode, 10, kw, vec, _label_queries(t)).select(F.lit(mode).alias("mode"), "query_id", "url", "rank")
+    for mode in S.MODES:
+        rows = S.retrieve(mode, corpus, queries, 10, keyword=keyword, vector=vector).select(F.lit(mode).alias("mode"), "query_id", "url", "rank")
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -260,7 +320,7 @@ def r16_keyword_search(t):
 def r17_backfill_vectors(t):
     new = t.sql(INDEX).where("label % 2 = 0").select("url", "embedding")
     started = I.add_vectors(_index(t), new, "wide")
-    done = I.backfill_vectors(started, "wide", "base", S.hashing_encoder(64))
+    done = I.backfill_vectors(started, "wide", "base", dim=64)
     return done.agg(
         F.count("*").alias("docs_total"),
         F.sum(F.map_contains_key("vectors", "wide").cast("long")).alias("docs_processed"),
