@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import pathlib
 import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,20 +39,49 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+#: Paths written inside the scratch blocks that are open, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table below the checkpoint folder and read it back.
 
     Like a reliable checkpoint it survives lost executors and ends the plan;
     being a parquet table it also tells the optimizer its size, so later joins
-    with a small result are broadcast on a measured bound. The table goes when
-    the driver ends.
+    with a small result are broadcast on a measured bound. The table goes at the
+    end of the ``scratch`` block around it, or when the driver ends.
     """
+    return _written(df, _SCOPES[-1] if _SCOPES else None)
+
+
+def _written(df: DataFrame, scope: list[str] | None) -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/webstrata-table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     remove_at_end(df.sparkSession, path)
+    if scope is not None:
+        scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``cut_lineage`` writes inside the block go when it ends.
+
+    The block gets a function that writes a table which stays: results must be
+    written by it, since a plan that still reads a table of the block would fail.
+    """
+    scope: list[str] = []
+    outer = _SCOPES[-1] if _SCOPES else None
+    _SCOPES.append(scope)
+    try:
+        yield lambda df: _written(df, outer)
+    finally:
+        _SCOPES.pop()
+        for path in scope:
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def remove_at_end(spark: SparkSession, path: str) -> None:
     """Have the driver's file system delete ``path`` when the driver ends."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
