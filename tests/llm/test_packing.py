@@ -33,6 +33,13 @@ def test_encoder_equals_tokenizers(spark, folder):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want, text[:80]
 
 
+def test_encoder_takes_long_white_space():
+    tokenizer, encoder = Tokenizer.from_file(PATH), Encoder(PATH)
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "a" + " " * 1_000_000 + "b", "x \t" * 300_000):
+        want = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        assert encoder.encode(text) == want.tobytes()
+
+
 def test_encoder_of_another_kind():
     path = public_tokenizers.path("word_bpe_49k.json")
     text = "Some Words, and MORE words"

@@ -72,8 +72,17 @@ def _events(t):
     return t.events.withColumn("us", ordered.epoch_us(F.col("ts")))
 
 
-@query("t1_rate_limit", """WITH w AS (SELECT event_id, event_type, epoch_us(ts) // 60000000 AS window_no, row_number() OVER (PARTITION BY event_type, epoch_us(ts) // 3600000000 ORDER BY ts, event_id) AS n, epoch_us(ts) // 3600000000 AS h FROM events)
-SELECT event_id, event_type, h AS window_no, n <= 2 AS allowed, greatest(0, 2 - n) AS remaining FROM w""")
+def _batch(t, batches=4):
+    """Number of the micro-batch of an event: consecutive events in equally long batches."""
+    last = t.events.agg(F.max("event_id")).first()[0] or 0
+    return lambda event_id: F.floor(F.col(event_id) * batches / (last + 1))
+
+
+RATE_SQL = """WITH w AS (SELECT event_id, event_type, epoch_us(ts) // 60000000 AS window_no, row_number() OVER (PARTITION BY event_type, epoch_us(ts) // 3600000000 ORDER BY ts, event_id) AS n, epoch_us(ts) // 3600000000 AS h FROM events)
+SELECT event_id, event_type, h AS window_no, n <= 2 AS allowed, greatest(0, 2 - n) AS remaining FROM w"""
+
+
+@query("t1_rate_limit", RATE_SQL)
 def t1_rate_limit(t):
     limit, window = J.parse_limit("2/3600s")
     return J.rate_limit(_events(t), "event_type", "us", "event_id", limit, window).select(
@@ -83,6 +92,16 @@ def t1_rate_limit(t):
 
 
 
+@query("t1_rate_limit_verdicts_stream", RATE_SQL)
+def t1_rate_limit_verdicts_stream(t):
+    """A verdict per event, as the events come."""
+    limit, window = J.parse_limit("2/3600s")
+    stream = T.replay(t.events.select("event_id", "event_type", "ts"), _batch(t)("event_id"))
+    return T.run_appends(T.rate_limit(stream, "event_type", limit, window)).select(
+        "event_id", "event_type", "window_no", "allowed", "remaining"
+    )
+
+
 @query("t1_rate_limit_stream", """SELECT user_id, epoch_us(ts) // 3600000000 AS window_no, count(*) AS requests, least(count(*), 2) AS allowed FROM events GROUP BY 1, 2""")
 def t1_rate_limit_stream(t):
     stream = T.rate_limit_windows(T.read_stream(t.spark, t.folder, "events"), "user_id", 2, 3600)
@@ -96,8 +115,8 @@ PROGRESS = "CASE event_type WHEN 'view' THEN 'page' WHEN 'error' THEN 'error' EL
 
 @query("t2_crawl_progress", f"""SELECT user_id AS job_id, count(*) FILTER (event_type = 'view') AS pages, count(*) FILTER (event_type = 'error') AS errors, count(*) AS events FROM events GROUP BY 1""")
 def t2_crawl_progress(t):
-    events = T.read_stream(t.spark, t.folder, "events").select(
-        F.col("user_id").alias("job_id"), F.expr(PROGRESS).alias("kind")
+    events = T.replay(t.events, _batch(t)("event_id")).select(
+        F.col("user_id").alias("job_id"), F.expr(PROGRESS).alias("kind"), "ts"
     )
     return T.run_updates(T.crawl_progress(events, "job_id", "kind"), ["job_id"])
 
@@ -120,11 +139,14 @@ def _research(t):
     return J.read_research_events(t.sql(RESEARCH))
 
 
-@query("t3_research_state", RESEARCH_SQL + """, s AS (SELECT run_id, arg_max(CASE type WHEN 'status' THEN payload->>'$.state' WHEN 'done' THEN 'completed' ELSE 'failed' END, seq) FILTER (type IN ('status', 'done', 'error')) AS status,
+STATE_SQL = RESEARCH_SQL + """, s AS (SELECT run_id, arg_max(CASE type WHEN 'status' THEN payload->>'$.state' WHEN 'done' THEN 'completed' ELSE 'failed' END, seq) FILTER (type IN ('status', 'done', 'error')) AS status,
  arg_max(payload->>'$.strategy', seq) FILTER (type = 'research_plan') AS strategy,
  arg_max(CAST(payload->>'$.pass' AS INT), seq) FILTER (type = 'research_pass') AS pass_number, arg_max(CAST(payload->>'$.total_passes' AS INT), seq) FILTER (type = 'research_pass') AS total_passes,
  arg_max(type, seq) FILTER (type IN ('done', 'error')) AS last_end, arg_max(payload->>'$.content', seq) FILTER (type = 'error') AS err FROM r GROUP BY 1)
-SELECT run_id, status, strategy, pass_number, total_passes, coalesce(last_end = 'done', false) AS completed, CASE WHEN last_end = 'error' THEN err END AS error FROM s""")
+SELECT run_id, status, strategy, pass_number, total_passes, coalesce(last_end = 'done', false) AS completed, CASE WHEN last_end = 'error' THEN err END AS error FROM s"""
+
+
+@query("t3_research_state", STATE_SQL)
 def t3_research_state(t):
     return J.fold_research_events(_research(t))
 
@@ -134,29 +156,44 @@ _src = """x AS (SELECT run_id, seq, type, 0 AS i, payload->>'$.url' AS url FROM
   generate_subscripts(json_extract(payload, '$.sources[*]'), 1) AS i FROM r WHERE type IN ('sources', 'done', 'sources_pending')))"""
 
 
-@query("t3_research_sources", RESEARCH_SQL + f", {_src} SELECT run_id, url, min(seq) AS first_seq FROM x WHERE type <> 'sources_pending' AND url IS NOT NULL GROUP BY 1, 2")
+SOURCES_SQL = RESEARCH_SQL + f", {_src} SELECT run_id, url, min(seq) AS first_seq FROM x WHERE type <> 'sources_pending' AND url IS NOT NULL GROUP BY 1, 2"
+
+
+@query("t3_research_sources", SOURCES_SQL)
 def t3_research_sources(t):
     return J.research_source_urls(_research(t))
 
 
-@query("t3_research_pending", RESEARCH_SQL + f""", {_src}, l AS (SELECT run_id, max(seq) AS since, arg_max(type, seq) AS type FROM r WHERE type IN ('sources_pending', 'sources', 'done') GROUP BY 1),
+PENDING_SQL = RESEARCH_SQL + f""", {_src}, l AS (SELECT run_id, max(seq) AS since, arg_max(type, seq) AS type FROM r WHERE type IN ('sources_pending', 'sources', 'done') GROUP BY 1),
 p AS (SELECT x.run_id, l.since, x.url FROM x JOIN l ON x.run_id = l.run_id AND x.seq = l.since WHERE l.type = 'sources_pending' AND x.url IS NOT NULL)
-SELECT run_id, url FROM p WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.run_id = p.run_id AND x.url = p.url AND x.type = 'source_scraped' AND x.seq > p.since)""")
+SELECT run_id, url FROM p WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.run_id = p.run_id AND x.url = p.url AND x.type = 'source_scraped' AND x.seq > p.since)"""
+
+
+@query("t3_research_pending", PENDING_SQL)
 def t3_research_pending(t):
     return J.research_pending(_research(t))
 
 
-@query("t3_research_state_stream", """WITH e AS (SELECT user_id AS run_id, ts, event_id AS seq, event_type FROM events)
-SELECT run_id, arg_max(CASE event_type WHEN 'signup' THEN 'started' WHEN 'purchase' THEN 'completed' ELSE 'failed' END, seq) FILTER (event_type IN ('signup', 'purchase', 'error')) AS status,
- coalesce(arg_max(event_type, seq) FILTER (event_type IN ('purchase', 'error')) = 'purchase', false) AS completed,
- CASE WHEN arg_max(event_type, seq) FILTER (event_type IN ('purchase', 'error')) = 'error' THEN 'boom' END AS error FROM e GROUP BY 1""")
+def _research_stream(t):
+    """(states, sources) of the research events, replayed in four micro-batches."""
+    events = t.sql(RESEARCH).join(t.events.select(F.col("event_id").alias("seq"), "ts"), "seq")
+    stream = J.read_research_events(T.replay(events, _batch(t)("seq")))
+    return T.run_research(T.research_state(stream))
+
+
+@query("t3_research_state_stream", STATE_SQL)
 def t3_research_state_stream(t):
-    kind = F.expr("CASE event_type WHEN 'signup' THEN 'status' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'other' END")
-    events = T.read_stream(t.spark, t.folder, "events").select(
-        F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), kind.alias("type"),
-        F.lit("started").alias("state"), F.lit("boom").alias("content"),
-    )
-    return T.run_updates(T.research_state(events), ["run_id"])
+    return _research_stream(t)[0].drop("pending")
+
+
+@query("t3_research_pending_stream", PENDING_SQL.replace("SELECT run_id, url FROM p", "SELECT DISTINCT run_id, url FROM p"))
+def t3_research_pending_stream(t):
+    return _research_stream(t)[0].select("run_id", F.explode("pending").alias("url"))
+
+
+@query("t3_research_sources_stream", SOURCES_SQL)
+def t3_research_sources_stream(t):
+    return _research_stream(t)[1].where("url <> ''")
 
 
 JOBS = "CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'page' ELSE 'page_done' END"
@@ -174,7 +211,7 @@ def t4_job_status(t):
 
 @query("t4_job_status_stream", STATUS_SQL)
 def t4_job_status_stream(t):
-    events = _job_events(T.read_stream(t.spark, t.folder, "events"))
+    events = _job_events(T.replay(t.events, _batch(t)("event_id")))
     return T.run_updates(T.job_status(events, "job_id"), ["job_id"])
 
 
@@ -188,8 +225,19 @@ def t5_job_counters(t):
 
 @query("t6_new_urls_stream", """SELECT DISTINCT user_id, event_type FROM events""")
 def t6_new_urls_stream(t):
-    events = T.read_stream(t.spark, t.folder, "events").select("user_id", "event_type", "ts")
-    return T.run_appends(T.new_urls(events, ["user_id", "event_type"], "400 days")).select("user_id", "event_type")
+    events = T.replay(t.events.select("user_id", "event_type", "ts", "event_id"), _batch(t)("event_id"))
+    return T.run_appends(T.new_urls(events, ["user_id", "event_type"], 400 * 86400)).select("user_id", "event_type")
+
+
+@query("t6_seen_expiry_stream", f"""WITH RECURSIVE r AS (SELECT user_id, event_type, epoch_us(ts) / 1000000.0::DOUBLE AS seconds FROM events),
+w AS (SELECT user_id, event_type, min(seconds) AS a FROM r GROUP BY 1, 2 UNION ALL
+ SELECT w.user_id, w.event_type, min(r.seconds) FROM w JOIN r ON r.user_id = w.user_id AND r.event_type = w.event_type AND r.seconds >= w.a + {5 * 86400} GROUP BY 1, 2, w.a)
+SELECT user_id, event_type, CAST(round(a * 1000000) AS BIGINT) AS seen_us FROM w""")
+def t6_seen_expiry_stream(t):
+    """A key is new again five days after it was last new."""
+    events = T.replay(t.events.select("user_id", "event_type", "ts", "event_id"), _batch(t)("event_id"))
+    seen = T.run_appends(T.new_urls(events, ["user_id", "event_type"], 5 * 86400))
+    return seen.select("user_id", "event_type", F.round(F.col("seconds") * 1_000_000).cast("long").alias("seen_us"))
 
 
 T7 = "SELECT event_type AS name, event_id, CAST(event_id * 2 AS DOUBLE) AS seconds FROM {events}"
@@ -207,8 +255,8 @@ def t7_counters(t):
 
 @query("t7_counters_stream", T7_SQL)
 def t7_counters_stream(t):
-    events = T.read_stream(t.spark, t.folder, "events", max_files=1).select(
-        F.col("event_type").alias("name"), (F.col("event_id") * 2).cast("double").alias("seconds"), "event_id"
+    events = T.replay(t.events, _batch(t)("event_id")).select(
+        F.col("event_type").alias("name"), (F.col("event_id") * 2).cast("double").alias("seconds")
     )
     return T.run_updates(T.running_counters(events, 600), ["name", "started"])
 
@@ -238,6 +286,25 @@ def t9_watermark(t):
     return T.run_updates(counted, ["event_type"])
 
 
+# Every fiftieth event of the first batch comes with the last one. A batch is held
+# against the watermark of all batches but the one before it.
+LATE = "CASE WHEN event_id % 50 = 7 AND event_id * 4 // (top + 1) = 0 THEN 3 ELSE event_id * 4 // (top + 1) END"
+
+
+@query("t9_late_rows", f"""WITH e AS (SELECT event_type, epoch_us(ts) AS us, {LATE} AS b FROM events, (SELECT max(event_id) AS top FROM events)),
+m AS (SELECT a.b, max(e.us) // 1000 * 1000 - 600000000 AS mark FROM (SELECT DISTINCT b FROM e) a LEFT JOIN e ON e.b <= a.b - 2 GROUP BY 1)
+SELECT event_type, us // 3600000000 AS window_no, count(*) AS rows FROM e JOIN m USING (b) WHERE mark IS NULL OR (us // 3600000000 + 1) * 3600000000 > mark GROUP BY 1, 2""")
+def t9_late_rows(t):
+    """Rows whose window closed before they came are dropped, and only those."""
+    number = _batch(t)("event_id")
+    late = F.when((F.col("event_id") % 50 == 7) & (number == 0), 3).otherwise(number)
+    events = T.replay(t.events.select("event_id", "event_type", "ts"), late).withWatermark("ts", T.WATERMARK)
+    counted = events.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("rows"))
+    hour = F.floor(F.unix_micros("w.start") / 3_600_000_000).cast("long")
+    done = T.run_updates(counted.select("event_type", hour.alias("window_no"), "rows"), ["event_type", "window_no"])
+    return done
+
+
 @query("t10_search_budget", """SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 5 AS accepted FROM events""")
 def t10_search_budget(t):
     return J.search_budget(_events(t).select("event_id", "user_id", "us"), "user_id", "us", "event_id", 5).drop("us")
@@ -247,7 +314,7 @@ def t10_search_budget(t):
 w AS (SELECT domain, min(seconds) AS a FROM r GROUP BY 1 UNION ALL SELECT w.domain, min(r.seconds) FROM w JOIN r ON r.domain = w.domain AND r.seconds >= w.a + 7.0 GROUP BY 1)
 SELECT request_id, domain, CASE WHEN (domain, seconds) IN (SELECT (domain, a) FROM w) THEN 'proceed' ELSE 'delay' END AS action FROM r""")
 def p4_politeness_stream(t):
-    requests = T.read_stream(t.spark, t.folder, "events").select(
+    requests = T.replay(t.events, _batch(t)("event_id")).select(
         F.col("event_id").alias("request_id"), F.concat(F.lit("h"), F.col("user_id") % 3).alias("domain"),
         F.col("event_id").cast("double").alias("seconds"), F.lit(7.0).alias("crawl_delay"),
     )

@@ -1,28 +1,28 @@
 """Structured Streaming twins of the incremental operators.
 
 Aggregates run in update mode: every micro-batch appends its changed groups to a
-log folder, and the newest row of a group is its value. Windowed aggregates and
-first-sight filters declare a watermark, which drops later rows and ends their
-state. Pacing, counters, research runs and totals per job keep one small row of
-state per key for as long as the stream runs: their results do not end at an
-event time, and processing-time timeouts would keep an ``availableNow`` run from
-ending.
+log folder, and the newest row of a group is its value. Windowed aggregates
+declare a watermark, which drops later rows and ends their state. Operators whose
+rule reaches back over rows (``state``) keep a value per key with an event-time
+timer that removes it. A micro-batch is applied in time order; disorder across
+batches within the watermark is not repaired.
 """
 
 from __future__ import annotations
 
 import uuid
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from webstrata.operators.jobs import TERMINAL
 from webstrata.operators.ordered import epoch_us
-from webstrata.session import checkpoint_root
+from webstrata.session import checkpoint_root, remove_at_end
+from webstrata.streaming import state
 
 WATERMARK = "10 minutes"
+#: Seconds that ended jobs and runs are kept.
+RETENTION = 30 * 86400
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, max_files: int = 1000) -> DataFrame:
@@ -43,20 +43,48 @@ def _folders(spark: SparkSession) -> tuple[str, str]:
     return base + "/out", base + "/state"
 
 
+def replay(rows: DataFrame, batch: Column, event_time: str = "ts") -> DataFrame:
+    """A stream that brings ``rows`` in the micro-batches that ``batch`` (0, 1, ...) names.
+
+    Every batch is written as one file and read in order, so late rows can be
+    offered on purpose and a stream be compared with its batch query over several
+    micro-batches. The rows of one batch are meant to fit one file.
+    """
+    spark = rows.sparkSession
+    folder = f"{checkpoint_root(spark).rstrip('/')}/webstrata-replay-{uuid.uuid4().hex}"
+    numbered = rows.withColumn("__batch", batch.cast("int"))
+    if dict(rows.dtypes)[event_time] == "timestamp_ntz":
+        numbered = numbered.withColumn(event_time, F.timestamp_micros(epoch_us(F.col(event_time))))
+    last = numbered.agg(F.max("__batch")).first()[0]
+    for number in range(-1 if last is None else last + 1):
+        part = numbered.where(F.col("__batch") == number).drop("__batch")
+        part.coalesce(1).write.parquet(f"{folder}/batch={number}")
+    remove_at_end(spark, folder)
+    schema = numbered.drop("__batch").schema
+    return spark.readStream.option("maxFilesPerTrigger", 1).schema(schema).parquet(f"{folder}/*")
+
+
+def _run(writer) -> None:
+    """Run a stream over what is available, with a state store that knows timers."""
+    spark, conf = writer._spark, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf, None)
+    spark.conf.set(conf, state.PROVIDER)
+    try:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
+
+
 def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
     """Run an update-mode stream over what is available; newest row per key."""
     spark = stream.sparkSession
-    out, state = _folders(spark)
+    out, place = _folders(spark)
 
     def log(batch: DataFrame, number: int) -> None:
         # Overwriting the batch's own folder makes a repeated batch harmless.
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = (
-        stream.writeStream.outputMode("update").foreachBatch(log)
-        .option("checkpointLocation", state).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    _run(stream.writeStream.outputMode("update").foreachBatch(log).option("checkpointLocation", place))
     rows = spark.read.schema(f"{_ddl(stream)}, batch long").parquet(out)
     values = [c for c in stream.columns if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
@@ -66,12 +94,10 @@ def run_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
 def run_appends(stream: DataFrame) -> DataFrame:
     """Run an append-mode stream into a parquet folder and read it back."""
     spark = stream.sparkSession
-    out, state = _folders(spark)
-    query = (
-        stream.writeStream.outputMode("append").format("parquet").option("path", out)
-        .option("checkpointLocation", state).trigger(availableNow=True).start()
+    out, place = _folders(spark)
+    _run(
+        stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", place)
     )
-    query.awaitTermination()
     return spark.read.schema(_ddl(stream)).parquet(out)
 
 
@@ -90,41 +116,55 @@ def rate_limit_windows(events: DataFrame, key: str, limit: int, window_seconds:
     )
 
 
-def crawl_progress(events: DataFrame, job: str, kind: str) -> DataFrame:
-    """Running page / error / progress counts per job."""
-    def n(value: str):
-        return F.sum(F.when(F.col(kind) == value, 1).otherwise(0)).alias(value + "s")
+def _keyed(rows: DataFrame, keys: list[str], processor: state.Timed, schema: str, mode: str = "append") -> DataFrame:
+    """``processor`` over rows (with ``ts``) per key, under the watermark."""
+    return rows.withWatermark("ts", WATERMARK).groupBy(*keys).transformWithStateInPandas(
+        processor, schema, mode, "EventTime"
+    )
 
-    return events.groupBy(job).agg(n("page"), n("error"), F.count("*").alias("events"))
 
+def _at(seconds: str) -> Column:
+    return F.timestamp_micros(((F.col(seconds) + state.ORIGIN) * 1_000_000).cast("long"))
 
-def new_urls(stream: DataFrame, keys: list[str], ttl: str) -> DataFrame:
-    """First sight of each key; a key is forgotten after ``ttl``."""
-    return stream.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
 
+def rate_limit(events: DataFrame, key: str, limit: int, window_seconds: int) -> DataFrame:
+    """Verdict per event (key, event_id, window_no, allowed, remaining) of (key, event_id, ts)."""
+    timed = events.select(key, "event_id", "ts", F.unix_micros("ts").alias("us"))
+    kind = dict(events.dtypes)[key]
+    return _keyed(
+        timed, [key], state.RateLimit(key, limit, window_seconds),
+        f"`{key}` {kind}, event_id long, window_no long, allowed boolean, remaining long",
+    )
 
-def running_counters(events: DataFrame, ttl: float) -> DataFrame:
-    """(name, started, value) of counters over (name, seconds, event_id).
 
-    A counter lives ``ttl`` seconds from its first increment and then starts
-    again. A micro-batch is sorted by time before it is applied.
-    """
-    def apply(key, batches, state: GroupState):
-        started, value = state.get if state.exists else (None, 0)
-        times = np.sort(np.concatenate([pdf["seconds"].to_numpy(float) for pdf in batches]))
-        rows, at = [], 0
-        while at < len(times):
-            if started is None or times[at] >= started + ttl:
-                started, value = float(times[at]), 0
-            stop = int(np.searchsorted(times, started + ttl, "left"))
-            value, at = value + stop - at, stop
-            rows.append((started, value))
-        state.update((started, int(value)))
-        yield pd.DataFrame({"name": key[0], "started": [r[0] for r in rows], "value": [r[1] for r in rows]})
-
-    return events.groupBy("name").applyInPandasWithState(
-        apply, "name string, started double, value long", "started double, value long", "update",
-        GroupStateTimeout.NoTimeout,
+def crawl_progress(events: DataFrame, job: str, kind: str, retention: float = RETENTION) -> DataFrame:
+    """Running page / error / progress counts per job; a job is kept ``retention`` seconds after its last event."""
+    marked = events.select(
+        job, "ts", *[F.when(F.col(kind) == v, 1).otherwise(0).alias(f"{v}s") for v in ("page", "error")],
+        F.lit(1).alias("events"),
+    )
+    return _keyed(
+        marked, [job], state.Totals(("pages", "errors", "events"), retention),
+        f"`{job}` {dict(events.dtypes)[job]}, pages long, errors long, events long", "update",
+    )
+
+
+def new_urls(stream: DataFrame, keys: list[str], ttl: float) -> DataFrame:
+    """First sight of each key, and the first one ``ttl`` seconds after that, and so on: (keys, seconds)."""
+    kinds = dict(stream.dtypes)
+    timed = stream.select(*keys, (F.unix_micros("ts") / 1_000_000).alias("seconds")).withColumn("ts", _at("seconds"))
+    return _keyed(
+        timed, keys, state.FirstSights(ttl),
+        ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", seconds double",
+    )
+
+
+def running_counters(events: DataFrame, ttl: float) -> DataFrame:
+    """(name, started, value) of counters over (name, seconds): each lives ``ttl``
+    seconds from its first increment and then starts again."""
+    return _keyed(
+        events.select("name", "seconds", _at("seconds").alias("ts")), ["name"], state.Lifetimes(ttl),
+        "name string, started double, value long", "update",
     )
 
 
@@ -136,56 +176,46 @@ def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
     )
 
 
-def job_status(events: DataFrame, job: str) -> DataFrame:
-    """First terminal event per job, as streaming state."""
-    ended = F.col("event").isin("completed", "failed", "cancelled")
-    order = F.when(ended, F.struct("ts", "event_id"))
-    return events.groupBy(job).agg(
-        F.coalesce(F.min_by("event", order), F.lit("processing")).alias("status")
-    )
+def job_status(events: DataFrame, job: str, retention: float = RETENTION) -> DataFrame:
+    """(job_id, status): the first terminal event of a job decides; a job is kept
+    ``retention`` seconds after its last event."""
+    rows = events.select(F.col(job).alias("job_id"), "ts", "event_id", "event")
+    return _keyed(rows, ["job_id"], state.JobStatus(tuple(TERMINAL), retention), "job_id long, status string", "update")
 
 
 def politeness(requests: DataFrame) -> DataFrame:
     """Admit or delay requests (domain, request_id, seconds, crawl_delay) as they arrive.
 
-    State per domain is the last admitted time. A micro-batch is sorted by time
-    before it is applied; disorder across batches is not repaired. The size of
-    a batch (``maxFilesPerTrigger``) bounds what one domain brings at a time.
+    State per domain is the last admitted time, for one delay. The size of a batch
+    (``maxFilesPerTrigger``) bounds what one domain brings at a time.
     """
-    def apply(key, batches, state: GroupState):
-        (last,) = state.get if state.exists else (None,)
-        frames = [pdf for pdf in batches]
-        pdf = pd.concat(frames).sort_values(["seconds", "request_id"])
-        actions = []
-        for now, delay in zip(pdf["seconds"], pdf["crawl_delay"]):
-            late = last is not None and now - last < delay
-            actions.append("delay" if late else "proceed")
-            last = last if late else now
-        state.update((float(last),))
-        yield pd.DataFrame({"domain": key[0], "request_id": pdf["request_id"], "action": actions})
-
-    return requests.groupBy("domain").applyInPandasWithState(
-        apply, "domain string, request_id long, action string", "last double", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+    rows = requests.select("domain", "request_id", "seconds", "crawl_delay", _at("seconds").alias("ts"))
+    return _keyed(rows, ["domain"], state.Pacing(), "domain string, request_id long, action string")
 
 
-def research_state(parsed: DataFrame) -> DataFrame:
-    """Running status of research runs (run_id, seq, type, state, content)."""
-    def apply(key, batches, state: GroupState):
-        status, completed, error = state.get if state.exists else (None, False, None)
-        pdf = pd.concat(list(batches)).sort_values("seq")
-        for kind, value, content in zip(pdf["type"], pdf["state"], pdf["content"]):
-            if kind == "status":
-                status = value
-            elif kind == "done":
-                status, completed, error = "completed", True, None
-            elif kind == "error":
-                status, completed, error = "failed", False, content or ""
-        state.update((status, completed, error))
-        yield pd.DataFrame({"run_id": [key[0]], "status": [status], "completed": [completed], "error": [error]})
-
-    return parsed.groupBy("run_id").applyInPandasWithState(
-        apply, "run_id long, status string, completed boolean, error string",
-        "status string, completed boolean, error string", "update", GroupStateTimeout.NoTimeout,
+def research_state(parsed: DataFrame, retention: float = RETENTION) -> DataFrame:
+    """Projection of research runs over parsed events (run_id, seq, type, ts, p).
+
+    ``kind = 'state'``: the run's status, plan, pass, error and pending pages, anew
+    in every micro-batch that changes it; ``kind = 'source'``: a page the run
+    names, once.
+    """
+    rows = parsed.select(
+        "run_id", "seq", "type", "ts", "p.state", "p.strategy", F.col("p.pass").alias("pass_no"), "p.total_passes", "p.url", "p.sources", "p.content"
     )
+    return _keyed(rows, ["run_id"], state.Research(retention), state.Research.OUTPUT, "append")
+
+
+def run_research(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(newest state per run, sources) of a ``research_state`` stream over what is available."""
+    spark = stream.sparkSession
+    out, place = _folders(spark)
+
+    def log(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    _run(stream.writeStream.outputMode("append").foreachBatch(log).option("checkpointLocation", place))
+    rows = spark.read.schema(f"{_ddl(stream)}, batch long").parquet(out)
+    fields = ["status", "strategy", "pass_number", "total_passes", "completed", "error", "pending"]
+    states = rows.where("kind = 'state'").groupBy("run_id").agg(F.max_by(F.struct(*fields), "batch").alias("v"))
+    return states.select("run_id", "v.*"), rows.where("kind = 'source'").select("run_id", "url", "first_seq")
