@@ -212,3 +212,50 @@ def test_meta_needs_the_key_before_the_value(spark):
     assert (meta["author"], meta["language"], meta["canonical"], meta["robots"]) == ("first", "en", None, None)
     assert value(spark, H.canonical_href(F.col("h"), True), h=page) == "/b"
     assert value(spark, H.og_tags(F.col("h")), h=page) == {"title": ["t"], "x": ["y"]}
+
+
+NESTED = [
+    # Inner end tags do not end the outer element.
+    ("<p>a</p><nav>n1<nav>n2</nav>TAIL</nav><p>b</p>", "a\nb"),
+    ("<header>x<header>y</header>z</header>a<footer><footer></footer>f</footer>b", "a\nb"),
+    ("<nav>n<header>h</header>m</nav>a", "a"),
+    # An element without an end tag ends with the one around it.
+    ("<div><nav>menu</div><p>a</p>", "a"),
+    ("<body><p>a</p><nav>menu</body>", "a"),
+    # End tags without a start do nothing.
+    ("a</nav>b<nav>n</nav>c", "a\nb\nc"),
+    ("<div>a</nav></div><nav>n<ul><li>m</nav><p>b</p>", "a\nb"),
+    # Case, attributes, void and empty elements; names that only begin alike.
+    ('<NAV class="x">n<br>m<img src="i"></NAV >a', "a"),
+    ("<nav/>a<navy>b</navy>", "a\nb"),
+    ("<script>var s = '<nav>';</script>a<nav>n</nav>b", "a\nb"),
+    ("<!-- <nav> -->a<footer>f</footer>", "a"),
+    ("plain", "plain"),
+    ("", ""),
+]
+
+
+@pytest.mark.parametrize("html, want", NESTED)
+def test_nested_elements(spark, html, want):
+    assert value(spark, H.structural_text(F.col("h")), h=html) == want
+
+
+SECTIONS = [
+    ("<nav>n1<nav>n2</nav>n3</nav><p>a</p>", ["navigation"], "a"),
+    ("<aside>s<aside>t</aside>u</aside><p>a</p><nav>n</nav>", ["sidebar"], "a\nn"),
+    ('<div class="big banner">x<div>y</div>z</div><div>a</div>', ["banner"], "a"),
+    ("<div class=hero>x<div class='banner'>y</div>z</div>a<div><div>b</div></div>", ["banner"], "a\nb"),
+    ('<div class="site-banner">x</div><div data-x="banner">a</div>', ["banner"], "x\na"),
+    ("<header>h<nav>n</nav></header><main>a<aside>s</aside></main>", ["header", "sidebar"], "a"),
+    ("<main>m<article>a</article>e</main>tail", ["body"], "tail"),
+]
+
+
+@pytest.mark.parametrize("html, exclude, want", SECTIONS)
+def test_nested_sections(spark, html, exclude, want):
+    assert value(spark, H.filter_sections(F.col("h"), exclude=exclude, verbosity="compact"), h=html) == want
+
+
+def test_nested_elements_of_one_page_at_any_depth(spark):
+    deep = "<nav>" * 300 + "x" + "</nav>" * 300 + "a" + "<div>" * 500 + "b" + "</div>" * 500
+    assert value(spark, H.structural_text(F.col("h")), h=deep) == "a\nb"

@@ -153,7 +153,7 @@ def h7_all_metadata(t):
     )
 
 
-_body = A.plain_text(A.drop_elements("html", H.NON_CONTENT, comments=True))
+_body = A.plain_text(A.drop_elements("html", ["script", "style", *H.NON_CONTENT], comments=True))
 
 
 def structural_sql(cap=None):
