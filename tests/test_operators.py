@@ -306,6 +306,24 @@ def test_sitemaps(spark):
     assert [r["url"] for r in L.expand_sitemap_index(roots, df, limit=5).collect()] == ["https://h/a", "https://h/b"]
 
 
+def test_pages_open_only_their_files(spark, tmp_path):
+    rng = random.Random(5)
+    data = [(i, None if i % 50 == 0 else rng.randrange(30), f"v{i}") for i in range(900)]
+    df = spark.createDataFrame(data, "id long, k int, v string").repartition(4)
+    table = L.store_pages(df, ["k", "id"], slices=9)
+    assert table.rows == 900
+    ordered_ids = [i for i, _, _ in sorted(data, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))]
+    before = sorted(p.name for p in __import__("pathlib").Path(table.path).rglob("*.parquet"))
+    for offset in (0, 37, 450, 880, 899, 900, 5000):
+        page = table.page(offset, 40)
+        assert page.columns == ["id", "k", "v", "next_offset"]
+        rows_ = page.collect()
+        assert sorted(r["id"] for r in rows_) == sorted(ordered_ids[offset:offset + 40])
+        assert {r["next_offset"] for r in rows_} <= {offset + 40 if offset + 40 < 900 else None}
+        assert len(page.inputFiles()) <= 2
+    assert sorted(p.name for p in __import__("pathlib").Path(table.path).rglob("*.parquet")) == before
+
+
 def test_write_llms_txt(spark, tmp_path):
     pages = spark.createDataFrame([(0, "s.com", "https://s.com/", "T", "D"), (1, "s.com", "https://s.com/u", "U", "")],
                                   "pos int, site string, url string, title string, description string")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webstrata.functions import html as H
 from webstrata.functions import urls as U
 from webstrata.operators import ordered, ranking
-from webstrata.session import cut_lineage
+from webstrata.session import bucketed, cut_lineage
 
 
 @dataclass(frozen=True)
@@ -61,6 +61,14 @@ def passes_filters(url: Column, options: CrawlOptions) -> Column:
     return U.match_path(target, options.include, options.exclude, options.regex_on_full_url)
 
 
+#: Hexadecimal digits of a position in the queue key.
+DIGITS = 12
+
+
+def _digits(value: Column) -> Column:
+    return F.lpad(F.hex(value.cast("long")), DIGITS, "0")
+
+
 def traverse(
     start: DataFrame, edges: DataFrame, options: CrawlOptions, nodes: DataFrame | None = None
 ) -> DataFrame:
@@ -70,46 +78,51 @@ def traverse(
     ``edges`` has (src, dst) and may have (class_rank, pos), the order in which
     a page queues its links; ``nodes`` limits the walk to stored pages. At most
     ``max_pages`` nodes are reached, the first in queue order; 0 is no limit.
-    Every level is one join of the frontier with the edges,
-    combined to distinct targets before the shuffle, and one anti join with the
-    nodes already reached. The frontier has one row per node, so a hub page
-    only makes the edge side of the join uneven, which AQE splits. Each level
-    is written to the checkpoint folder, which keeps plans short and lets a
-    lost executor be replaced without walking again.
+
+    The edges are stored once, bucketed by their source, and read in place at
+    every level. A node's place in the queue is a text key, its parent's key
+    and its place on that page, so no level is sorted or numbered; only the level
+    that exceeds ``max_pages`` is cut, by counting. Every level is one join of the
+    frontier with the edges, combined to distinct targets before the shuffle, one
+    anti join with the nodes already reached, and one write, which keeps plans
+    short and lets a lost executor be replaced without walking again.
     """
     def stored(df: DataFrame) -> DataFrame:
         return df if nodes is None else df.join(nodes, "node", "left_semi")
 
-    def level(df: DataFrame, order: list[str], depth: int, room: int | None) -> tuple[DataFrame, int]:
-        """Nodes of a level with their place in the queue, cut to ``room``."""
-        placed = cut_lineage(ordered.rank_in_key(df, [], order, "__n").select(
-            "node", F.lit(depth).alias("depth"), F.col("__n").alias("ord")
-        ))
-        size = placed.count()
+    def level(df: DataFrame, room: int | None) -> tuple[DataFrame, int]:
+        """Nodes of a level with their key in the queue, cut to ``room``."""
+        found = cut_lineage(df)
+        size = found.count()
         if room is not None and size > room:
-            return placed.where(F.col("ord") <= room), room
-        return placed, size
+            return cut_lineage(found.where(ordered.kth_smallest_cut(found, "key", "node", room))), room
+        return found, size
 
     limit = options.max_pages if options.max_pages > 0 else None
+    # Links of one page that share a place follow each other by address.
+    placed = {"class_rank", "pos"} <= set(edges.columns)
     for name in ("class_rank", "pos"):
         if name not in edges.columns:
             edges = edges.withColumn(name, F.lit(0))
-    # Read once per level, so it is stored once instead of parsed again.
-    links = cut_lineage(edges.groupBy("src", "dst").agg(F.min(F.struct("class_rank", "pos")).alias("place")))
+    place = F.concat(F.col("class_rank").cast("string"), _digits(F.col("pos")))
+    targets = stored(edges.withColumnRenamed("dst", "node"))
+    links = bucketed(targets.groupBy("src", "node").agg(F.min(place).alias("place")), "src")
     if "ord" not in start.columns:
         start = start.withColumn("ord", F.lit(0))
     seeds = stored(start.groupBy("node").agg(F.min("ord").alias("first")))
-    frontier, size = level(seeds, ["first", "node"], 0, limit)
+    key = F.concat(_digits(F.col("first") + (1 << 4 * DIGITS - 1)), F.col("node"), F.lit("\x00"))
+    frontier, size = level(seeds.select("node", F.lit(0).alias("depth"), key.alias("key")), limit)
     reached, total = frontier.select("node", "depth"), size
     for depth in range(1, options.max_depth + 1):
         if size == 0 or (limit is not None and total >= limit):
             break
+        parents = frontier.select(F.col("node").alias("src"), F.col("key").alias("parent"))
+        own = F.col("place") if placed else F.concat("place", "node", F.lit("\x00"))
         found = (
-            frontier.join(links, frontier["node"] == links["src"])
-            .groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("ord", "place")).alias("first"))
+            parents.join(links, "src").groupBy("node").agg(F.min(F.concat("parent", own)).alias("key"))
+            .join(reached.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "key")
         )
-        fresh = stored(found.join(reached.select("node"), "node", "left_anti"))
-        frontier, size = level(fresh, ["first", "node"], depth, None if limit is None else limit - total)
+        frontier, size = level(found, None if limit is None else limit - total)
         reached, total = reached.unionByName(frontier.select("node", "depth")), total + size
     return reached
 

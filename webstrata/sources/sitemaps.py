@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from webstrata.functions import html as H
 from webstrata.functions import urls as U
 from webstrata.operators import ordered, ranking
-from webstrata.session import cut_lineage
+from webstrata.session import checkpoint_root, cut_lineage, remove_at_end
 
 # Where sitemaps are looked for without a robots.txt line.
 COMMON_SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml"]
@@ -188,9 +192,65 @@ def write_llms_txt(lines: DataFrame, site: str, path: str) -> None:
 PAGE_CHUNK = max(1, (10 * 1024 * 1024) // (10 * 1024))
 
 
+@dataclass(frozen=True)
+class Paged:
+    """A table in order, one sorted folder per slice; ``slices`` has the rows of each."""
+
+    spark: SparkSession
+    path: str
+    schema: StructType
+    slices: tuple[tuple[int, int], ...]
+
+    @property
+    def rows(self) -> int:
+        return sum(n for _, n in self.slices)
+
+    def page(self, offset: int, chunk: int = PAGE_CHUNK) -> DataFrame:
+        """Rows ``offset`` .. ``offset + chunk`` in order, with ``next_offset`` (NULL on the last page).
+
+        Only the slices that hold the page are opened, and nothing is written.
+        """
+        needed, ahead = [], 0
+        for number, rows in self.slices:
+            if ahead < offset + chunk and offset < ahead + rows:
+                needed.append((number, ahead))
+            ahead += rows
+        following = offset + chunk if offset + chunk < ahead else None
+        out = None
+        for number, before in needed:
+            part = self.spark.read.schema(self.schema).parquet(f"{self.path}/__folder={number}")
+            part = part.where(F.col(LINE).between(offset - before, offset + chunk - before - 1))
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            out = self.spark.createDataFrame([], self.schema)
+        return out.drop(LINE).withColumn("next_offset", F.lit(following).cast("long"))
+
+
+LINE = "__line"
+
+
+def store_pages(df: DataFrame, order: list[str], slices: int | None = None) -> Paged:
+    """``df`` range-partitioned and sorted by ``order`` once, to be read page by page.
+
+    Rows that agree in ``order`` keep one place from page to page. The driver
+    holds one number per slice. The table goes when the driver ends.
+    """
+    spark = df.sparkSession
+    columns = [*order, ordered.ROW]
+    marked = df.withColumn(ordered.ROW, F.monotonically_increasing_id())
+    dealt = marked.repartitionByRange(slices, *columns) if slices else marked.repartitionByRange(*columns)
+    # The place in a slice is the low part of the running id behind the sort.
+    lined = dealt.sortWithinPartitions(*columns).withColumn(LINE, F.monotonically_increasing_id())
+    low = F.col(LINE).bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = lined.withColumn(ordered.SLICE, F.shiftright(LINE, 33).cast("int")).withColumn(LINE, low).drop(ordered.ROW)
+    path = f"{checkpoint_root(spark).rstrip('/')}/webstrata-pages-{uuid.uuid4().hex}"
+    numbered.withColumn("__folder", F.col(ordered.SLICE)).write.partitionBy("__folder").parquet(path)
+    remove_at_end(spark, path)
+    whole = spark.read.schema(numbered.schema).parquet(path)
+    counts = sorted((r[ordered.SLICE], r["count"]) for r in whole.groupBy(ordered.SLICE).count().collect())
+    return Paged(spark, path, numbered.drop(ordered.SLICE).schema, tuple(counts))
+
+
 def paginate(df: DataFrame, order: list[str], offset: int, chunk: int = PAGE_CHUNK) -> DataFrame:
-    """One page of rows in order, with ``next_offset`` (NULL on the last page)."""
-    total = df.count()
-    following = offset + chunk if offset + chunk < total else None
-    page = ordered.rows_between(df, order, offset, offset + chunk)
-    return page.withColumn("next_offset", F.lit(following).cast("long"))
+    """One page of rows in order; ``store_pages`` serves more than one page of a table."""
+    return store_pages(df, order).page(offset, chunk)
