@@ -263,6 +263,19 @@ def test_canonical_chains(spark, alias):
     assert {r["pos"]: r["canonical_duplicate"] for r in got} == brute_canonical(pages, alias)
 
 
+def test_best_version(spark):
+    from webstrata.operators import pages as P
+    data = [
+        ("a", 1, 0.1), ("a", 2, 0.5), ("a", 3, 0.9),  # the first acceptable tier, not the best score
+        ("b", 1, 0.1), ("b", 2, 0.2), ("b", 3, 0.2),  # best effort: highest score, then the earlier tier
+        ("c", 1, None), ("c", 2, 0.0), ("d", 4, None), (None, 2, 0.31),
+    ]
+    got = P.best_version(spark.createDataFrame(data, "url string, tier int, score double"), ["url"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        ("a", 2, 0.5, False), ("b", 2, 0.2, True), ("c", 1, None, False), ("d", 4, None, False), (None, 2, 0.31, False),
+    ], key=str)
+
+
 def test_content_layer(spark):
     df = spark.createDataFrame([(0, "a", "x"), (1, "b", "x"), (2, "c", " "), (3, "d", " "), (4, "e", "y")], "pos long, url string, md string")
     kept, dropped = D.dedup_content(df, "pos", "md")

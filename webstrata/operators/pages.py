@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webstrata.functions import html as H
+from webstrata.functions import quality as Q
 from webstrata.functions import urls as U
 from webstrata.operators import ranking
 
@@ -169,6 +170,26 @@ def flatten_cve(records: DataFrame, keys: list[str], json: str = "record") -> Da
     return out
 
 
+def best_version(versions: DataFrame, keys: list[str], tier: str = "tier", score: str = "score") -> DataFrame:
+    """One fetched version per key: the first tier of acceptable quality, else the best effort.
+
+    Tiers are tried in order; a version below the quality threshold is passed on to
+    the next tier and kept as a fallback, of which the highest score counts, then
+    the earlier tier. Adds ``best_effort`` (no tier was acceptable). A version that
+    was not scored is acceptable. One aggregate with map-side combine, whatever a
+    key's size.
+    """
+    ok = Q.quality_acceptable(F.col(score))
+    order = F.struct(
+        (~ok).alias("poor"), F.when(ok, F.col(tier)).alias("first"), (-F.col(score)).alias("down"), F.col(tier).alias("tier")
+    )
+    rest = [c for c in versions.columns if c not in keys]
+    best = versions.groupBy(*keys).agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest], (~ok).alias("best_effort")), order).alias("__best")
+    )
+    return best.select(*keys, "__best.*")
+
+
 def cert_listing(certs: DataFrame, domain: str, order: str, n: int = 20) -> DataFrame:
     """First ``n`` certificates per domain with the domain's total.
 

@@ -8,7 +8,6 @@ from webstrata.functions import html as H
 from webstrata.functions import quality as Q
 from webstrata.functions import urls as U
 from webstrata.operators import pages as P
-from webstrata.operators import ranking
 from webstrata.plans import ansi as A
 from webstrata.plans.registry import query
 
@@ -526,11 +525,7 @@ def q6_best_version(t):
     versions = Q.assess_quality(t.sql(BLOCKED), "text").select(
         F.col("source").alias("url"), F.col("doc_id").alias("tier"), "score"
     )
-    ok = Q.quality_acceptable(F.col("score"))
-    return ranking.first_per_key(
-        versions, ["url"],
-        [ok.desc(), F.when(ok, F.col("tier")).otherwise(0), F.desc("score"), "tier"],
-    )
+    return P.best_version(versions, ["url"]).drop("best_effort")
 
 
 BARRIERS = """SELECT page_id, url || CASE page_id % 11 WHEN 1 THEN '?__cf_chl=1' WHEN 2 THEN '/.well-known/ddos-guard' WHEN 3 THEN '//substack.com/iframe' ELSE '' END AS url,
