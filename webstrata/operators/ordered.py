@@ -5,9 +5,11 @@ range-partitioned by key, order and row number first and written once, so its
 partitions are slices of bounded size that follow each other: a key with most
 rows spans many slices, and so do rows that agree in key and order. Every
 (key, slice) group is scanned on its own, and what a slice inherits from earlier
-slices of its key comes from a summary of one row per group. There is one path
-at every table size; NULL keys are a key like any other and NULL order values
-come first.
+slices of its key comes from a summary. Only the first key of a slice can go on
+from an earlier one, so that summary has at most one row per slice. The table is
+bucketed by slice: scans of its groups, one after the other, read it in place.
+There is one path at every table size; NULL keys are a key like any other and
+NULL order values come first.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webstrata.session import cut_lineage
+from webstrata.session import bucketed
 
 SLICE, ROW = "__slice", "__row"
 
@@ -42,7 +44,7 @@ def with_slices(df: DataFrame, keys: list[str], order: list[str], slices: int |
     columns = [*keys, *order, ROW]
     marked = df.withColumn(ROW, F.monotonically_increasing_id())
     dealt = marked.repartitionByRange(slices, *columns) if slices else marked.repartitionByRange(*columns)
-    return cut_lineage(dealt.withColumn(SLICE, F.spark_partition_id()))
+    return bucketed(dealt.withColumn(SLICE, F.spark_partition_id()), SLICE)
 
 
 def unsliced(df: DataFrame) -> DataFrame:
@@ -50,14 +52,18 @@ def unsliced(df: DataFrame) -> DataFrame:
 
 
 def join_summary(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
-    """``summary`` beside the rows of its (key, slice); NULL keys match."""
+    """``summary`` beside the rows of its (key, slice); NULL keys match.
+
+    ``summary`` has rows of keys that span slices only, one per (key, slice): at
+    most two such keys touch a slice, so it is sent to the tasks.
+    """
     on = [*keys, SLICE]
     renamed = summary.select(
         *[F.col(f"`{c}`").alias(f"__s_{c}") for c in on],
         *[F.col(c) for c in summary.columns if c not in on],
     )
     match = reduce(and_, [df[f"`{c}`"].eqNullSafe(renamed[f"`__s_{c}`"]) for c in on])
-    return df.join(renamed, match, "left").drop(*[f"__s_{c}" for c in on])
+    return df.join(F.broadcast(renamed), match, "left").drop(*[f"__s_{c}" for c in on])
 
 
 def _local(keys: list[str], order: list[str], end: int):
@@ -77,6 +83,7 @@ def carry_last(
         df.groupBy(*keys, SLICE)
         .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order, ROW))).alias("__v"))
         .withColumn("__carry", F.last("__v", ignorenulls=True).over(_earlier(keys))).drop("__v")
+        .where("__carry IS NOT NULL")
     )
     scanned = df.withColumn(out, F.last(value, ignorenulls=True).over(_local(keys, order, end)))
     return join_summary(scanned, summary, keys).withColumn(out, F.coalesce(out, "__carry")).drop("__carry")
@@ -94,6 +101,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
     summary = (
         valued.groupBy(*keys, SLICE).agg(F.sum("__value").alias("__s"))
         .withColumn("__before", F.sum("__s").over(_earlier(keys))).drop("__s")
+        .where("__before IS NOT NULL")
     )
     scanned = valued.withColumn(out, F.sum("__value").over(_local(keys, order, 0))).drop("__value")
     # NULL values count as nothing; the sum stays NULL until the first known one.

@@ -239,7 +239,7 @@ def greedy_scan(
         return pdf[columns]
 
     schema = ", ".join(f"`{n}` {t}" for n, t in base.dtypes) + ", last_admitted double, admitted boolean"
-    scanned = ordered.join_summary(base, entries, [key]).groupBy(key, slice_).applyInPandas(rescan, schema)
+    scanned = ordered.join_summary(base, entries.where("entry IS NOT NULL"), [key]).groupBy(key, slice_).applyInPandas(rescan, schema)
     return ordered.unsliced(scanned).withColumn(
         "last_admitted", F.when(~F.isnan("last_admitted"), F.col("last_admitted"))
     )
