@@ -371,8 +371,8 @@ MQ_SQL = f"""mq AS (SELECT vec_id AS query_id, vec_id % 3 AS user_id, list_trans
 me AS (SELECT *, {NOW} - age_days * {DAY} AS created_ms, {NOW} - age_days * {DAY} + {TTL * 1000} AS expires_ms FROM ({MEMORY}))"""
 
 
-def _memory_sql(extra):
-    return f"""WITH {MQ_SQL}, s AS (SELECT query_id, id, {_cos('query_vector', 'embedding')} AS similarity, created_ms, expires_ms FROM mq JOIN me ON {extra}),
+def _memory_sql(extra, memory="me", more=""):
+    return f"""WITH {MQ_SQL}{more}, s AS (SELECT query_id, id, {_cos('query_vector', 'embedding')} AS similarity, created_ms, expires_ms FROM mq JOIN {memory} AS me ON {extra}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s),
 b AS (SELECT query_id, arg_min(id, rank) AS memory_id, arg_min(similarity, rank) AS similarity, arg_min(created_ms, rank) AS c FROM r WHERE rank <= 5 AND similarity >= 0.85 AND expires_ms > {NOW} GROUP BY 1)
 SELECT mq.query_id, memory_id IS NOT NULL AS hit, memory_id, similarity, CASE WHEN c IS NULL THEN NULL WHEN ({NOW} - c) / 1000 < {TTL} / 4 THEN 'fresh' WHEN ({NOW} - c) / 1000 < {TTL} / 2 THEN 'aging' ELSE 'stale' END AS freshness
@@ -424,6 +424,20 @@ def m6_batch_query(t):
     return answers.agg(F.count("*").alias("queries"), F.countDistinct("query_id").alias("answered"))
 
 
+# A batch of artifacts is stored, its bad ones turned away, and a batch of queries asks old and new ones.
+_STORED = f""", me2 AS (SELECT id, embedding, created_ms, expires_ms FROM me UNION ALL SELECT id + 1000000, list_reverse(embedding), {NOW}, {NOW + TTL * 1000} FROM me
+ WHERE artifact <> '' AND artifact NOT LIKE 'Error:%' AND id % 7 <> 0)"""
+
+
+@query("m6_batch_store_and_query", _memory_sql("true", "me2", _STORED))
+def m6_batch_store_and_query(t):
+    batch = t.sql(MEMORY).select(
+        (F.col("id") + 1000000).alias("id"), "artifact", F.reverse("embedding").alias("embedding"),
+        F.when(F.col("id") % 7 != 0, F.array(F.lit("s"))).otherwise(F.array().cast("array<string>")).alias("sources"),
+    )
+    return M.memory_query(_mem_queries(t), M.memory_store(_memory(t), batch, NOW, TTL), NOW, TTL)
+
+
 USERS = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'key' || user_id ELSE '' END AS api_key, CASE event_id % 4 WHEN 1 THEN 'Bearer tok' || user_id ELSE '' END AS auth,
  CASE event_id % 4 WHEN 2 THEN ' 10.0.0.' || (user_id % 250) || ' , 1.1.1.1' ELSE '' END AS forwarded, '192.0.2.' || (user_id % 200) AS peer FROM {events}"""
 
