@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webstrata.llm.shared import pick
-from webstrata.llm.tokens import Encoder
+from webstrata.llm.tokens import shared_encoder
 from webstrata.session import cut_lineage
 
 CAPACITY = 2048
@@ -43,7 +43,7 @@ def cut(tokens: int, capacity: int) -> list[tuple[int, int]]:
 
 def _tokenize(tokenizer: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.uint32(end_id).tobytes()
+        encoder, end = shared_encoder(tokenizer), np.uint32(end_id).tobytes()
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             ids, pieces, starts, lengths, crcs, nth = [], [], [], [], [], []

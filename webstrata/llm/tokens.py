@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-#: White space beside a space, where the next token may reach over the space.
-_LOOSE = re.compile(r"\s | \s|^ | $")
+#: White space other than the space itself.
+_OTHER_SPACE = [chr(c) for c in range(sys.maxunicode + 1) if chr(c) != " " and re.match(r"\s", chr(c))]
+_ASCII_SPACE = [c for c in _OTHER_SPACE if c.isascii()]
 #: The word pattern that a byte-level tokenizer applies before merging.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words remembered by one Python worker (about 60 MB).
-CACHE_WORDS = 300_000
+#: Words and parts of words remembered by one Python worker (about 120 MB).
+CACHE_WORDS, CACHE_PIECES = 500_000, 100_000
+#: Signs that begin a token of their own behind a letter.
+_STOPS = ",.;:!?"
+
+
+def _latin(word: str) -> bool:
+    """Letters only, of the range on whose letters all Unicode versions agree."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -38,39 +50,69 @@ def _ranks(path: str) -> dict[bytes, int] | None:
     return {bytes(alphabet[c] for c in word): i for word, i in model["vocab"].items() if word not in added}
 
 
+def _loose(text: str) -> bool:
+    """White space beside a space, where the next token may reach over the space."""
+    if not text or text[0] == " " or text[-1] == " " or "  " in text:
+        return True
+    found = [c for c in (_ASCII_SPACE if text.isascii() else _OTHER_SPACE) if c in text]
+    return any(c + " " in text or " " + c in text for c in found)
+
+
 class Encoder:
     """``encode(text)``: ids as little-endian unsigned 32-bit bytes, no special tokens added.
 
     Between two characters that are not white space, a single space always
-    begins a token, so a text is cut there and repeated words are looked up.
-    Words seen for the first time are merged by the same vocabulary's ranks;
-    texts that hold an added token, and vocabularies of another kind, go through
-    ``tokenizers`` whole. Equality with ``tokenizers`` is tested.
+    begins a token, so a text is cut there and repeated words are looked up. A
+    word seen for the first time is split by the pattern and its parts are merged
+    by the vocabulary's ranks; so is a text with other white space, whose runs may
+    be of any length. Texts that hold an added token, and vocabularies of another
+    kind, go through ``tokenizers`` whole. Equality with ``tokenizers`` is tested.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         ranks = _ranks(path)
-        self.engine = ranks and tiktoken.Encoding(
-            "file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
-        encode = self.engine and self.engine.encode_ordinary
+        self.plain = ranks is not None
+        if not self.plain:
+            return
+        merge = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.split = split = regex.compile(_PATTERN).findall
+
+        class Pieces(dict):
+            def __missing__(self, piece: str) -> bytes:
+                if len(self) >= CACHE_PIECES:
+                    self.clear()
+                ids = self[piece] = array("I", merge(piece.encode())).tobytes()
+                return ids
+
+        piece = self.piece = Pieces().__getitem__
 
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
                 if len(self) >= CACHE_WORDS:
                     self.clear()
-                ids = self[word] = np.array(encode(" " + word), "<u4").tobytes()
+                if _latin(word):
+                    ids = array("I", merge((" " + word).encode())).tobytes()
+                elif word[-1:] in _STOPS and _latin(word[:-1]):
+                    ids = self[word[:-1]] + piece(word[-1])
+                else:
+                    ids = b"".join(map(piece, split(" " + word)))
+                self[word] = ids
                 return ids
 
-        self.words = Words()
+        self.word = Words().__getitem__
 
     def encode(self, text: str) -> bytes:
-        if self.engine is None or any(t in text for t in self.added):
+        if not self.plain or any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _LOOSE.search(text):
-            return np.array(self.engine.encode_ordinary(text), "<u4").tobytes()
+        if _loose(text):
+            return b"".join(map(self.piece, self.split(text)))
         first, *words = text.split(" ")
-        head = np.array(self.engine.encode_ordinary(first), "<u4").tobytes()
-        return head + b"".join(map(self.words.__getitem__, words))
+        return b"".join((*map(self.piece, self.split(first)), *map(self.word, words)))
+
+
+@functools.lru_cache(maxsize=2)
+def shared_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, whose remembered words serve all its tasks."""
+    return Encoder(path)
