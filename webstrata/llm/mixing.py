@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webstrata.llm.shared import fresh, pick
-from webstrata.session import cut_lineage
+from webstrata.llm.shared import LOCATION, fresh, located, pick
+from webstrata.session import cut_lineage, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -219,22 +219,23 @@ def mixed(documents: DataFrame, text_col: str = "text", source_col: str = "sourc
     counted anew); documents that the mix does not take, go.
     """
     names = documents.columns
-    row = fresh("row")
-    wide = cut_lineage(documents.withColumn(row, F.monotonically_increasing_id()))
-    rows = cut_lineage(wide.select(
-        F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"),
-        size_of(F.col(f"`{text_col}`")).alias("size"),
-    ))
-    made = mix(rows, **options)
-    turns = made.pieces.groupBy("row", "turn").agg(F.sum("words").alias("words")).join(
-        rows.select("row", "size"), "row"
-    )
+    table, place_of = located(documents)
     whole, kept = fresh("whole"), fresh("words")
-    copies = turns.select(F.col("row").alias(row), (F.col("words") == F.col("size")).alias(whole), F.col("words").alias(kept))
+    with scratch(documents.sparkSession) as keep:
+        placed = cut_lineage(table.select(
+            *place_of, F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"),
+            F.col(f"`{source_col}`").alias("source"), size_of(F.col(f"`{text_col}`")).alias("size"),
+        ))
+        made = mix(placed.select("row", "id", "source", "size"), **options)
+        turns = made.pieces.groupBy("row", "turn").agg(F.sum("words").alias("words"))
+        copies = keep(turns.join(placed, "row").select(
+            *LOCATION, (F.col("words") == F.col("size")).alias(whole), F.col("words").alias(kept)
+        ))
     # The text up to its n-th word: words with the white space before them.
     steps = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     first = F.array_join(F.slice(steps, F.lit(1), F.col(kept).cast("int")), "")
-    joined = wide.join(copies, row)
+    # Texts stay in their table until here: only places and word counts were shuffled.
+    joined = table.select("*", *place_of).join(copies, list(LOCATION))
     out = []
     for c in names:
         value = F.col(f"`{c}`")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 import zlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webstrata.session import checkpoint_root, remove_at_end, ship_package
+from webstrata.session import cut_lineage, ship_package
 
-__all__ = ["bucketed", "crc_mod", "fresh", "labelled_sample", "pick", "python_crc_mod", "ship_package"]
+__all__ = ["LOCATION", "crc_mod", "fresh", "labelled_sample", "located", "pick", "python_crc_mod", "ship_package", "stretch"]
 
 
 def fresh(name: str) -> str:
@@ -26,19 +27,29 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """``df`` as a table bucketed by ``key`` below the checkpoint folder.
+#: Columns that tell where a row is stored: its file (128 bits of hash) and place in it.
+LOCATION = ("__file", "__file_check", "__line")
 
-    Later joins and groupings by the key read it in place, without a shuffle. It
-    has as many buckets as a shuffle has partitions and goes when the driver ends.
+
+def located(df: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``df`` as a table of Parquet files, and where each row is stored.
+
+    A table that was read from files is taken as it is, so its rows are told
+    apart without writing them anew; one of another kind, or in which a stored row
+    occurs more than once, is written first.
     """
-    spark = df.sparkSession
-    name = f"webstrata_{uuid.uuid4().hex}"
-    path = f"{checkpoint_root(spark).rstrip('/')}/{name}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
-    remove_at_end(spark, path)
-    return spark.table(name)
+    def place(table: DataFrame) -> list[Column]:
+        meta = table.metadataColumn("_metadata")
+        columns = F.xxhash64(meta["file_path"]), F.xxhash64(meta["file_path"], F.lit(1)), meta["row_index"]
+        return [c.alias(n) for c, n in zip(columns, LOCATION, strict=True)]
+
+    try:
+        # Only the places are read, none of the table's columns.
+        once = df.select(*place(df)).groupBy(*LOCATION).count().where("count > 1").isEmpty()
+    except AnalysisException:
+        once = False
+    df = df if once else cut_lineage(df)
+    return df, place(df)
 
 
 def crc_mod(doc_id: Column, modulus: int) -> Column:
@@ -50,28 +61,43 @@ def python_crc_mod(doc_id: int, modulus: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % modulus
 
 
+def stretch(text: Column, id_: Column, chars: int) -> Column:
+    """At most ``chars`` characters of a text: all of a shorter one, else a run that starts at a place given by the id."""
+    room = F.length(text) - chars
+    start = F.pmod(F.crc32(id_.cast("string").cast("binary")), F.greatest(room, F.lit(1))) + 1
+    return F.when(room > 0, F.substring(text, start.cast("int"), F.lit(chars))).otherwise(text)
+
+
+def whole_lines(text: str, cut: bool) -> str:
+    """A cut text without the lines at its ends, which may be parts of lines."""
+    lines = text.split("\n")
+    return "\n".join(lines[1:-1]) if cut and len(lines) > 2 else text
+
+
 def labelled_sample(
     documents: DataFrame, labels: DataFrame, modulus: int, held_out: int, sample: int, sample_chars: int,
     id_col: str, text_col: str, label_col: str,
 ) -> list[tuple[int, bytes, float]]:
     """(id, UTF-8 text, label) of labelled documents that are not held out.
 
-    The first ``sample`` labelled ids by md5 of the id; of those, documents of at
-    most ``sample_chars`` characters. NULL ids, labels and texts teach nothing;
-    of repeated ids the least label and text count. The result is at most
+    The first ``sample`` labelled ids with a text by md5 of the id, those with a
+    text of at most ``sample_chars`` characters before all others; of a longer
+    text a stretch of whole lines is taken. NULL ids, labels and texts teach
+    nothing; of repeated ids the least label and text count. The result is at most
     ``sample * sample_chars`` characters whatever the corpus size.
     """
     known = pick(labels, id=id_col, label=label_col).where(
         F.col("label").isNotNull() & (crc_mod(F.col("id"), modulus) != held_out)
+    ).groupBy("id").agg(F.min("label").alias("label"))
+    texts = pick(documents, id=id_col, text=text_col).where("text IS NOT NULL")
+    sized = texts.select("id", F.length("text").alias("size")).join(known, "id").groupBy("id", "label").agg(
+        F.min("size").alias("size")
     )
-    chosen = known.orderBy(F.md5(F.col("id").cast("string")), "id", "label").limit(sample).collect()
-    wanted: dict[int, float] = {}
-    for row in chosen:
-        wanted.setdefault(row["id"], row["label"])
+    order = [F.col("size") > sample_chars, F.md5(F.col("id").cast("string")), "id"]
+    wanted = {r["id"]: r["label"] for r in sized.orderBy(*order).limit(sample).collect()}
     ids = documents.sparkSession.createDataFrame([(i,) for i in wanted], known.select("id").schema)
-    texts = pick(documents, id=id_col, text=text_col).where(F.length("text") <= sample_chars)
-    found = (
-        texts.join(F.broadcast(ids), "id")  # at most ``sample`` ids
-        .groupBy("id").agg(F.min("text").cast("binary").alias("text")).collect()
+    cut = texts.join(F.broadcast(ids), "id").select(  # at most ``sample`` ids
+        "id", F.struct(F.length("text") > sample_chars, stretch(F.col("text"), F.col("id"), sample_chars)).alias("t")
     )
-    return sorted((r["id"], bytes(r["text"]), wanted[r["id"]]) for r in found)
+    found = cut.groupBy("id").agg(F.min("t").alias("t")).collect()
+    return sorted((r["id"], whole_lines(r["t"][1], r["t"][0]).encode(), wanted[r["id"]]) for r in found)
