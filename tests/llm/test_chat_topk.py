@@ -123,3 +123,28 @@ def test_cover_tree_covers_and_prunes():
     search = topk.Search(topk.build(np.arange(0, 3000, 50), points[::50], 2), 5)
     search.meet(tree)
     assert search.pairs < 0.5 * 60 * 3000
+
+
+def test_a_null_role_is_not_a_null_text(spark):
+    rows = [(1, 0, "b", None), (2, 0, None, "b"), (3, 0, "b", ""), (4, 0, "", "b")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert sorted(r.conv_id for r in chat.render(frame).collect()) == [1, 2, 3, 4]
+
+
+def test_large_components_take_part(spark):
+    rows = [(50, [70000.0, 1.0]), (1, [1.0, 2.0]), (2, [70000.0, 3.0]), (100, [1.0, 0.0]), (3, [-70000.0, 0.5])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame).collect())
+    want = []
+    for q, v in rows:
+        if q % 50 == 0:
+            found = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(v, w)), i) for i, w in rows if i != q)
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    assert got == sorted(want)
+
+
+def test_a_repeated_query_id_asks_with_its_least_vector(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["rank"]: r.vec_id for r in topk.top_k(frame.repartition(3)).collect()}
+    assert got[1] == 2 and len(got) == 2

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from webstrata.llm import langid, quality, toxicity
+from webstrata.llm import langid, quality, shared, toxicity
 
 
 def labelled(spark, rows):
@@ -223,3 +223,68 @@ def test_scripts_of_many_characters_are_told_apart():
     names, _ = langid.identify_texts(model, [t for _, t in texts])
     assert sum(n == k for n, (k, _) in zip(names, texts)) >= 0.97 * len(texts)
     assert len(model.symbols) > 2000
+
+
+def test_tables_of_long_documents_only_are_learned_from(spark, docs):
+    r = random.Random(6)
+    good, bad = ("the river runs past the old town " * 3, "zzq xxkw 0101 ~~ qqpz "), ("kill fool idiot ", "lovely day friend ")
+    texts = []
+    for i in range(80):
+        kind = good[i % 2]
+        texts.append((i, "\n".join(" ".join(r.sample(kind.split(), len(kind.split()))) for _ in range(900)), "en", "s"))
+    frame = docs(texts)
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), int(i % 2)) for i in range(80)], "doc_id long, quality int, toxic int")
+    scored = quality.assess(frame, labels).collect()
+    assert all(x.predicted == int(x.doc_id % 2 == 0) for x in scored)
+    found = toxicity.assess(frame, labels).collect()
+    assert {x.predicted for x in found} == {0, 1} and sum(x.predicted == x.doc_id % 2 for x in found) > 70
+    assert {x.lang_pred for x in langid.identify(frame).collect()} == {"en"}
+
+
+def test_a_stretch_has_whole_lines_of_a_long_text(spark):
+    text = "\n".join(f"line {i} end" for i in range(500))
+    frame = spark.createDataFrame([(i, text) for i in range(20)], "id long, text string")
+    rows = frame.select("id", shared.stretch(frame.text, frame.id, 300).alias("t")).collect()
+    assert {len(x.t) for x in rows} == {300} and len({x.t for x in rows}) > 5
+    for x in rows:
+        assert set(shared.whole_lines(x.t, True).split("\n")) <= set(text.split("\n"))
+
+
+def plain_toxicity(model, text):
+    """Score of a text by loops: n-grams of every word, every window, the worst one."""
+    mask, prime = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def bucket(value):
+        return ((value ^ (value >> 31)) * prime & mask) >> (64 - toxicity.BUCKET_BITS)
+
+    def word_value(word):
+        codes = [ord(c) for c in f"<{word}>"]
+        found = []
+        for n in toxicity.GRAMS:
+            for i in range(len(codes) - n + 1):
+                value = n
+                for c in codes[i:i + n]:
+                    value = (value * prime + c) & mask
+                found.append(bucket(value))
+        found.append(bucket(sum(c * pow(prime, i + 1, 1 << 64) for i, c in enumerate(codes)) & mask))
+        return sum(model.values[b] for b in found) / len(found)
+
+    words = toxicity.words_of(text)
+    if not words or model.scale == 0:
+        return model.prior
+    values = [word_value(w) for w in words]
+    last = max(len(words) - toxicity.WINDOW, 0)
+    starts = sorted({*range(0, last + 1, toxicity.STRIDE), last})
+    means = [sum(values[s:s + toxicity.WINDOW]) / len(values[s:s + toxicity.WINDOW]) for s in starts]
+    return 1 / (1 + math.exp(-(model.scale * (max(means) + model.bias) + model.shift)))
+
+
+def test_toxicity_scores_equal_plain_loops():
+    r = random.Random(4)
+    vocabulary = ["".join(r.choices("abcdé日", k=r.randrange(1, 12))) for _ in range(60)] + ["x" * 90]
+    texts = [None, "", "!!", "One two"] + [" ".join(r.choices(vocabulary, k=r.randrange(1, 60))) for _ in range(60)]
+    model = toxicity.fit(texts, [i % 3 == 0 for i in range(len(texts))])
+    values = np.random.default_rng(0).normal(size=toxicity.BUCKETS)
+    for own in (model, toxicity.Model(values, 0.3, 1.7, -0.2, 0.4), toxicity.Model(values, scale=0.0, prior=0.25)):
+        got = own.scores(texts, {})
+        assert np.allclose(got, [plain_toxicity(own, t) for t in texts], atol=1e-9)

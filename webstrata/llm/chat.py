@@ -52,8 +52,10 @@ def prefixes(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
         *_CONV, "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), F.sum("n").over(conv).alias("turns")
     )
     placed = local.join(counts, [*_CONV, "chunk"]).withColumn("pos", F.col("pos") + F.col("base")).drop("base")
+    # The hash function passes over NULLs, so a NULL is told by a flag of its own.
+    role, text = ([F.col(c).isNull(), F.coalesce(F.col(c), F.lit(""))] for c in ("role", "text"))
     hashed = placed.select(
-        "*", *_halves("a", F.xxhash64("pos", "role", "text")), *_halves("b", F.xxhash64("text", F.lit("b"), "role", "pos"))
+        "*", *_halves("a", F.xxhash64("pos", *role, *text)), *_halves("b", F.xxhash64(*text, F.lit("b"), *role, "pos"))
     )
     parts = ["ah", "al", "bh", "bl"]
     upto = Window.partitionBy(*_CONV, "chunk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from webstrata.llm.shared import crc_mod, fresh, pick
+from webstrata.llm.shared import crc_mod, fresh, pick, stretch
 
 MODULUS, HELD_OUT = 4, 2
 SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS = 64, 16_000, (200, 2_000)
@@ -324,6 +324,10 @@ def identifier(spark, model: Model):
     return lambda text: language(text)
 
 
+#: A long document gives one part in so many of a language's learning text.
+STRETCHES = 8
+
+
 def learn(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS,
@@ -331,20 +335,22 @@ def learn(
     """Automata from documents whose crc32 remainder is not held out.
 
     Per language the first documents by md5 of the id are taken, whole, first
-    those of ordinary length (``DOC_CHARS``), until ``sample_chars`` is reached.
+    those of ordinary length (``DOC_CHARS``), until ``sample_chars`` is reached. Of
+    documents longer than that, which come last, a stretch is taken.
     """
     narrow = documents.select(
         documents[id_col].alias("id"), documents[lang_col].alias("lang"), F.length(documents[text_col]).alias("size")
     ).where(
         F.col("lang").isNotNull() & (crc_mod(F.col("id"), MODULUS) != HELD_OUT)
-        & F.col("size").between(1, sample_chars)
+        & (F.col("size") > 0)
     )
-    order = [(~F.col("size").between(*DOC_CHARS)).cast("int"), F.md5(F.col("id").cast("string")), "size"]
+    order = [F.col("size") > sample_chars, (~F.col("size").between(*DOC_CHARS)).cast("int"), F.md5(F.col("id").cast("string")), "size"]
     first = narrow.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
     chosen = first.where(F.col("nth") <= sample_docs).select("lang", "nth", "id")
     chosen = chosen.limit(MOST_LANGUAGES * sample_docs + 1).collect()
     ids = documents.sparkSession.createDataFrame([(i,) for i in {r["id"] for r in chosen}], narrow.select("id").schema)
-    whole = pick(documents, id=id_col, text=text_col).where(F.length("text").between(1, sample_chars))
+    part = F.when(F.length("text") > sample_chars, stretch(F.col("text"), F.col("id"), sample_chars // STRETCHES))
+    whole = pick(documents, id=id_col, text=text_col).where(F.length("text") > 0).withColumn("text", part.otherwise(F.col("text")))
     texts = {
         r["id"]: r["text"]
         for r in whole.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text")).collect()

@@ -38,8 +38,8 @@ PART, LEAF, SHRINK = 4096, 128, 1.4
 QUERY_LEAF = 8
 #: Sampled vectors that pivots are chosen from, and pivots at most.
 SAMPLE, PIVOTS = 4096, 1024
-#: Components beyond this do not fit the whole-number scores.
-LIMIT = 1 << 24
+#: Inner products stay below this, so that they are exact 64-bit numbers.
+LARGEST_SCORE = 1 << 62
 _NONE = -(1 << 62)
 
 
@@ -162,7 +162,8 @@ class Search:
         def bounds(a: int, nodes: np.ndarray) -> np.ndarray:
             exact = data.center[nodes] @ q.center[a]
             loose = q.radius[a] * norms[nodes] + data.radius[nodes] * (q_norms[a] + q.radius[a])
-            return (exact + loose) * (1 + 1e-12) + 1e-3  # above any rounding
+            # Above any rounding, also where large terms cancel out.
+            return (exact + loose) * (1 + 1e-12) + 1e-12 * norms[nodes] * q_norms[a] + 1e-3
 
         stack = [(0, np.zeros(1, np.int64))]
         while stack:
@@ -219,7 +220,8 @@ class Search:
 def whole_components(embedding, scale: int = SCALE):
     """floor(scale * x) of every component, or NULL where the vector takes no part."""
     x = F.transform(embedding, lambda v: v.cast("double"))
-    sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(LIMIT / scale)))
+    limit = F.sqrt(F.lit(float(LARGEST_SCORE)) / F.greatest(F.size(embedding), F.lit(1))) / scale
+    sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < limit))
     return F.when(embedding.isNotNull() & sound, F.transform(x, lambda v: F.floor(v * scale).cast("long")))
 
 
@@ -269,7 +271,8 @@ def _plant(width: int, leaf: int):
         for i, v in enumerate(rows["vector"]):
             points[i, :len(v)] = v
         tree = build(rows["id"].to_numpy(np.int64), points, leaf)
-        tree.points = tree.points.astype(np.int32)  # whole numbers below LIMIT
+        small = np.abs(tree.points).max(initial=0) < 1 << 31
+        tree.points = tree.points.astype(np.int32 if small else np.int64)  # whole numbers
         return pd.DataFrame({"cell": [key[0]], "part": [key[1]], "n": [len(rows)], "tree": [pickle.dumps(tree)]})
 
     return run
@@ -331,9 +334,11 @@ def top_k(
     Queries are the rows whose id is divisible by ``every``; candidates all rows
     but those with the query's own id; ties go to the smaller id. Components are
     floor(256 x). NULL ids take no part, nor vectors that are NULL or hold a
-    NULL, a non-finite number or one of 65,536 and more. Vectors of unequal
-    length are filled up with zeros. An id on several rows is a candidate once
-    per row, and asked once. An empty table gives an empty table.
+    NULL or a non-finite number, nor ones so large that an inner product might not
+    be a 64-bit number (with 64 components, one of 1,048,576 and more). Vectors of
+    unequal length are filled up with zeros. An id on several rows is a candidate
+    once per row, and asked once, with its least vector. An empty table gives an
+    empty table.
     """
     rows = pick(vectors, id=id_col, vector=vector_col)
     sound = cut_lineage(
@@ -366,7 +371,8 @@ def top_k(
     trees = "cell long, part long, n long, tree binary"
     data = cut_lineage(dealt.groupBy("cell", "part").applyInPandas(_plant(width, leaf), trees))
     asked = cut_lineage(
-        dealt.where("is_query").dropDuplicates(["id"]).groupBy("cell", "part")
+        dealt.where("is_query").groupBy("id").agg(F.min(F.struct("vector", *[c for c in dealt.columns if c != "vector"])).alias("r"))
+        .select("r.*").groupBy("cell", "part")
         .applyInPandas(_plant(width, min(leaf, QUERY_LEAF)), trees)
     ).select("cell", "part", F.col("tree").alias("queries"))
     planted = data.select("cell", "part", F.col("tree").alias("data"))

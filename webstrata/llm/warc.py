@@ -40,6 +40,8 @@ DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Uncompressed bytes of a shard, compressed bytes of a file, sampled ids per shard.
 SHARD_BYTES, FILE_BYTES, SAMPLE = 64 << 20, 16 << 20, 256
+#: Ids that shard ends are chosen from, at most.
+MOST_SAMPLED = 1 << 20
 LEVEL = 6
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
@@ -201,7 +203,7 @@ def _boundaries(pages: DataFrame, shard_bytes: int) -> list[int]:
     shards = max(1, math.ceil(total / shard_bytes))
     sample = (
         pages.where("page_id IS NOT NULL").select("page_id")
-        .orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE * shards)
+        .orderBy(F.xxhash64("page_id"), "page_id").limit(min(SAMPLE * shards, MOST_SAMPLED))
     )
     ids = sorted(r["page_id"] for r in sample.collect()) if shards > 1 else []
     return sorted({ids[len(ids) * i // shards] for i in range(1, shards)}) if ids else []
