@@ -42,7 +42,7 @@ WORDS, BLOCK = 16, 16
 #: Fingerprints searched before groups get a name.
 FIRST_WORDS = 4
 #: Bits that a fingerprint, and it with the next one, may differ by.
-RADIUS, RADIUS_TWO = 16, 36
+RADIUS, RADIUS_TWO = 16, 30
 #: Shard sizes are estimated on one node of so many.
 SIZE_SAMPLE = 16
 #: Sets of one cluster above which it is cut into parts; bytes of sets held by a task.
@@ -361,7 +361,9 @@ def keep_one(
 
         def texts_of(rows: DataFrame) -> DataFrame:
             """Texts are read again where they are needed, by the place of their row."""
-            return table.select(*place_of, text).join(rows.join(spots, "node"), list(LOCATION))
+            # Written, so that a small list of places is sent to the texts on a measured size.
+            wanted = cut_lineage(rows.join(spots, "node"))
+            return table.select(*place_of, text).join(wanted, list(LOCATION))
 
         linked = components(near_links(marks, texts_of, shard_rows, cluster_rows))
         groups = cut_lineage(nodes.select("digest", "node", "place").join(linked, "node", "left").select(

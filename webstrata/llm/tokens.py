@@ -18,8 +18,9 @@ _OTHER_SPACE = [chr(c) for c in range(sys.maxunicode + 1) if chr(c) != " " and r
 _ASCII_SPACE = [c for c in _OTHER_SPACE if c.isascii()]
 #: The word pattern that a byte-level tokenizer applies before merging.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words and parts of words remembered by one Python worker (about 120 MB).
-CACHE_WORDS, CACHE_PIECES = 500_000, 100_000
+#: Words and parts of words remembered by one Python worker (about 70 MB, twice the
+#: number of words: those met since the last renewal, and those before).
+CACHE_WORDS, CACHE_PIECES = 150_000, 50_000
 #: Signs that begin a token of their own behind a letter.
 _STOPS = ",.;:!?"
 
@@ -36,18 +37,19 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _ranks(path: str) -> dict[bytes, int] | None:
-    """Bytes to id if the file is a plain byte-level BPE whose ids are merge ranks."""
+def _ranks(path: str) -> tuple[dict[bytes, int] | None, list[str]]:
+    """Bytes to id if the file is a plain byte-level BPE whose ids are merge ranks, and its added tokens."""
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     model, splitter = spec["model"], spec.get("pre_tokenizer") or {}
+    added = [t["content"] for t in spec.get("added_tokens") or []]
     if (
         model.get("type", "BPE") != "BPE" or spec.get("normalizer") or splitter.get("type") != "ByteLevel"
         or splitter.get("add_prefix_space") or not splitter.get("use_regex", True)
     ):
-        return None
-    alphabet, added = _byte_alphabet(), {t["content"] for t in spec.get("added_tokens", [])}
-    return {bytes(alphabet[c] for c in word): i for word, i in model["vocab"].items() if word not in added}
+        return None, added
+    alphabet, own = _byte_alphabet(), set(added)
+    return {bytes(alphabet[c] for c in word): i for word, i in model["vocab"].items() if word not in own}, added
 
 
 def _loose(text: str) -> bool:
@@ -70,9 +72,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        ranks = _ranks(path)
+        self.path = path
+        ranks, self.added = _ranks(path)
         self.plain = ranks is not None
         if not self.plain:
             return
@@ -89,10 +90,16 @@ class Encoder:
         piece = self.piece = Pieces().__getitem__
 
         class Words(dict):
+            before: dict[str, bytes] = {}
+
             def __missing__(self, word: str) -> bytes:
-                if len(self) >= CACHE_WORDS:
+                if len(self) >= CACHE_WORDS:  # words that are met again survive
+                    self.before = dict(self)
                     self.clear()
-                if _latin(word):
+                ids = self.before.get(word)
+                if ids is not None:
+                    pass
+                elif _latin(word):
                     ids = array("I", merge((" " + word).encode())).tobytes()
                 elif word[-1:] in _STOPS and _latin(word[:-1]):
                     ids = self[word[:-1]] + piece(word[-1])
@@ -103,6 +110,10 @@ class Encoder:
 
         self.word = Words().__getitem__
 
+    @functools.cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)  # few texts need it, and it is large
+
     def encode(self, text: str) -> bytes:
         if not self.plain or any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
