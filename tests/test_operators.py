@@ -414,6 +414,55 @@ def test_vector_search_odd_rows(spark):
     assert S.vector_search(xs, qs.limit(0), 5).count() == 0
 
 
+def test_vector_search_sends_a_query_once_to_a_shelf(spark, monkeypatch):
+    """Random vectors, of which no list can be skipped: what is shuffled grows with shelves, not lists."""
+    from webstrata.operators import nearest as N
+    rng = np.random.default_rng(5)
+    x = [(i, rng.normal(size=8), 0) for i in range(1000)]
+    xs = spark.createDataFrame([(i, v.tolist()) for i, v, _ in x], "id long, embedding array<double>")
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v, _ in x[:100]], "query_id long, query_vector array<double>")
+    sent, meet = [], N.meet
+
+    def counting(held, streamed, *rest):
+        sent.append(streamed.count())
+        return meet(held, streamed, *rest)
+
+    monkeypatch.setattr(N, "meet", counting)
+    got = N.vector_search(xs, qs, 3).collect()
+    assert sorted((r["query_id"], r["id"]) for r in got) == [(a, b) for a, b, _ in brute_top(x, x[:100], 3, None)]
+    assert sum(sent) <= 2 * 100  # one shelf, searched first and for the rest
+    near = sorted((r["query_id"], r["id"]) for r in N.vector_search(xs, qs, 3, least=0.8).collect())
+    assert near == sorted((r["query_id"], r["id"]) for r in got if r["similarity"] >= 0.8)
+
+
+def test_vector_search_ties_of_copies_and_zero_vectors(spark):
+    """More equal scores than k: the lowest ids are kept."""
+    rng = np.random.default_rng(6)
+    base = [rng.normal(size=5) for _ in range(4)] + [np.zeros(5)]
+    x = [(i, base[i % 5].tolist()) for i in range(3000)]
+    xs = spark.createDataFrame(x, "id long, embedding array<double>")
+    qs = spark.createDataFrame([(i, base[i].tolist()) for i in range(5)], "query_id long, query_vector array<double>")
+    got = sorted((r["query_id"], r["rank"], r["id"]) for r in S.vector_search(xs, qs, 4).collect())
+    want = [(q, n + 1, q + 5 * n) for q in range(4) for n in range(4)] + [(4, n + 1, n) for n in range(4)]
+    assert got == want
+
+
+def test_embedding_counts_every_word_once(spark):
+    """Counts by sorted codes equal counts word by word; a vector is computed once per row."""
+    import hashlib
+    texts = ["", None, "a", "b a b  c\n b", "x " * 300 + "y z", " ".join(f"w{i % 70}" for i in range(400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    for r in S.embed(df, F.col("t"), "e", dim=32, kind="double", max_chars=5000).collect():
+        want = np.zeros(32)
+        for w in (texts[r["i"]] or "").split():
+            h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            want[h % 32] += 1 if h >= 2**31 else -1
+        size = np.sqrt((want * want).sum())
+        assert r["e"] == (want / size if size else want).tolist()
+    filtered = S.embed(df, F.col("t"), "e").where("size(e) > 0 AND e IS NOT NULL AND forall(e, x -> x < 2)")
+    assert filtered._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+
+
 def test_one_group_holds_most_rows(spark):
     rng = np.random.default_rng(8)
     x = [(i, rng.normal(size=4), "hot" if i % 10 else f"u{i}") for i in range(600)]
