@@ -4,16 +4,20 @@ Every processor keeps one small value per key and a time at which it stops to
 matter; a timer at that time removes it, so state does not outlive its use. Where
 the rule itself ends (a pause has passed, a window or lifetime is over) removal
 changes no result; jobs and runs are kept for a retention after their end.
-Rows of a key in one micro-batch are taken together, in order, as arrays.
+Rows of a key in one micro-batch are taken together and in order. With many keys
+the calls per key decide, so a processor works on plain rows, reads its state once
+and writes it once.
 """
 
 from __future__ import annotations
 
 import json
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from operator import itemgetter
 
-import numpy as np
-import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Fixed value: the state store that keyed state with timers needs.
@@ -24,32 +28,47 @@ ORIGIN = 86_400.0
 
 
 class Timed(StatefulProcessor):
-    """A value per key (``SCHEMA``, whose last field ``until`` is in milliseconds) that ends at ``until``."""
+    """A value per key (``SCHEMA``, whose last field ``until`` is in milliseconds) that ends at ``until``.
+
+    ``outputs`` gives the values of the result's ``columns`` for the rows of a key.
+    """
 
     SCHEMA = "until long"
+    columns: tuple[str, ...] = ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("value", self.SCHEMA)
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        named = Row(*self.columns)
+        return iter([named(*out) for out in self.outputs(key, rows, timerValues)])
+
     def stored(self) -> tuple | None:
-        return tuple(self.value.get())[:-1] if self.value.exists() else None
+        value = self.value.get()
+        return None if value is None else tuple(value)[:-1]
 
     def store(self, value: tuple, until: float, timer_values) -> None:
         """Keep ``value`` up to ``until``; one that is over already is not kept."""
-        end = int(np.ceil(until))
+        end = math.ceil(until)
         if end <= timer_values.getCurrentWatermarkInMs():
             self.clear()
             return
         self.value.update((*value, end))
         self.handle.registerTimer(end)
 
+    def keep(self, value: tuple, last: float | None, retention: float, timer_values) -> None:
+        """Keep ``value`` for ``retention`` seconds after ``last``; rows without a time count as of the watermark."""
+        last = timer_values.getCurrentWatermarkInMs() / 1000 if last is None else last
+        self.store(value, (last + retention) * 1000, timer_values)
+
     def clear(self) -> None:
         self.value.clear()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # A value that was extended since has a later timer of its own.
-        if self.value.exists() and self.value.get()[-1] <= expiredTimerInfo.getExpiryTimeInMs():
+        value = self.value.get()
+        if value is not None and value[-1] <= expiredTimerInfo.getExpiryTimeInMs():
             self.clear()
         return iter(())
 
@@ -57,8 +76,13 @@ class Timed(StatefulProcessor):
         pass
 
 
-def _rows(batches: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(order, kind="stable").reset_index(drop=True)
+def _late(seconds: float | None) -> tuple[bool, float | None]:
+    """Sorts rows without a time behind the others."""
+    return (seconds is None, seconds)
+
+
+def _times(rows) -> list[float]:
+    return sorted(float(r["seconds"]) for r in rows if r["seconds"] is not None)
 
 
 class RateLimit(Timed):
@@ -69,24 +93,20 @@ class RateLimit(Timed):
     def __init__(self, key: str, limit: int, seconds: int):
         self.key, self.limit, self.length = key, limit, seconds * 1_000_000
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _rows(rows, ["us", "event_id"])
-        window = pdf["us"].to_numpy(np.int64) // self.length
+    def outputs(self, key, rows, timerValues):
         known = self.stored() or ((), ())
-        before = dict(zip(known[0], known[1], strict=True))
-        names, first, count = np.unique(window, return_index=True, return_counts=True)
-        start = np.array([before.get(int(w), 0) for w in names], np.int64)
-        place = np.arange(len(window)) - np.repeat(first, count) + np.repeat(start, count) + 1
-        before.update(zip(names.tolist(), (start + count).tolist(), strict=True))
+        counts = dict(zip(known[0], known[1], strict=True))
+        out = []
+        for us, event in sorted((r["us"], r["event_id"]) for r in rows if r["us"] is not None):
+            window = us // self.length
+            place = counts[window] = counts.get(window, 0) + 1
+            out.append((key[0], event, window, place <= self.limit, max(0, self.limit - place)))
         # Rows of a closed window are late and no longer come.
         mark = timerValues.getCurrentWatermarkInMs() * 1000
-        still = {w: n for w, n in before.items() if (w + 1) * self.length > mark}
+        still = {w: n for w, n in counts.items() if (w + 1) * self.length > mark}
         if still:
             self.store((list(still), list(still.values())), (max(still) + 1) * self.length / 1000, timerValues)
-        yield pd.DataFrame({
-            self.key: [key[0]] * len(pdf), "event_id": pdf["event_id"], "window_no": window,
-            "allowed": place <= self.limit, "remaining": np.maximum(0, self.limit - place),
-        })
+        return out
 
 
 class Pacing(Timed):
@@ -94,20 +114,19 @@ class Pacing(Timed):
 
     SCHEMA = "last double, until long"
 
-    def handleInputRows(self, key, rows, timerValues):
+    def outputs(self, key, rows, timerValues):
+        import numpy as np
+
         from webstrata.operators.robots import _admit
 
-        pdf = _rows(rows, ["seconds", "request_id"])
-        delay = float(pdf["crawl_delay"].iloc[0])
+        own = sorted(((r["seconds"], r["request_id"], r["crawl_delay"]) for r in rows), key=itemgetter(0, 1))
+        delay = float(own[0][2])
         known = self.stored()
-        times = pdf["seconds"].to_numpy(float)
+        times = np.array([r[0] for r in own], float)
         _, admitted = _admit(times, delay, known[0] if known else np.nan)
         last = float(times[admitted][-1]) if admitted.any() else known[0]
         self.store((last,), (last + delay + ORIGIN) * 1000, timerValues)
-        yield pd.DataFrame({
-            "domain": [key[0]] * len(pdf), "request_id": pdf["request_id"],
-            "action": np.where(admitted, "proceed", "delay"),
-        })
+        return [(key[0], r[1], "proceed" if a else "delay") for r, a in zip(own, admitted, strict=True)]
 
 
 class Lifetimes(Timed):
@@ -118,31 +137,44 @@ class Lifetimes(Timed):
     def __init__(self, ttl: float):
         self.ttl = ttl
 
-    def handleInputRows(self, key, rows, timerValues):
-        times = np.sort(np.concatenate([pdf["seconds"].to_numpy(float) for pdf in rows]))
-        started, value = self.stored() or (None, 0)
+    def lifetimes(self, rows, timer_values) -> list[tuple]:
+        """(started, value) of every lifetime that these rows belong to."""
+        times = _times(rows)
+        known = self.stored()
+        started, value = known or (None, 0)
         out, at = [], 0
         while at < len(times):  # one step per lifetime, not per row
             if started is None or times[at] >= started + self.ttl:
-                started, value = float(times[at]), 0
-            stop = int(np.searchsorted(times, started + self.ttl, "left"))
+                started, value = times[at], 0
+            stop = bisect_left(times, started + self.ttl)
             value, at = value + stop - at, stop
-            out.append((*key, started, value))
-        self.store((started, int(value)), (started + self.ttl + ORIGIN) * 1000, timerValues)
-        yield pd.DataFrame(out)
+            out.append((started, value))
+        if out:
+            self.store((started, value), (started + self.ttl + ORIGIN) * 1000, timer_values)
+        return out
+
+    def outputs(self, key, rows, timerValues):
+        return [(*key, *lifetime) for lifetime in self.lifetimes(rows, timerValues)]
 
 
 class FirstSights(Lifetimes):
     """The rows that start a lifetime: first sight of a key, and again after ``ttl`` seconds."""
 
-    def handleInputRows(self, key, rows, timerValues):
+    SCHEMA = "started double, until long"
+
+    def lifetimes(self, rows, timer_values):
+        # Nothing is counted, so a sight within a lifetime leaves the state as it is.
+        times = _times(rows)
         known = self.stored()
-        for out in super().handleInputRows(key, rows, timerValues):
-            sights = out[[*out.columns[:-1]]]
-            if known and sights.iloc[0, -1] == known[0]:
-                sights = sights.iloc[1:]
-            if len(sights):
-                yield sights
+        started, out, at = known[0] if known else None, [], 0
+        while at < len(times):
+            if started is None or times[at] >= started + self.ttl:
+                started = times[at]
+                out.append((started,))
+            at = bisect_left(times, started + self.ttl)
+        if out:
+            self.store((started,), (started + self.ttl + ORIGIN) * 1000, timer_values)
+        return out
 
 
 class JobStatus(Timed):
@@ -153,16 +185,15 @@ class JobStatus(Timed):
     def __init__(self, terminal: tuple[str, ...], retention: float):
         self.terminal, self.retention = terminal, retention
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _rows(rows, ["ts", "event_id"])
+    def outputs(self, key, rows, timerValues):
+        own = sorted(((_late(r["seconds"]), r["event_id"], r["event"]) for r in rows), key=itemgetter(0, 1))
         known = self.stored()
         status = known[0] if known else "processing"
         if status not in self.terminal:
-            ended = pdf.loc[pdf["event"].isin(self.terminal), "event"]
-            status = str(ended.iloc[0]) if len(ended) else status
-        last = pdf["ts"].max().timestamp()
-        self.store((status,), (last + self.retention) * 1000, timerValues)
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status]})
+            status = next((event for _, _, event in own if event in self.terminal), status)
+        last = max((at for (_, at), _, _ in own if at is not None), default=None)
+        self.keep((status,), last, self.retention, timerValues)
+        return [(key[0], status)]
 
 
 class Totals(Timed):
@@ -170,15 +201,18 @@ class Totals(Timed):
 
     SCHEMA = "totals array<long>, until long"
 
-    def __init__(self, columns: tuple[str, ...], retention: float):
-        self.columns, self.retention = columns, retention
+    def __init__(self, added: tuple[str, ...], retention: float):
+        self.added, self.retention = added, retention
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows))
+    def outputs(self, key, rows, timerValues):
         known = self.stored()
-        totals = pdf[list(self.columns)].sum().to_numpy(np.int64) + (np.array(known[0], np.int64) if known else 0)
-        self.store((totals.tolist(),), (pdf["ts"].max().timestamp() + self.retention) * 1000, timerValues)
-        yield pd.DataFrame([(key[0], *totals.tolist())])
+        totals = list(known[0]) if known else [0] * len(self.added)
+        last = None
+        for r in rows:
+            last = r["seconds"] if last is None else max(last, r["seconds"] or last)
+            totals = [n + r[c] for n, c in zip(totals, self.added, strict=True)]
+        self.keep((totals,), last, self.retention, timerValues)
+        return [(key[0], *totals)]
 
 
 class Research(Timed):
@@ -186,8 +220,8 @@ class Research(Timed):
 
     Yields one ``state`` row per run and micro-batch and one ``source`` row per
     page, when it is first named. A run is kept ``retention`` seconds after its
-    last event; pages named are a map of their own, of which only new ones are
-    written.
+    last event; pages named are a map of their own, which gets one entry of new
+    pages per micro-batch that names some.
     """
 
     SCHEMA = (
@@ -204,76 +238,61 @@ class Research(Timed):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.named = handle.getMapState("named", "url string", "first_seq long")
+        self.named = handle.getMapState("named", "first_seq long", "urls array<string>")
 
     def clear(self) -> None:
         super().clear()
         self.named.clear()
 
-    def handleInputRows(self, key, rows, timerValues):
-        pdf = _rows(rows, ["seq"])
-        status, strategy, number, total, done, error, pending = self.stored() or (None, None, None, None, False, None, [])
-        kind = pdf["type"]
-
-        def last(*types: str):
-            own = pdf[kind.isin(types)]
-            return own.iloc[-1] if len(own) else None
-
-        def text(value):
-            return None if pd.isna(value) else str(value)
-
-        if (row := last("status", "done", "error")) is not None:
-            status = {"done": "completed", "error": "failed"}.get(row["type"]) or text(row["state"])
-        if (row := last("research_plan")) is not None:
-            strategy = text(row["strategy"])
-        if (row := last("research_pass")) is not None:
-            number, total = (None if pd.isna(row[c]) else int(row[c]) for c in ("pass_no", "total_passes"))
-        if (row := last("done", "error")) is not None:
-            done = row["type"] == "done"
-            error = None if done else text(row["content"]) or ""
-        since = -1
-        if (row := last("sources_pending", "sources", "done")) is not None:
-            since = row["seq"]
-            pending = [u for u in _urls(row["sources"]) if u] if row["type"] == "sources_pending" else []
-        scraped = set(pdf.loc[(kind == "source_scraped") & (pdf["seq"] > since), "url"].dropna())
-        pending = sorted(set(pending) - scraped)
-        self.store(
-            (status, strategy, number, total, bool(done), error, pending),
-            (pdf["ts"].max().timestamp() + self.retention) * 1000, timerValues,
-        )
-        found = self._new_sources(pdf)
-        size = len(found)
-        yield pd.DataFrame({
-            "run_id": [key[0]] * (size + 1), "kind": ["state"] + ["source"] * size, "status": [status] + [None] * size,
-            "strategy": [strategy] + [None] * size,
-            "pass_number": pd.array([number] + [None] * size, "Int32"), "total_passes": pd.array([total] + [None] * size, "Int32"),
-            "completed": pd.array([bool(done)] + [None] * size, "boolean"), "error": [error] + [None] * size,
-            "pending": [pending] + [None] * size, "url": [None, *found],
-            "first_seq": pd.array([None, *found.values()], "Int64"),
-        })
-
-    def _new_sources(self, pdf: pd.DataFrame) -> dict[str, int]:
-        """Pages named for the first time, with the event that names them."""
-        single = pdf.loc[pdf["type"] == "source_scraped", ["seq", "url"]]
-        listed = pdf.loc[pdf["type"].isin(("sources", "done")), ["seq", "sources"]].explode("sources")
-        listed = pd.DataFrame({"seq": listed["seq"], "url": _urls(listed["sources"])})
-        both = pd.concat([single, listed]).dropna()
-        first = both[both["url"] != ""].groupby("url")["seq"].min().sort_values(kind="stable")
-        new = {str(u): int(s) for u, s in first.items() if not self.named.containsKey((str(u),))}
-        for url, seq in new.items():
-            self.named.updateValue((url,), (seq,))
+    def outputs(self, key, rows, timerValues):
+        known = self.stored()
+        status, strategy, number, total, done, error, pending = known or (None, None, None, None, False, None, [])
+        # Pages waiting, the event that listed them last, and pages fetched after it.
+        waiting, scraped, first, latest = list(pending or []), set(), {}, None
+        for r in sorted(rows, key=itemgetter("seq")):
+            kind = r["type"]
+            latest = r["seconds"] if latest is None else max(latest, r["seconds"] or latest)
+            if kind == "status":
+                status = r["state"]
+            elif kind == "research_plan":
+                strategy = r["strategy"]
+            elif kind == "research_pass":
+                number, total = r["pass_no"], r["total_passes"]
+            elif kind == "source_scraped":
+                if r["url"] is not None:
+                    scraped.add(r["url"])
+                    first.setdefault(r["url"], r["seq"])
+            elif kind in ("done", "error"):
+                status = "completed" if kind == "done" else "failed"
+                done, error = kind == "done", None if kind == "done" else r["content"] or ""
+            if kind in ("sources_pending", "sources", "done"):
+                urls = [u for u in _urls(r["sources"]) if u]
+                waiting, scraped = urls if kind == "sources_pending" else [], set()
+                if kind != "sources_pending":
+                    for url in urls:
+                        first.setdefault(url, r["seq"])
+        pending = sorted(set(waiting) - scraped)
+        value = (status, strategy, number, total, bool(done), error, pending)
+        self.keep(value, latest, self.retention, timerValues)
+        first.pop("", None)
+        found = self._new_sources(first, known is not None)
+        state = (key[0], "state", status, strategy, number, total, bool(done), error, pending, None, None)
+        return [state, *((key[0], "source", *[None] * 7, url, seq) for url, seq in found.items())]
+
+    def _new_sources(self, first: dict[str, int], known: bool) -> dict[str, int]:
+        """Of pages and the events that name them, those named for the first time."""
+        before = {url for (urls,) in self.named.values() for url in urls} if known and first else ()
+        new = {u: s for u, s in first.items() if u not in before}
+        if new:
+            self.named.updateValue((next(iter(new.values())),), (list(new),))
         return new
 
 
 def _urls(items) -> list[str | None]:
     """URL of each source, given as JSON text of an object or as plain text."""
-    if items is None or (np.isscalar(items) and pd.isna(items)):
-        return []
     out = []
-    for item in items:
-        if item is None or (isinstance(item, float) and np.isnan(item)):
-            out.append(None)
-        elif item.startswith("{"):
+    for item in items or ():
+        if item is not None and item.startswith("{"):
             value = json.loads(item).get("url")
             out.append(value if isinstance(value, str) else None)
         else:
