@@ -121,6 +121,22 @@ def test_research_over_batches(spark):
         assert sorted((r["url"], r["first_seq"]) for r in sources.collect()) == [("u1", 4), ("u3", 5), ("u5", 7)]
 
 
+def test_replay_deals_a_batch_to_many_files(spark, monkeypatch):
+    """Batches of several files, some of them empty, still come batch by batch, each in order."""
+    monkeypatch.setattr(T, "FILE_ROWS", 50)
+    rng = random.Random(7)
+    rows = [(i, rng.choice("abc"), i * 0.7, 0 if i < 200 else 1 if i < 203 else 2) for i in range(300)]
+    df = events(spark, rows)
+    stream = T.replay(df, F.col("b"))
+    counts = []
+    T._run(stream.writeStream.foreachBatch(lambda batch, n: counts.append(batch.count())))
+    assert counts == [200, 3, 97]
+    got = T.run_appends(T.rate_limit(T.replay(df.drop("b"), F.floor(F.col("event_id") / 100)), "k", 3, 600))
+    want = J.rate_limit(df.withColumn("us", F.unix_micros("ts")), "k", "us", "event_id", 3, 600)
+    columns = ["event_id", "k", "window_no", "allowed", "remaining"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+
+
 def test_empty_stream(spark):
     empty = events(spark, []).select("event_id", "k", "ts")
     stream = T.replay(empty.unionByName(events(spark, [(1, "a", 0, 0)]).select("event_id", "k", "ts")), F.lit(0))

@@ -14,13 +14,16 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from webstrata.operators.jobs import TERMINAL
 from webstrata.operators.ordered import epoch_us
-from webstrata.session import checkpoint_root, remove_at_end
+from webstrata.session import checkpoint_root, cut_lineage, remove_at_end, scratch
 from webstrata.streaming import state
 
 WATERMARK = "10 minutes"
+#: Rows of one file of a replayed micro-batch.
+FILE_ROWS = 500_000
 #: Seconds that ended jobs and runs are kept.
 RETENTION = 30 * 86400
 
@@ -46,22 +49,30 @@ def _folders(spark: SparkSession) -> tuple[str, str]:
 def replay(rows: DataFrame, batch: Column, event_time: str = "ts") -> DataFrame:
     """A stream that brings ``rows`` in the micro-batches that ``batch`` (0, 1, ...) names.
 
-    Every batch is written as one file and read in order, so late rows can be
-    offered on purpose and a stream be compared with its batch query over several
-    micro-batches. The rows of one batch are meant to fit one file.
+    Every batch is written as equally many files of at most about ``FILE_ROWS`` rows
+    and read in order, so late rows can be offered on purpose and a stream be
+    compared with its batch query over several micro-batches. No batch goes through
+    one task.
     """
     spark = rows.sparkSession
     folder = f"{checkpoint_root(spark).rstrip('/')}/webstrata-replay-{uuid.uuid4().hex}"
     numbered = rows.withColumn("__batch", batch.cast("int"))
     if dict(rows.dtypes)[event_time] == "timestamp_ntz":
         numbered = numbered.withColumn(event_time, F.timestamp_micros(epoch_us(F.col(event_time))))
-    last = numbered.agg(F.max("__batch")).first()[0]
-    for number in range(-1 if last is None else last + 1):
-        part = numbered.where(F.col("__batch") == number).drop("__batch")
-        part.coalesce(1).write.parquet(f"{folder}/batch={number}")
+    # The rows are computed once, not once for every batch.
+    with scratch(spark):
+        numbered = cut_lineage(numbered)
+        counted = numbered.where("__batch IS NOT NULL").groupBy("__batch").count().agg(F.max("__batch"), F.max("count")).first()
+        files = max(1, -(-(counted[1] or 0) // FILE_ROWS))
+        for number in range(-1 if counted[0] is None else counted[0] + 1):
+            part, at = numbered.where(F.col("__batch") == number).drop("__batch"), f"{folder}/batch={number}"
+            (part.coalesce(1) if files == 1 else part.repartition(files)).write.parquet(at)
+            # Tasks without rows write nothing; a micro-batch is a number of files.
+            for _ in range(files - len(spark.read.schema(part.schema).parquet(at).inputFiles()) if files > 1 else 0):
+                part.limit(0).coalesce(1).write.mode("append").parquet(at)
     remove_at_end(spark, folder)
     schema = numbered.drop("__batch").schema
-    return spark.readStream.option("maxFilesPerTrigger", 1).schema(schema).parquet(f"{folder}/*")
+    return spark.readStream.option("maxFilesPerTrigger", files).schema(schema).parquet(f"{folder}/*")
 
 
 def _run(writer) -> None:
@@ -118,11 +129,16 @@ def rate_limit_windows(events: DataFrame, key: str, limit: int, window_seconds:
 
 def _keyed(rows: DataFrame, keys: list[str], processor: state.Timed, schema: str, mode: str = "append") -> DataFrame:
     """``processor`` over rows (with ``ts``) per key, under the watermark."""
-    return rows.withWatermark("ts", WATERMARK).groupBy(*keys).transformWithStateInPandas(
+    processor.columns = tuple(StructType.fromDDL(schema).names)
+    return rows.withWatermark("ts", WATERMARK).groupBy(*keys).transformWithState(
         processor, schema, mode, "EventTime"
     )
 
 
+def _seconds() -> Column:
+    return F.unix_micros("ts") / 1_000_000
+
+
 def _at(seconds: str) -> Column:
     return F.timestamp_micros(((F.col(seconds) + state.ORIGIN) * 1_000_000).cast("long"))
 
@@ -140,7 +156,7 @@ def rate_limit(events: DataFrame, key: str, limit: int, window_seconds: int) ->
 def crawl_progress(events: DataFrame, job: str, kind: str, retention: float = RETENTION) -> DataFrame:
     """Running page / error / progress counts per job; a job is kept ``retention`` seconds after its last event."""
     marked = events.select(
-        job, "ts", *[F.when(F.col(kind) == v, 1).otherwise(0).alias(f"{v}s") for v in ("page", "error")],
+        job, "ts", _seconds().alias("seconds"), *[F.when(F.col(kind) == v, 1).otherwise(0).alias(f"{v}s") for v in ("page", "error")],
         F.lit(1).alias("events"),
     )
     return _keyed(
@@ -179,7 +195,7 @@ def sessions(events: DataFrame, key: str, gap: str) -> DataFrame:
 def job_status(events: DataFrame, job: str, retention: float = RETENTION) -> DataFrame:
     """(job_id, status): the first terminal event of a job decides; a job is kept
     ``retention`` seconds after its last event."""
-    rows = events.select(F.col(job).alias("job_id"), "ts", "event_id", "event")
+    rows = events.select(F.col(job).alias("job_id"), "ts", _seconds().alias("seconds"), "event_id", "event")
     return _keyed(rows, ["job_id"], state.JobStatus(tuple(TERMINAL), retention), "job_id long, status string", "update")
 
 
@@ -201,7 +217,7 @@ def research_state(parsed: DataFrame, retention: float = RETENTION) -> DataFrame
     names, once.
     """
     rows = parsed.select(
-        "run_id", "seq", "type", "ts", "p.state", "p.strategy", F.col("p.pass").alias("pass_no"), "p.total_passes", "p.url", "p.sources", "p.content"
+        "run_id", "seq", "type", "ts", _seconds().alias("seconds"), "p.state", "p.strategy", F.col("p.pass").alias("pass_no"), "p.total_passes", "p.url", "p.sources", "p.content"
     )
     return _keyed(rows, ["run_id"], state.Research(retention), state.Research.OUTPUT, "append")
 
