@@ -143,3 +143,22 @@ def test_small_sources_reach_their_targets_beside_a_hot_one(spark, docs, folder)
     pieces = made.pieces.collect()
     assert sum(p.words for p in pieces) == sum(got.values())
     assert all(0 <= p.slot < -(-sum(sizes.values()) // made.block) for p in pieces)
+
+
+def test_taken_names_the_golden_slots_of_a_source(spark, docs):
+    """The slots of a source are the points frac(i * golden ratio) inside its interval of targets."""
+    data = rows()
+    got = {r["source"]: r["slots"] for r in mixing.taken(docs(data), slots=500, exact=True).join(
+        docs(data).select("doc_id", "source"), "doc_id").collect() if r["doc_id"] in (900, 903)}
+    sizes = Counter()
+    for _, text, _, source in data:
+        sizes[source] += len((text or "").split())
+    total, want, low = sum(sizes.values()), {}, Fraction(0)
+    number = -(-total // max(1, -(-total // max(500, 1024 * len(sizes)))))
+    points = [Fraction(i * mixing.GOLDEN % 2**32, 2**32) for i in range(number)]
+    goals = targets(sizes)
+    for s in sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]:
+        high = low + goals[s] / total
+        want[s] = sum(int(low * 2**32) <= p * 2**32 < int(high * 2**32) for p in points)
+        low = high
+    assert got == {"tiny": want["tiny"], "a": want["a"]}

@@ -131,7 +131,7 @@ def stream_positions(rows: DataFrame, seed: int, digits: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Mix:
-    """``documents``: row, id, owner, size, source_size, target; ``pieces``: slot,
+    """``documents``: row, id, owner, size, source_size, target, slots; ``pieces``: slot,
     owner, rank, row, turn (repetition of the source), start (word in the
     document), words. The pieces in slot order are the mix."""
 
@@ -170,8 +170,8 @@ def mix(
         for p, n in zip(parts, filled, strict=True)
     ]
     table = spark.createDataFrame(
-        [(p.source, i, p.size, p.target, words[i]) for i, p in enumerate(parts)],
-        "name string, owner long, source_size long, target double, words long",
+        [(p.source, i, p.size, p.target, words[i], filled[i]) for i, p in enumerate(parts)],
+        "name string, owner long, source_size long, target double, words long, slots long",
     )
     owned = rows.join(table, rows["source"].eqNullSafe(table["name"])).drop("name")
     plan = schedule(spark, number, parts)
@@ -196,7 +196,7 @@ def mix(
 
 
 def taken(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """One row per document: id, size, source_size, target and words taken.
+    """One row per document: id, size, source_size, target, words taken and the source's golden-ratio slots.
 
     NULL texts have size 0. Further columns of the input play no part.
     """
@@ -207,7 +207,7 @@ def taken(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = mix(rows, **options)
     per_row = made.pieces.groupBy("row").agg(F.sum("words").alias("taken"))
     return made.documents.join(per_row, "row", "left").select(
-        F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")
+        F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "slots"
     )
 
 

@@ -72,6 +72,7 @@ s AS (
     1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w,
     row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
 t AS (SELECT sum(ss)::HUGEINT AS total, count(*) AS k FROM s),
+b AS (SELECT *, greatest(1, ceil(total / greatest(131072, 1024 * k)))::HUGEINT AS block FROM t),
 o AS (
   SELECT *, coalesce(sum(3 * ss) OVER (a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS below,
     sum(w) OVER (a ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS above
@@ -81,15 +82,25 @@ level AS (
 target AS (
   SELECT s.*, CASE WHEN w * (total - below) > 3 * ss * above THEN 3 * ss * above ELSE w * (total - below) END AS num,
     above, total FROM s, t, level),
-filled AS (SELECT *, (2 * num + above) // (2 * above) AS words FROM target),
+span AS (
+  SELECT *, sum(num) OVER (ORDER BY i)::HUGEINT AS upto FROM target),
+bound AS (
+  SELECT *, (upto - num) * 4294967296 // greatest(total * above, 1) AS low,
+    upto * 4294967296 // greatest(total * above, 1) AS high FROM span),
+slot AS (
+  SELECT (x * 2654435769) % 4294967296 AS u
+  FROM b, range(0, (SELECT ceil(total / block) FROM b)::BIGINT) r(x)),
+filled AS (
+  SELECT bound.i, count(slot.u) AS slots, any_value((2 * num + above) // (2 * above)) AS words
+  FROM bound LEFT JOIN slot ON u >= low AND u < high GROUP BY bound.i),
 laid AS (
-  SELECT d.*, ss, num, above, words,
+  SELECT d.*, ss, num, above, words, slots,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-  FROM d JOIN filled ON d.source IS NOT DISTINCT FROM filled.source)
+  FROM d JOIN bound ON d.source IS NOT DISTINCT FROM bound.source JOIN filled USING (i))
 SELECT doc_id, size, ss::BIGINT AS source_size, num::DOUBLE / above::DOUBLE AS target,
   CASE WHEN size = 0 THEN 0 ELSE
-    (words // ss) * size + greatest(0, least(pos + size, words % ss) - pos) END::BIGINT AS taken
+    (words // ss) * size + greatest(0, least(pos + size, words % ss) - pos) END::BIGINT AS taken, slots
 FROM laid
 """)
 def op5(read):
