@@ -1,9 +1,11 @@
 """Distinct-word BPE against the tiktoken library, text by text."""
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -82,3 +84,54 @@ def test_numbers_round_trip():
 def test_empty(spark, docs):
     assert wordbpe.round_trip(docs([])).count() == 0
     assert wordbpe.round_trip(docs([])).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_blocks_are_packed_and_rebuilt_in_bounded_steps(monkeypatch):
+    """Work arrays have the size of a step, not of a block; batches split anywhere give the same ids."""
+    numbers = np.random.default_rng(1).integers(0, 1 << 20, 3_000_000, np.uint32)
+
+    def peak(work):
+        tracemalloc.start()
+        out = work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    packed, most = peak(lambda: wordbpe.pack_numbers(numbers))
+    assert most < 3.5 * numbers.nbytes
+    back, most = peak(lambda: wordbpe.unpack_numbers(packed))
+    assert most < 3.5 * numbers.nbytes and (back == numbers).all()
+
+    monkeypatch.setattr(wordbpe, "STEP", 3)
+    monkeypatch.setattr(wordbpe, "BATCH_IDS", 4)
+    words = [[7, 300000], [], [1, 2, 3], [5]]  # ids of each word
+    documents = [[], [0, 2], [3] * 7, [], [1, 1], [2, 0, 3, 0, 2], []]
+    gaps, counts = np.array([0, 1, 2]), np.array([2, 0, 1])  # words 0, 1, 3; word 2 stands in another row
+    pack = wordbpe.pack_numbers
+    found = pa.table({
+        "gaps": [pack(gaps), pack(np.array([2]))], "counts": [pack(counts), pack(np.array([3]))],
+        "ids": [pack(np.array([7, 300000, 5])), pack(np.array([1, 2, 3]))],
+    })
+    blocks = pa.table({
+        "keys": [list(range(len(documents)))], "ends": [np.cumsum([len(d) for d in documents]).tolist()],
+        "positions": [pack(np.array([w for d in documents for w in d]))],
+    })
+    got = wordbpe._rebuild(blocks, found)
+    assert got["key"].to_pylist() == list(range(len(documents)))
+    assert got["ids"].to_pylist() == [np.array([i for w in d for i in words[w]], "<u4").tobytes() for d in documents]
+    none = pa.table({c: pa.array([], pa.binary()) for c in ("gaps", "counts", "ids")})
+    blank = pa.table({"keys": [[4, None]], "ends": [[0, 0]], "positions": [pack(np.zeros(0, np.uint32))]})
+    assert wordbpe._rebuild(blank, none).to_pylist() == [{"key": 4, "ids": b""}, {"key": None, "ids": b""}]
+
+
+def test_held_keys_do_not_keep_their_batch():
+    block = wordbpe._Block()
+    batch = pa.record_batch([pa.array(range(1000)), pa.array(["x" * 1000] * 1000)], ["key", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    read = pa.ipc.open_stream(sink.getvalue()).read_next_batch()
+    block.hold(read.column(0), 2, 5)
+    assert block.keys[0].to_pylist() == [2, 3, 4]
+    assert block.keys[0].buffers()[1].address != read.column(0).buffers()[1].address
+    assert block.keys[0].get_total_buffer_size() <= 64
