@@ -162,3 +162,21 @@ def test_taken_names_the_golden_slots_of_a_source(spark, docs):
         want[s] = sum(int(low * 2**32) <= p * 2**32 < int(high * 2**32) for p in points)
         low = high
     assert got == {"tiny": want["tiny"], "a": want["a"]}
+
+
+def test_texts_are_not_shuffled_when_the_places_are_many(spark, docs):
+    """Places taken go to the texts as one bit a row; beyond the broadcast bound rows are the same."""
+    frame = docs([(i, f"w{i} " * (i % 5 + 1), None, "abc"[i % 3]) for i in range(4000)])
+    seen = []
+    for bound in ("8k", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+        try:
+            out = mixing.mixed(frame, exact=True)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert ("hashpartitioning" in plan) == (bound == "-1")
+            seen.append(sorted((r.doc_id, r.text, r.n_chars) for r in out.collect()))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert seen[0] == seen[1]
+    got = Counter(i for i, _, _ in seen[0])
+    assert len(got) > 1500 and max(got.values()) > 1

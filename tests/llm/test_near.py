@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from webstrata.llm import near
+from webstrata.llm import near, shared
 
 
 def slow_set(text):
@@ -93,3 +94,35 @@ def test_unrelated_sets_do_not_meet():
 
 def test_empty(spark, docs):
     assert near.keep_one(docs([])).count() == 0
+
+
+def test_texts_are_not_shuffled_when_many_are_dropped(spark, docs):
+    """Rows to drop go to the texts as one bit a row; texts outside of clusters stay where they are."""
+    data = [(i, f"text {i // 2} of words that no other has {i // 2 * 7}", "en", "s") for i in range(4000)]
+    data += rows(copies=6, texts=4)[3:-2]
+    data = [(i, *r[1:]) for i, r in enumerate(data)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8k")
+    try:
+        kept = near.keep_one(docs(data))
+        assert "hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
+        got = sorted(r.doc_id for r in kept.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == list(range(0, 4000, 2)) + heads(data[4000:])
+
+
+def test_lines_join_the_rows_they_name(spark, tmp_path):
+    """Places in several files and runs of lines; left by semi, anti and inner joins, broadcast or not."""
+    spark.range(30_000).repartition(3).write.parquet(str(tmp_path / "t"))
+    table, place_of = shared.located(spark.read.parquet(str(tmp_path / "t")))
+    listed = table.select("id", *place_of).where("id % 7 = 0 OR id < 9").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("id") % 2)))
+    shared.line_maps(listed, "turn").write.parquet(str(tmp_path / "maps"))
+    maps = spark.read.parquet(str(tmp_path / "maps"))
+    want = {i for i in range(30_000) if i % 7 == 0 or i < 9}
+    for hint in ("broadcast", "merge"):
+        joined = {how: shared.join_lines(table, place_of, maps.hint(hint), how) for how in ("left_semi", "left_anti", "inner")}
+        assert sorted(r.id for r in joined["left_semi"].select("id").collect()) == sorted(want)
+        assert sorted(r.id for r in joined["left_anti"].select("id").collect()) == sorted(set(range(30_000)) - want)
+        got = sorted(map(tuple, joined["inner"].select("id", "turn").collect()))
+        assert got == sorted((i, t) for i in want for t in range(i % 2 + 1))
+    assert maps.agg(F.sum(F.length("__bits"))).first()[0] <= 2 * 30_000 / 8 + 3 * 2 * 4

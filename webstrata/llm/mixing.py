@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webstrata.llm.shared import LOCATION, fresh, located, pick
+from webstrata.llm.shared import LOCATION, fresh, join_lines, line_maps, located, pick
 from webstrata.session import cut_lineage, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -220,7 +220,7 @@ def mixed(documents: DataFrame, text_col: str = "text", source_col: str = "sourc
     """
     names = documents.columns
     table, place_of = located(documents)
-    whole, kept = fresh("whole"), fresh("words")
+    turn, kept = fresh("turn"), fresh("words")
     with scratch(documents.sparkSession) as keep:
         placed = cut_lineage(table.select(
             *place_of, F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"),
@@ -228,20 +228,23 @@ def mixed(documents: DataFrame, text_col: str = "text", source_col: str = "sourc
         ))
         made = mix(placed.select("row", "id", "source", "size"), **options)
         turns = made.pieces.groupBy("row", "turn").agg(F.sum("words").alias("words"))
-        copies = keep(turns.join(placed, "row").select(
-            *LOCATION, (F.col("words") == F.col("size")).alias(whole), F.col("words").alias(kept)
+        copies = cut_lineage(turns.join(placed, "row").select(
+            *LOCATION, F.col("turn").alias(turn), F.col("words").alias(kept), "size"
         ))
+        maps = keep(line_maps(copies, turn))
+        ends = keep(copies.where(F.col(kept) != F.col("size")).drop("size"))
     # The text up to its n-th word: words with the white space before them.
     steps = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     first = F.array_join(F.slice(steps, F.lit(1), F.col(kept).cast("int")), "")
-    # Texts stay in their table until here: only places and word counts were shuffled.
-    joined = table.select("*", *place_of).join(copies, list(LOCATION))
-    out = []
+    # Texts stay in their table: only places and word counts were shuffled. A source
+    # ends once, so there is at most one cut document for each.
+    joined = join_lines(table, place_of, maps, "inner").join(F.broadcast(ends), [*LOCATION, turn], "left")
+    whole, out = F.col(kept).isNull(), []
     for c in names:
         value = F.col(f"`{c}`")
         if c == text_col:
-            value = F.when(F.col(whole), value).otherwise(first)
+            value = F.when(whole, value).otherwise(first)
         elif c == chars_col:
-            value = F.when(F.col(whole), value).otherwise(F.length(first)).cast(documents.schema[c].dataType)
+            value = F.when(whole, value).otherwise(F.length(first)).cast(documents.schema[c].dataType)
         out.append(value.alias(c))
     return joined.select(*out)

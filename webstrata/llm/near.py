@@ -29,7 +29,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
 from webstrata.llm.components import components
-from webstrata.llm.shared import LOCATION, located
+from webstrata.llm.shared import LOCATION, join_lines, line_maps, located
 from webstrata.llm.simhash import BUFFER_ROWS, SEED, SHARD_ROWS, BKForest, join_labels
 from webstrata.operators.meeting import meet
 from webstrata.session import cut_lineage, scratch
@@ -361,19 +361,19 @@ def keep_one(
 
         def texts_of(rows: DataFrame) -> DataFrame:
             """Texts are read again where they are needed, by the place of their row."""
-            # Written, so that a small list of places is sent to the texts on a measured size.
             wanted = cut_lineage(rows.join(spots, "node"))
-            return table.select(*place_of, text).join(wanted, list(LOCATION))
+            # Texts that are not wanted are left out where they are read, before any shuffle.
+            texts = join_lines(table, place_of, cut_lineage(line_maps(wanted)), "left_semi").select(*LOCATION, text)
+            return texts.join(wanted, list(LOCATION))
 
         linked = components(near_links(marks, texts_of, shard_rows, cluster_rows))
         groups = cut_lineage(nodes.select("digest", "node", "place").join(linked, "node", "left").select(
             "digest", "node", "place", F.coalesce("label", "node").alias("label")
         ))
         heads = groups.groupBy("label").agg(F.min_by("node", "place").alias("head"))
-        gone = keep(
+        gone = keep(line_maps(
             narrow.select("digest", "node", *LOCATION)
-            .join(groups.join(heads, "label").select("digest", "head"), "digest")
-            .where("node <> head").select(*LOCATION)
-        )
-    kept = table.select("*", *place_of).join(gone, list(LOCATION), "left_anti")
+            .join(groups.join(heads, "label").select("digest", "head"), "digest").where("node <> head")
+        ))
+    kept = join_lines(table, place_of, gone, "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in names])

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from webstrata.session import cut_lineage, ship_package
 
-__all__ = ["LOCATION", "crc_mod", "fresh", "labelled_sample", "located", "pick", "python_crc_mod", "ship_package", "stretch"]
+__all__ = [
+    "LOCATION", "crc_mod", "fresh", "join_lines", "labelled_sample", "line_maps", "located", "pick", "python_crc_mod",
+    "ship_package", "stretch",
+]
 
 
 def fresh(name: str) -> str:
@@ -52,6 +55,43 @@ def located(df: DataFrame) -> tuple[DataFrame, list[Column]]:
     return df, place(df)
 
 
+#: Lines of a file that share a bitmap (``bitmap_construct_agg`` takes up to 32,768), as a power of two.
+_MAP_BITS = 12
+_MAP = ("__map_file", "__map_check", "__map")
+
+
+def line_maps(places: DataFrame, *also: str) -> DataFrame:
+    """The rows ``places`` (LOCATION and ``also``) as bitmaps, for ``join_lines``.
+
+    One row per run of lines of a file and values of ``also``, with a bit per line:
+    about a bit for every stored row, where a list of places takes 24 bytes for
+    each that it names.
+    """
+    file, check, line = map(F.col, LOCATION)
+    keyed = places.select(
+        file.alias(_MAP[0]), check.alias(_MAP[1]), F.shiftright(line, _MAP_BITS).alias(_MAP[2]),
+        F.pmod(line, F.lit(1 << _MAP_BITS)).alias("bit"), *also,
+    )
+    # Dealt by key first: bitmaps begun in every task would all be shuffled.
+    maps = keyed.repartition(*_MAP).groupBy(*_MAP, *also).agg(F.bitmap_construct_agg("bit").alias("bits"), F.max("bit").alias("last"))
+    filled = F.substring("bits", F.lit(1), (F.shiftright("last", 3) + 1).cast("int"))
+    return maps.select(*_MAP, *also, filled.alias("__bits"))
+
+
+def join_lines(table: DataFrame, place_of: list[Column], maps: DataFrame, how: str) -> DataFrame:
+    """``table`` with its places, joined to the written ``maps`` that hold its rows.
+
+    Maps are small beside the table, so that Spark sends them to it and its rows
+    stay where they are; beyond the broadcast threshold both sides are shuffled.
+    """
+    file, check, line = map(F.col, LOCATION)
+    at = F.pmod(line, F.lit(1 << _MAP_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(byte, F.pmod(at, F.lit(8))) == 1
+    same = (file == F.col(_MAP[0])) & (check == F.col(_MAP[1])) & (F.shiftright(line, _MAP_BITS) == F.col(_MAP[2]))
+    return table.select("*", *place_of).join(maps, same & held, how)
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; NULL ids give NULL."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
