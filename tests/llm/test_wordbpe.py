@@ -135,3 +135,90 @@ def test_held_keys_do_not_keep_their_batch():
     assert block.keys[0].to_pylist() == [2, 3, 4]
     assert block.keys[0].buffers()[1].address != read.column(0).buffers()[1].address
     assert block.keys[0].get_total_buffer_size() <= 64
+
+
+def block_of(texts):
+    block, split = wordbpe._Block(), wordbpe._splitter(public_tokenizers.PATTERN)
+    for text in texts:
+        block.sequence.extend(map(block.numbers.__getitem__, split(text)))
+        block.ends.append(len(block.sequence))
+    keys = pa.array(range(len(texts)), pa.int64())
+    block.hold(keys, 0, len(keys))
+    return block
+
+
+def test_a_block_is_written_in_rows_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(wordbpe, "PIECE_BYTES", 2000)
+    texts = [" ".join(f"w{(i * j) % 997}" for j in range(i % 50)) for i in range(300)]
+    pieces = list(block_of(texts).pieces(3))
+    assert len(pieces) > 5 and all(p.num_rows == 1 and p.nbytes < 2500 for p in pieces)
+    words = [w for p in pieces for w in p["words"][0].as_py()]
+    assert [p["first_word"][0].as_py() for p in pieces] == np.cumsum([0, *(len(p["words"][0]) for p in pieces)])[:-1].tolist()
+    ids_of = [ENCODING._encode_single_piece(w.encode()) for w in words]
+    found = pa.table({
+        "gaps": [wordbpe.pack_numbers(np.r_[0, np.ones(len(words) - 1, int)])],
+        "counts": [wordbpe.pack_numbers(np.array([len(i) for i in ids_of]))],
+        "ids": [wordbpe.pack_numbers(np.concatenate(ids_of))],
+    })
+    # In whatever order the pieces arrive.
+    got = wordbpe._rebuild_pieces(pa.Table.from_batches(pieces[1::2] + pieces[::2][::-1]), found)
+    assert got["key"].to_pylist() == list(range(len(texts)))
+    assert got["ids"].to_pylist() == [ids(t) for t in texts]
+
+
+def test_writing_a_block_takes_less_than_the_block():
+    words = np.random.default_rng(2).integers(0, 1000, 3_000_000, np.uint32)
+    block = wordbpe._Block()
+    for i in range(1000):
+        block.numbers[f"w{i}"]
+    block.sequence.frombytes(words.tobytes())
+    block.ends.append(len(words))
+    block.hold(pa.array([1]), 0, 1)
+    tracemalloc.start()
+    pieces = sum(p.num_rows for p in block.pieces(0))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pieces > 1 and most < 2 * words.nbytes
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 1000])
+def test_numbers_that_cross_steps(monkeypatch, step):
+    monkeypatch.setattr(wordbpe, "STEP", step)
+    numbers = np.array([0, 2**32 - 1, 2**28, 1, 2**21, 127, 128, 2**32 - 1], np.uint32)
+    assert (wordbpe.unpack_numbers(wordbpe.pack_numbers(numbers)) == numbers).all()
+    rank = np.array([300, 0, 2**31, 5], np.uint32)
+    assert (wordbpe.unpack_numbers(wordbpe.pack_numbers(np.array([3, 2, 0, 0, 1], np.uint32), rank)) == [5, 2**31, 300, 300, 0]).all()
+
+
+def test_texts_arrive_in_batches_of_bounded_bytes(spark, monkeypatch):
+    real, before = wordbpe._explode, spark.conf.get(wordbpe.BATCH_CONF)
+    monkeypatch.setattr(wordbpe, "BATCH_BYTES", 100_000)
+
+    def watched(*options):
+        run = real(*options)
+
+        def checked(batches):
+            def each():
+                for batch in batches:
+                    if batch.nbytes > 200_000:
+                        raise ValueError(f"a batch of {batch.nbytes} bytes")
+                    yield batch
+
+            return run(each())
+
+        return checked
+
+    monkeypatch.setattr(wordbpe, "_explode", watched)
+    rows = spark.range(500).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 1000) AS text").coalesce(1)
+    assert wordbpe.encode(rows).count() == 500
+    assert spark.conf.get(wordbpe.BATCH_CONF) == before
+
+
+def test_decoded_texts_leave_in_short_batches(monkeypatch):
+    monkeypatch.setattr(wordbpe, "STEP", 4)
+    values = [ids("some text"), b"", ids("a b c d e f"), None, ids("x")]
+    batch = pa.record_batch([pa.array(range(5)), pa.array(values, pa.binary())], ["key", "ids"])
+    out = list(wordbpe._look_up(public_tokenizers.path(wordbpe.RANKS))(iter([batch, batch.slice(0, 0)])))
+    assert [b.num_rows for b in out] == [3, 2]
+    assert [k for b in out for k in b["key"].to_pylist()] == list(range(5))
+    assert [v for b in out for v in b["decoded"].to_pylist()] == [b"some text", b"", b"a b c d e f", b"", b"x"]
