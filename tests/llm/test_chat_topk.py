@@ -148,3 +148,17 @@ def test_a_repeated_query_id_asks_with_its_least_vector(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r["rank"]: r.vec_id for r in topk.top_k(frame.repartition(3)).collect()}
     assert got[1] == 2 and len(got) == 2
+
+
+@pytest.mark.parametrize("per_core,values", [(3, 1 << 22), (0.25, 1 << 22), (0.25, 16 * 8 * 3)])
+def test_query_trees_travel_to_shelves(spark, monkeypatch, per_core, values):
+    """No tree is broadcast, and trees that share a shelf or a cell on several shelves give the same rows."""
+    monkeypatch.setattr(topk, "SHELVES_PER_CORE", per_core)
+    monkeypatch.setattr(topk, "SHELF_VALUES", values)
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(300)] + [(1000 + i, [1.0] * 8) for i in range(120)]
+    found = topk.top_k(vectors(spark, rows), 10, 4, part=16, leaf=4, most_pivots=6)
+    plan = found._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "Cartesian" not in plan
+    got = found.collect()
+    assert {tuple(x) for x in got} == brute(rows, 10, 4) and len(got) == len({tuple(x) for x in got})

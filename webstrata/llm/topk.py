@@ -12,7 +12,9 @@ covers all below it. For a query node (centre q, radius r) and a data node
 so the pair is pruned when this is below the worst k-th score that the node's
 queries have so far. The search first meets the tree beside the queries, which gives
 good k-th scores; then the other trees of every cell that the bound leaves.
-Both sides are trees of bounded size, so no task grows with a cell.
+Both sides are trees of bounded size, so no task grows with a cell. Data trees
+stand together on shelves: a query tree is shuffled once to each shelf with a cell
+that it needs, not to each tree, and no side is broadcast.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webstrata.llm.shared import pick
+from webstrata.operators.meeting import meet
 from webstrata.session import cut_lineage
 
 K, SCALE = 5, 256
@@ -36,8 +39,12 @@ K, SCALE = 5, 256
 PART, LEAF, SHRINK = 4096, 128, 1.4
 #: Queries of one leaf: small, since the worst of them decides what is pruned.
 QUERY_LEAF = 8
+#: Data leaves that a query leaf is scored against in one product.
+LEAVES_AT_ONCE = 16
 #: Sampled vectors that pivots are chosen from, and pivots at most.
 SAMPLE, PIVOTS = 4096, 1024
+#: Shelves for each core, and components of the vectors on a shelf at most (a tree at least).
+SHELVES_PER_CORE, SHELF_VALUES = 3, 1 << 22
 #: Inner products stay below this, so that they are exact 64-bit numbers.
 LARGEST_SCORE = 1 << 62
 _NONE = -(1 << 62)
@@ -188,18 +195,24 @@ class Search:
                 for child in range(q.first[a], q.first[a] + q.count[a]):
                     stack.append((child, nodes))
                 continue
-            # A query leaf against data leaves, the most promising ones first.
+            # A query leaf against data leaves, the most promising ones first, then ever more at once.
             bound = bounds(a, nodes)
-            for node in nodes[np.argsort(-bound, kind="stable")]:
-                if bounds(a, np.array([node]))[0] >= self.worst(a):
-                    self._score(a, data, int(node))
-
-    def _score(self, a: int, data: Tree, node: int) -> None:
-        own, there = slice(self.low[a], self.high[a]), slice(data.low[node], data.high[node])
-        ids = data.ids[there]
-        product = self.queries.points[own] @ data.points[there].T
-        if np.abs(product).max(initial=0) >= 2**52:  # beyond exact floating point
-            product = self.queries.points[own].astype(np.int64) @ data.points[there].astype(np.int64).T
+            order = np.argsort(-bound, kind="stable")
+            nodes, bound, size = nodes[order], bound[order], 1
+            while len(nodes):
+                keep = int(np.searchsorted(-bound, -self.worst(a), side="right"))
+                nodes, bound = nodes[:keep], bound[:keep]
+                if keep:
+                    self._score(a, data, nodes[:size])
+                nodes, bound, size = nodes[size:], bound[size:], min(2 * size, LEAVES_AT_ONCE)
+
+    def _score(self, a: int, data: Tree, nodes: np.ndarray) -> None:
+        own = slice(self.low[a], self.high[a])
+        there = np.concatenate([np.arange(data.low[n], data.high[n]) for n in nodes])
+        ids, points = data.ids[there], data.points[there]
+        product = self.queries.points[own] @ points.T
+        if max(product.max(initial=0), -product.min(initial=0)) >= 2**52:  # beyond exact floating point
+            product = self.queries.points[own].astype(np.int64) @ points.astype(np.int64).T
         score = product.astype(np.int64)
         self.pairs += score.size
         score[self.queries.ids[own, None] == ids[None, :]] = _NONE
@@ -278,30 +291,43 @@ def _plant(width: int, leaf: int):
     return run
 
 
+NEEDED = pa.list_(pa.struct([("shelf", pa.int32()), ("cells", pa.list_(pa.int64()))]))
+
+
 def _load(blob: bytes) -> Tree:
     tree = pickle.loads(blob)
     tree.points = tree.points.astype(np.float64)
     return tree
 
 
-def _meet(k: int):
-    """Task: rows (queries, floors, data) to the best of each pair of trees."""
+def _shelved(trees: pa.StructArray) -> list[tuple[int, int, Tree]]:
+    """The (cell, part, tree) of a shelf."""
+    return [(t["cell"], t["part"], _load(t["data"])) for t in trees.to_pylist()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for queries, floors, data in zip(*(batch.column(i) for i in range(3)), strict=True):
-                floor = np.frombuffer(floors.as_py(), np.int64) if floors.as_py() is not None else None
-                search = Search(_load(queries.as_py()), k, floor)
-                search.meet(_load(data.as_py()))
-                q, i, s = search.rows()
-                yield pa.record_batch([pa.array(q), pa.array(i), pa.array(s)], ["query_id", "vec_id", "score"])
 
-    return run
+def _scorer(k: int):
+    """Query trees past a shelf, each with the cells that it needs there, to the best of each query."""
 
+    def score(shelf: list[tuple[int, int, Tree]], asked: pa.StructArray) -> pa.RecordBatch:
+        found = [(np.zeros(0, np.int64),) * 3]
+        for row in asked:
+            home, cells = (row["home_cell"].as_py(), row["home_part"].as_py()), set(row["cells"].as_py())
+            search = Search(_load(row["queries"].as_py()), k, np.frombuffer(row["floors"].as_py(), np.int64))
+            for cell, part, data in shelf:
+                if cell in cells and (cell, part) != home:
+                    search.meet(data)
+            found.append(search.rows())
+        return pa.record_batch(
+            [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"]
+        )
 
-def _first(k: int, centers: np.ndarray, radii: np.ndarray):
+    return score
+
+
+def _first(k: int, centers: np.ndarray, radii: np.ndarray, shelves: tuple[np.ndarray, np.ndarray]):
     """Task: rows (cell, part, queries, data) of the same cell and part to the best
-    there, the k-th scores, and the cells that the bound leaves."""
+    there, the k-th scores, and the cells that the bound leaves, by shelf (``shelves``:
+    the first and last one of every cell)."""
     norms = np.sqrt((centers**2).sum(axis=1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,13 +339,18 @@ def _first(k: int, centers: np.ndarray, radii: np.ndarray):
                 root, r = tree.center[0], tree.radius[0]
                 bound = centers @ root + r * norms + radii * (math.sqrt(float(root @ root)) + r)
                 left = np.flatnonzero((bound * (1 + 1e-12) + 1e-3 >= search.worst(0)) & (radii >= 0))
-                best = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (left, *search.rows())]
+                there: dict[int, list[int]] = {}
+                for c in left.tolist():
+                    for shelf in range(int(shelves[0][c]), int(shelves[1][c]) + 1):
+                        there.setdefault(shelf, []).append(c)
+                needed = [{"shelf": shelf, "cells": cells} for shelf, cells in there.items()]
+                best = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in search.rows()]
                 yield pa.record_batch(
                     [
                         pa.array([cell.as_py()]), pa.array([part.as_py()]), pa.array([blob.as_py()]),
-                        pa.array([search.scores[:, -1].tobytes()]), *best,
+                        pa.array([search.scores[:, -1].tobytes()]), pa.array([needed], NEEDED), *best,
                     ],
-                    ["cell", "part", "queries", "floors", "cells", "query_id", "vec_id", "score"],
+                    ["cell", "part", "queries", "floors", "needed", "query_id", "vec_id", "score"],
                 )
 
     return run
@@ -350,7 +381,11 @@ def top_k(
     spark = vectors.sparkSession
     shape = sound.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
     count, width = shape["n"], shape["width"] or 1
-    some = sound.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "vector").collect()
+    # Every partition sends its candidates for the sample to the driver: their hashes first, the vectors of those chosen then.
+    spread = F.xxhash64("id")
+    last = [r[0] for r in sound.select(spread.alias("h")).orderBy("h").limit(SAMPLE).collect()]
+    chosen = sound.where(spread <= last[-1]) if last else sound
+    some = chosen.orderBy(spread, "id").limit(SAMPLE).select("id", "vector").collect()
     sample = np.zeros((len(some), width))
     for i, r in enumerate(sorted(some)):
         sample[i, :len(r["vector"])] = r["vector"]
@@ -363,10 +398,16 @@ def top_k(
     # One row per pivot; nothing here grows with the table.
     cells = {r["cell"]: r for r in held.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
     radii = np.array([cells[c]["far"] if c in cells else -1.0 for c in range(len(centers))])
-    parts = F.element_at(
-        F.array(*[F.lit(max(1, math.ceil(cells[c]["n"] / part)) if c in cells else 1) for c in range(len(centers))]),
-        (F.col("cell") + 1).cast("int"),
-    )
+    cut = np.array([max(1, math.ceil(cells[c]["n"] / part)) if c in cells else 1 for c in range(len(centers))])
+    # Trees are numbered cell by cell; as many neighbours stand on one shelf.
+    ends, cores = np.cumsum(cut), spark.sparkContext.defaultParallelism
+    on_shelf = max(1, min(SHELF_VALUES // (part * width), math.ceil(ends[-1] / (SHELVES_PER_CORE * cores))))
+    shelves = (ends - cut) // on_shelf, (ends - 1) // on_shelf
+
+    def of_cell(values: np.ndarray):
+        return F.element_at(F.array(*[F.lit(int(v)) for v in values]), (F.col("cell") + 1).cast("int"))
+
+    parts = of_cell(cut)
     dealt = held.withColumn("part", F.pmod(F.xxhash64("id"), parts))
     trees = "cell long, part long, n long, tree binary"
     data = cut_lineage(dealt.groupBy("cell", "part").applyInPandas(_plant(width, leaf), trees))
@@ -377,16 +418,20 @@ def top_k(
     ).select("cell", "part", F.col("tree").alias("queries"))
     planted = data.select("cell", "part", F.col("tree").alias("data"))
     first = cut_lineage(asked.join(planted, ["cell", "part"]).mapInArrow(
-        _first(k, centers, radii),
-        "cell long, part long, queries binary, floors binary, cells array<long>, query_id array<long>, "
-        "vec_id array<long>, score array<long>",
+        _first(k, centers, radii, shelves),
+        "cell long, part long, queries binary, floors binary, needed array<struct<shelf: int, cells: array<bigint>>>, "
+        "query_id array<long>, vec_id array<long>, score array<long>",
     ))
     found = first.select(F.explode(F.arrays_zip("query_id", "vec_id", "score")).alias("r")).select("r.*")
     wanted = first.select(
-        F.struct("cell", "part").alias("home"), "queries", "floors", F.explode("cells").alias("cell")
+        F.col("cell").alias("home_cell"), F.col("part").alias("home_part"), "queries", "floors",
+        F.explode("needed").alias("s"),
+    ).select("s.shelf", "home_cell", "home_part", "queries", "floors", "s.cells")
+    stand = F.floor((of_cell(ends - cut) + F.col("part")) / on_shelf).cast("int").alias("shelf")
+    rest = meet(
+        planted.select(stand, "cell", "part", "data"), wanted, ["shelf"], _shelved, _scorer(k),
+        "query_id long, vec_id long, score long",
     )
-    pairs = wanted.join(planted, "cell").where(F.col("home") != F.struct("cell", "part"))
-    rest = pairs.select("queries", "floors", "data").mapInArrow(_meet(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.unionByName(rest).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
