@@ -92,6 +92,91 @@ def test_first_sights_return_after_their_lifetime(spark):
     ]
 
 
+def sights(rows, ttl):
+    """(key, seconds) of rows (key, seconds, batch): a lifetime begins with the first row that none covers."""
+    out, began = [], {}
+    for _, key, at in sorted((b, k, s) for k, s, b in rows):
+        if key not in began or at >= began[key] + ttl:
+            began[key] = at
+            out.append((key, at))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("few", [0, 16])
+def test_first_sights_take_many_keys_with_a_call(few):
+    """The calls do not grow with the keys, and state is read and written once for all keys of a call."""
+    import pandas as pd
+
+    from webstrata.streaming import state
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    class Handle:
+        value, timers, writes = None, set(), 0
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value, self.writes = value, self.writes + 1
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):
+            self.timers = self.timers | {at}
+
+        def deleteTimer(self, at):
+            self.timers = self.timers - {at}
+
+    rng = random.Random(11)
+    rows = [(f'{{"k0":"{rng.randrange(150)}"}}', float(rng.randrange(b * 500, b * 500 + 500)), b) for b in range(3) for _ in range(900)]
+    seen = state.FirstSights(120.0)
+    seen.FEW = few
+    handle = Handle()
+    seen.init(handle)
+    got = []
+    for b in range(3):
+        frame = pd.DataFrame([(k, s) for k, s, own in rows if own == b], columns=["key", "seconds"])
+        for out in seen.handleInputRows((1,), iter([frame[:400], frame[400:]]), Clock()):
+            got += list(out.itertuples(index=False, name=None))
+    assert sorted(got) == sights(rows, 120.0)
+    assert handle.writes == 3 and len(handle.timers) == 1
+
+
+def test_first_sights_of_odd_keys(spark):
+    """NULL, NaN, zeros, long numbers and instants of different batches are the keys that grouping sees, and come back unchanged."""
+    odd = [
+        (2**53 + 1, "a\nb", 0.0, at(0.00001)), (2**53, "a\nb", -0.0, at(0.00001)), (2**53 + 1, "a\nb", -0.0, at(0.00001)),
+        (None, None, None, None), (None, "null", float("nan"), None), (7, "", 1e300, at(0.00002)), (7, "\"é\\", 0.1, None),
+    ]
+    rows = [(*k, at(m), b) for b, m in enumerate((0, 30, 70)) for k in odd]
+    df = spark.createDataFrame(rows, "id long, k string, x double, t timestamp, ts timestamp, b int")
+    got = T.run_appends(T.new_urls(T.replay(df, F.col("b")), ["id", "k", "x", "t"], 3600)).collect()
+    distinct = {str(tuple(r)) for r in df.select("id", "k", F.col("x") + 0.0, "t").distinct().collect()}
+    assert len(distinct) == 6 and {str(tuple(r)[:4]) for r in got} == distinct and len(got) == 12
+
+
+def test_first_sights_end_in_the_state(spark, tmp_path):
+    """Keys leave the state at the end of their lifetime, others of the same bucket stay."""
+    day = 1440
+    rows = [(i, f"k{i}", 0, 0) for i in range(40)] + [(50, "k50", 10 * day, 1), (51, "k51", 10 * day + 30, 2), (52, "k52", 10 * day + 50, 3)]
+    before = T.KEY_BUCKETS
+    try:
+        T.KEY_BUCKETS = 2
+        run_with_state(T.new_urls(T.replay(events(spark, rows), F.col("b")), ["k"], 3600), tmp_path / "state", "append")
+    finally:
+        T.KEY_BUCKETS = before
+    left = spark.read.format("statestore").option("stateVarName", "value").load(str(tmp_path / "state"))
+    names = [bytes(r[0]).decode() for r in left.select("value.keys").collect()]
+    assert sorted(x for n in names for x in n.split("\n")) == ['{"k0":"k50"}', '{"k0":"k51"}', '{"k0":"k52"}']
+
+
 def test_pacing_over_batches_equals_the_audit(spark):
     rng = random.Random(3)
     rows = [(i, f"d{rng.randrange(3)}", i * 0.4) for i in range(400)]

@@ -6,7 +6,7 @@ the rule itself ends (a pause has passed, a window or lifetime is over) removal
 changes no result; jobs and runs are kept for a retention after their end.
 Rows of a key in one micro-batch are taken together and in order. With many keys
 the calls per key decide, so a processor works on plain rows, reads its state once
-and writes it once.
+and writes it once; ``FirstSights`` takes a bucket of keys with each call.
 """
 
 from __future__ import annotations
@@ -157,24 +157,115 @@ class Lifetimes(Timed):
         return [(*key, *lifetime) for lifetime in self.lifetimes(rows, timerValues)]
 
 
-class FirstSights(Lifetimes):
-    """The rows that start a lifetime: first sight of a key, and again after ``ttl`` seconds."""
+class FirstSights(StatefulProcessor):
+    """The rows that start a lifetime: first sight of a key, and again after ``ttl`` seconds.
 
-    SCHEMA = "started double, until long"
+    Takes many keys at a time: the group is a bucket of keys, its rows name theirs
+    (``key``, without line breaks) and ``seconds``. The state of a bucket is one value,
+    the keys that are alive with the times of their first sight, from which each key
+    goes at the end of its lifetime, when a timer tells or with the next rows.
+    """
 
-    def lifetimes(self, rows, timer_values):
-        # Nothing is counted, so a sight within a lifetime leaves the state as it is.
-        times = _times(rows)
-        known = self.stored()
-        started, out, at = known[0] if known else None, [], 0
-        while at < len(times):
-            if started is None or times[at] >= started + self.ttl:
-                started = times[at]
-                out.append((started,))
-            at = bisect_left(times, started + self.ttl)
-        if out:
-            self.store((started,), (started + self.ttl + ORIGIN) * 1000, timer_values)
-        return out
+    SCHEMA = "keys binary, started binary, until long"
+    #: With no more keys than this left, they are followed one by one.
+    FEW = 16
+
+    def __init__(self, ttl: float):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.value = handle.getValueState("value", self.SCHEMA)
+
+    def handleInputRows(self, key, rows, timerValues):
+        import numpy as np
+        import pandas as pd
+
+        parts = [p for p in ((r["key"].to_numpy(), r["seconds"].to_numpy(np.float64)) for r in rows) if len(p[0])]
+        known, began, until = self._stored()
+        names, codes = known, np.zeros(0, np.int64)
+        seconds = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)
+        if parts:
+            codes, names = pd.factorize(np.concatenate([known, *(p[0] for p in parts)]))
+            codes = codes[len(known):]
+        started = np.full(len(names), -np.inf)
+        started[:len(known)] = began
+        timed = ~np.isnan(seconds)
+        of, at = self._sights(codes[timed], seconds[timed], started)
+        self._keep(names, started, until, timerValues)
+        yield pd.DataFrame({"key": names[of], "seconds": at})
+
+    def _sights(self, codes, seconds, started):
+        """(key, time) of new sights of keys (by number); ``started`` moves on to the last one of each."""
+        import numpy as np
+
+        order = np.lexsort((seconds, codes))
+        codes, times = codes[order], seconds[order]
+        keys, low = np.unique(codes, return_index=True)
+        high = np.append(low[1:], len(codes))
+        of, at = [np.zeros(0, np.int64)], [np.zeros(0)]
+        while len(keys) > self.FEW:
+            # The first row of each key that its lifetime does not cover, by bisection.
+            end, stop = started[keys] + self.ttl, high.copy()
+            while (open_ := low < stop).any():
+                middle = (low + stop) // 2
+                covered = np.zeros(len(keys), bool)
+                covered[open_] = times[middle[open_]] < end[open_]
+                low = np.where(open_ & covered, middle + 1, low)
+                stop = np.where(open_ & ~covered, middle, stop)
+            left = low < high
+            keys, low, high = keys[left], low[left], high[left]
+            started[keys] = times[low]
+            of.append(keys)
+            at.append(times[low])
+        for key, first, last in zip(keys.tolist(), low.tolist(), high.tolist(), strict=True):
+            own = times[first:last].tolist()
+            found, place = [], bisect_left(own, started[key] + self.ttl)
+            while place < len(own):
+                found.append(own[place])
+                place = bisect_left(own, own[place] + self.ttl, place)
+            if found:
+                started[key] = found[-1]
+                of.append(np.full(len(found), key))
+                at.append(np.array(found))
+        return np.concatenate(of), np.concatenate(at)
+
+    def _stored(self):
+        """(keys, their first sights, end of the first lifetime to end)."""
+        import numpy as np
+
+        value = self.value.get()
+        if value is None:
+            return np.zeros(0, object), np.zeros(0), None
+        return np.array(bytes(value[0]).decode().split("\n"), object), np.frombuffer(bytes(value[1]), np.float64), value[2]
+
+    def _keep(self, names, started, until: int | None, timer_values) -> None:
+        """Store the keys that are alive; ``until`` is the timer that stands."""
+        import numpy as np
+
+        ends = np.full(len(names), -np.inf)
+        seen = started > -np.inf
+        ends[seen] = np.ceil((started[seen] + self.ttl + ORIGIN) * 1000)
+        alive = ends > timer_values.getCurrentWatermarkInMs()
+        first = int(ends[alive].min()) if alive.any() else None
+        if until is not None and until != first:
+            self.handle.deleteTimer(until)
+        if first is None:
+            self.value.clear()
+            return
+        self.value.update(("\n".join(names[alive]).encode(), started[alive].tobytes(), first))
+        if until != first:
+            self.handle.registerTimer(first)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        names, started, until = self._stored()
+        if until is not None and until <= expiredTimerInfo.getExpiryTimeInMs():
+            # The timer that expired goes by itself.
+            self._keep(names, started, None, timerValues)
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 class JobStatus(Timed):

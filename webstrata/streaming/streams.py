@@ -24,6 +24,10 @@ from webstrata.streaming import state
 WATERMARK = "10 minutes"
 #: Rows of one file of a replayed micro-batch.
 FILE_ROWS = 500_000
+#: Buckets that keys are dealt to where a call takes many keys; part of the state, so not to be changed for a stream that runs.
+KEY_BUCKETS = 1024
+#: Times inside keys are written in full.
+EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 #: Seconds that ended jobs and runs are kept.
 RETENTION = 30 * 86400
 
@@ -165,14 +169,31 @@ def crawl_progress(events: DataFrame, job: str, kind: str, retention: float = RE
     )
 
 
+def _plain(column: str, kind: str) -> Column:
+    """A key column as JSON can carry it: instants as microseconds, one zero."""
+    if kind == "timestamp":
+        return F.unix_micros(column)
+    return (F.col(column) + F.lit(0).cast(kind)).cast(kind) if kind in ("float", "double") else F.col(column)
+
+
 def new_urls(stream: DataFrame, keys: list[str], ttl: float) -> DataFrame:
-    """First sight of each key, and the first one ``ttl`` seconds after that, and so on: (keys, seconds)."""
-    kinds = dict(stream.dtypes)
-    timed = stream.select(*keys, (F.unix_micros("ts") / 1_000_000).alias("seconds")).withColumn("ts", _at("seconds"))
-    return _keyed(
-        timed, keys, state.FirstSights(ttl),
-        ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", seconds double",
+    """First sight of each key, and the first one ``ttl`` seconds after that, and so on: (keys, seconds).
+
+    State is kept by ``KEY_BUCKETS`` buckets of keys, so that calls do not grow with the keys.
+    """
+    kinds = [dict(stream.dtypes)[k] for k in keys]
+    named = F.to_json(F.struct(*[_plain(k, kind).alias(f"k{i}") for i, (k, kind) in enumerate(zip(keys, kinds, strict=True))]), EXACT)
+    timed = stream.select(named.alias("key"), (F.unix_micros("ts") / 1_000_000).alias("seconds"))
+    dealt = timed.select("*", F.pmod(F.xxhash64("key"), F.lit(KEY_BUCKETS)).alias("bucket"), _at("seconds").alias("ts"))
+    seen = dealt.withWatermark("ts", WATERMARK).groupBy("bucket").transformWithStateInPandas(
+        state.FirstSights(ttl), "key string, seconds double", "append", "EventTime"
     )
+    schema = ", ".join(f"k{i} {'long' if kind == 'timestamp' else kind}" for i, kind in enumerate(kinds))
+    back = seen.select(F.from_json("key", schema, EXACT).alias("k"), "seconds")
+    return back.select(*[
+        (F.timestamp_micros(f"k.k{i}") if kind == "timestamp" else F.col(f"k.k{i}")).alias(k)
+        for i, (k, kind) in enumerate(zip(keys, kinds, strict=True))
+    ], "seconds")
 
 
 def running_counters(events: DataFrame, ttl: float) -> DataFrame:
