@@ -535,6 +535,88 @@ def test_keyword_thresholds_skip_blocks(spark):
     assert seen.value <= 18  # of about 100 blocks
 
 
+def test_keyword_index_merges_batches_and_repeated_ids(spark):
+    """Lists of many batches become one per block and word; rows of one id are one document."""
+    from webstrata.operators import keyword as K
+    rng = random.Random(12)
+    docs = [(i % 170 if i % 170 else None, " ".join(rng.choices([f"w{j}" for j in range(25)], k=rng.randrange(12)))) for i in range(240)]
+    docs += [(5000 + i, t) for i, t in enumerate((None, "", "--", "W1 w1, é1"))]
+    want = {}
+    for i, t in docs:
+        for w in (t or "").lower().replace("--", "").replace(",", "").split():
+            if i is not None:
+                want.setdefault(w, {}).setdefault(i, 0)
+                want[w][i] += 1
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        d = spark.createDataFrame(docs, "doc_id long, text string")
+        index = K.keyword_index(d, block_docs=60)
+        found = index.postings.collect()
+        some = K.keyword_index(d, vocabulary=spark.createDataFrame([("w1",), ("w7",), ("none",)], "word string")).postings.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = {}
+    for r in found:
+        assert r["ids"] == sorted(set(r["ids"])) and r["top"] == max(r["tfs"])
+        assert not set(got.setdefault(r["word"], {})) & set(r["ids"])
+        got[r["word"]] |= dict(zip(r["ids"], r["tfs"], strict=True))
+    assert got == want and index.documents == len(docs)
+    assert len(found) == len({(r["block"], r["word"]) for r in found}) and len({r["block"] for r in found}) > 1
+    assert {r["word"]: dict(zip(r["ids"], r["tfs"], strict=True)) for r in some} == {w: want[w] for w in ("w1", "w7")}
+
+
+def test_keyword_queries_travel_as_numbers(spark, monkeypatch):
+    """Bounds need no row per query, word and block; a query is one row of word numbers."""
+    from webstrata.operators import keyword as K
+    docs = {i: " ".join(random.Random(i).choices([f"w{j}" for j in range(60)], k=20)) for i in range(200)}
+    queries = {q: " ".join(random.Random(-q).choices([f"w{j}" for j in range(70)], k=15)) for q in range(1, 30)}
+    d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    q = spark.createDataFrame(list(queries.items()), "query_id long, query_text string")
+    sent, meet = [], K.meet
+
+    def counting(held, streamed, keys, *rest):
+        sent.append((keys, dict(streamed.dtypes)["terms"], streamed.count()))
+        return meet(held, streamed, keys, *rest)
+
+    monkeypatch.setattr(K, "meet", counting)
+    got = K.search_index(K.keyword_index(d, block_docs=4), q, 3)
+    assert rows(got, "query_id", "id", "rank") == brute_keywords(docs, queries, 3)
+    assert {kind for _, kind, _ in sent} == {"array<bigint>"}
+    (bounds,) = [n for keys, _, n in sent if keys == ["set"]]
+    assert bounds <= 29 * K.BLOCKS_PER_CORE * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("dense,sums", [(0, 1 << 22), (2, 1 << 22), (2, 1), (1 / 128, 1 << 22)])
+def test_keyword_scores_of_common_and_rare_words(monkeypatch, dense, sums):
+    """Words summed by a matrix product, one by one, and in halves of the queries score the same."""
+    import pyarrow as pa
+
+    from webstrata.operators import keyword as K
+    monkeypatch.setattr(K, "DENSE", dense)
+    monkeypatch.setattr(K, "CHUNK_SUMS", sums)
+    monkeypatch.setattr(K, "CHUNK_DOCS", 16)
+    rng = np.random.default_rng(3)
+    tf = rng.poisson(0.5, size=(12, 90)) * (rng.random((12, 90)) < np.linspace(0.02, 1, 12)[:, None])
+    nos, idf = rng.permutation(12) * 10 + (1 << 33), rng.random(12) + 0.5
+    held = pa.array([
+        {"no": int(nos[w]), "idf": float(idf[w]), "ids": (np.flatnonzero(tf[w]) * 3 - 50).tolist(), "tfs": tf[w][tf[w] > 0].tolist()}
+        for w in range(12) if tf[w].any()
+    ], pa.struct([("no", pa.int64()), ("idf", pa.float64()), ("ids", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32()))]))
+    asked = [rng.choice(12, size=n, replace=False) for n in (1, 3, 12, 5, 2, 8)]
+    queries = pa.array([
+        {"query_id": q, "edge": -np.inf if q % 2 else 1.0, "terms": [int(nos[w]) for w in ws] + [7]} for q, ws in enumerate(asked)
+    ], pa.struct([("query_id", pa.int64()), ("edge", pa.float64()), ("terms", pa.list_(pa.int64()))]))
+    got = K._scorer(4, 6)(K._held(held), queries).to_pylist()
+    weight = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * idf[:, None]
+    want = []
+    for q, ws in enumerate(asked):
+        score = np.round(weight[ws].sum(axis=0), 6)
+        best = sorted((-s, d * 3 - 50) for d, s in enumerate(score) if s > 0 and (q % 2 or s >= 1.0))[:4]
+        want += [(q, d, round(-s, 6)) for s, d in best]
+    assert sorted((r["query_id"], r["id"], round(r["score"], 6)) for r in got) == sorted(want)
+
+
 def test_hashed_vectors(spark):
     import hashlib
     texts = [None, "", "  ", "One one TWO", "a b c " * 200, "é ß\tx"]
