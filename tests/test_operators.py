@@ -435,6 +435,26 @@ def test_vector_search_sends_a_query_once_to_a_shelf(spark, monkeypatch):
     assert near == sorted((r["query_id"], r["id"]) for r in got if r["similarity"] >= 0.8)
 
 
+def test_vector_search_starts_near_the_query(spark, monkeypatch):
+    """Vectors of one cone, where nearly every list reaches around a query: few pairs are left for the exact comparison."""
+    from webstrata.operators import nearest as N
+    rng = np.random.default_rng(9)
+    topics = rng.exponential(size=(40, 24))
+    x = [(i, rng.poisson(3 * topics[i % 40] + 4).astype(float), 0) for i in range(6000)]
+    xs = spark.createDataFrame([(i, v.tolist()) for i, v, _ in x], "id long, embedding array<double>")
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v, _ in x[:200]], "query_id long, query_vector array<double>")
+    seen, exact = spark.sparkContext.accumulator(0), N._exact
+
+    def counting(asked, units, row, col):
+        seen.add(len(row))
+        return exact(asked, units, row, col)
+
+    monkeypatch.setattr(N, "_exact", counting)
+    got = N.vector_search(xs, qs, 3).collect()
+    assert sorted((r["query_id"], r["id"]) for r in got) == [(a, b) for a, b, _ in brute_top(x, x[:200], 3, None)]
+    assert seen.value < 0.0045 * 200 * 6000
+
+
 def test_vector_search_ties_of_copies_and_zero_vectors(spark):
     """More equal scores than k: the lowest ids are kept."""
     rng = np.random.default_rng(6)
