@@ -162,6 +162,15 @@ def test_first_sights_of_odd_keys(spark):
     assert len(distinct) == 6 and {str(tuple(r)[:4]) for r in got} == distinct and len(got) == 12
 
 
+def test_first_sights_of_rows_without_a_time(spark):
+    """Rows without a time are no sights, also where a whole call has no others."""
+    rows = [("a", None, 0), ("b", None, 0), ("b", at(1), 0), ("c", None, 1), ("b", at(70), 1), ("a", at(71), 1)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp, b int")
+    got = T.run_appends(T.new_urls(T.replay(df, F.col("b")), ["k"], 3600)).collect()
+    start = at(0).timestamp()
+    assert sorted((r["k"], (r["seconds"] - start) / 60) for r in got) == [("a", 71), ("b", 1), ("b", 70)]
+
+
 def test_first_sights_end_in_the_state(spark, tmp_path):
     """Keys leave the state at the end of their lifetime, others of the same bucket stay."""
     day = 1440

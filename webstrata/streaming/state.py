@@ -202,7 +202,7 @@ class FirstSights(StatefulProcessor):
         order = np.lexsort((seconds, codes))
         codes, times = codes[order], seconds[order]
         keys, low = np.unique(codes, return_index=True)
-        high = np.append(low[1:], len(codes))
+        high = np.append(low, len(codes))[1:]
         of, at = [np.zeros(0, np.int64)], [np.zeros(0)]
         while len(keys) > self.FEW:
             # The first row of each key that its lifetime does not cover, by bisection.
